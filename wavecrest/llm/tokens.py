@@ -14,9 +14,9 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from wavecrest.llm.common import LOWER, Text, ragged, range_hashes, scratch, stored, text_slices, utf8, words
+from wavecrest.llm.common import LOWER, Text, ragged, range_hashes, scratch, stored, text_slices, utf8
 from wavecrest.llm.huffman import BLOCK, Decoder, canonical_codes, code_lengths, encode
 
 MAGIC = b"TOKHUF01"
@@ -29,11 +29,11 @@ _MARK = np.zeros(256, bool)
 _MARK[list(b".,;:!?")] = True
 
 
-def _byte_names() -> dict[int, str]:
-    """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next free one."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    free = iter(range(256, 512))
-    return {b: chr(b) if b in own else chr(next(free)) for b in range(256)}
+def _plain_letters(data: np.ndarray) -> np.ndarray:
+    """Marks bytes of a-z and of the letters from U+00C0 to U+00FF."""
+    lead = data == 0xC3
+    after = np.concatenate(([False], lead[:-1])) & (data != 0x97) & (data != 0xB7)
+    return _LETTER[data] | lead | after
 
 
 class WordTokenizer:
@@ -41,36 +41,50 @@ class WordTokenizer:
 
     For vocabularies whose pre-tokenizer never joins text across white space. Texts are cut at ASCII
     white space and between a letter and one of ``.,;:!?``, where such vocabularies cut too, so a
-    text's ids are its pieces' ids. Pieces of lower-case letters go straight to the library's BPE
-    model; all others through its whole pipeline. Texts with characters from U+0300 on, which may
-    combine with their neighbours, or with the opening of a special token, are encoded whole.
+    text's ids are its pieces' ids. Pieces of letters go to the library's own model and byte mapping
+    without the rest of its pipeline, which leaves them as they are; all others through the whole
+    pipeline. Texts with characters from U+0300 on, which may combine with their neighbours, or with
+    the opening of a special token, are encoded whole. Known pieces are kept by their 64-bit hash.
     """
 
-    def __init__(self, path: str, cut_words: bool = True, most_words: int = 500_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        self.cut_words, self.most_words = cut_words, most_words
-        self.names = _byte_names()
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        rest = []
-        tokenize, pack, names = self.model.tokenize, struct.pack, self.names
-        for w in pieces:
-            if w.isalpha():
-                word = w.decode()
-            else:
-                word = w.decode("utf-8", "replace")
-                low = word.lower()
-                if not word.isalpha() or len(low) != len(word) or max(low) >= "̀":
-                    rest.append(w)
-                    continue
-                word = low.encode().decode("latin-1").translate(names)
-            ids = [t.id for t in tokenize(word)]
-            self.known[w] = pack(f"<{len(ids)}I", *ids)
-        if rest:
-            for w, e in zip(rest, self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), strict=True):
-                self.known[w] = pack(f"<{len(e.ids)}I", *e.ids)
+        self.letters = Tokenizer(self.whole.model)
+        self.letters.normalizer = normalizers.Lowercase()
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.most_words = most_words
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.at, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _encode_letters(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per piece) of pieces of letters, sent to the library in lines of ``step`` pieces."""
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        lens = ends - starts
+        line = np.full(int(lens.sum()) + len(lens), 32, np.uint8)
+        line[ragged(np.cumsum(lens + 1) - lens - 1, lens)] = data[ragged(starts, lens)]
+        cuts = np.concatenate(([0], np.cumsum(lens + 1)[step - 1 :: step], [len(line)]))
+        raw = line.tobytes()
+        got = self.letters.encode_batch_fast([raw[a:b].decode() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in got])
+        words = np.concatenate([np.array(e.word_ids, np.int64) + k * step for k, e in enumerate(got)])
+        return ids, np.bincount(words, minlength=len(lens))
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        other = np.concatenate(([0], np.cumsum(~_plain_letters(data))))
+        plain = other[ends] == other[starts]
+        ids, sizes = self._encode_letters(data, starts[plain], ends[plain])
+        raw = data.tobytes()
+        rest = self.whole.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[~plain].tolist(), ends[~plain].tolist(), strict=True)], add_special_tokens=False)
+        more = [np.array(e.ids, np.uint32) for e in rest]
+        sizes = np.concatenate((sizes, np.fromiter(map(len, more), np.int64, len(more))))
+        at = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.concatenate((self.ids, ids, *more))
+        known = np.concatenate((self.hashes, hashes[plain], hashes[~plain]))
+        order = np.argsort(known)
+        self.hashes, self.at, self.sizes = known[order], np.concatenate((self.at, at))[order], np.concatenate((self.sizes, sizes))[order]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, one after another; and where each text's begin and end."""
@@ -79,53 +93,53 @@ class WordTokenizer:
         high = np.concatenate(([0], np.cumsum(text.data >= 0xCC)))
         special = np.concatenate(([0], np.cumsum((text.data == 60) & (np.append(text.data[1:], 0) == 124))))  # "<|"
         plain = (high[text.offsets[1:]] == high[text.offsets[:-1]]) & (special[text.offsets[1:]] == special[text.offsets[:-1]])
-        if not self.cut_words:
-            plain[:] = False
         # texts that aren't plain lose their bytes here and get their ids below
-        keep = np.repeat(plain, np.diff(text.offsets))
-        text = Text(LOWER[text.data[keep]], np.concatenate(([0], np.cumsum(np.where(plain, np.diff(text.offsets), 0)))))
-        found = words(text, _SOLID)
-        letter, mark = _LETTER[text.data], _MARK[text.data]
-        cut = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1 if len(text.data) else np.zeros(0, np.int64)
-        starts = np.unique(np.concatenate((found.starts, cut)))
-        # a piece ends at the next cut, or where its run of solid bytes ends
-        run = np.searchsorted(found.starts, starts, "right") - 1
-        ends = np.minimum(np.concatenate((starts[1:], [len(text.data)]))[: len(starts)], found.ends[run]) if len(starts) else starts
-        hashes = range_hashes(text.data, starts, ends)
-        _, first, slot = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = text.data.tobytes()
-        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self.known) > self.most_words:
-            self.known.clear()
-        self._learn([p for p in pieces if p not in self.known])
-        got = [self.known[p] for p in pieces]
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        all_ = np.frombuffer(b"".join(got), np.uint32)
-        at = np.cumsum(sizes) - sizes
-        per_piece = sizes[slot]
+        sizes = np.where(plain, np.diff(text.offsets), 0)
+        data = text.data if plain.all() else text.data[np.repeat(plain, np.diff(text.offsets))]
+        text = Text(LOWER[data], np.concatenate(([0], np.cumsum(sizes))))
+        starts, ends = self._pieces(text)
+        by, slot = np.unique(range_hashes(text.data, starts, ends), return_inverse=True)
+        first = np.empty(len(by), np.int64)
+        first[slot[::-1]] = np.arange(len(slot))[::-1]
+        if len(self.hashes) > self.most_words:
+            self._forget()
+        new = ~np.isin(by, self.hashes, assume_unique=True)
+        if new.any():
+            self._learn(text.data, starts[first[new]], ends[first[new]], by[new])
+        known = np.searchsorted(self.hashes, by)[slot]
+        per_piece = self.sizes[known]
         piece_ends = np.concatenate(([0], np.cumsum(per_piece)))
-        ids = all_[ragged(at[slot], per_piece)]
-        by_text = piece_ends[np.searchsorted(starts, text.offsets)]
-        counts = np.diff(by_text)
+        counts = np.diff(piece_ends[np.searchsorted(starts, text.offsets)])
         others = np.flatnonzero(~plain)
         coded = self.whole.encode_batch_fast([texts[i].as_py() or "" for i in others.tolist()], add_special_tokens=False) if len(others) else []
+        own = counts.copy()
         counts[others] = [len(e.ids) for e in coded]
-        ends = np.cumsum(counts + 1)
-        out = np.full(int(ends[-1]) if n else 0, end_id, np.uint32)
-        begins = ends - counts - 1
-        own = np.where(plain, counts, 0)
-        out[ragged(begins, own)] = ids
+        last = np.cumsum(counts + 1)
+        begins = last - counts - 1
+        out = np.full(int(last[-1]) if n else 0, end_id, np.uint32)
+        out[ragged(begins, own)] = self.ids[ragged(self.at[known], per_piece)]
         for i, e in zip(others.tolist(), coded, strict=True):
             out[begins[i] : begins[i] + counts[i]] = e.ids
-        return out, np.concatenate(([0], ends))
+        return out, np.concatenate(([0], last))
 
+    @staticmethod
+    def _pieces(text: Text) -> tuple[np.ndarray, np.ndarray]:
+        if not len(text.data):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        solid, letter, mark = _SOLID[text.data], _LETTER[text.data], _MARK[text.data]
+        head = np.zeros(len(solid) + 1, bool)
+        head[text.offsets] = True
+        head[1:-1] |= ~solid[:-1] | (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+        tail = head[1:] | np.concatenate((~solid[1:], [True]))
+        return np.flatnonzero(head[:-1] & solid), np.flatnonzero(tail & solid) + 1
 
-def tokenize(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cut_words: bool = True) -> DataFrame:
+
+def tokenize(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids) of every row; ids are little-endian 16-bit numbers, packed with zstd."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, squeeze = WordTokenizer(path, cut_words), zstandard.ZstdCompressor(1)
-        for batch in text_slices(batches, "text", 4 << 20):
+        tokenizer, squeeze = WordTokenizer(path), zstandard.ZstdCompressor(1)
+        for batch in text_slices(batches, "text"):
             ids, at = tokenizer.encode(batch.column(1), end_id)
             raw = ids.astype("<u2").tobytes()
             packed = [squeeze.compress(raw[2 * a : 2 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -141,8 +155,9 @@ def id_counts(tokens: DataFrame, size: int = 1 << 16) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, open_ = np.zeros(size, np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
-            for x in batch.column(0):
-                counts += np.bincount(np.frombuffer(open_.decompress(x.as_py()), "<u2"), minlength=size)
+            for k in range(0, batch.num_rows, 500):
+                raw = b"".join(open_.decompress(x) for x in batch.column(0)[k : k + 500].to_pylist())
+                counts += np.bincount(np.frombuffer(raw, "<u2"), minlength=size)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used])], names=["id", "n"])
 
