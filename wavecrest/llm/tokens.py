@@ -67,7 +67,7 @@ class WordTokenizer:
         line[ragged(np.cumsum(lens + 1) - lens - 1, lens)] = data[ragged(starts, lens)]
         cuts = np.concatenate(([0], np.cumsum(lens + 1)[step - 1 :: step], [len(line)]))
         raw = line.tobytes()
-        got = self.letters.encode_batch_fast([raw[a:b].decode() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a], add_special_tokens=False)
+        got = self.letters.encode_batch([raw[a:b].decode() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a], add_special_tokens=False)
         ids = np.concatenate([np.array(e.ids, np.uint32) for e in got])
         words = np.concatenate([np.array(e.word_ids, np.int64) + k * step for k, e in enumerate(got)])
         return ids, np.bincount(words, minlength=len(lens))
