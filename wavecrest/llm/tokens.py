@@ -20,28 +20,27 @@ from wavecrest.llm.common import LOWER, Text, ragged, range_hashes, scratch, sto
 from wavecrest.llm.huffman import BLOCK, Decoder, canonical_codes, code_lengths, encode
 
 MAGIC = b"TOKHUF01"
-#: Bytes of words for cutting texts: all but ASCII white space.
-_SOLID = np.ones(256, bool)
-_SOLID[[9, 10, 13, 32]] = False
-_LETTER = np.zeros(256, bool)
-_LETTER[97:123] = True
-_MARK = np.zeros(256, bool)
-_MARK[list(b".,;:!?")] = True
+#: Kinds of bytes: ASCII white space 0, letters 1, digits 2, other ASCII 3, all others 4.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[9, 10, 13, 32]] = 0
+_KIND[97:123] = 1
+_KIND[48:58] = 2
+_KIND[128:] = 4
 
 
 def _plain_letters(data: np.ndarray) -> np.ndarray:
     """Marks bytes of a-z and of the letters from U+00C0 to U+00FF."""
     lead = data == 0xC3
     after = np.concatenate(([False], lead[:-1])) & (data != 0x97) & (data != 0xB7)
-    return _LETTER[data] | lead | after
+    return (_KIND[data] == 1) | lead | after
 
 
 class WordTokenizer:
     """The tokenizers library's ids of whole texts, with each different word encoded once.
 
     For vocabularies whose pre-tokenizer never joins text across white space. Texts are cut at ASCII
-    white space and between a letter and one of ``.,;:!?``, where such vocabularies cut too, so a
-    text's ids are its pieces' ids. Pieces of letters go to the library's own model and byte mapping
+    white space and where letters, digits and other ASCII characters meet, but for a letter after an
+    apostrophe; such vocabularies cut there too, so a text's ids are its pieces' ids. Pieces of letters go to the library's own model and byte mapping
     without the rest of its pipeline, which leaves them as they are; all others through the whole
     pipeline. Texts with characters from U+0300 on, which may combine with their neighbours, or with
     the opening of a special token, are encoded whole. Known pieces are kept by their 64-bit hash.
@@ -58,7 +57,7 @@ class WordTokenizer:
     def _forget(self) -> None:
         self.hashes, self.at, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _encode_letters(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_letters(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 400) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per piece) of pieces of letters, sent to the library in lines of ``step`` pieces."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -67,10 +66,13 @@ class WordTokenizer:
         line[ragged(np.cumsum(lens + 1) - lens - 1, lens)] = data[ragged(starts, lens)]
         cuts = np.concatenate(([0], np.cumsum(lens + 1)[step - 1 :: step], [len(line)]))
         raw = line.tobytes()
-        got = self.letters.encode_batch([raw[a:b].decode() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a], add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in got])
-        words = np.concatenate([np.array(e.word_ids, np.int64) + k * step for k, e in enumerate(got)])
-        return ids, np.bincount(words, minlength=len(lens))
+        ids, words = [], []
+        for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if b > a:
+                got = self.letters.encode(raw[a:b].decode(), add_special_tokens=False)
+                ids.append(np.array(got.ids, np.uint32))
+                words.append(np.array(got.word_ids, np.int64) + k * step)
+        return np.concatenate(ids), np.bincount(np.concatenate(words), minlength=len(lens))
 
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
         other = np.concatenate(([0], np.cumsum(~_plain_letters(data))))
@@ -126,10 +128,12 @@ class WordTokenizer:
     def _pieces(text: Text) -> tuple[np.ndarray, np.ndarray]:
         if not len(text.data):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        solid, letter, mark = _SOLID[text.data], _LETTER[text.data], _MARK[text.data]
+        kind = np.where(_plain_letters(text.data), 1, _KIND[text.data])
+        solid = kind > 0
         head = np.zeros(len(solid) + 1, bool)
         head[text.offsets] = True
-        head[1:-1] |= ~solid[:-1] | (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+        cut = (kind[1:] != kind[:-1]) & (kind[1:] < 4) & (kind[:-1] < 4)
+        head[1:-1] |= cut & ~((text.data[:-1] == 39) & (kind[1:] == 1))
         tail = head[1:] | np.concatenate((~solid[1:], [True]))
         return np.flatnonzero(head[:-1] & solid), np.flatnonzero(tail & solid) + 1
 
@@ -139,7 +143,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, squeeze = WordTokenizer(path), zstandard.ZstdCompressor(1)
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", 1 << 19):
             ids, at = tokenizer.encode(batch.column(1), end_id)
             raw = ids.astype("<u2").tobytes()
             packed = [squeeze.compress(raw[2 * a : 2 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -250,7 +254,7 @@ def write_tokens(tokens: DataFrame, folder: str, file_ids: int = 4 << 20) -> Dat
                 held.append(np.frombuffer(open_.decompress(ids.as_py()), "<u2"))
                 docs.append((doc, len(held[-1])))
                 size += len(held[-1])
-                if size >= 1 << 19:
+                if size >= 1 << 16:
                     writer = writer or _Writer(folder, f"part-{part:06d}-{len(rows):04d}.tok", shared.value)
                     writer.add(docs, np.concatenate(held))
                     held, docs, size = [], [], 0
