@@ -132,7 +132,7 @@ class WordTokenizer:
         solid = kind > 0
         head = np.zeros(len(solid) + 1, bool)
         head[text.offsets] = True
-        cut = (kind[1:] != kind[:-1]) & (kind[1:] < 4) & (kind[:-1] < 4)
+        cut = (kind[1:] != kind[:-1]) & ((np.maximum(kind[1:], kind[:-1]) < 4) | (np.minimum(kind[1:], kind[:-1]) == 0))
         head[1:-1] |= cut & ~((text.data[:-1] == 39) & (kind[1:] == 1))
         tail = head[1:] | np.concatenate((~solid[1:], [True]))
         return np.flatnonzero(head[:-1] & solid), np.flatnonzero(tail & solid) + 1
