@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from wavecrest.llm import catalog, chat, decontaminate, huffman, language, media, packing, simhash, tokens, toxicity, warc
+from wavecrest.llm import catalog, chat, decontaminate, huffman, language, lm, media, packing, simhash, tokens, toxicity, warc
 from wavecrest.llm.common import range_hashes, table, utf8, words
 from wavecrest.llm.components import connected_components
 
@@ -301,6 +301,27 @@ def test_components_of_a_long_path(spark):
     assert len({got[i] for i in range(301)}) == 1 and got[1000] == got[1001] != got[0]
 
 
+@pytest.mark.parametrize("bucket_words,most_words", [(1 << 19, 1 << 20), (50, 40)])
+def test_backoff_scores(spark, docs, none, bucket_words, most_words):
+    from collections import Counter
+    from math import log
+
+    rows = [(r.doc_id, plain_words(r.text)) for r in docs.collect()]
+    single = Counter(w for _, x in rows for w in x)
+    total = sum(single.values())
+    vocab = {w for w, n in single.items() if n >= max(2, -(-total // most_words))}
+    texts = [(d, ["<s>", *(w if w in vocab else "<unk>" for w in x)]) for d, x in rows]
+    one = Counter(w for _, x in texts for w in x)
+    two = Counter(p for _, x in texts for p in zip(x, x[1:], strict=False))
+    want = []
+    for d, x in texts:
+        s = sum(log(two[p] / one[p[0]]) if two[p] >= 2 else log(0.4 * one[p[1]] / total) for p in zip(x, x[1:], strict=False))
+        want.append((d, len(x) - 1, round(s, 6), round(s / (len(x) - 1), 8) if len(x) > 1 else None))
+    got = [(r.doc_id, r.n_words, round(r.log_score, 6), None if r.mean_log_score is None else round(r.mean_log_score, 8)) for r in lm.backoff_scores(docs, bucket_words=bucket_words, most_words=most_words).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert lm.backoff_scores(none).count() == 0
+
+
 CONTROL_TEXTS = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\nhi", "<\\|im_end|> \\ <<SYS>>", "", None, "plain", "a" * 3000]
 
 

@@ -47,8 +47,8 @@ def held_out(doc_id: str, parts: int, part: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each piece has one row, or at most ``limit`` bytes in ``column``."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each piece has one row, or at most ``limit`` bytes in ``column`` and ``rows`` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -56,7 +56,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
         first = 0
         while first < batch.num_rows:
             last = int(np.searchsorted(ends, ends[first] + limit, "right")) - 1
-            last = min(max(last, first + 1), batch.num_rows)
+            last = min(max(last, first + 1), first + rows, batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
 
