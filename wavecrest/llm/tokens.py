@@ -235,7 +235,7 @@ def read_file(uri: str) -> tuple[list, np.ndarray, np.ndarray]:
 def write_tokens(tokens: DataFrame, folder: str, file_ids: int = 4 << 20) -> DataFrame:
     """Writes token files and gives their manifest (part, seq, file, n_docs, n_ids), itself a table in ``folder``.
 
-    Rows are range-sorted by (doc_id, ids), nulls first, into parts of about ``file_ids`` ids, and a
+    Rows are range-sorted by (doc_id, hash of ids), nulls first, into parts of about ``file_ids`` ids, and a
     part goes on to a new file past that size. The codes come from the counts of all ids. A file
     has its name only when whole, and a repeated task replaces it by the same bytes.
     """
@@ -268,8 +268,8 @@ def write_tokens(tokens: DataFrame, folder: str, file_ids: int = 4 << 20) -> Dat
             rows.append((part, len(rows), *writer.close()))
         yield pa.RecordBatch.from_pylist([dict(zip(("part", "seq", "file", "n_docs", "n_ids"), r, strict=True)) for r in rows], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    by = [F.col("doc_id").asc_nulls_first(), F.col("ids")]
-    placed = tokens.select("doc_id", "ids").repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]  # Spark samples these to deal out the ranges
+    placed = tokens.select("doc_id", "ids").repartitionByRange(parts, *by).sortWithinPartitions(*by, "ids")
     placed.mapInArrow(run, "part int, seq int, file string, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
     return tokens.sparkSession.read.parquet(f"{folder}/manifest")
 

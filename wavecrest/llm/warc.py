@@ -127,8 +127,8 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20) -> Dat
             close()
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())]))
 
-    by = [F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("html").asc_nulls_first()]
-    placed = pages.select("page_id", "url", "html", "refers_to").repartitionByRange(parts, "page_id").sortWithinPartitions(*by)
+    by = [F.col("page_id").asc_nulls_first(), F.xxhash64("url", "html")]
+    placed = pages.select("page_id", "url", "html", "refers_to").repartitionByRange(parts, *by).sortWithinPartitions(*by, "url", "html")
     placed.mapInArrow(run, "file string, records long, bytes long, sha1 string").write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.parquet(f"{folder}/manifest")
 
