@@ -59,7 +59,7 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(labels: np.ndarray, docs: np.ndarray, hashes: np.ndarray, most_terms: int = 1024, rank: int = 4, steps: int = 300, least_docs: int = 3, least_chi2: float = 12.0, seed: int = 7) -> FactorizationMachine:
+def train(labels: np.ndarray, docs: np.ndarray, hashes: np.ndarray, most_terms: int = 1024, rank: int = 4, steps: int = 300, least_docs: int = 3, decay: float = 1e-4, least_chi2: float = 30.0, seed: int = 7) -> FactorizationMachine:
     """Learns from distinct (text number, hash) pairs of labelled texts.
 
     Terms are those that at least ``least_docs`` texts have and whose chi-square against the label
@@ -94,7 +94,7 @@ def train(labels: np.ndarray, docs: np.ndarray, hashes: np.ndarray, most_terms:
         miss = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels).astype(np.float32) / n
         grad = x.T @ np.concatenate((miss[:, None], miss[:, None] * total), axis=1)
         grad[:, 1:] -= p[:, 1:] * (x.T @ miss)[:, None]
-        grad += 1e-5 * p
+        grad += decay * p
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad * grad
         mb, sb = 0.9 * mb + 0.1 * miss.sum(), 0.999 * sb + 0.001 * miss.sum() ** 2
         p -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
