@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from wavecrest.llm import decontaminate, language, packing, simhash, toxicity
 from wavecrest.llm.common import held_out, scratch, stored, table
 
-#: Documents with a lower score of their predicted language are rejected.
-LEAST_LANGUAGE_SCORE = 0.5
+#: Documents with a lower score of their predicted language are rejected; texts in two languages score about a half and stay.
+LEAST_LANGUAGE_SCORE = 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
