@@ -74,9 +74,7 @@ class WordTokenizer:
                 words.append(np.array(got.word_ids, np.int64) + k * step)
         return np.concatenate(ids), np.bincount(np.concatenate(words), minlength=len(lens))
 
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
-        other = np.concatenate(([0], np.cumsum(~_plain_letters(data))))
-        plain = other[ends] == other[starts]
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray, hashes: np.ndarray) -> None:
         ids, sizes = self._encode_letters(data, starts[plain], ends[plain])
         raw = data.tobytes()
         rest = self.whole.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[~plain].tolist(), ends[~plain].tolist(), strict=True)], add_special_tokens=False)
@@ -92,14 +90,15 @@ class WordTokenizer:
         """Ids of all texts, each followed by ``end_id``, one after another; and where each text's begin and end."""
         text = utf8(texts, lower=False)
         n = len(texts)
-        high = np.concatenate(([0], np.cumsum(text.data >= 0xCC)))
-        special = np.concatenate(([0], np.cumsum((text.data == 60) & (np.append(text.data[1:], 0) == 124))))  # "<|"
-        plain = (high[text.offsets[1:]] == high[text.offsets[:-1]]) & (special[text.offsets[1:]] == special[text.offsets[:-1]])
+        odd = text.data >= 0xCC
+        odd[:-1] |= (text.data[:-1] == 60) & (text.data[1:] == 124)  # "<|"
+        plain = np.ones(n, bool)
+        plain[np.searchsorted(text.offsets, np.flatnonzero(odd), "right") - 1] = False
         # texts that aren't plain lose their bytes here and get their ids below
         sizes = np.where(plain, np.diff(text.offsets), 0)
         data = text.data if plain.all() else text.data[np.repeat(plain, np.diff(text.offsets))]
         text = Text(LOWER[data], np.concatenate(([0], np.cumsum(sizes))))
-        starts, ends = self._pieces(text)
+        starts, ends, letters = self._pieces(text)
         by, slot = np.unique(range_hashes(text.data, starts, ends), return_inverse=True)
         first = np.empty(len(by), np.int64)
         first[slot[::-1]] = np.arange(len(slot))[::-1]
@@ -107,7 +106,7 @@ class WordTokenizer:
             self._forget()
         new = ~np.isin(by, self.hashes, assume_unique=True)
         if new.any():
-            self._learn(text.data, starts[first[new]], ends[first[new]], by[new])
+            self._learn(text.data, starts[first[new]], ends[first[new]], letters[first[new]], by[new])
         known = np.searchsorted(self.hashes, by)[slot]
         per_piece = self.sizes[known]
         piece_ends = np.concatenate(([0], np.cumsum(per_piece)))
@@ -125,9 +124,10 @@ class WordTokenizer:
         return out, np.concatenate(([0], last))
 
     @staticmethod
-    def _pieces(text: Text) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where pieces begin and end, and whether each is all letters."""
         if not len(text.data):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         kind = np.where(_plain_letters(text.data), 1, _KIND[text.data])
         solid = kind > 0
         head = np.zeros(len(solid) + 1, bool)
@@ -135,7 +135,10 @@ class WordTokenizer:
         cut = (kind[1:] != kind[:-1]) & ((np.maximum(kind[1:], kind[:-1]) < 4) | (np.minimum(kind[1:], kind[:-1]) == 0))
         head[1:-1] |= cut & ~((text.data[:-1] == 39) & (kind[1:] == 1))
         tail = head[1:] | np.concatenate((~solid[1:], [True]))
-        return np.flatnonzero(head[:-1] & solid), np.flatnonzero(tail & solid) + 1
+        starts = np.flatnonzero(head[:-1] & solid)
+        # white space up to the next piece is kind 0, so the largest kind is the piece's own
+        letters = np.maximum.reduceat(kind, starts) == 1 if len(starts) else np.zeros(0, bool)
+        return starts, np.flatnonzero(tail & solid) + 1, letters
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
