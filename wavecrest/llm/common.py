@@ -139,7 +139,11 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         return np.zeros(0, np.uint64)
     inverse = pow(_R, -1, 1 << 64)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_R, len(data))[: len(data)], out=total[1:])
+    terms = data.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= _powers(_R, len(data))[: len(data)]
+    np.cumsum(terms, out=total[1:])
+    del terms
     own = (total[ends] - total[starts]) * _powers(inverse, len(data) + 1)[starts]
     return mix(own ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
 
