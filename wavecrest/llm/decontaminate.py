@@ -160,7 +160,7 @@ def _scanner(shared, text_name: str, first: bool, names: list[str]):
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", into: str = "contamination", width: int = 10, item_id: str = "item_id", item_text: str = "text", slice_bytes: int = 16 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", into: str = "contamination", width: int = 10, item_id: str = "item_id", item_text: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` with a struct ``into`` (n_words, n_hit, n_items, items, items_sha256, contaminated).
 
     Words are maximal runs of ASCII letters (A-Z as a-z), digits and characters beyond ASCII. A word
