@@ -401,6 +401,17 @@ def test_tokens_of_cut_texts(text):
         assert ids.tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("aB1é×÷(-*.,)' \u00d6\u00f8"), max_size=20))
+def test_tokens_of_signs_between_letters(text):
+    if not hasattr(test_tokens_of_signs_between_letters, "t"):
+        test_tokens_of_signs_between_letters.t = tokens.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    own, whole = test_tokens_of_signs_between_letters.t
+    for t in (text, "(×2)", "-÷", "*×", ".×", "a×b÷c", "'×a", "×", "÷'é"):
+        ids, _ = own.encode(pa.array([t]), 1)
+        assert ids.tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1], t
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=900), st.integers(0, 5))
 def test_huffman_round_trip(ids, steep):

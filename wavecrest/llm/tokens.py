@@ -31,7 +31,9 @@ _KIND[128:] = 4
 def _plain_letters(data: np.ndarray) -> np.ndarray:
     """Marks bytes of a-z and of the letters from U+00C0 to U+00FF."""
     lead = data == 0xC3
-    after = np.concatenate(([False], lead[:-1])) & (data != 0x97) & (data != 0xB7)
+    # U+00D7 and U+00F7 between them are signs, which join ASCII marks in a word
+    lead[:-1] &= (data[1:] != 0x97) & (data[1:] != 0xB7)
+    after = np.concatenate(([False], lead[:-1]))
     return (_KIND[data] == 1) | lead | after
 
 
