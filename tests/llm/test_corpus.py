@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from wavecrest.llm import catalog, chat, decontaminate, huffman, language, lm, media, packing, simhash, tokens, toxicity, warc
+from wavecrest.llm import catalog, chat, decontaminate, huffman, language, lm, media, packing, shingles, simhash, tokens, toxicity, warc
 from wavecrest.llm.common import range_hashes, table, utf8, words
 from wavecrest.llm.components import connected_components
 
@@ -295,6 +295,54 @@ def test_trie_join_of_crowded_words(spark, group_rows):
     assert all(len(x) == 1 for x in groups.values()) and len({*map(str, (next(iter(x)) for x in groups.values()))}) == len(groups)
 
 
+def plain_similar(rows, least=0.8, width=5):
+    def shingles(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        w = [x for x in re.split("[\x20\x09-\x0d]+", low) if x]
+        return {" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+    sets = [shingles(t) for _, t in rows]
+    by = {}
+    for i, own in enumerate(sets):
+        for x in own:
+            by.setdefault(x, []).append(i)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    unequal = []
+    for i, own in enumerate(sets):
+        shared = {}
+        for x in own:
+            for j in by[x]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if n >= least * (len(own) + len(sets[j]) - n):
+                root[find(i)] = find(j)
+                if sets[i] != sets[j]:
+                    unequal.append((rows[i][0], rows[j][0]))
+    first = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            first[find(i)] = min(first.get(find(i), d), d)
+    return [(d, first.get(find(i))) for i, (d, _) in enumerate(rows)], unequal
+
+
+def test_similar_documents(spark, docs, none):
+    plenty = table(spark, "/root/testdata/sf0.01", "documents")
+    for source in (docs, plenty):
+        want, unequal = plain_similar([(r.doc_id, r.text) for r in source.collect()])
+        assert sorted(map(tuple, shingles.similar_documents(source).collect()), key=str) == sorted(want, key=str)
+    assert len(unequal) > 8
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, plenty, "").collect()}
+    assert not any({*pair} <= kept for pair in unequal)
+    assert shingles.similar_documents(none).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.range(1).selectExpr("id + 1000", "id + 1001"))
     got = {r.node: r.root for r in connected_components(edges).collect()}
