@@ -369,6 +369,18 @@ def test_backoff_scores(spark, docs, none, bucket_words, most_words):
     assert lm.backoff_scores(none).count() == 0
 
 
+def test_backoff_counts_every_pair(spark, sf_dir):
+    from collections import Counter
+    from math import log
+
+    texts = {r.doc_id: ["<s>", *plain_words(r.text)] for r in table(spark, sf_dir, "documents").collect()}
+    one = Counter(w for x in texts.values() for w in x)
+    two = Counter(p for x in texts.values() for p in zip(x, x[1:], strict=False))
+    for r in catalog.op8_lm(spark, sf_dir).collect():
+        x = texts[r.doc_id]
+        assert r.log_score == pytest.approx(sum(log(two[p] / one[p[0]]) for p in zip(x, x[1:], strict=False)), abs=1e-6)
+
+
 CONTROL_TEXTS = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\nhi", "<\\|im_end|> \\ <<SYS>>", "", None, "plain", "a" * 3000]
 
 

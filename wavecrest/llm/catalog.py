@@ -49,7 +49,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.backoff_scores(table(spark, sf_dir, "documents"))
+    return lm.backoff_scores(table(spark, sf_dir, "documents"), least=1)
 
 
 #: A conversation whose texts are control strings of a common template.
