@@ -263,3 +263,16 @@ def test_entry_point(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_nearest_in_many_blocks(spark):
+    from wavecrest.operators import learn
+
+    rng = np.random.default_rng(5)
+    x, label = rng.integers(0, 4, (300, 3)).astype(float), rng.integers(0, 3, 300)
+    rows = spark.createDataFrame([(i, int(label[i]), x[i].tolist()) for i in range(300)], "sample_id long, label int, features array<double>")
+    got = dict(map(tuple, learn.nearest(rows.where("sample_id >= 60"), rows.where("sample_id < 60"), block_rows=16).collect()))
+    for i in range(60):
+        d = ((x[60:] - x[i]) ** 2).sum(axis=1)
+        near = np.lexsort((np.arange(60, 300), d))[:5] + 60
+        assert got[i] == np.bincount(label[near]).argmax(), i

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest
@@ -46,30 +44,39 @@ def standardise(samples: DataFrame) -> DataFrame:
     return joined.withColumn("features", F.zip_with("features", "_scale", lambda v, c: (v - c["m"]) / c["s"])).drop("_scale")
 
 
-def nearest(train: DataFrame, queries: DataFrame, k: int = 5, most_queries: int = 100_000) -> DataFrame:
+def nearest(train: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 4_096) -> DataFrame:
     """(sample_id, predicted): the commonest label of the k nearest train rows, ties by smallest label.
 
-    Queries are a stated set: they go to every task in one block, bounded by ``most_queries``; each task
-    keeps k candidates a query, so train rows are never paired up by a shuffle.
+    Queries and train rows are dealt by hash of their id into blocks of about ``block_rows`` and twice as many, and
+    each pair of blocks meets in one group, which keeps k candidates a query. A query is sent once for each block
+    of train rows, and the other way round.
     """
-    block = [(r[0], r[1]) for r in queries.select("sample_id", "features").limit(most_queries + 1).collect()]
-    if len(block) > most_queries:
-        raise ValueError("more queries than a block holds; ask in several calls")
-    shared = train.sparkSession.sparkContext.broadcast(block)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = [b[0] for b in shared.value], np.array([b[1] for b in shared.value], float)
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x = np.array(pdf["features"].tolist(), float)
-            for i, row in zip(ids, q, strict=True):
-                d = ((x - row) ** 2).sum(axis=1)
-                near = np.lexsort((pdf["sample_id"], d))[:k]
-                yield pd.DataFrame({"sample_id": i, "d": d[near], "near": pdf["sample_id"].to_numpy()[near], "label": pdf["label"].to_numpy()[near]})
+    blocks, parts = (max(1, -(-df.count() // n)) for df, n in ((queries, block_rows), (train, 2 * block_rows)))
+
+    def place(n: int):
+        return F.pmod(F.xxhash64("sample_id"), F.lit(n)).cast("int")
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    asked = queries.select("sample_id", "features", place(blocks).alias("_block"), every(parts).alias("_part"))
+    # own names, as both sides may come from one table
+    known = train.select(F.col("sample_id").alias("near"), F.col("label").alias("label"), F.col("features").alias("x"), every(blocks).alias("_block"), place(parts).alias("_part"))
+
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(t):
+            return pd.DataFrame({"sample_id": [], "d": [], "near": [], "label": []})
+        x, ids, labels = np.array(t["x"].tolist(), float), t["near"].to_numpy(), t["label"].to_numpy()
+        out = []
+        for i, row in zip(q["sample_id"], q["features"], strict=True):
+            d = ((x - np.asarray(row, float)) ** 2).sum(axis=1)
+            near = np.lexsort((ids, d))[:k]
+            out.append(pd.DataFrame({"sample_id": i, "d": d[near], "near": ids[near], "label": labels[near]}))
+        return pd.concat(out)
 
     kind = dict(train.dtypes)
-    found = train.select("sample_id", "label", "features").mapInPandas(run, f"sample_id {kind['sample_id']}, d double, near {kind['sample_id']}, label {kind['label']}")
+    pairs = asked.groupBy("_block", "_part").cogroup(known.groupBy("_block", "_part"))
+    found = pairs.applyInPandas(run, f"sample_id {kind['sample_id']}, d double, near {kind['sample_id']}, label {kind['label']}")
     first = found.withColumn("_r", F.row_number().over(Window.partitionBy("sample_id").orderBy("d", "near"))).where(F.col("_r") <= k)
     votes = first.groupBy("sample_id", "label").count()
     return votes.groupBy("sample_id").agg(F.min(F.struct((-F.col("count")).alias("n"), "label"))["label"].alias("predicted"))
