@@ -349,36 +349,42 @@ def test_components_of_a_long_path(spark):
     assert len({got[i] for i in range(301)}) == 1 and got[1000] == got[1001] != got[0]
 
 
-@pytest.mark.parametrize("bucket_words,most_words", [(1 << 19, 1 << 20), (50, 40)])
-def test_backoff_scores(spark, docs, none, bucket_words, most_words):
+def plain_backoff(rows, order, least, alpha=0.4):
     from collections import Counter
     from math import log
 
-    rows = [(r.doc_id, plain_words(r.text)) for r in docs.collect()]
-    single = Counter(w for _, x in rows for w in x)
-    total = sum(single.values())
-    texts = [(d, ["<s>", *x]) for d, x in rows]
-    one = Counter(w for _, x in texts for w in x)
-    two = Counter(p for _, x in texts for p in zip(x, x[1:], strict=False))
-    want = []
+    texts = [(d, ("<s>", *plain_words(t))) for d, t in rows]
+    total = sum(len(x) - 1 for _, x in texts)
+    seen = Counter(x[i : i + m] for _, x in texts for m in range(1, order + 1) for i in range(len(x) - m + 1))
+    out = []
     for d, x in texts:
-        s = sum(log(two[p] / one[p[0]]) if two[p] >= 2 else log(0.4 * one[p[1]] / total) for p in zip(x, x[1:], strict=False))
-        want.append((d, len(x) - 1, round(s, 6), round(s / (len(x) - 1), 8) if len(x) > 1 else None))
-    got = [(r.doc_id, r.n_words, round(r.log_score, 6), None if r.mean_log_score is None else round(r.mean_log_score, 8)) for r in lm.backoff_scores(docs, bucket_words=bucket_words, most_words=most_words).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
-    assert lm.backoff_scores(none).count() == 0
+        score = 0.0
+        for i in range(1, len(x)):
+            most = min(order, i + 1)
+            m = next(m for m in range(most, 0, -1) if m == 1 or seen[x[i - m + 1 : i + 1]] >= least)
+            gram = x[i - m + 1 : i + 1]
+            score += (most - m) * log(alpha) + log(seen[gram] / (seen[gram[:-1]] if m > 1 else total))
+        out.append((d, len(x) - 1, round(score, 6), round(score / (len(x) - 1), 8) if len(x) > 1 else None))
+    return out
 
 
-def test_backoff_counts_every_pair(spark, sf_dir):
-    from collections import Counter
-    from math import log
+@pytest.mark.parametrize("order,least,block_bytes", [(2, 1, 1 << 24), (2, 2, 30_000), (1, 1, 1), (3, 2, 1), (4, 1, 1 << 24)])
+def test_backoff_scores(spark, docs, none, order, least, block_bytes):
+    want = plain_backoff([(r.doc_id, r.text) for r in docs.collect()], order, least)
+    found = lm.backoff_scores(docs, order=order, least=least, block_bytes=block_bytes)
+    got = [(r.doc_id, r.n_words, round(r.log_score, 6), None if r.mean_log_score is None else round(r.mean_log_score, 8)) for r in found.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert lm.backoff_scores(none, order=order).count() == 0
+
 
-    texts = {r.doc_id: ["<s>", *plain_words(r.text)] for r in table(spark, sf_dir, "documents").collect()}
-    one = Counter(w for x in texts.values() for w in x)
-    two = Counter(p for x in texts.values() for p in zip(x, x[1:], strict=False))
-    for r in catalog.op8_lm(spark, sf_dir).collect():
-        x = texts[r.doc_id]
-        assert r.log_score == pytest.approx(sum(log(two[p] / one[p[0]]) for p in zip(x, x[1:], strict=False)), abs=1e-6)
+def test_backoff_scores_of_shuffled_rows(spark, sf_dir):
+    source = table(spark, sf_dir, "documents")
+    want = {r[0]: r[1:] for r in plain_backoff([(r.doc_id, r.text) for r in source.collect()], 2, 1)}
+    for rows in (source, source.repartition(7, F.rand(3))):
+        got = lm.backoff_scores(rows, block_bytes=50_000).collect()
+        assert len(got) == len(want)
+        for r in got:
+            assert (r.n_words, r.log_score) == (want[r.doc_id][0], pytest.approx(want[r.doc_id][1], abs=1e-5))
 
 
 CONTROL_TEXTS = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\nhi", "<\\|im_end|> \\ <<SYS>>", "", None, "plain", "a" * 3000]
@@ -531,4 +537,8 @@ def test_sql_agrees(spark, sf_dir):
         got = catalog.QUERIES[name](spark, sf_dir).toPandas()[list(want.columns)]
         key = list(want.columns)
         a, b = (x.astype(object).where(x.notna(), None).sort_values(key[0]).reset_index(drop=True) for x in (got, want))
-        assert json.loads(a.to_json()) == json.loads(b.to_json()), name
+        for c in key:
+            if got[c].dtype == float:
+                assert np.allclose(a[c].astype(float), b[c].astype(float), rtol=1e-9, atol=1e-9, equal_nan=True), (name, c)
+            else:
+                assert json.loads(a[c].to_json()) == json.loads(b[c].to_json()), (name, c)

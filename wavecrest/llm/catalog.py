@@ -49,7 +49,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.backoff_scores(table(spark, sf_dir, "documents"), least=1)
+    return lm.backoff_scores(table(spark, sf_dir, "documents"))
 
 
 #: A conversation whose texts are control strings of a common template.
@@ -92,4 +92,12 @@ SELECT page_id, payload_bytes, p.payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id < keep THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id < keep THEN keep END AS refers_to
 FROM p LEFT JOIN k ON p.payload_digest = k.payload_digest""",
+    "op8_lm": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, CASE WHEN i > 1 THEN w[i - 1] ELSE '' END AS v, w[i] AS w FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+two AS (SELECT v, w, count(*) AS n FROM p GROUP BY v, w),
+one AS (SELECT w AS v, count(*) AS n FROM p GROUP BY w UNION ALL SELECT '', count(*) FROM d),
+s AS (SELECT doc_id, sum(ln(two.n) - ln(one.n)) AS s FROM p JOIN two ON p.v = two.v AND p.w = two.w JOIN one ON p.v = one.v GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(s, 0.0) AS log_score, s / len(d.w) AS mean_log_score
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id""",
 }

@@ -9,6 +9,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,20 +113,6 @@ def words(text: Text, of: np.ndarray = WORD) -> Words:
     return Words(starts, ends, np.searchsorted(starts, text.offsets))
 
 
-_R = 0x9E3779B97F4A7C15
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** i modulo 2 ** 64 for i < n at least."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
-        have = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, base, np.uint64))), dtype=np.uint64)
-        _POWERS[base] = have
-    return have
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads 64-bit numbers; one to one."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -133,19 +120,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: The first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer ranges go to XXH64, one at a time.
+_LONG = 64
+
+
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, equal wherever the bytes are, from one running sum over ``data``."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    inverse = pow(_R, -1, 1 << 64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    terms = data.astype(np.uint64)
-    terms += np.uint64(1)
-    terms *= _powers(_R, len(data))[: len(data)]
-    np.cumsum(terms, out=total[1:])
-    del terms
-    own = (total[ends] - total[starts]) * _powers(inverse, len(data) + 1)[starts]
-    return mix(own ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+    """64-bit hashes of byte ranges, equal wherever the bytes are: eight bytes at a time, each mixed with all before."""
+    lens = ends - starts
+    out = mix(lens.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    some = np.flatnonzero(lens <= _LONG)
+    at, left = starts[some], lens[some]
+    while len(some):
+        out[some] = mix(out[some] + (eights[at] & _FIRST[np.minimum(left, 8)]))
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(lens > _LONG).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), 1)
+    return out
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
