@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_NAMES = ["doc_id", "piece", "piece_start", "piece_tokens", "shard", "bin", "bin_start"]
+_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+#: Equal rows are numbered in lists of so many.
+_EQUALS = 1024
+
 
 def pack(lengths: list[int], sources: list[int], clusters: list[int], capacity: int, per_source: int = 2) -> list[tuple[int, int]]:
     """(bin, offset) of each piece, given longest first.
@@ -46,39 +52,40 @@ def pack_documents(docs: DataFrame, length, source, cluster, id_col: str = "doc_
 
     ``length``, ``source`` and ``cluster`` are columns or expressions. A document longer than
     ``capacity`` is cut there: its whole pieces each fill a bin and its rest is packed. Rows are dealt by
-    a hash of their values into shards of about ``shard_rows`` rows, and each
+    a hash of their values, and of a number among their equals, into shards of about ``shard_rows`` rows, and each
     shard is packed by itself, longest piece first, ties by id; a hot source or cluster is thus spread
-    over all shards. Bitmaps hold one bit for each source and cluster of the shard. A row of null or
+    over all shards, and so are equal rows. Bitmaps hold one bit for each source and cluster of the shard. A row of null or
     no length has one piece of 0 tokens; a null source is a source of its own, and rows of null
     cluster conflict with none. Repeated rows are packed as they are. An empty table gives no rows.
     """
+    values = ["doc_id", "tokens", "source", "cluster"]
     small = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).alias("tokens"), source.cast("string").alias("source"), cluster.cast("string").alias("cluster"))
     shards = max(1, -(-docs.count() // shard_rows))
-    dealt = small.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tokens", "source", "cluster"), F.lit(shards)).cast("int"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "cluster", "source", "tokens"], kind="stable").reset_index(drop=True)
-        sources = pd.factorize(pdf["source"], use_na_sentinel=False)[0]
-        clusters, known = pd.factorize(pdf["cluster"])
-        clusters = [c if c >= 0 else len(known) + i for i, c in enumerate(clusters.tolist())]
-        whole, rest = pdf["tokens"] // capacity, pdf["tokens"] % capacity
-        left = [i for i in sorted(range(len(pdf)), key=lambda i: -rest[i]) if rest[i] or not whole[i]]
-        placed = pack([int(rest[i]) for i in left], [int(sources[i]) for i in left], [clusters[i] for i in left], capacity, per_source)
-        rows = [(i, int(whole[i]), int(rest[i]), b, at) for i, (b, at) in zip(left, placed, strict=True)]
-        b = 1 + max((r[3] for r in rows), default=-1)
-        for i in range(len(pdf)):
-            for piece in range(int(whole[i])):
-                rows.append((i, piece, capacity, b, 0))
-                b += 1
-        out = pd.DataFrame(rows, columns=["i", "piece", "piece_tokens", "bin", "bin_start"])
-        out["doc_id"] = pdf["doc_id"].astype("Int64").take(out["i"]).to_numpy()
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        out["piece_start"] = out["piece"] * capacity
-        out["shard"] = key[0]
-        return out[["doc_id", "piece", "piece_start", "piece_tokens", "shard", "bin", "bin_start"]]
-
-    schema = "doc_id long, piece int, piece_start long, piece_tokens int, shard int, bin int, bin_start int"
-    return dealt.groupBy("shard").applyInPandas(run, schema)
+    counted = small.groupBy(*values).agg(F.count("*").alias("n"))
+    pages = counted.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(_EQUALS))).alias("first"))
+    rows = pages.select(*values, F.explode(F.sequence("first", F.least(F.col("first") + _EQUALS, "n") - 1)).alias("equal"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(*values, "equal"), F.lit(shards)).cast("int"))
+
+    def run(key: tuple, shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by([(c, "ascending") for c in ("doc_id", "cluster", "source", "tokens")]).combine_chunks()
+        tokens = shard.column("tokens").to_numpy()
+        sources = pc.fill_null(shard.column("source").combine_chunks().dictionary_encode(null_encoding="encode").indices, 0).to_numpy()
+        coded = shard.column("cluster").combine_chunks().dictionary_encode()
+        clusters = coded.indices.fill_null(0).to_numpy().astype(np.int64)
+        none = coded.indices.is_null().to_numpy(zero_copy_only=False)
+        clusters[none] = len(coded.dictionary) + np.flatnonzero(none)
+        whole, rest = tokens // capacity, tokens % capacity
+        left = np.argsort(-rest, kind="stable")
+        left = left[(rest[left] > 0) | (whole[left] == 0)]
+        placed = np.array(pack(rest[left].tolist(), sources[left].tolist(), clusters[left].tolist(), capacity, per_source), np.int64).reshape(-1, 2)
+        full = np.repeat(np.arange(len(tokens)), whole)
+        of = np.concatenate((left, full))
+        piece = np.concatenate((whole[left], np.arange(len(full)) - np.repeat(np.cumsum(whole) - whole, whole)))
+        bins = np.concatenate((placed[:, 0], np.arange(len(full)) + placed[:, 0].max(initial=-1) + 1))
+        columns = [shard.column("doc_id").take(pa.array(of)), piece, piece * capacity, np.concatenate((rest[left], np.full(len(full), capacity))), np.full(len(of), key[0].as_py()), bins, np.concatenate((placed[:, 1], np.zeros(len(full), np.int64)))]
+        return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, k) for x, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
+
+    return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece int, piece_start long, piece_tokens int, shard int, bin int, bin_start int")
 
 
 def text_tokens(text_col: str = "text"):
