@@ -19,8 +19,6 @@ from wavecrest.llm.common import scratch, stored
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A time that never changes, so that equal input gives equal archives.
 DATE = "2000-01-01T00:00:00Z"
-#: The digests of repeated payloads are sent to every task up to so many; beyond, they are joined.
-BROADCAST_DIGESTS = 200_000
 
 
 def _sha1(data: bytes) -> str:
@@ -73,63 +71,113 @@ def parse(data: bytes) -> dict:
     }
 
 
-def with_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """(page_id, url, html, refers_to): the largest page_id of the pages with an equal payload of ``least_bytes`` at least, where it isn't the page itself.
+def _prefix(step: int):
+    """An id's leading bits, all but ``step`` of them, in the order of ids."""
+    return F.shiftrightunsigned(F.col("page_id").bitwiseXOR(F.lit(-(1 << 63))), step)
 
-    Payloads are counted by digest, so no page's html moves for it. Of rows that repeat the largest
-    id all are responses; rows with a null id refer to the others' largest id, if there is one.
+
+def with_parts(pages: DataFrame, part_rows: int, row_hash) -> DataFrame:
+    """``pages`` with ``part``, numbers in the order of page_id (nulls first) of about ``part_rows`` rows each; they depend on the ids alone.
+
+    Ids are counted by their leading bits, in some 16 ranges for each part, and ranges of more than ``part_rows`` rows again
+    by further bits; neighbouring ranges share a part. Only these counts come to the driver. An id, or null, of more than ``part_rows`` rows has several
+    parts, in the order of ``row_hash``.
     """
-    digest = F.sha1(F.col("html").cast("binary"))
-    large = pages.where(F.octet_length("html") >= least_bytes)
-    repeated = large.groupBy(digest.alias("digest")).agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("digest", "keep")
-    repeated = stored(repeated, "repeated")
-    few = repeated.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
-    key = F.when(F.octet_length("html") >= least_bytes, digest)
-    joined = pages.withColumn("digest", key).join(F.broadcast(repeated) if few else repeated, "digest", "left")
-    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("keep")), F.col("keep"))
-    return joined.select("page_id", "url", "html", refers.alias("refers_to"))
-
-
-def write_warc(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20) -> DataFrame:
+    low, high, rows, nulls = pages.agg(F.min("page_id"), F.max("page_id"), F.count("page_id"), F.count_if(F.col("page_id").isNull())).first()
+    ranges: list[tuple[int, int, int]] = []
+    if rows:
+        bits = (low ^ high if low >= 0 or high < 0 else -1) & (1 << 64) - 1
+        above = bits.bit_length()
+        step, chosen = max(0, above - (16 * rows // part_rows + 1).bit_length()), pages.where(F.col("page_id").isNotNull())
+        while True:
+            counts = [(r[0] & (1 << 64) - 1, r[1]) for r in chosen.groupBy(_prefix(step)).count().collect()]
+            ranges += [(k << step, step, n) for k, n in counts if n <= part_rows or not step]
+            large = [k - (k >> 63 << 64) for k, n in counts if n > part_rows and step]
+            if not large:
+                break
+            chosen, step = pages.where(_prefix(step).isin(large)), max(0, step - 12)
+    part = max(1, -(-nulls // part_rows))
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    filled = 0
+    for first, step, n in sorted(ranges):
+        if filled and filled + n > part_rows:
+            part, filled = part + 1, 0
+        key = first >> step
+        found.setdefault(step, []).append((key - (key >> 63 << 64), part, max(1, -(-n // part_rows))))
+        part, filled = (part + -(-n // part_rows), 0) if n > part_rows else (part, filled + n)
+    out = pages.withColumn("_part", F.when(F.col("page_id").isNull(), F.struct(F.lit(0).alias("part"), F.lit(max(1, -(-nulls // part_rows))).alias("pieces"))))
+    for step, own in found.items():
+        table = pages.sparkSession.createDataFrame(own, "_key long, _first int, _pieces int")
+        out = out.withColumn("_prefix", _prefix(step)).join(F.broadcast(table), F.col("_prefix") == F.col("_key"), "left")
+        out = out.withColumn("_part", F.coalesce("_part", F.when(F.col("_first").isNotNull(), F.struct(F.col("_first").alias("part"), F.col("_pieces").alias("pieces"))))).drop("_prefix", "_key", "_first", "_pieces")
+    piece = F.shiftright((F.shiftright(row_hash, 33) + (1 << 30)) * F.col("_part.pieces"), 31).cast("int")
+    return out.withColumn("part", F.col("_part.part") + piece).drop("_part")
+
+
+def write_warc(pages: DataFrame, folder: str, least_bytes: int = 1000, roll_bytes: int = 64 << 20, part_rows: int = 4096) -> DataFrame:
     """Writes gzipped records in order of page_id and gives the manifest (file, records, bytes, sha1).
 
-    ``pages`` has page_id, url, html, refers_to. Rows are range-sorted, each part is written to files of
+    ``pages`` has page_id, url, html. Of the pages with an equal payload of ``least_bytes`` at least, those of the largest page_id are
+    responses and the others revisit it; rows with a null id refer to the others' largest id, if there is one. Payloads are
+    counted by digest, first by part, and a part's task gets the digests that repeat ahead of its rows, so html moves once.
+
+    Rows are range-sorted into parts that depend on ids alone, each part is written to files of
     about ``roll_bytes`` compressed bytes, and a file gets its name only when whole: a repeated task
-    writes the same bytes again. The manifest, itself committed as a table, lists the files that count.
+    writes the same bytes again, and so does another run, however the input is dealt. The manifest, itself committed as a table, lists the files that count.
     """
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row_hash = F.xxhash64("url", "html")
+    placed = with_parts(pages.select("page_id", "url", "html"), part_rows, row_hash)
+    digests = placed.where(F.octet_length("html") >= least_bytes).groupBy("part", F.sha1(F.col("html").cast("binary")).alias("digest")).agg(F.max("page_id").alias("keep"), F.count("*").alias("n"))
+    digests = stored(digests, "digests")
+    repeated = digests.groupBy("digest").agg(F.max("keep").alias("keep"), F.sum("n").alias("n")).where("n > 1 and keep is not null").select("digest", "keep")
+    ahead = digests.select("part", "digest").join(repeated, "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = fs.FileSystem.from_uri(folder)
         files.create_dir(path, recursive=True)
-        context, rows, out, size, n, whole = TaskContext.get(), [], None, 0, 0, hashlib.sha1()
-        temp = f"{path}/_part.{context.taskAttemptId()}"
+        temp = f"{path}/_part.{TaskContext.get().taskAttemptId()}"
+        rows, out, size, n, whole, at, seq, known = [], None, 0, 0, hashlib.sha1(), None, 0, {}
 
         def close() -> None:
             out.close()
-            name = f"pages-{context.partitionId():06d}-{len(rows):04d}.warc.gz"
+            name = f"pages-{at:06d}-{seq:04d}.warc.gz"
             files.move(temp, f"{path}/{name}")
             rows.append({"file": name, "records": n, "bytes": size, "sha1": whole.hexdigest()})
 
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(batch.column(k) for k in range(4)), strict=True):
+            for part, digest, keep, page_id, url, html in zip(*(batch.column(k) for k in range(6)), strict=True):
+                part, digest, page_id = part.as_py(), digest.as_py(), page_id.as_py()
+                if part != at:
+                    if out is not None:
+                        close()
+                    out, at, seq, known = None, part, 0, {}
+                if digest is not None:
+                    known[digest] = keep.as_py()
+                    continue
+                payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
+                refers_to = known.get(hashlib.sha1(payload).hexdigest()) if len(payload) >= least_bytes else None
+                if refers_to is not None and page_id is not None and page_id >= refers_to:
+                    refers_to = None
                 if out is None:
                     out, size, n, whole = files.open_output_stream(temp), 0, 0, hashlib.sha1()
                 squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
-                data = squeeze.compress(record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8", "surrogatepass"), refers_to.as_py())) + squeeze.flush()
+                data = squeeze.compress(record(page_id, url.as_py(), payload, refers_to)) + squeeze.flush()
                 out.write(data)
                 whole.update(data)
                 size, n = size + len(data), n + 1
                 if size >= roll_bytes:
                     close()
-                    out = None
+                    out, seq = None, seq + 1
         if out is not None:
             close()
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())]))
 
-    by = [F.col("page_id").asc_nulls_first(), F.xxhash64("url", "html")]
-    placed = pages.select("page_id", "url", "html", "refers_to").repartitionByRange(parts, *by).sortWithinPartitions(*by, "url", "html")
-    placed.mapInArrow(run, "file string, records long, bytes long, sha1 string").write.parquet(f"{folder}/manifest")
+    none = F.lit(None)
+    rows = placed.select("part", none.cast("string").alias("digest"), none.cast("long").alias("keep"), "page_id", "url", "html", row_hash.alias("h"))
+    rows = rows.unionByName(ahead, allowMissingColumns=True).repartition(n_tasks, "part")
+    rows = rows.sortWithinPartitions("part", F.col("digest").desc_nulls_last(), F.col("page_id").asc_nulls_first(), "h", "url", "html").drop("h")
+    rows.mapInArrow(run, "file string, records long, bytes long, sha1 string").write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.parquet(f"{folder}/manifest")
 
 
@@ -172,4 +220,4 @@ def warc_round_trip(pages: DataFrame, folder: str | None = None, least_bytes: in
     """
     folder = folder or scratch(pages.sparkSession, "warc")
     chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return read_warc(write_warc(with_revisits(chosen, least_bytes), folder), folder)
+    return read_warc(write_warc(chosen, folder, least_bytes), folder)
