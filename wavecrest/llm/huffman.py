@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Longest code in bits; up to 2 ** LIMIT different ids.
+#: Longest code in bits, unless more than 2 ** LIMIT different ids need more.
 LIMIT = 16
 #: Ids in a block; each block's first bit is kept, so blocks decode independently.
 BLOCK = 256
 
 
-def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Code length of each id (0 where its count is 0) by package-merge, which is optimal under ``limit``."""
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Code length of each id (0 where its count is 0) by package-merge, which is optimal under the limit.
+
+    The limit is LIMIT, or the least that has a code for each id.
+    """
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.uint8)
     n = len(used)
-    if n > 1 << limit:
-        raise ValueError(f"{n} different ids need codes of more than {limit} bits")
+    limit = max(LIMIT, (n - 1).bit_length())
     if n < 2:
         lengths[used] = 1
         return lengths
@@ -39,14 +41,19 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     return lengths
 
 
+def _longest(lengths: np.ndarray) -> int:
+    return max(LIMIT, int(lengths.max(initial=0)))
+
+
 def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     """Codes in order of (length, id)."""
+    longest = _longest(lengths)
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
-    span = np.uint64(1) << (LIMIT - lengths[order]).astype(np.uint64)
+    span = np.uint64(1) << (longest - lengths[order]).astype(np.uint64)
     first = np.cumsum(span) - span
     codes = np.zeros(len(lengths), np.uint64)
-    codes[order] = first >> (LIMIT - lengths[order]).astype(np.uint64)
+    codes[order] = first >> (longest - lengths[order]).astype(np.uint64)
     return codes
 
 
@@ -68,14 +75,15 @@ def encode(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[byt
 
 
 class Decoder:
-    """Decodes by a table from the next LIMIT bits to an id and its length; all blocks move side by side."""
+    """Decodes by a table from the next bits, as many as the longest code has, to an id and its length; all blocks move side by side."""
 
     def __init__(self, lengths: np.ndarray):
         order = np.lexsort((np.arange(len(lengths)), lengths))
         order = order[lengths[order] > 0]
-        span = 1 << (LIMIT - lengths[order].astype(np.int64))
-        self.ids = np.zeros(1 << LIMIT, np.uint32)
-        self.lengths = np.ones(1 << LIMIT, np.int64)
+        self.longest = _longest(lengths)
+        span = 1 << (self.longest - lengths[order].astype(np.int64))
+        self.ids = np.zeros(1 << self.longest, np.uint32)
+        self.lengths = np.ones(1 << self.longest, np.int64)
         filled = int(span.sum())
         self.ids[:filled] = np.repeat(order, span)
         self.lengths[:filled] = np.repeat(lengths[order], span)
@@ -87,7 +95,7 @@ class Decoder:
         words = np.ndarray((len(data) - 3,), ">u4", data, strides=(1,))
         pos, last = checkpoints.astype(np.int64), len(words) - 1
         for k in range(BLOCK):
-            value = words[np.minimum(pos >> 3, last)].astype(np.uint32) >> (32 - LIMIT - (pos & 7)).astype(np.uint32) & np.uint32((1 << LIMIT) - 1)
+            value = words[np.minimum(pos >> 3, last)].astype(np.uint32) >> (32 - self.longest - (pos & 7)).astype(np.uint32) & np.uint32((1 << self.longest) - 1)
             out[k] = self.ids[value]
             pos += self.lengths[value]
         return out.T.reshape(-1)[:n]

@@ -20,6 +20,15 @@ from wavecrest.llm.common import LOWER, Text, ragged, range_hashes, scratch, sto
 from wavecrest.llm.huffman import BLOCK, Decoder, canonical_codes, code_lengths, encode
 
 MAGIC = b"TOKHUF01"
+#: What a vocabulary's file must do to texts for them to be cut into pieces here.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Kinds of bytes: ASCII white space 0, letters 1, digits 2, other ASCII 3, all others 4.
 _KIND = np.full(256, 3, np.uint8)
 _KIND[[9, 10, 13, 32]] = 0
@@ -40,16 +49,20 @@ def _plain_letters(data: np.ndarray) -> np.ndarray:
 class WordTokenizer:
     """The tokenizers library's ids of whole texts, with each different word encoded once.
 
-    For vocabularies whose pre-tokenizer never joins text across white space. Texts are cut at ASCII
-    white space and where letters, digits and other ASCII characters meet, but for a letter after an
-    apostrophe; such vocabularies cut there too, so a text's ids are its pieces' ids. Pieces of letters go to the library's own model and byte mapping
+    Texts are cut at ASCII white space and where letters, digits and other ASCII characters meet, but for a letter after an
+    apostrophe, if the vocabulary's file drops white space, lowers case and cuts there too, so that a text's ids are its pieces' ids;
+    texts of any other vocabulary are encoded whole. Pieces of letters go to the library's own model and byte mapping
     without the rest of its pipeline, which leaves them as they are; all others through the whole
     pipeline. Texts with characters from U+0300 on, which may combine with their neighbours, or with
-    the opening of a special token, are encoded whole. Known pieces are kept by their 64-bit hash.
+    the opening of a special token, are encoded whole. Known pieces are kept by their 64-bit hash; up to eight bytes a hash
+    stands for one piece of each length, and longer pieces are compared with the one that taught the ids. A text with a piece
+    of another length or other bytes is encoded whole.
     """
 
     def __init__(self, path: str, most_words: int = 500_000):
         self.whole = Tokenizer.from_file(path)
+        spec = json.loads(self.whole.to_str())
+        self.cuts = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER and not spec["model"].get("dropout") and all(x["content"].startswith("<|") for x in spec["added_tokens"])
         self.letters = Tokenizer(self.whole.model)
         self.letters.normalizer = normalizers.Lowercase()
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -57,7 +70,9 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.at, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.hashes, self.ids, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        # of each known piece: where its ids begin, how many they are, where its bytes begin, how many they are
+        self.at, self.sizes, self.bytes_at, self.lens = (np.zeros(0, np.int64) for _ in range(4))
 
     def _encode_letters(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 400) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per piece) of pieces of letters, sent to the library in lines of ``step`` pieces."""
@@ -84,18 +99,43 @@ class WordTokenizer:
         sizes = np.concatenate((sizes, np.fromiter(map(len, more), np.int64, len(more))))
         at = len(self.ids) + np.cumsum(sizes) - sizes
         self.ids = np.concatenate((self.ids, ids, *more))
+        starts, ends = (np.concatenate((x[plain], x[~plain])) for x in (starts, ends))
+        lens = ends - starts
+        bytes_at = len(self.pool) + np.cumsum(lens) - lens
+        self.pool = np.concatenate((self.pool, data[ragged(starts, lens)]))
         known = np.concatenate((self.hashes, hashes[plain], hashes[~plain]))
         order = np.argsort(known)
-        self.hashes, self.at, self.sizes = known[order], np.concatenate((self.at, at))[order], np.concatenate((self.sizes, sizes))[order]
+        self.hashes = known[order]
+        self.at, self.sizes, self.bytes_at, self.lens = (np.concatenate(x)[order] for x in ((self.at, at), (self.sizes, sizes), (self.bytes_at, bytes_at), (self.lens, lens)))
+
+    def _strangers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Which pieces aren't the ones that taught the ids of their hashes."""
+        lens = ends - starts
+        out = self.lens[known] != lens
+        long = np.flatnonzero(~out & (lens > 8))
+        if len(long):
+            same = data[ragged(starts[long], lens[long])] == self.pool[ragged(self.bytes_at[known[long]], lens[long])]
+            out[long] = ~np.logical_and.reduceat(same, np.cumsum(lens[long]) - lens[long])
+        return np.flatnonzero(out)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, one after another; and where each text's begin and end."""
         text = utf8(texts, lower=False)
-        n = len(texts)
         odd = text.data >= 0xCC
         odd[:-1] |= (text.data[:-1] == 60) & (text.data[1:] == 124)  # "<|"
-        plain = np.ones(n, bool)
+        plain = np.full(len(texts), self.cuts)
         plain[np.searchsorted(text.offsets, np.flatnonzero(odd), "right") - 1] = False
+        if len(self.hashes) > self.most_words:
+            self._forget()
+        found = self._encode(texts, text, plain, end_id)
+        while isinstance(found, np.ndarray):
+            plain[found] = False
+            found = self._encode(texts, text, plain, end_id)
+        return found
+
+    def _encode(self, texts: pa.Array, text: Text, plain: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray] | np.ndarray:
+        """Ids and where each text's begin and end; or the texts marked ``plain`` that have to be encoded whole."""
+        n = len(texts)
         # texts that aren't plain lose their bytes here and get their ids below
         sizes = np.where(plain, np.diff(text.offsets), 0)
         data = text.data if plain.all() else text.data[np.repeat(plain, np.diff(text.offsets))]
@@ -104,12 +144,13 @@ class WordTokenizer:
         by, slot = np.unique(range_hashes(text.data, starts, ends), return_inverse=True)
         first = np.empty(len(by), np.int64)
         first[slot[::-1]] = np.arange(len(slot))[::-1]
-        if len(self.hashes) > self.most_words:
-            self._forget()
         new = ~np.isin(by, self.hashes, assume_unique=True)
         if new.any():
             self._learn(text.data, starts[first[new]], ends[first[new]], letters[first[new]], by[new])
         known = np.searchsorted(self.hashes, by)[slot]
+        strange = self._strangers(text.data, starts, ends, known)
+        if len(strange):
+            return np.unique(np.searchsorted(text.offsets, starts[strange], "right") - 1)
         per_piece = self.sizes[known]
         piece_ends = np.concatenate(([0], np.cumsum(per_piece)))
         counts = np.diff(piece_ends[np.searchsorted(starts, text.offsets)])
@@ -143,30 +184,40 @@ class WordTokenizer:
         return starts, np.flatnonzero(tail & solid) + 1, letters
 
 
+def id_space(path: str, end_id: int) -> int:
+    """One more than the largest id."""
+    return max(*Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), end_id) + 1
+
+
+def _kind(space: int) -> str:
+    return "<u2" if space <= 1 << 16 else "<u4"
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids) of every row; ids are little-endian 16-bit numbers, packed with zstd."""
+    """(doc_id, n_tokens, ids) of every row; ids are little-endian numbers of 16 bits, or 32 if the vocabulary needs them, packed with zstd."""
+    kind = _kind(id_space(path, end_id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, squeeze = WordTokenizer(path), zstandard.ZstdCompressor(1)
         for batch in text_slices(batches, "text", 1 << 19):
             ids, at = tokenizer.encode(batch.column(1), end_id)
-            raw = ids.astype("<u2").tobytes()
-            packed = [squeeze.compress(raw[2 * a : 2 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            ids = ids.astype(kind)
+            packed = [squeeze.compress(ids[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return chosen.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def id_counts(tokens: DataFrame, size: int = 1 << 16) -> np.ndarray:
-    """How often each id occurs; at most ``size`` sums come to the driver."""
+def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
+    """How often each id under ``size`` occurs; so many sums at most come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, open_ = np.zeros(size, np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 raw = b"".join(open_.decompress(x) for x in batch.column(0)[k : k + 500].to_pylist())
-                counts += np.bincount(np.frombuffer(raw, "<u2"), minlength=size)
+                counts += np.bincount(np.frombuffer(raw, _kind(size)), minlength=size)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used])], names=["id", "n"])
 
@@ -237,14 +288,14 @@ def read_file(uri: str) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else int(x) for z, x in zip(null, ids, strict=True)], per_doc, Decoder(lengths).decode(data[8 : 8 + tail["bits"]], checks, tail["ids"])
 
 
-def write_tokens(tokens: DataFrame, folder: str, file_ids: int = 4 << 20) -> DataFrame:
-    """Writes token files and gives their manifest (part, seq, file, n_docs, n_ids), itself a table in ``folder``.
+def write_tokens(tokens: DataFrame, folder: str, space: int, file_ids: int = 4 << 20) -> DataFrame:
+    """Writes token files of ids under ``space`` and gives their manifest (part, seq, file, n_docs, n_ids), itself a table in ``folder``.
 
     Rows are range-sorted by (doc_id, hash of ids), nulls first, into parts of about ``file_ids`` ids, and a
     part goes on to a new file past that size. The codes come from the counts of all ids. A file
     has its name only when whole, and a repeated task replaces it by the same bytes.
     """
-    counts = id_counts(tokens)
+    counts = id_counts(tokens, space)
     lengths = code_lengths(counts)
     shared = tokens.sparkSession.sparkContext.broadcast(lengths)
     parts = max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // file_ids + 1)
@@ -256,7 +307,7 @@ def write_tokens(tokens: DataFrame, folder: str, file_ids: int = 4 << 20) -> Dat
         size = 0
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append(np.frombuffer(open_.decompress(ids.as_py()), "<u2"))
+                held.append(np.frombuffer(open_.decompress(ids.as_py()), _kind(space)))
                 docs.append((doc, len(held[-1])))
                 size += len(held[-1])
                 if size >= 1 << 16:
@@ -305,4 +356,4 @@ def token_files(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_
     ids; a null id comes first. An empty table writes no file and gives no rows.
     """
     folder = folder or scratch(docs.sparkSession, "tokens")
-    return read_tokens(write_tokens(stored(tokenize(docs, path, end_id, id_col, text_col), "ids"), folder), folder)
+    return read_tokens(write_tokens(stored(tokenize(docs, path, end_id, id_col, text_col), "ids"), folder, id_space(path, end_id)), folder)
