@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from wavecrest.llm import catalog, chat, decontaminate, huffman, language, lm, media, packing, shingles, simhash, tokens, toxicity, warc
-from wavecrest.llm.common import range_hashes, table, utf8, words
+from wavecrest.llm.common import mix, range_hashes, table, utf8, words
 from wavecrest.llm.components import connected_components
 
 LONG = "The and of a thing. " * 4000
@@ -128,6 +128,19 @@ def test_packed_bins_hold_no_conflict(spark, docs, none, sf_dir):
     assert packing.pack_documents(none, packing.text_tokens(), F.col("source"), packing.text_cluster()).count() == 0
 
 
+def test_packing_keeps_large_ids_and_deals_equal_rows(spark):
+    rows = [((1 << 53) + 1, 7, "s", "a"), (None, 7, "s", "a"), (7, 900, None, None)] + [(3, 5, "s", "b")] * 3000
+    source = spark.createDataFrame(rows, "doc_id long, n long, s string, c string")
+    got = packing.pack_documents(source, F.col("n"), F.col("s"), F.col("c"), shard_rows=100).toArrow()
+    ids = got.column("doc_id").to_pylist()
+    assert sorted(ids, key=str) == sorted([r[0] for r in rows], key=str)
+    sizes = pd.Series(got.column("shard").to_numpy()).value_counts()
+    assert sizes.max() < 200
+    one = packing.pack_documents(source, F.col("n"), F.col("s"), F.col("c"), shard_rows=100)
+    two = packing.pack_documents(source.repartition(5, F.rand(1)), F.col("n"), F.col("s"), F.col("c"), shard_rows=100)
+    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, two.collect()), key=str)
+
+
 def test_media_round_trip(spark, docs, none):
     got = media.media_column(docs).toPandas()
     want = []
@@ -182,11 +195,29 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
 
 
-def test_warc_files_are_the_same_each_time_and_roll(spark, sf_dir, tmp_path):
-    pages = warc.with_revisits(table(spark, sf_dir, "pages"))
-    a, b = (sorted(warc.write_warc(pages, f"file://{tmp_path}/{k}", roll_bytes=20_000).collect()) for k in "ab")
-    assert a == b and len(a) > 4
+@pytest.mark.parametrize("sf,bounds", [("sf0.001", {"roll_bytes": 20_000, "part_rows": 40}), ("sf0.1", {"part_rows": 300}), ("sf0.1", {})])
+def test_warc_files_are_the_same_each_time_and_roll(spark, tmp_path, sf, bounds):
+    pages = table(spark, f"/root/testdata/{sf}", "pages")
+    dealt = {"a": pages, "b": pages, "c": pages.repartition(2, F.rand(1)), "d": pages.repartition(16, F.rand(2))}
+    found = {k: sorted(map(tuple, warc.write_warc(x, f"file://{tmp_path}/{k}", **bounds).collect())) for k, x in dealt.items()}
+    assert found["a"] == found["b"] == found["c"] == found["d"] and (not bounds or len(found["a"]) > 4)
+    for name, _, size, sha1 in found["d"]:
+        data = (tmp_path / "d" / name).read_bytes()
+        assert len(data) == size and hashlib.sha1(data).hexdigest() == sha1
     assert not list((tmp_path / "a").glob("_*"))
+    order = [r.page_id for name, *_ in found["a"] for r in warc.read_warc(spark.createDataFrame([(name,)], "file string"), f"file://{tmp_path}/a").collect()]
+    assert order == sorted(order) and len(order) == pages.count()
+
+
+def test_warc_parts_follow_ids(spark):
+    ids = [None] * 7 + [-(1 << 63), (1 << 63) - 1, 0, -1] + [5] * 9 + list(range(100, 140)) + [(1 << 40) + k for k in range(30)]
+    pages = spark.createDataFrame([(i, str(k), "x" * k) for k, i in enumerate(ids)], "page_id long, url string, html string")
+    rows = warc.with_parts(pages, 4, F.xxhash64("url", "html")).select("page_id", "part", F.xxhash64("url", "html").alias("h")).collect()
+    assert len(rows) == len(ids)
+    order = sorted(rows, key=lambda r: (r.page_id is not None, r.page_id or 0, r.h))
+    assert [r.part for r in order] == sorted(r.part for r in rows)
+    sizes = pd.Series([r.part for r in rows]).value_counts()
+    assert sizes.max() <= 8 and len(sizes) > 15
 
 
 def test_language_on_held_out_rows(spark, sf_dir):
@@ -332,15 +363,67 @@ def plain_similar(rows, least=0.8, width=5):
     return [(d, first.get(find(i))) for i, (d, _) in enumerate(rows)], unequal
 
 
-def test_similar_documents(spark, docs, none):
-    plenty = table(spark, "/root/testdata/sf0.01", "documents")
-    for source in (docs, plenty):
-        want, unequal = plain_similar([(r.doc_id, r.text) for r in source.collect()])
-        assert sorted(map(tuple, shingles.similar_documents(source).collect()), key=str) == sorted(want, key=str)
-    assert len(unequal) > 8
-    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, plenty, "").collect()}
-    assert not any({*pair} <= kept for pair in unequal)
-    assert shingles.similar_documents(none).count() == 0
+def kept_of(components):
+    """The id that stays of each component, by plain rules."""
+    best = {}
+    for d, c in components:
+        best[c] = min(best.get(c, (True, 0)), (d is None, d or 0))
+    return {None if none else d for none, d in best.values()}
+
+
+@pytest.mark.parametrize("bounds", [{}, {"group_rows": 3, "pile_bytes": 500, "broadcast_ids": 2}])
+def test_similar_documents(spark, docs, none, sf_dir, bounds):
+    sources = [docs, table(spark, sf_dir, "documents")] + ([] if bounds else [table(spark, "/root/testdata/sf0.1", "documents")])
+    for source in sources:
+        rows = [(r.doc_id, r.text) for r in source.collect()]
+        want, unequal = plain_similar(rows)
+        got = simhash.similar_documents(source, **bounds).collect()
+        assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(want, key=str)
+        kept = simhash.without_similar(source, **bounds).collect()
+        assert len(kept) == len({r.component_id for r in got}) and {r.doc_id for r in kept} == kept_of(want)
+        assert sorted(r.text or "" for r in kept) == sorted({r.text or "" for r in kept})
+    assert bounds or len(unequal) > 30
+    assert simhash.similar_documents(none, **bounds).count() == simhash.without_similar(none, **bounds).count() == 0
+
+
+def test_near_duplicates_stage_goes_by_row(spark):
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve", "thirteen fourteen fifteen")
+    rows = [(3, a), (5, a), (5, b), (9, c), (9, c), (None, "only here"), (None, b), (1 << 60, None), (None, ""), ((1 << 60) + 1, " ")]
+    docs = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, _key string, first string, c0 string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, a), (5, b), (9, c), (None, "only here"), (1 << 60, None)], key=str)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 50), min_size=1, max_size=40, unique=True), min_size=1, max_size=6))
+def test_wide_fingerprints_are_majorities(sets):
+    values = np.concatenate([np.sort(mix(np.array(x, np.uint64))) for x in sets])
+    at = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    odd = np.random.default_rng(42).integers(0, 1 << 63, 3, dtype=np.uint64)
+    got = shingles.wide_fingerprints(values, at, 3)
+    for k in range(len(sets)):
+        for lane in range(3):
+            h = [int(x) for x in mix(values[at[k] : at[k + 1]] ^ odd[lane])]
+            assert int(got[k, lane]) == sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+@pytest.mark.parametrize("n", [3, 400])
+def test_trie_forest_of_wide_words(n):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 63, (12, 4), dtype=np.uint64)
+    own = base[np.arange(n) % 12] ^ np.packbits(rng.random((n, 4, 64)) < 0.06, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    groups = np.sort(rng.integers(0, 3, n))
+    order = np.lexsort((own[:, 0], groups))
+    own = own[order]
+    budgets = np.append(np.minimum(np.arange(65), 12), 30)
+    root = simhash.trie_forest(np.ascontiguousarray(own[:, 0]), groups, budgets, own[:, 1:])
+    far = np.bitwise_count(own[:, None] ^ own[None]).astype(int)
+    linked = (far.sum(axis=2) <= 30) & (far[:, :, 0] <= 12) & (groups[:, None] == groups[None])
+    want = np.arange(n)
+    for _ in range(n):
+        want = np.array([want[linked[i]].min() for i in range(n)])
+    assert (root == want).all() and (n < 12 or len(set(want)) < n)
 
 
 def test_components_of_a_long_path(spark):
@@ -478,6 +561,45 @@ def test_tokens_of_signs_between_letters(text):
         assert ids.tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1], t
 
 
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out[:n]
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096, 8192])
+def test_tokens_of_pieces_that_linear_hashes_confuse(n):
+    own, whole = tokens.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    text = thue_morse(n) + " " + thue_morse(n).translate(str.maketrans("ab", "ba"))
+    assert own.encode(pa.array([text, text]), 1)[0].tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1] * 2
+
+
+def test_tokens_with_equal_hashes(monkeypatch):
+    own, whole = tokens.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    monkeypatch.setattr(tokens, "range_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) // np.uint64(9))
+    texts = ["one three", "internationalism communications one", "three " * 5, "", "communications"]
+    for _ in range(2):
+        want = [i for t in texts for i in [*whole.encode(t, add_special_tokens=False).ids, 1]]
+        assert own.encode(pa.array(texts), 1)[0].tolist() == want
+        texts = texts[::-1]
+
+
+def test_token_files_of_another_vocabulary(spark, tmp_path):
+    words_ = [f"w{i}" for i in range(70_000)]
+    path = str(tmp_path / "words.json")
+    from tokenizers import models, pre_tokenizers
+
+    plain = Tokenizer(models.WordLevel({w: i for i, w in enumerate(["?", *words_])}, unk_token="?"))
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    plain.save(path)
+    assert not tokens.WordTokenizer(path).cuts
+    source = spark.createDataFrame([(i, " ".join(words_[i * 10_000 : (i + 1) * 10_000]) + " W1 w1") for i in range(7)], "doc_id long, text string")
+    want = [(r.doc_id, [*plain.encode(r.text).ids, 1]) for r in source.collect()]
+    got = sorted(map(tuple, tokens.token_files(source, path).collect()))
+    assert [(d, n, crc) for d, _, n, crc in got] == [(d, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in want]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=900), st.integers(0, 5))
 def test_huffman_round_trip(ids, steep):

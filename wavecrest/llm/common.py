@@ -19,16 +19,24 @@ _OWN: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names for driver and executors.
+    """A new path below a folder of this application in the one that ``spark.checkpoint.dir`` names for driver and executors.
 
-    Only a session without that setting (as in tests, in one process) gets a folder in /tmp.
+    Only a local session may lack that setting (as in tests, in one process); it gets a folder in /tmp.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _OWN.setdefault(spark.sparkContext.applicationId, "")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN.get(spark.sparkContext.applicationId)
         if not base:
             base = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/wavecrest-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all that this application has put below its scratch folder; results that weren't written elsewhere are lost."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark, "x").rsplit("/", 1)[0])
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

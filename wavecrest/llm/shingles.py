@@ -1,22 +1,14 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands give candidates, the shingle sets decide."""
+"""Sets of word shingles as hashes, their wide SimHash fingerprints, and links between similar sets."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from wavecrest.llm.common import Text, mix, range_hashes, stored, text_slices, utf8, words
-from wavecrest.llm.components import connected_components
+from wavecrest.llm.common import Text, mix, ragged, range_hashes, words
 
 #: Bytes of words: all but ASCII white space.
 _SOLID = np.ones(256, bool)
 _SOLID[[9, 10, 11, 12, 13, 32]] = False
-#: Bands and values in each: a pair of similarity 0.8 shares no band once in 500,000, as (1 - 0.8 ** 4) ** 25.
-BANDS, ROWS = 25, 4
 
 
 def shingle_sets(text: Text, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,20 +42,41 @@ def set_keys(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(values ^ np.uint64(0x5851F42D4C957F2D)), at[:-1]) + np.diff(at).astype(np.uint64))
 
 
-def band_hashes(values: np.ndarray, at: np.ndarray, seed: int = 42) -> np.ndarray:
-    """(sets, BANDS): a hash of each band's smallest values under ``ROWS`` orders of all shingles."""
-    odd = np.random.default_rng(seed).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    spread = mix(values + np.uint64(seed))
-    out = np.empty((len(at) - 1, BANDS), np.uint64)
-    for band in range(BANDS):
-        own = np.full(len(out), band, np.uint64)
-        for a in odd[band * ROWS : (band + 1) * ROWS]:
-            own = mix(own + np.minimum.reduceat(spread * a, at[:-1]))
-        out[:, band] = own
+def wide_fingerprints(values: np.ndarray, at: np.ndarray, lanes: int, seed: int = 42) -> np.ndarray:
+    """(sets, lanes): SimHash words of each set; a bit is 1 if more than half of the set's hashes for that lane have it.
+
+    Eight hashes are added up at a time, bit by bit side by side: each adder takes bits of one weight and
+    gives their sum's bits of that weight and of the next.
+    """
+
+    def add(a: np.ndarray, b: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        return (a ^ b, a & b) if c is None else (a ^ b ^ c, (a & b) | (c & (a ^ b)))
+
+    n = np.diff(at)
+    eights = -(-n // 8)
+    first = np.cumsum(eights) - eights
+    slot = ragged(first * 8, n)
+    out = np.empty((len(n), lanes), np.uint64)
+    for lane, odd in enumerate(np.random.default_rng(seed).integers(0, 1 << 63, lanes, dtype=np.uint64).tolist()):
+        rows = np.zeros(int(eights.sum()) * 8, np.uint64)
+        rows[slot] = mix(values ^ np.uint64(odd))
+        x = [np.ascontiguousarray(col) for col in rows.reshape(-1, 8).T]
+        s1, c1 = add(x[0], x[1], x[2])
+        s2, c2 = add(x[3], x[4], x[5])
+        s3, c3 = add(x[6], x[7], s1)
+        ones, c4 = add(s2, s3)
+        t1, d1 = add(c1, c2, c3)
+        twos, d2 = add(t1, c4)
+        fours, top = add(d1, d2)
+        total = np.zeros((len(ones), 64), np.uint8)
+        for k, plane in enumerate((ones, twos, fours, top)):
+            total += np.unpackbits(plane.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") << np.uint8(k)
+        per_set = np.add.reduceat(total, first, axis=0, dtype=np.int32)
+        out[:, lane] = np.packbits(per_set * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
-def similar_pairs(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+def similar_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Pairs that link all sets joined by similarities of ``least``, directly or not; a set is compared only with those not yet reached."""
     sizes = np.array([len(x) for x in sets])
     left = np.arange(len(sets))
@@ -84,75 +97,3 @@ def similar_pairs(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]
         reached += chosen[near].tolist()
         left = np.delete(left, close[near])
     return out
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of every row: texts whose ``width``-word shingle sets have a Jaccard similarity of ``least`` are linked.
-
-    A-Z count as lower case and words are split at ASCII white space. component_id is the smallest id that links
-    reach, itself included; repeated ids each keep their row, and a component of rows with a null id only has a
-    null component_id. Equal sets are one node. Nodes meet by the hashes of their bands, each group of nodes is
-    looked at once in however many bands it meets, and the sets of such nodes only are read again and compared.
-    """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            values, at = shingle_sets(utf8(batch.column(1)), width)
-            bands = band_hashes(values, at).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(set_keys(values, at).view(np.int64)), lists], names=["doc_id", "key", "bands"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            values, at = shingle_sets(utf8(batch.column(0)), width)
-            own = [values[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(set_keys(values, at).view(np.int64)), pa.array(own, pa.binary())], names=["key", "shingles"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [x for x in batches if x.num_rows]
-        if not tables:
-            return
-        band, key = (np.concatenate([x.column(k).to_numpy() for x in tables]) for k in (0, 1))
-        order = np.lexsort((key, band))
-        band, key = band[order], key[order]
-        first = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
-        sizes = np.diff(np.concatenate((first, [len(band)])))
-        groups = set_keys(key.view(np.uint64), np.concatenate((first, [len(band)])))
-        more = np.repeat(sizes > 1, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(groups, sizes)[more].view(np.int64)), pa.array(key[more])], names=["members", "key"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, held = None, [], []
-
-        def links() -> pa.RecordBatch:
-            found = np.array(similar_pairs(held, least), np.int64).reshape(-1, 2)
-            own = np.array(keys, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(own[found[:, 0]]), pa.array(own[found[:, 1]])], names=["a", "b"])
-
-        for batch in batches:
-            for members, key, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if members != at:
-                    if held:
-                        yield links()
-                    at, keys, held = members, [], []
-                keys.append(key)
-                held.append(np.frombuffer(raw, np.uint64))
-        if held:
-            yield links()
-
-    signed = stored(chosen.mapInArrow(sign, "doc_id long, key long, bands array<long>"), "signed")
-    nodes = stored(signed.groupBy("key").agg(F.min("doc_id").alias("first"), F.any_value("bands").alias("bands")), "nodes")
-    met = nodes.select(F.explode("bands").alias("band"), "key").repartition(n, "band").mapInArrow(meet, "members long, key long")
-    met = stored(met.distinct(), "met")
-    wanted = met.select("key").distinct()
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(sets, "key long, shingles binary").join(wanted, "key").groupBy("key").agg(F.any_value("shingles").alias("shingles"))
-    found = stored(found, "sets")
-    grouped = met.join(found, "key").select("members", "key", "shingles").repartition(n, "members").sortWithinPartitions("members", "key")
-    roots = connected_components(grouped.mapInArrow(compare, "a long, b long"))
-    placed = stored(nodes.select("key", "first").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root")), "placed")
-    smallest = stored(placed.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
-    component = stored(placed.join(smallest, "root").select("key", "component_id"), "component")
-    return signed.select("doc_id", "key").join(component, "key").select("doc_id", "component_id")
