@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecrest.llm import decontaminate, language, packing, shingles, toxicity
-from wavecrest.llm.common import held_out, scratch, stored, table
+from wavecrest.llm import decontaminate, language, packing, simhash, toxicity
+from wavecrest.llm.common import held_out, scratch, table
 
 #: Documents with a lower score of their predicted language are rejected; texts in two languages score about a half and stay.
 LEAST_LANGUAGE_SCORE = 0.25
@@ -26,13 +26,12 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest id; rows with a null id stay.
+    """Keeps one document of each group of near-duplicates: that of the smallest id, rows with a null id last.
 
-    Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least.
+    Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least, found by
+    wide SimHash words; empty and null texts are one group. Of repeated rows one stays; rows that repeat an id with other texts are decided apart. An empty table gives no rows.
     """
-    found = shingles.similar_documents(docs, width=5, least=0.8)
-    away = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "away")
-    return docs.join(away, "doc_id", "left_anti").select(docs.columns)
+    return simhash.without_similar(docs, width=5, least=0.8)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
