@@ -377,13 +377,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return signed.select("doc_id", "key").join(placed, same).select("doc_id", signed["key"], "component_id", "first")
 
 
-def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, **bounds: int) -> DataFrame:
+def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, broadcast_ids: int = 1 << 20, **bounds: int) -> DataFrame:
     """One row of each component of ``similar_documents``, with the columns of ``docs``.
 
+    Rows that go are sent to every task if they are at most ``broadcast_ids``; else rows and texts meet by a shuffle.
+
     The row with the smallest id stays, rows with a null id coming last; of rows with that id and an equal shingle set one stays,
     whichever. Rows that share an id but not a component are decided apart. An empty table gives no rows.
     """
-    found = similar_documents(docs, id_col, text_col, width, least, **bounds)
+    found = similar_documents(docs, id_col, text_col, width, least, broadcast_ids=broadcast_ids, **bounds)
     marks = found.groupBy("doc_id", "key").agg(F.any_value("first").alias("first"), F.count("*").alias("n")).where("n > 1 or not first").select("doc_id", "key", "first")
     marks = stored(marks, "marks").toDF("_id", "_set", "_first")
     names = [f"c{k}" for k in range(len(docs.columns))]
@@ -397,7 +399,8 @@ def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fields = [T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)]
     keyed = docs.toDF(*names).mapInArrow(run, T.StructType([*fields, T.StructField("_key", T.LongType())]))
     own = F.col(names[docs.columns.index(id_col)]).cast("long")
-    joined = keyed.join(marks, own.eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_set")), "left")
+    small = marks.limit(broadcast_ids + 1).count() <= broadcast_ids
+    joined = keyed.join(F.broadcast(marks) if small else marks, own.eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_set")), "left")
     kept = joined.where(F.col("_first").isNull())
     if not marks.where("_first").isEmpty():
         kept = kept.union(joined.where("_first").dropDuplicates(["_id", "_set"]))
