@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavecrest.llm.common import Text, Words, ragged, text_slices, utf8, words
+from wavecrest.llm.common import Text, Words, ragged, scratch, text_slices, utf8, words
 
 _TABLE_BITS = 16
 
@@ -107,82 +109,133 @@ class WuManber:
         return np.concatenate(starts), np.concatenate(found)
 
 
-def windows(rows: list[tuple], width: int) -> tuple[list[bytes], list[int], list[list[str]]]:
-    """Distinct windows of the items, their words, and the ids of the items that have them.
+def windows(rows: pa.Table, width: int) -> pa.Table:
+    """Distinct windows (window, n_words, items) of the items (id, text); items are the sorted ids of those that have it.
 
     An item of fewer words than ``width``, but not none, is one window. A null id is named "null".
     """
-    text = utf8(pa.array([r[1] for r in rows], pa.string()))
+    text = utf8(pa.concat_arrays(rows.column("text").chunks) if rows.num_rows else pa.array([], pa.string()))
     found = words(text)
     known: dict[bytes, tuple[int, set[str]]] = {}
-    for k, (item, _) in enumerate(rows):
+    for k, item in enumerate(rows.column("id").to_pylist()):
         own = [text.data[a:b].tobytes() for a, b in zip(found.starts[found.first[k] : found.first[k + 1]], found.ends[found.first[k] : found.first[k + 1]], strict=True)]
         n = min(width, len(own))
         for a in range(len(own) - n + 1 if own else 0):
             known.setdefault(b" " + b" ".join(own[a : a + n]) + b" ", (n, set()))[1].add("null" if item is None else str(item))
-    return list(known), [n for n, _ in known.values()], [sorted(x) for _, x in known.values()]
+    return pa.table([pa.array(list(known), pa.binary()), pa.array([n for n, _ in known.values()], pa.int64()), pa.array([sorted(x) for _, x in known.values()], pa.list_(pa.string()))], names=["window", "n_words", "items"])
 
 
-_STATE = "hit_words binary, found_items array<string>, n_words long, n_hit long"
+def write_windows(items: DataFrame, width: int, slice_bytes: int) -> list[str]:
+    """Writes the windows of ``items`` (id, text) as files of about ``slice_bytes`` of text each, and gives their paths.
 
-
-def _scanner(shared, text_name: str, first: bool, names: list[str]):
-    """A pass over the documents for one slice of items; later passes add to what earlier ones found."""
+    Tasks write the files in shared storage, under temporary names until they are whole; only the paths come to the driver.
+    """
+    spark = items.sparkSession
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    folder = scratch(spark, "windows")
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        files, path = fs.FileSystem.from_uri(folder)
+        files.create_dir(path, recursive=True)
+        name = f"{key[0].as_py():06d}.arrow"
+        temp = f"{path}/_{name}.{TaskContext.get().taskAttemptId()}"
+        own = windows(rows, width)
+        with files.open_output_stream(temp) as out, pa.ipc.new_stream(out, own.schema) as stream:
+            stream.write_table(own)
+        files.move(temp, f"{path}/{name}")
+        return pa.table({"file": [f"{folder}/{name}"]})
+
+    sliced = items.distinct().withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(max(1, -(-int(total) // slice_bytes)))))
+    return sorted(r[0] for r in sliced.groupBy("slice").applyInArrow(write, "file string").collect())
+
+
+class _Slice:
+    """The windows of one file, ready for search."""
+
+    def __init__(self, uri: str):
+        files, path = fs.FileSystem.from_uri(uri)
+        with files.open_input_stream(path) as f:
+            rows = pa.ipc.open_stream(f).read_all()
+        self.machine = WuManber(rows.column("window").to_pylist())
+        self.span = rows.column("n_words").to_numpy()
+        self.items = rows.column("items")
+
+
+class _Scan:
+    """What the slices so far have found in a batch of texts."""
+
+    def __init__(self, batch: pa.RecordBatch, column: int):
+        self.batch, self.column = batch, column
+        self.items: list[set] = [set() for _ in range(batch.num_rows)]
+        self.hit: np.ndarray | None = None
+
+    def add(self, of: _Slice | None) -> None:
+        text = utf8(self.batch.column(self.column))
+        found = words(text)
+        n = len(found.starts)
+        self.first = found.first
+        self.hit = np.zeros(n, bool) if self.hit is None else self.hit
+        if of is None:
+            return
+        data, at = spaced(text, found)
+        starts, which = of.machine.search(data)
+        change = np.zeros(n + 1, np.int64)
+        w = np.searchsorted(at, starts + 1)
+        np.add.at(change, w, 1)
+        np.add.at(change, w + of.span[which], -1)
+        self.hit |= np.cumsum(change)[:n] > 0
+        doc = np.searchsorted(found.first, w, "right") - 1
+        for d, p in np.unique(np.stack((doc, which), 1), axis=0).tolist():
+            self.items[d].update(of.items[p].as_py())
+
+    def rows(self, names: list[str]) -> pa.RecordBatch:
+        n_hit = np.diff(np.concatenate(([0], np.cumsum(self.hit)))[self.first])
+        own = [pa.array([sorted(x) for x in self.items], pa.list_(pa.string())), pa.array(np.diff(self.first), pa.int64()), pa.array(n_hit, pa.int64())]
+        return pa.RecordBatch.from_arrays([*self.batch.columns, *own], names=[*names, "found_items", "n_words", "n_hit"])
+
+
+def _scanner(slices: list[str], names: list[str], column: int, held_bytes: int):
+    """A pass over the documents; of many slices one is in memory at a time, and goes over ``held_bytes`` of texts."""
+
+    def scan(held: list[pa.RecordBatch], only: _Slice | None) -> Iterator[pa.RecordBatch]:
+        found = [_Scan(batch, column) for batch in held]
+        for uri in slices or [None]:
+            own = only or (_Slice(uri) if uri else None)
+            for x in found:
+                x.add(own)
+        for x in found:
+            yield x.rows(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings, n_words_of, items_of = shared.value
-        machine = WuManber(strings)
-        span = np.array(n_words_of, np.int64)
-        for batch in text_slices(batches, text_name):
-            text = utf8(batch.column(names.index(text_name)))
-            found = words(text)
-            data, at = spaced(text, found)
-            starts, which = machine.search(data)
-            n = len(found.starts)
-            change = np.zeros(n + 1, np.int64)
-            w = np.searchsorted(at, starts + 1)
-            np.add.at(change, w, 1)
-            np.add.at(change, w + span[which], -1)
-            hit = np.cumsum(change)[:n] > 0
-            doc = np.searchsorted(found.first, w, "right") - 1
-            items: list[set] = [set() for _ in range(batch.num_rows)]
-            for d, p in np.unique(np.stack((doc, which), 1), axis=0).tolist():
-                items[d].update(items_of[p])
-            maps = [np.packbits(hit[a:b]) for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
-            if not first:
-                k = len(names)
-                maps = [x | np.frombuffer(y.as_py(), np.uint8) for x, y in zip(maps, batch.column(k), strict=True)]
-                items = [x | set(y.as_py()) for x, y in zip(items, batch.column(k + 1), strict=True)]
-            n_hit = [int(np.bitwise_count(x).sum()) for x in maps]
-            own = [pa.array([x.tobytes() for x in maps], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(np.diff(found.first), pa.int64()), pa.array(n_hit, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *own], names=[*names, "hit_words", "found_items", "n_words", "n_hit"])
+        only = _Slice(slices[0]) if len(slices) == 1 else None
+        held, size = [], 0
+        for batch in text_slices(batches, names[column]):
+            held.append(batch)
+            size += batch.nbytes
+            if len(slices) < 2 or size >= held_bytes:
+                yield from scan(held, only)
+                held, size = [], 0
+        yield from scan(held, only)
 
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", into: str = "contamination", width: int = 10, item_id: str = "item_id", item_text: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", into: str = "contamination", width: int = 10, item_id: str = "item_id", item_text: str = "text", slice_bytes: int = 4 << 20, held_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` with a struct ``into`` (n_words, n_hit, n_items, items, items_sha256, contaminated).
 
     Words are maximal runs of ASCII letters (A-Z as a-z), digits and characters beyond ASCII. A word
-    inside an occurrence of any item's window of ``width`` words is hit. Items are searched in slices of
-    about ``slice_bytes`` of text: one slice's strings are in memory at a time, and each slice is one
-    more narrow pass over the documents, so nothing is shuffled and no limit is set on the benchmark.
+    inside an occurrence of any item's window of ``width`` words is hit. Windows of items are stored in slices of
+    about ``slice_bytes`` of text, and one narrow pass over the documents takes one slice after another over each ``held_bytes`` of
+    texts, so nothing of the documents is shuffled and no limit is set on the benchmark.
     Null and empty texts have no words; an empty benchmark hits nothing; repeated rows each get
     their result; a null item id is listed as "null"; a column of ``docs`` with the name ``into`` is replaced.
     """
-    spark = docs.sparkSession
     docs = docs.drop(into)
-    items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, -(-int(total) // slice_bytes))
+    slices = write_windows(benchmark.select(F.col(item_id).alias("id"), F.col(item_text).cast("string").alias("text")), width, slice_bytes)
     kept = docs.schema.fields
     names = [f"c{k}" for k in range(len(kept))]
-    schema = T.StructType([*[T.StructField(n, f.dataType) for n, f in zip(names, kept, strict=True)], *T.StructType.fromDDL(_STATE).fields])
-    out = docs.toDF(*names)
-    for k in range(slices):
-        chosen = items if slices == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(slices)) == k)
-        shared = spark.sparkContext.broadcast(windows([tuple(r) for r in chosen.collect()], width))
-        out = out.mapInArrow(_scanner(shared, names[docs.columns.index(text_col)], k == 0, names), schema)
+    schema = T.StructType([*[T.StructField(n, f.dataType) for n, f in zip(names, kept, strict=True)], *T.StructType.fromDDL("found_items array<string>, n_words long, n_hit long").fields])
+    out = docs.toDF(*names).mapInArrow(_scanner(slices, names, docs.columns.index(text_col), held_bytes), schema)
     result = F.struct(
         "n_words",
         "n_hit",
