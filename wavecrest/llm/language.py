@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -59,25 +60,43 @@ def gram_means(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np
     out = np.zeros((len(offsets) - 1, len(weights)))
     at = np.minimum(offsets[:-1], max(0, len(data) - 1))
     for n in (2, 3):
-        bins = gram_bins(data, n)
-        bins = np.concatenate((bins, np.full(len(data) - len(bins), -1)))
-        # every text ends in two spaces, so grams that begin there hold the next text's spaces only
+        # every text ends in two spaces, so grams that begin there hold the next text's spaces only, and the last text gets as many
+        bins = gram_bins(np.append(data, np.full(n - 1, 32, np.uint8)), n)
         for k, row in enumerate(weights):
-            out[:, k] += np.add.reduceat(np.concatenate((row, [0.0]))[bins], at) if len(data) else 0
+            out[:, k] += np.add.reduceat(row[bins], at) if len(data) else 0
     return out / np.maximum(2 * np.diff(offsets), 1)[:, None]
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, passes: int = 30, seed: int = 7) -> np.ndarray:
-    """Weights of a linear SVM with hinge loss by dual coordinate descent; y is 1 or -1."""
+class GramRows(NamedTuple):
+    """Shares of a text's grams by bin, for each text: ``bins`` and ``shares`` from ``first[i]`` to ``first[i + 1]``."""
+
+    first: np.ndarray
+    bins: np.ndarray
+    shares: np.ndarray
+
+
+def gram_rows(data: np.ndarray, offsets: np.ndarray) -> GramRows:
+    bins, shares = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        own, n = np.unique(np.concatenate([gram_bins(data[a:b], k) for k in (2, 3)]), return_counts=True)
+        bins.append(own)
+        shares.append(n / max(n.sum(), 1))
+    return GramRows(np.cumsum([len(x) for x in bins]), np.concatenate(bins), np.concatenate(shares))
+
+
+def train_svm(x: GramRows, rows: np.ndarray, y: np.ndarray, c: float = 1.0, passes: int = 30, seed: int = 7) -> np.ndarray:
+    """Weights of a linear SVM with hinge loss by dual coordinate descent over some rows of x; y is 1 or -1."""
     rng = np.random.default_rng(seed)
-    alpha, w = np.zeros(len(y)), np.zeros(x.shape[1])
-    norm = np.maximum((x * x).sum(axis=1), 1e-12)
+    alpha, w = np.zeros(len(y)), np.zeros(BINS)
+    own = [(x.bins[x.first[i] : x.first[i + 1]], x.shares[x.first[i] : x.first[i + 1]]) for i in rows.tolist()]
+    norm = [max(float(v @ v), 1e-12) for _, v in own]
     for _ in range(passes):
         moved = 0.0
-        for i in rng.permutation(len(y)):
-            new = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / norm[i], 0.0), c)
+        for i in rng.permutation(len(y)).tolist():
+            bins, v = own[i]
+            new = min(max(alpha[i] - (y[i] * (v @ w[bins]) - 1) / norm[i], 0.0), c)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w[bins] += (new - alpha[i]) * y[i] * v
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3 * c:
@@ -92,14 +111,10 @@ class LanguageModel:
         self.langs = sorted(set(langs))
         self.families = sorted({family(x) for x in self.langs})
         self.members = {f: [x for x in self.langs if family(x) == f] for f in self.families}
-        data, offsets = padded(utf8(pa.array(texts, pa.string())))
-        x = np.zeros((len(texts), BINS), np.float32)
-        for i in range(len(texts)):
-            for n in (2, 3):
-                x[i] += np.bincount(gram_bins(data[offsets[i] : offsets[i + 1]], n), minlength=BINS)
-        x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
-        self.scale = 1 / max(float(np.sqrt((x * x).sum(axis=1)).mean()), 1e-9) if len(x) else 1.0
-        x *= self.scale
+        x = gram_rows(*padded(utf8(pa.array(texts, pa.string()))))
+        lengths = np.sqrt(np.add.reduceat(x.shares**2, x.first[:-1])) if len(texts) else np.zeros(0)
+        self.scale = 1 / max(float(lengths.mean()), 1e-9) if len(texts) else 1.0
+        x = x._replace(shares=x.shares * self.scale)
         self.machines: dict[tuple, int] = {}
         rows = []
         own = np.array([family(y) for y in langs])
@@ -108,7 +123,7 @@ class LanguageModel:
             for a, b in combinations(names, 2):
                 chosen = np.flatnonzero((labels == a) | (labels == b))
                 self.machines[level, a, b] = len(rows)
-                rows.append(train_svm(x[chosen], np.where(labels[chosen] == a, 1.0, -1.0), c))
+                rows.append(train_svm(x, chosen, np.where(labels[chosen] == a, 1.0, -1.0), c))
         self.weights = (np.array(rows) * self.scale if rows else np.zeros((0, BINS))).astype(np.float32)
 
     def _vote(self, level: str, names: list[str], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,19 +159,19 @@ class LanguageModel:
         return out.tolist(), np.where(letters, score, 0.0)
 
 
-def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 500, max_bytes: int = 1 << 16, seed_col: str = "doc_id") -> LanguageModel:
+def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 500, sample_bytes: int = 128 << 20, seed_col: str = "doc_id") -> LanguageModel:
     """A model learned from at most ``per_language`` rows of each language, those with the least hashes.
 
-    Rows need a language and 1 to ``max_bytes`` bytes of text; both bounds keep the sample small
-    enough for the driver. At most the 100 languages first in order are learned.
+    Rows need a language and a text of at least a byte and at most an even share of ``sample_bytes`` (64 KiB for
+    four languages), so the driver gets at most so many bytes of text, however many languages there are.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(seed_col)).alias("h"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy("lang").limit(100).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return LanguageModel([], [])
     # an even cut of the hash's range first, so that ranking sees few rows
     cut = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 4 * per_language / n) * (1 << 20)) + 1)])
-    near = rows.where((F.pmod("h", F.lit(1 << 20)) < cut[F.col("lang")]) & F.octet_length("text").between(1, max_bytes))
+    near = rows.where((F.pmod("h", F.lit(1 << 20)) < cut[F.col("lang")]) & F.octet_length("text").between(1, sample_bytes // (len(counts) * per_language)))
     ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= per_language)
     sample = ranked.orderBy("lang", "k").select("text", "lang").collect()
     return LanguageModel([r[0] for r in sample], [r[1] for r in sample])
