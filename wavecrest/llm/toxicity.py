@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,22 +102,21 @@ def train(labels: np.ndarray, docs: np.ndarray, hashes: np.ndarray, most_terms:
     return FactorizationMachine(known[chosen], bias, p[:, 0].astype(float), p[:, 1:].astype(float))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 3000, max_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 3000, sample_bytes: int = 96 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine:
     """A machine learned from at most ``per_label`` labelled ids of each label, those with the least hashes.
 
-    Ids are chosen from ``labels`` alone (0 and 1 count, other labels and null ids don't), so their
-    number is bounded before any text is read; texts over ``max_bytes`` bytes aren't learned from.
+    Ids are chosen from ``labels`` alone (0 and 1 count, other labels and null ids don't; of an id with both, 1 counts), so their
+    number is bounded before any text is read. Texts of more than an even share of ``sample_bytes`` (16 KiB) aren't
+    learned from, and an id of several rows has one text, the first in order, so the driver gets the terms of ``sample_bytes`` of text at most.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.xxhash64(F.col(id_col)).alias("h"))
-    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
-    if not counts:
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    known = known.withColumn("h", F.xxhash64("id"))
+    rows = [r for label in (0, 1) for r in known.where(F.col("label") == label).orderBy("h", "id").limit(per_label).select("id", "label").collect()]
+    if not rows:
         return train(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    cut = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 2 * per_label / n) * (1 << 20)) + 1)])
-    near = known.where(F.pmod("h", F.lit(1 << 20)) < cut[F.col("label")])
-    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("k") <= per_label)
-    chosen = docs.sparkSession.createDataFrame([(r[0], int(r[1])) for r in ranked.select("id", "label").collect()], "id long, label int")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
-    found = texts.join(F.broadcast(chosen), "id")  # at most 2 * per_label rows
+    chosen = docs.sparkSession.createDataFrame(rows, "id long, label int")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes // (2 * per_label))
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # at most 2 * per_label rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
