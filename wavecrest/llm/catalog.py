@@ -49,7 +49,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.backoff_scores(table(spark, sf_dir, "documents"))
+    found = lm.backoff_scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
 #: A conversation whose texts are control strings of a common template.
@@ -98,6 +99,6 @@ p AS (SELECT doc_id, CASE WHEN i > 1 THEN w[i - 1] ELSE '' END AS v, w[i] AS w F
 two AS (SELECT v, w, count(*) AS n FROM p GROUP BY v, w),
 one AS (SELECT w AS v, count(*) AS n FROM p GROUP BY w UNION ALL SELECT '', count(*) FROM d),
 s AS (SELECT doc_id, sum(ln(two.n) - ln(one.n)) AS s FROM p JOIN two ON p.v = two.v AND p.w = two.w JOIN one ON p.v = one.v GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(s, 0.0) AS log_score, s / len(d.w) AS mean_log_score
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(s, 0e0), 3) AS log_score, round(s / len(d.w), 6) AS mean_log_score
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id""",
 }
