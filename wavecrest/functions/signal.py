@@ -34,6 +34,13 @@ def welch(x: np.ndarray, sfreq: float, nperseg: int = 1024, noverlap: int | None
     return np.fft.rfftfreq(n, 1 / sfreq), p
 
 
+def linear_detrend(x: np.ndarray) -> np.ndarray:
+    """Each row less its least-squares line."""
+    t = np.arange(x.shape[-1]) - (x.shape[-1] - 1) / 2
+    x = x - x.mean(axis=-1, keepdims=True)
+    return x - np.multiply.outer(x @ t / max(float(t @ t), 1e-300), t)
+
+
 def butter_bandpass(lo: float, hi: float, sfreq: float) -> tuple[np.ndarray, np.ndarray]:
     """Second-order Butterworth band-pass (five taps) by the bilinear transform of a prewarped prototype."""
     a, b = (2 * sfreq * np.tan(np.pi * f / sfreq) for f in (lo, hi))

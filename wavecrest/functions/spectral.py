@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,10 +56,12 @@ def relative_power(freq: Column, p: Column, lo: float, hi: float, total: tuple[f
     return band_power(freq, p, lo, hi) / (band_power(freq, p, *total) + EPS)
 
 
-def spectral_entropy(freq: Column, p: Column, lo: float = 1.0, hi: float = 45.0) -> Column:
+def spectral_entropy(freq: Column, p: Column, lo: float = 1.0, hi: float = 45.0, log_base: float | None = None) -> Column:
+    """Shannon entropy of the shares of power, in nats or to ``log_base``."""
     ps = powers(freq, p, lo, hi)
     share = F.transform(ps, lambda v: v / (_sum(ps) + EPS))
-    return -_sum(F.transform(share, lambda v: v * F.ln(v + EPS)))
+    nats = -_sum(F.transform(share, lambda v: v * F.ln(v + EPS)))
+    return nats / math.log(log_base) if log_base else nats
 
 
 def spectral_moments(freq: Column, p: Column, lo: float = 1.0, hi: float = 45.0) -> Column:

@@ -6,16 +6,16 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavecrest.functions.signal import analytic, butter_bandpass, filtfilt, window
+from wavecrest.functions.signal import analytic, butter_bandpass, filtfilt, linear_detrend, window
 
 EDGES = "subject string, task string, i int, j int, w double"
 
 
-def phase_lag_edges(recordings: DataFrame, sfreq: float = 500.0, lo: float | None = 8.0, hi: float | None = 13.0) -> DataFrame:
-    """Weighted phase-lag index of channel pairs i < j of each (subject, task); no band without ``lo``.
+def phase_lag_edges(recordings: DataFrame, sfreq: float = 500.0, lo: float | None = 8.0, hi: float | None = 13.0, detrend: bool = False) -> DataFrame:
+    """Weighted phase-lag index of channel pairs i < j of each (subject, task); no band without ``lo``. ``detrend`` takes each channel's line off first.
 
     A group is one recording, whose channels are filtered once each; pairs are taken row by row.
     """
@@ -24,6 +24,7 @@ def phase_lag_edges(recordings: DataFrame, sfreq: float = 500.0, lo: float | Non
         pdf = pdf.sort_values("ch_idx")
         n = min(map(len, pdf["signal"]))
         x = np.array([s[:n] for s in pdf["signal"]], float)
+        x = linear_detrend(x) if detrend else x
         if lo is not None:
             x = filtfilt(*butter_bandpass(lo, hi, sfreq), x)
         z, ch, out = analytic(x), pdf["ch_idx"].to_numpy(), []
@@ -38,26 +39,44 @@ def phase_lag_edges(recordings: DataFrame, sfreq: float = 500.0, lo: float | Non
     return keyed.groupBy("subject", "task").applyInPandas(run, EDGES)
 
 
-def mutual_information(samples: DataFrame, bins: int | None = None) -> DataFrame:
-    """(task, i, j, mi) in bits over equal-width bins of each channel's own range, i <= j; i = j gives the entropy.
+def entropy_bits(counts: np.ndarray) -> float:
+    share = counts[counts > 0] / counts.sum()
+    return float(-(share * np.log2(share)).sum())
 
-    ``samples`` has task, ch, t, x. Bins are the rounded root of the number of samples; a constant
-    channel's range is one wide.
+
+def bin_numbers(x: np.ndarray, bins: int) -> np.ndarray:
+    """Equal-width bins over a signal's range, the last one closed; a constant signal's range is one wide."""
+    lo, hi = x.min(), x.max()
+    lo, hi = (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
+    return np.minimum(np.floor((x - lo) / (hi - lo) * bins).astype(np.int64), bins - 1)
+
+
+def mutual_information(recordings: DataFrame, bins: int | None = None) -> DataFrame:
+    """(subject, task, i, j, w) in bits over equal-width bins of each channel's own range, i <= j; i = j gives the entropy.
+
+    Bins are the rounded root of the number of samples. A group is one recording, whose channels are binned once each;
+    pairs are counted one by one.
     """
-    stats = samples.groupBy("task", "ch").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n"))
-    flat = F.col("lo") == F.col("hi")
-    stats = stats.select("task", "ch", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"), (F.lit(bins) if bins else F.bround(F.sqrt("n")).cast("int")).alias("nb"))
-    at = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("nb"))
-    binned = samples.join(F.broadcast(stats), ["task", "ch"]).select("task", "ch", "t", F.least(at, F.col("nb") - 1).alias("b"))
-    a, b = binned.toDF("task", "i", "t", "bi"), binned.toDF("task", "j", "t", "bj")
-    joint = a.join(b, ["task", "t"]).where("i <= j").groupBy("task", "i", "j", "bi", "bj").count()
-    from pyspark.sql import Window
-
-    pair = Window.partitionBy("task", "i", "j")
-    cells = joint.withColumn("n", F.sum("count").over(pair)).withColumn("ni", F.sum("count").over(pair.partitionBy("task", "i", "j", "bi"))).withColumn("nj", F.sum("count").over(pair.partitionBy("task", "i", "j", "bj")))
-    # H(i) + H(j) - H(i, j), each cell with its share of the three sums
-    c, n = F.col("count"), F.col("n")
-    return cells.groupBy("task", "i", "j").agg(F.sum(c / n * (F.log2(c / n) - F.log2(F.col("ni") / n) - F.log2(F.col("nj") / n))).alias("mi"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ch_idx")
+        n = min(map(len, pdf["signal"]))
+        nb = bins or max(1, round(n**0.5))
+        binned = [bin_numbers(np.asarray(x[:n], float), nb) for x in pdf["signal"]] if n else []
+        single = [entropy_bits(np.bincount(b, minlength=nb)) for b in binned]
+        ch, out = pdf["ch_idx"].tolist(), []
+        for i, a in enumerate(binned):
+            out.append((*key, ch[i], ch[i], single[i]))
+            out += [(*key, ch[i], ch[j], single[i] + single[j] - entropy_bits(np.bincount(a * nb + binned[j], minlength=nb * nb))) for j in range(i + 1, len(binned))]
+        return pd.DataFrame(out, columns=["subject", "task", "i", "j", "w"])
+
+    keyed = recordings.select(F.col("subject").cast("string"), F.col("task").cast("string"), F.col("ch_idx").cast("int"), "signal")
+    return keyed.groupBy("subject", "task").applyInPandas(run, EDGES)
+
+
+def mutual_information_edges(recordings: DataFrame, bins: int | None = None) -> DataFrame:
+    """Mutual information of channel pairs i < j as edges, for strength, betweenness and features like any other edges."""
+    return mutual_information(recordings, bins).where("i < j")
 
 
 def spectral_connectivity(recordings: DataFrame, sfreq: float, lo: float, hi: float, epoch_sec: float = 2.0, overlap: float = 0.5) -> DataFrame:
@@ -87,6 +106,14 @@ def spectral_connectivity(recordings: DataFrame, sfreq: float, lo: float, hi: fl
     return keyed.groupBy("subject", "task").applyInPandas(run, "subject string, task string, i int, j int, wpli double, coh double, plv double")
 
 
+def matrices(edges: DataFrame) -> DataFrame:
+    """(subject, task, nodes, matrix): edges i < j as symmetric matrices with a zero diagonal, rows in the order of ``nodes``."""
+    both = edges.select("subject", "task", "i", "j", "w").union(edges.select("subject", "task", "j", "i", "w"))
+    own = edges.select("subject", "task", F.explode(F.array("i", "j")).alias("i")).distinct().select("subject", "task", "i", F.col("i").alias("j"), F.lit(0.0).alias("w"))
+    rows = both.union(own).groupBy("subject", "task", "i").agg(F.sort_array(F.collect_list(F.struct("j", "w"))).alias("r"))
+    return rows.groupBy("subject", "task").agg(F.sort_array(F.collect_list(F.struct("i", "r"))).alias("m")).select("subject", "task", F.col("m.i").alias("nodes"), F.transform("m", lambda x: x["r"]["w"]).alias("matrix"))
+
+
 def threshold(edges: DataFrame, least: float = 0.2) -> DataFrame:
     """Weights under ``least`` become 0; a weight equal to it stays."""
     return edges.withColumn("w", F.when(F.col("w") < least, 0.0).otherwise(F.col("w")))
@@ -157,6 +184,25 @@ def graph_features(edges: DataFrame, least: float = 0.2) -> DataFrame:
 
 
 def graph_summary(edges: DataFrame, least: float = 0.2) -> DataFrame:
-    """(subject, task, n_edges, density) after the threshold."""
-    kept = threshold(edges, least).groupBy("subject", "task").agg(F.sum((F.col("w") > 0).cast("long")).alias("n_edges"), F.count("*").alias("_all"))
-    return kept.select("subject", "task", "n_edges", (F.col("n_edges") / F.col("_all")).alias("density"))
+    """(subject, task, n_edges, density, connected) after the threshold; a graph is connected if its edges reach all its nodes."""
+
+    def reached(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        root = {v: v for v in {*pdf["i"], *pdf["j"]}}
+
+        def find(v: int) -> int:
+            while root[v] != v:
+                root[v] = v = root[root[v]]
+            return v
+
+        for i, j in pdf.loc[pdf["w"] > 0, ["i", "j"]].itertuples(index=False):
+            root[find(i)] = find(j)
+        n = int((pdf["w"] > 0).sum())
+        return pd.DataFrame({"subject": [key[0]], "task": [key[1]], "n_edges": [n], "density": [n / len(pdf)], "connected": [len({find(v) for v in root}) == 1]})
+
+    return threshold(edges, least).groupBy("subject", "task").applyInPandas(reached, "subject string, task string, n_edges long, density double, connected boolean")
+
+
+def top_nodes(nodes: DataFrame, measure: str, k: int = 5) -> DataFrame:
+    """The k nodes of each (subject, task) with the largest ``measure``, ties by node."""
+    rank = F.row_number().over(Window.partitionBy("subject", "task").orderBy(F.desc(measure), "node"))
+    return nodes.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -23,12 +23,12 @@ def band_powers(psd: DataFrame, relative: bool = False, bands: dict[str, tuple[f
     return psd.select(*keys, F.explode(F.array(*each)).alias("_b")).select(*keys, "_b.band", "_b.power")
 
 
-def asymmetry(psd: DataFrame, left: str = "F3", right: str = "F4", lo: float = 8.0, hi: float = 13.0, db: bool = False) -> DataFrame:
-    """(subject, task, faa); null where a channel is missing. Only two channels' powers are shuffled."""
-    power = psd.where(F.col("channel").isin(left, right)).select("subject", "task", "channel", S.trapezoid(S.within(F.col("freq"), F.col("p"), lo, hi)).alias("a"))
-    sides = power.groupBy("subject", "task").agg(*[F.max(F.when(F.col("channel") == c, F.col("a"))).alias(n) for c, n in ((left, "l"), (right, "r"))])
-    found = sides.select("subject", "task", S.asymmetry(F.col("l"), F.col("r"), db).alias("faa"))
-    return psd.select("subject", "task").distinct().join(found, ["subject", "task"], "left")
+def asymmetry(psd: DataFrame, left: str = "F3", right: str = "F4", lo: float = 8.0, hi: float = 13.0, db: bool = False, by: tuple[str, ...] = ("subject", "task")) -> DataFrame:
+    """(``by``, faa); null where a channel is missing. Only two channels' powers are shuffled."""
+    power = psd.where(F.col("channel").isin(left, right)).select(*by, "channel", S.trapezoid(S.within(F.col("freq"), F.col("p"), lo, hi)).alias("a"))
+    sides = power.groupBy(*by).agg(*[F.max(F.when(F.col("channel") == c, F.col("a"))).alias(n) for c, n in ((left, "l"), (right, "r"))])
+    found = sides.select(*by, S.asymmetry(F.col("l"), F.col("r"), db).alias("faa"))
+    return psd.select(*by).distinct().join(found, list(by), "left")
 
 
 def metrics(psd: DataFrame, alpha: tuple[float, float] = (8.0, 13.0)) -> DataFrame:

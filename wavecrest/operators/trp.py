@@ -12,23 +12,32 @@ from wavecrest.operators.channels import hemisphere, region
 
 #: Names of resting tasks, the first present is the baseline.
 BASELINES = ("rest", "baseline", "eyes_closed", "ec", "eo", "eyes_open")
-#: Synonyms of modes, and of the two alpha bands.
-MODES = {"logratio": "logratio", "log-ratio": "logratio", "log10": "logratio", "ln": "ln", "log": "ln", "db": "db", "ratio": "ratio", "relative": "ratio"}
-LOWER_KEYS, UPPER_KEYS = ("lower_alpha", "alpha1", "low_alpha", "alpha_low"), ("upper_alpha", "alpha2", "high_alpha", "alpha_high")
+#: Names of each mode, and of the two alpha bands.
+MODES = {
+    "logratio": ("logratio", "log-ratio", "log_ratio", "lnratio", "ln-ratio"),
+    "log": ("log", "ln"),
+    "log10": ("log10", "log10-ratio", "log10_ratio"),
+    "db": ("db", "decibel"),
+    "ratio": ("ratio", "r"),
+}
+LOWER_KEYS = ("lower", "lower_alpha", "lower-alpha", "alpha_low", "alpha_lower", "8-10", "8_10", "low_alpha", "alpha8_10")
+UPPER_KEYS = ("upper", "upper_alpha", "upper-alpha", "alpha_high", "alpha_upper", "10-12", "10_12", "high_alpha", "alpha10_12")
 
 
 def canonical_mode(mode: str) -> str:
-    if mode.lower() not in MODES:
-        raise ValueError(f"unknown mode {mode!r}")
-    return MODES[mode.lower()]
+    """The mode that goes by a name, in any case of letters; an unknown name is in lower case itself."""
+    low = mode.lower()
+    return next((m for m, names in MODES.items() if low in names), low)
 
 
-def band_keys(bands: list[str], lower: str | None = None, upper: str | None = None) -> tuple[str, str] | None:
-    """The names of the lower and upper alpha band: those given, if both are, else the first known ones."""
+def band_keys(bands: list[str], lower: str | None = None, upper: str | None = None) -> tuple[str, str]:
+    """The names of the lower and upper alpha band: those given, if both are, else the first of ``bands`` with a known name."""
     if lower and upper:
         return lower, upper
-    found = [next((k for k in keys if k in bands), None) for keys in (LOWER_KEYS, UPPER_KEYS)]
-    return tuple(found) if all(found) else None
+    found = [next((b for b in bands if b.lower() in names), None) for names in (LOWER_KEYS, UPPER_KEYS)]
+    if None in found:
+        raise ValueError("no lower or upper alpha band; name both")
+    return found[0], found[1]
 
 
 def baselines(powers: DataFrame, baseline: str | None = None) -> DataFrame:
@@ -55,13 +64,16 @@ def transform(value: Column, form: str = "none") -> Column:
     return {"none": value, "db": 10 * F.log10(held), "log": F.ln(held), "log10": F.log10(held)}[form]
 
 
-def auto_transform(mode: str) -> str:
-    """Ratios are shown as logarithms, all else as it is."""
-    return "log" if canonical_mode(mode) == "ratio" else "none"
+def auto_transform(values: str, axis: str) -> str:
+    """The form in which ``values`` of one mode are shown on an axis of another: ratios as the logarithm or decibels the axis is in, all else as it is."""
+    axis = canonical_mode(axis)
+    if canonical_mode(values) != "ratio" or axis not in ("db", "log", "log10", "logratio"):
+        return "none"
+    return axis if axis in ("db", "log10") else "log"
 
 
-def region_means(trp: DataFrame, channels: DataFrame, exclude_midline: bool = True) -> DataFrame:
-    """(subject, task, band, hemisphere, region, value): a subject's mean over channels; midline channels have no side."""
+def region_means(trp: DataFrame, channels: DataFrame) -> DataFrame:
+    """(subject, task, band, hemisphere, region, value): a subject's mean over channels; midline channels have no side and never count."""
     places = channels.select("ch_idx", hemisphere(F.col("channel")).alias("hemisphere"), region(F.col("channel")).alias("region"))
     places = places.where("hemisphere <> 'MID'")
     return trp.join(F.broadcast(places), "ch_idx").groupBy("subject", "task", "band", "hemisphere", "region").agg(F.avg("trp").alias("value"))

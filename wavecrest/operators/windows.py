@@ -24,11 +24,10 @@ def smooth_labels(labels: DataFrame, half: int) -> DataFrame:
     """The commonest label within ``half`` samples; the own label wins ties it is in, else the first by name."""
     if half == 0:
         return labels.select("subject", "t", "label")
-    spread = labels.select("subject", F.explode(F.sequence(F.col("t") - half, F.col("t") + half)).alias("t"), F.col("label").alias("near"))
-    counts = spread.groupBy("subject", "t", "near").count()
-    joined = labels.join(counts, ["subject", "t"])
-    rank = F.struct((-F.col("count")).alias("n"), (F.col("near") != F.col("label")).cast("int").alias("other"), "near")
-    return joined.groupBy("subject", "t").agg(F.min(rank)["near"].alias("label"))
+    near = F.collect_list("label").over(Window.partitionBy("subject").orderBy("t").rangeBetween(-half, half))
+    held = labels.select("subject", "t", "label", near.alias("_near"))
+    counts = F.transform(F.array_distinct("_near"), lambda x: F.struct((-F.size(F.filter("_near", lambda y: y == x))).alias("n"), (x != F.col("label")).cast("int").alias("other"), x.alias("label")))
+    return held.select("subject", "t", F.array_min(counts)["label"].alias("label"))
 
 
 def merge_short(labels: list, least: int) -> list:
@@ -67,10 +66,13 @@ def regularise(labels: DataFrame, half: int = 3, least_samples: int = 1) -> Data
 
 
 def clip_windows(windows: DataFrame, n_times, least_samples: int) -> DataFrame:
-    """Windows cut to the recording; ``reason`` says why a window is too short to be used, else null."""
-    start, end = F.greatest(F.lit(0), F.col("start_sample")), F.least(n_times, F.col("end_sample"))
+    """Windows cut to the recording; ``reason`` says why a window is too short to be used, else null.
+
+    Both ends are held between 0 and ``n_times``, so a window outside the recording has no samples.
+    """
+    start, end = (F.greatest(F.lit(0), F.least(n_times, F.col(c))) for c in ("start_sample", "end_sample"))
     size = F.greatest(end - start, F.lit(0))
-    return windows.withColumns({"start_sample": start, "end_sample": end, "n_samples": size, "reason": F.when(size < least_samples, "too_short")})
+    return windows.withColumns({"start_sample": start, "end_sample": end, "n_samples": size, "reason": F.when(size < least_samples, "shorter_than_min_window_samples")})
 
 
 def timed(windows: DataFrame, sfreq: float) -> DataFrame:
@@ -87,10 +89,12 @@ def run_windows(labels: DataFrame, sfreq: float, half: int = 3, least_state_ms:
 
 def fine_groups(labels: DataFrame, group_samples: int, least_samples: int) -> DataFrame:
     """(subject, grp, n, hardness): the share in percent of a group's samples that lie in runs shorter than ``least_samples``."""
-    runs = label_runs(labels)
-    short = runs.where(F.col("end_sample") - F.col("start_sample") < least_samples).select("subject", F.explode(F.sequence("start_sample", F.col("end_sample") - 1)).alias("t"), F.lit(1).alias("short"))
+    order = Window.partitionBy("subject").orderBy("t")
+    before = F.lag("label").over(order)
+    marked = labels.withColumn("_new", (before.isNull() | (before != F.col("label"))).cast("int")).withColumn("_run", F.sum("_new").over(order))
+    sized = marked.withColumn("_size", F.count("*").over(Window.partitionBy("subject", "_run")))
     grp = F.floor(F.col("t") / group_samples)
-    return labels.join(short, ["subject", "t"], "left").groupBy("subject", grp.alias("grp")).agg(F.count("*").alias("n"), (100.0 * F.count("short") / F.count("*")).alias("hardness"))
+    return sized.groupBy("subject", grp.alias("grp")).agg(F.count("*").alias("n"), (100.0 * F.count_if(F.col("_size") < least_samples) / F.count("*")).alias("hardness"))
 
 
 def macro_windows(groups: DataFrame, size: int, stride: int) -> DataFrame:
@@ -154,10 +158,22 @@ def window_signals(recordings: DataFrame, windows: DataFrame) -> DataFrame:
     return joined.withColumn("signal", F.slice("signal", F.col("start_sample").cast("int") + 1, (F.col("end_sample") - F.col("start_sample")).cast("int"))).drop("start_sample", "end_sample")
 
 
-def fit_labels(recordings: DataFrame, n_maps: int = 4, n_runs: int = 25, seed: int = 0, peaks_only: bool = True) -> DataFrame:
+def apart(at: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
+    """The positions left when, from the highest on, each takes away all closer to it than ``distance``."""
+    keep = np.ones(len(at), bool)
+    for k in np.argsort(-height[at], kind="stable").tolist():
+        if keep[k]:
+            near = np.abs(at - at[k]) < distance
+            near[k] = False
+            keep[near] = False
+    return at[keep]
+
+
+def fit_labels(recordings: DataFrame, n_maps: int = 4, n_runs: int = 25, seed: int = 0, peaks_only: bool = True, n_std: float = 3.0, distance: int = 10) -> DataFrame:
     """(subject, t, label) from maps fitted to a recording's peaks of global field power, whatever their sign.
 
-    Modified k-means over peaks, the run with most explained variance, then every sample takes the map
+    Peaks within ``n_std`` deviations of the mean of all and ``distance`` samples apart at least, higher ones first, are clustered by modified k-means;
+    of ``n_runs`` the run with most explained variance counts, and every sample takes the map
     with the largest absolute correlation. A group is one recording.
     """
 
@@ -166,6 +182,8 @@ def fit_labels(recordings: DataFrame, n_maps: int = 4, n_runs: int = 25, seed: i
         x = x - x.mean(axis=0)
         power = x.std(axis=0)
         inner = np.flatnonzero((power[1:-1] > power[:-2]) & (power[1:-1] >= power[2:])) + 1
+        inner = inner[np.abs(power[inner] - power.mean()) <= n_std * power.std()]
+        inner = apart(inner, power, distance)
         at = inner if peaks_only and len(inner) >= n_maps else np.arange(x.shape[1])
         y = x[:, at] / np.maximum(np.linalg.norm(x[:, at], axis=0), 1e-300)
         rng, best = np.random.default_rng(seed), (-1.0, None)

@@ -156,9 +156,35 @@ def with_channels(recordings: DataFrame, channels: DataFrame) -> DataFrame:
     return joined.withColumn("channel", F.when(F.col("_n") == n, F.col("channel")).otherwise(F.concat(F.lit("Ch"), F.col("ch_idx") + 1))).drop("_n")
 
 
-def read_trp_summaries(spark: SparkSession, path: str, glob: str = "trp_1_rest.json") -> DataFrame:
-    """(subject, baseline, mode, task, band, ch_idx, value) of summary files below a folder, each file once."""
-    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("file"), "value")
-    doc = F.from_json("value", "baseline string, mode string, bands map<string,map<string,array<double>>>")
-    tasks = text.select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("subject"), doc.alias("d")).select("subject", "d.baseline", "d.mode", F.explode("d.bands").alias("task", "bands"))
-    return tasks.select("subject", "baseline", "mode", "task", F.explode("bands").alias("band", "values")).select("subject", "baseline", "mode", "task", "band", F.posexplode("values").alias("ch_idx", "value"))
+_SUMMARY = """baseline string, mode string, channel_order array<string>, bands map<string,map<string,array<double>>>,
+by_channel map<string,map<string,map<string,array<double>>>>"""
+
+
+def read_trp_summaries(spark: SparkSession, path: str | None = None, glob: str = "trp_1_rest.json", files: list[str] = ()) -> DataFrame:
+    """(file, subject, baseline, mode, task, band, ch_idx, channel, value) of named files and of those below a folder, each file once.
+
+    A file with ``by_channel`` lists a value of each of several subjects by channel name; one with ``bands`` has a value of each channel in
+    order, of one subject, and names them if it has ``channel_order``. Values without a name have ``ch_idx`` only, and the other way round.
+    """
+    sources = [spark.read.text(list(files), wholetext=True)] if files else []
+    if path is not None:
+        sources.append(spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob))
+    texts = [x.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", _SUMMARY).alias("d")) for x in sources]
+    text = (texts[0].union(texts[1]) if len(texts) > 1 else texts[0]).dropDuplicates(["file"])
+    subject = F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)
+    head = text.select("file", subject.alias("subject"), "d.baseline", "d.mode", "d.channel_order", "d.bands", "d.by_channel")
+    keys = ["file", "subject", "baseline", "mode"]
+    plain = head.where("by_channel is null").select(*keys, "channel_order", F.explode("bands").alias("task", "bands")).select(*keys, "channel_order", "task", F.explode("bands").alias("band", "values"))
+    plain = plain.select(*keys, "channel_order", "task", "band", F.posexplode("values").alias("k", "value"))
+    plain = plain.select(*keys, "task", "band", F.when(F.col("channel_order").isNull(), F.col("k")).alias("ch_idx"), F.get("channel_order", "k").alias("channel"), "value")
+    named = head.select(*keys, F.explode("by_channel").alias("task", "bands")).select(*keys, "task", F.explode("bands").alias("band", "channels")).select(*keys, "task", "band", F.explode("channels").alias("channel", "values"))
+    named = named.select(*keys, "task", "band", "channel", F.posexplode("values").alias("k", "value"))
+    named = named.withColumns({"subject": F.concat_ws("#", "subject", "k"), "ch_idx": F.lit(None).cast("int")}).select(plain.columns)
+    return plain.union(named)
+
+
+def placed(values: DataFrame, channels: DataFrame) -> DataFrame:
+    """Values with the place in ``channels`` of those that only have a channel's name; names that aren't there go."""
+    own = channels.select(F.col("ch_idx").alias("_place"), F.col("channel").alias("_name"))
+    joined = values.join(F.broadcast(own), F.col("channel") == F.col("_name"), "left")
+    return joined.withColumn("ch_idx", F.coalesce("ch_idx", "_place")).where("ch_idx is not null").drop("_place", "_name")
