@@ -95,11 +95,14 @@ def test_stats_of_groups(spark):
 def test_cz(spark):
     x = np.random.default_rng(42).normal(size=(63, 20))
     rec = spark.createDataFrame([("s", "t", k, r.tolist()) for k, r in enumerate(x)] + [("s64", "t", 0, [1.0])], "subject string, task string, ch_idx int, signal array<double>")
-    long = R.samples(rec)
-    after = channels.interpolate_cz(long)
-    assert all(r.ok for r in channels.verify_cz(long.where("subject = 's'"), after.where("subject = 's'")).collect())
-    cz = [r.x for r in after.where("ch_idx = 23 and subject = 's'").orderBy("t").collect()]
+    after = channels.interpolate_cz(rec)
+    checked = channels.verify_cz(rec.where("subject = 's'"), after.where("subject = 's'")).collect()
+    assert len(checked) == 3 and all(r.ok for r in checked)
+    wrong = after.where("subject = 's'").withColumn("signal", F.when(F.col("ch_idx") == 30, F.slice("signal", 1, 5)).otherwise(F.col("signal")))
+    assert {r.block: r.ok for r in channels.verify_cz(rec.where("subject = 's'"), wrong).collect()} == {"before": True, "cz": True, "after": False}
+    cz = after.where("ch_idx = 23 and subject = 's'").first().signal
     assert np.allclose(cz, x[list(channels.CZ_NEIGHBOURS)].mean(axis=0), atol=1e-12)
+    assert "Generate" not in after._jdf.queryExecution().executedPlan().toString()
     assert after.where("subject = 's64'").count() == 1
 
 
@@ -117,6 +120,72 @@ def test_wpli_and_graph(spark):
     assert len(connectivity.graph_features(edges, 0.2).first().features) == 10
 
 
+def test_mutual_information_by_subject(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2, 3, 100))
+    x[1, 2] = 4.0
+    rows = [(s, "t", k, x[i, k].tolist()) for i, s in enumerate(("a", "b")) for k in range(3)]
+    rec = spark.createDataFrame(rows, "subject string, task string, ch_idx int, signal array<double>")
+
+    def entropy(*cells):
+        n = np.unique(np.stack(cells), axis=1, return_counts=True)[1] / 100
+        return -(n * np.log2(n)).sum()
+
+    got = {(r.subject, r.i, r.j): r.w for r in connectivity.mutual_information(rec).collect()}
+    assert len(got) == 12
+    for (s, i, j), w in got.items():
+        a, b = (np.digitize(v, np.histogram_bin_edges(v, 10)[1:-1]) for v in (x["ab".index(s), i], x["ab".index(s), j]))
+        assert w == pytest.approx(entropy(a) + entropy(b) - entropy(a, b), abs=1e-9)
+    found = pipelines.connectivity_analysis(rec.withColumn("task", F.lit("1_rest")), measure="mi", least=0.5)
+    assert found["edges"].where("i >= j").count() == 0 and found["edges"].count() == 6 and len(found["features"].first().features) == 6
+    m = found["matrix"].where("subject = 'a'").first()
+    assert m.nodes == [0, 1, 2] and m.matrix[0][1] == m.matrix[1][0] == pytest.approx(got["a", 0, 1]) and m.matrix[2][2] == 0
+
+
+def test_graph_summary_and_top_nodes(spark):
+    rows = [("s", "a", 0, 1, 0.9), ("s", "a", 1, 2, 0.1), ("s", "a", 0, 2, 0.3), ("s", "b", 0, 1, 0.9), ("s", "b", 1, 2, 0.1), ("s", "b", 0, 2, 0.1)]
+    edges = spark.createDataFrame(rows, connectivity.EDGES)
+    assert {r.task: (r.n_edges, round(r.density, 3), r.connected) for r in connectivity.graph_summary(edges).collect()} == {"a": (2, 0.667, True), "b": (1, 0.333, False)}
+    top = connectivity.top_nodes(connectivity.strength(edges), "strength", 2).where("task = 'a'").orderBy("rank").collect()
+    assert [r.node for r in top] == [0, 1]
+
+
+def test_detrended_phase_lag_ignores_lines(spark):
+    x = np.random.default_rng(3).normal(size=(3, 200))
+    t = np.arange(200.0)
+    rec = [spark.createDataFrame([("s", "t", k, (r + k * slope * t).tolist()) for k, r in enumerate(G.linear_detrend(x))], "subject string, task string, ch_idx int, signal array<double>") for slope in (0.0, 3.0)]
+    a, b = ([r.w for r in connectivity.phase_lag_edges(d, 100.0, None, None, detrend=True).orderBy("i", "j").collect()] for d in rec)
+    assert a == pytest.approx(b, abs=1e-9)
+
+
+def test_classifiers_learn_and_are_cross_validated(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(240):
+        x = rng.normal(size=2)
+        r = 0.5 if i % 2 else 2.5
+        rows.append((i, "inner" if i % 2 else "outer", (x / np.linalg.norm(x) * (r + rng.normal() * 0.1)).tolist()))
+    features = spark.createDataFrame(rows, "sample_id long, label string, features array<double>")
+    got = pipelines.train_classifiers(features, cv_folds=3)
+    assert set(got) == {f"{m}_{w}" for m in ("knn", "mlp", "svm") for w in ("confusion", "report", "folds", "summary")}
+    for model in ("knn", "svm", "mlp"):
+        s = got[f"{model}_summary"].first()
+        assert s.n == 48 and s.accuracy > 0.9 and s.cv_mean > 0.9 and 0 <= s.cv_std < 0.1, (model, s)  # no line parts the rings
+        assert got[f"{model}_report"].agg(F.sum("support")).first()[0] == 48
+        assert sorted(r.n for r in got[f"{model}_folds"].collect()) == [64, 64, 64]
+
+
+def test_splits_rank_labels_in_order(spark):
+    rows = spark.range(500).select(F.col("id").alias("sample_id"), (F.col("id") % 3).alias("label"))
+    md5 = {i: __import__("hashlib").md5(f"{i}:42".encode()).hexdigest() for i in range(500)}
+    test = {r.sample_id for r in learn.split(rows).where("test").collect()}
+    fold = {r.sample_id: r.fold for r in learn.folds(rows).collect()}
+    for label in range(3):
+        order = sorted((i for i in range(500) if i % 3 == label), key=lambda i: md5[i])
+        assert {i for i in test if i % 3 == label} == set(order[: math.ceil(len(order) * 0.2)])
+        assert [fold[i] for i in order] == [k % 5 for k in range(len(order))]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=15, max_size=15))
 def test_betweenness_counts_shortest_paths(ws):
@@ -161,6 +230,23 @@ def test_dynamic_windows(spark):
     assert fitted.count() == 2000
 
 
+def test_labels_and_recordings_count_as_far_as_both_go(spark):
+    rec, labels = dynamic(spark)
+    longer = labels.union(spark.createDataFrame([("s", 2000 + i, 5) for i in range(300)], "subject string, t long, label int"))
+    got = pipelines.dynamic_windows(rec, longer, 100.0, "run", 128, 6.0, 0, 10.0)
+    assert got["windows"].count() == 0
+    assert [(r["index"], r.start_sample, r.end_sample, r.reason) for r in got["skipped"].orderBy("index").collect()] == [(k, 500 * k, 500 * k + 500, "shorter_than_min_window_samples") for k in range(4)]
+    assert pipelines.dynamic_windows(None, longer, 100.0, "run", 128, 1.0, 0, 10.0)["windows"].agg(F.max("end_sample")).first()[0] == 2300
+    psd = pipelines.dynamic_windows(rec, longer, 100.0, "run", 128, 1.0, 0, 10.0)
+    assert [round(r.faa, 6) for r in psd["faa"].orderBy("window_index").collect()] == [round(math.log(4), 6)] * 4
+
+
+def test_peaks_are_apart():
+    height = np.array([0, 5, 4, 6, 0, 3, 0, 1.0])
+    assert windows.apart(np.array([1, 2, 3, 5, 7]), height, 2).tolist() == [1, 3, 5, 7]
+    assert windows.apart(np.array([1, 2, 3, 5, 7]), height, 3).tolist() == [3, 7]
+
+
 def test_segments_cover_the_protocol(spark):
     labels = spark.createDataFrame([("s", i, int(v)) for i, v in enumerate(np.random.default_rng(0).integers(0, 4, 5000))], "subject string, t long, label int")
     parts = windows.segment(labels, 500.0, 1.0, (2, 2), 3, 0.0, 0, 10.0).orderBy("start_sec").collect()
@@ -179,7 +265,15 @@ def test_trp_rules(spark):
     for bad in ("New", "New=z*"):
         with pytest.raises(ValueError):
             trp.parse_merges([bad], ["a"])
-    assert trp.band_keys(["alpha1", "alpha2"]) == ("alpha1", "alpha2") and trp.canonical_mode("LogRatio") == "logratio"
+    assert trp.band_keys(["theta", "8-10", "Alpha_High"]) == ("8-10", "Alpha_High") and trp.band_keys([], "a", "b") == ("a", "b")
+    with pytest.raises(ValueError):
+        trp.band_keys(["lower_alpha"], "a")
+    names = {"LogRatio": "logratio", "ln-ratio": "logratio", "LN": "log", "log10_ratio": "log10", "Decibel": "db", "r": "ratio", "Other": "other"}
+    assert {k: trp.canonical_mode(k) for k in names} == names
+    forms = {("ratio", "db"): "db", ("ratio", "log10"): "log10", ("r", "logratio"): "log", ("ratio", "ln"): "log", ("ratio", "ratio"): "none", ("logratio", "db"): "none", ("db", "log"): "none"}
+    assert {k: trp.auto_transform(*k) for k in forms} == forms
+    df = spark.createDataFrame([("XY1",), ("FC3",), ("CPz",)], "c string")
+    assert [(r.r, r.h) for r in df.select(channels.region(F.col("c")).alias("r"), channels.hemisphere(F.col("c")).alias("h")).collect()] == [("central", "LH"), ("frontal", "LH"), ("central", "MID")]
 
 
 def test_task_classes(spark):
@@ -248,6 +342,23 @@ def test_command_line(spark, tmp_path):
     np.save(tmp_path / "e.npy", rng.normal(size=(2000, 2)))
     cli.main(["dynamic-window", "--mode", "run", "--sfreq", "100", "--out-dir", str(tmp_path / "dw"), "--labels-npy", str(tmp_path / "l.npy"), "--eeg-npy", str(tmp_path / "e.npy"), "--nperseg", "128"])
     assert spark.read.parquet(str(tmp_path / "dw" / "metrics")).count() == 8
+    assert spark.read.parquet(str(tmp_path / "dw" / "faa")).where("faa is null").count() == 4
+    cli.main(["dynamic-window", "--mode", "run", "--sfreq", "100", "--out-dir", str(tmp_path / "dw0"), "--labels-npy", str(tmp_path / "l.npy")])
+    assert spark.read.parquet(str(tmp_path / "dw0" / "windows")).count() == 4 and not (tmp_path / "dw0" / "metrics").exists()
+    cli.main(["dynamic-window", "--mode", "run", "--sfreq", "64", "--out-dir", str(tmp_path / "dw1"), "--input", str(tmp_path / "in"), "--task", "1_rest", "--min-window-sec", "0.1", "--ms-all-samples", "--save-psd"])
+    assert spark.read.parquet(str(tmp_path / "dw1" / "computed_labels")).count() == 128 and (tmp_path / "dw1" / "psd").exists()
+    cli.main(["convert-json", "--input", str(tmp_path / "in"), "--out-dir", str(tmp_path / "cj")])
+    again = pipelines.load(spark, str(next((tmp_path / "cj").glob("subject=s1/*.txt")).rename(tmp_path / "again.json")))
+    assert again.count() == 2 * 64
+    for k, mode in enumerate(("ratio", "db")):
+        folder = tmp_path / "sum" / f"p{k}"
+        folder.mkdir(parents=True)
+        bands = {b: {c: [2.0, 4.0] for c in R.CHANNELS_64} for b in ("8-10", "10-12", "theta")}
+        one = {"mode": mode, "baseline": "1_rest"} | ({"by_channel": {"x": bands}} if k else {"bands": {"x": {b: [1.0] * 64 for b in ("8-10", "10-12", "theta")}}})
+        (folder / "trp_1_rest.json").write_text(json.dumps(one))
+    cli.main(["plot-trp", "--summary-dir", str(tmp_path / "sum"), "--summary", str(tmp_path / "sum" / "p0" / "trp_1_rest.json"), "--mode", "db", "--out-dir", str(tmp_path / "plot"), "--exclude-midline"])
+    plot = spark.read.parquet(str(tmp_path / "plot" / "plot")).collect()
+    assert {r.band for r in plot} == {"8-10", "10-12"} and all(r.n == 3 and r["mean"] == pytest.approx(10 * math.log10(8) / 3) for r in plot)
     cli.main(["segment-protocol", "--sfreq", "100", "--out-dir", str(tmp_path / "sp"), "--labels-npy", str(tmp_path / "l.npy")])
     assert spark.read.parquet(str(tmp_path / "sp" / "segments")).count() >= 1
 

@@ -28,11 +28,11 @@ def montage_regions(spark, sf):
 
 
 def cz_interpolate(spark, sf):
-    return channels.interpolate_cz(samples(embedding_signals(spark, sf))).select("subject", "task", "ch_idx", F.col("t").cast("long").alias("t"), _r(F.col("x")).alias("x"))
+    return samples(channels.interpolate_cz(embedding_signals(spark, sf))).select("subject", "task", "ch_idx", F.col("t").cast("long").alias("t"), _r(F.col("x")).alias("x"))
 
 
 def cz_verify(spark, sf):
-    before = samples(embedding_signals(spark, sf))
+    before = embedding_signals(spark, sf)
     return channels.verify_cz(before, channels.interpolate_cz(before)).select("subject", "task", "block", "ok")
 
 
@@ -121,7 +121,12 @@ def wpli_edges_bandpass(spark, sf):
 
 
 def mutual_information(spark, sf):
-    return connectivity.mutual_information(event_samples(spark, sf)).select("task", "i", "j", _r(F.col("mi"), 6).alias("mi"))
+    return connectivity.mutual_information(_event_recordings(spark, sf)).select("task", "i", "j", _r(F.col("w"), 6).alias("mi"))
+
+
+def mi_graph_features(spark, sf):
+    edges = connectivity.mutual_information_edges(_event_recordings(spark, sf))
+    return connectivity.graph_features(edges, 0.7).select("task", F.transform("features", lambda x: F.round(x, 6) + 0.0).alias("features"))
 
 
 def spectral_connectivity(spark, sf):
@@ -146,7 +151,15 @@ def graph_features(spark, sf):
 
 
 def graph_summary(spark, sf):
-    return connectivity.graph_summary(_edges(spark, sf), 0.05).select("task", "n_edges", _r(F.col("density")).alias("density"))
+    return connectivity.graph_summary(_edges(spark, sf), 0.05).select("task", "n_edges", _r(F.col("density")).alias("density"), "connected")
+
+
+def top_strength(spark, sf):
+    return connectivity.top_nodes(connectivity.strength(_edges(spark, sf)), "strength", 2).select("task", "node", _r(F.col("strength"), 6).alias("strength"), "rank")
+
+
+def connectivity_matrix(spark, sf):
+    return connectivity.matrices(_edges(spark, sf)).select("task", "nodes", F.transform("matrix", lambda x: F.transform(x, lambda y: F.round(y, 6) + 0.0)).alias("matrix"))
 
 
 def label_runs(spark, sf):
@@ -255,6 +268,11 @@ def knn_summary(spark, sf):
     return learn.summary(_knn(spark, sf)).select(_r(F.col("accuracy")).alias("accuracy"), "n")
 
 
+def knn_folds(spark, sf):
+    scaled = learn.standardise(_samples(spark, sf)).where(~F.col("test")).drop("test")
+    return learn.cross_validate(scaled, "knn").select("fold", _r(F.col("accuracy")).alias("accuracy"), "n")
+
+
 def knn_report(spark, sf):
     return learn.report(_knn(spark, sf)).select("label", *[_r(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
 
@@ -280,9 +298,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         montage_regions, cz_interpolate, cz_verify, welch_psd, band_power_abs, band_power_rel, spectral_entropy, spectral_moments, spectral_edge_95, median_frequency, peak_alpha,
-        alpha_asymmetry, trp_region_mean_sem, trp_collapsed_merged, wpli_edges, wpli_edges_bandpass, mutual_information, spectral_connectivity, node_strength, threshold_edges,
-        node_betweenness, graph_features, graph_summary, label_runs, label_smooth, run_windows, fine_groups, macro_windows, segmentation, window_metrics, anova_groups, anova_f, anova_p,
-        select_features, bonferroni_t, tukey_q, tukey_p, stratified_split, stratified_folds, standardise, knn_predict, knn_confusion, knn_summary, knn_report, mlp_report, svm_report,
+        alpha_asymmetry, trp_region_mean_sem, trp_collapsed_merged, wpli_edges, wpli_edges_bandpass, mutual_information, mi_graph_features, spectral_connectivity, node_strength, threshold_edges,
+        node_betweenness, graph_features, graph_summary, top_strength, connectivity_matrix, label_runs, label_smooth, run_windows, fine_groups, macro_windows, segmentation, window_metrics, anova_groups, anova_f, anova_p,
+        select_features, bonferroni_t, tukey_q, tukey_p, stratified_split, stratified_folds, standardise, knn_predict, knn_confusion, knn_summary, knn_folds, knn_report, mlp_report, svm_report,
         task_classes, nonfinite_to_null,
     )
 }

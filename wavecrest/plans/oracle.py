@@ -11,7 +11,7 @@ _MONTAGE = "montage AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{c}')" for
 _PLACES = """places AS (SELECT ch_idx, channel,
   CASE WHEN lower(channel) LIKE '%z' OR NOT regexp_matches(channel, '[0-9]$') THEN 'MID' WHEN CAST(regexp_extract(channel, '([0-9]+)$', 1) AS INT) % 2 = 1 THEN 'LH' ELSE 'RH' END AS hemisphere,
   CASE WHEN upper(channel) LIKE 'F%' OR upper(channel) LIKE 'AF%' THEN 'frontal' WHEN upper(channel) LIKE 'C%' THEN 'central' WHEN upper(channel) LIKE 'T%' THEN 'temporal'
-    WHEN upper(channel) LIKE 'P%' THEN 'parietal' WHEN upper(channel) LIKE 'O%' THEN 'occipital' ELSE 'other' END AS region FROM montage)"""
+    WHEN upper(channel) LIKE 'P%' THEN 'parietal' WHEN upper(channel) LIKE 'O%' THEN 'occipital' ELSE 'central' END AS region FROM montage)"""
 _SIG = """sig AS (SELECT vec_id // 126 AS subject, CASE WHEN vec_id % 126 < 63 THEN '1_rest' ELSE '1_idea generation' END AS task, CAST(vec_id % 63 AS INT) AS ch_idx, embedding
   FROM embeddings WHERE vec_id // 126 IN (SELECT vec_id // 126 FROM embeddings GROUP BY 1 HAVING count(*) = 126)),
 smp AS (SELECT subject, task, ch_idx, t, CAST(embedding[t + 1] AS DOUBLE) AS x FROM sig, (SELECT unnest(range(64)) AS t))"""
@@ -64,10 +64,16 @@ _EDGES = """fx AS (SELECT task, ci, b, sum(x * cos(2 * pi() * ((b * t) % 240) /
 hil AS (SELECT task, ci, t, sum(CASE WHEN b IN (0, 120) THEN 1 ELSE 2 END * (re * cos(2 * pi() * ((b * t) % 240) / 240) - im * sin(2 * pi() * ((b * t) % 240) / 240))) / 240 AS re,
   sum(CASE WHEN b IN (0, 120) THEN 1 ELSE 2 END * (re * sin(2 * pi() * ((b * t) % 240) / 240) + im * cos(2 * pi() * ((b * t) % 240) / 240))) / 240 AS im FROM fx, (SELECT unnest(range(240)) AS t) GROUP BY ALL),
 edges AS (SELECT a.task, a.ci AS i, b.ci AS j, CASE WHEN avg(abs(a.im * b.re - a.re * b.im)) < 1e-15 THEN 0 ELSE abs(avg(a.im * b.re - a.re * b.im)) / avg(abs(a.im * b.re - a.re * b.im)) END AS w
-  FROM hil a JOIN hil b ON a.task = b.task AND a.t = b.t AND a.ci < b.ci GROUP BY ALL),
-thr AS (SELECT task, i, j, CASE WHEN w < 0.05 THEN 0 ELSE w END AS w FROM edges),
+  FROM hil a JOIN hil b ON a.task = b.task AND a.t = b.t AND a.ci < b.ci GROUP BY ALL)"""
+
+
+def _graph(least: float) -> str:
+    return f"""thr AS (SELECT task, i, j, CASE WHEN w < {least} THEN 0 ELSE w END AS w FROM edges),
 nodes AS (SELECT task, node FROM (SELECT task, i AS node FROM edges UNION SELECT task, j FROM edges)),
 str AS (SELECT task, node, sum(w) AS strength FROM (SELECT task, i AS node, w FROM edges UNION ALL SELECT task, j, w FROM edges) GROUP BY ALL)"""
+
+
+_THR = _graph(0.05)
 _BETWEEN = """arcs AS (SELECT task, i AS a, j AS b, 1 / w AS d FROM thr WHERE w > 0 UNION ALL SELECT task, j, i, 1 / w FROM thr WHERE w > 0),
 walk AS (SELECT task, a AS s, b AS e, [a, b] AS path, d FROM arcs UNION ALL SELECT w.task, s, b, list_append(path, b), w.d + arcs.d FROM walk w JOIN arcs ON w.task = arcs.task AND w.e = arcs.a WHERE NOT list_contains(path, b)),
 best AS (SELECT *, min(d) OVER (PARTITION BY task, s, e) AS m FROM walk),
@@ -81,6 +87,16 @@ _GROUPS5 = """grp AS (SELECT rid.subject, rid.t // 5 AS grp, count(*) AS n, 100.
 _FEAT = "ft AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, l_returnflag AS label, {c} AS value FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + ")"
 _STATS = """gs AS (SELECT feature, label, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, var_pop(value) * count(value) AS ss FROM ft GROUP BY ALL),
 an AS (SELECT feature, count(*) - 1 AS df_b, CAST(sum(n) - count(*) AS BIGINT) AS df_w, (sum(n * mean * mean) - sum(n * mean) * sum(n * mean) / sum(n)) / (count(*) - 1) / (sum(ss) / (sum(n) - count(*))) AS f, sum(ss) / (sum(n) - count(*)) AS msw FROM gs GROUP BY feature)"""
+# three groups: F with two degrees of freedom has a closed tail; the range of three means by quadrature over place z and scale s
+_RANGE = """zg AS (SELECT i, -9 + i * 0.005e0 AS z, exp(-pow(-9 + i * 0.005e0, 2) / 2) / sqrt(2 * pi()) AS phi FROM (SELECT unnest(range(3601)) AS i)),
+zc AS (SELECT i, phi, sum(phi) OVER (ORDER BY i) * 0.005e0 - phi * 0.0025e0 AS c FROM zg),
+qs AS (SELECT a.feature, a.label AS g1, b.label AS g2, abs(a.mean - b.mean) / sqrt(msw / 2 * (1e0 / a.n + 1e0 / b.n)) AS q, df_w FROM gs a JOIN gs b ON a.feature = b.feature AND a.label < b.label JOIN an ON an.feature = a.feature),
+ss AS (SELECT *, 1 + (m - 60) / 60e0 * 8 / sqrt(2e0 * df_w) AS s, 8 / sqrt(2e0 * df_w) / 60 AS h FROM qs, (SELECT unnest(range(121)) AS m)),
+sd AS (SELECT *, exp(df_w / 2e0 * ln(df_w) - lgamma(df_w / 2e0) - (df_w / 2e0 - 1) * ln(2e0) + (df_w - 1) * ln(s) - df_w * s * s / 2) AS w FROM ss),
+sz AS (SELECT sd.*, zc.phi, zc.c, CAST(floor(zc.i - q * s / 0.005e0) AS BIGINT) AS lo, zc.i - q * s / 0.005e0 - floor(zc.i - q * s / 0.005e0) AS part FROM sd, zc),
+sr AS (SELECT feature, g1, g2, m, any_value(w) AS w, any_value(h) AS h, sum(3 * phi * pow(sz.c - (coalesce(x.c, 0) * (1 - part) + coalesce(y.c, 0) * part), 2)) * 0.005e0 AS below
+  FROM sz LEFT JOIN (SELECT i, c FROM zc) x ON x.i = lo LEFT JOIN (SELECT i, c FROM zc) y ON y.i = lo + 1 GROUP BY ALL),
+tk AS (SELECT feature, g1, g2, least(1e0, greatest(0e0, 1 - sum(w * h * below))) AS p FROM sr GROUP BY ALL)"""
 _SPLIT = """spl AS (SELECT vec_id AS sample_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id) <= ceil(count(*) OVER (PARTITION BY label) * 0.2e0) AS test FROM embeddings)"""
 _SCALED = """lg AS (SELECT sample_id, label, test, k, CAST(embedding[k + 1] AS DOUBLE) AS v FROM spl, (SELECT CAST(unnest(range(64)) AS INT) AS k)),
 sc AS (SELECT k, avg(v) AS m, CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END AS s FROM lg WHERE NOT test GROUP BY k),
@@ -90,6 +106,12 @@ dd AS (SELECT q.sample_id, q.label, t.label AS near, row_number() OVER (PARTITIO
 vt AS (SELECT sample_id, label, near, count(*) AS c FROM dd WHERE r <= 5 GROUP BY ALL),
 knn AS (SELECT sample_id, label, arg_min(near, -c * 1000 + near) AS predicted FROM vt GROUP BY ALL)"""
 
+_FOLDS = """fd AS (SELECT sample_id, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(CAST(sample_id AS VARCHAR) || ':42'), sample_id) - 1) % 5 AS INT) AS fold FROM spl WHERE NOT test),
+zf AS (SELECT sample_id, any_value(label) AS label, any_value(fold) AS fold, list(v ORDER BY k) AS v FROM z JOIN fd USING (sample_id) GROUP BY sample_id),
+df AS (SELECT q.sample_id, q.label, q.fold, t.label AS near, row_number() OVER (PARTITION BY q.sample_id ORDER BY list_distance(q.v, t.v), t.sample_id) AS r FROM zf q JOIN zf t ON q.fold <> t.fold),
+vf AS (SELECT sample_id, label, fold, near, count(*) AS c FROM df WHERE r <= 5 GROUP BY ALL),
+kf AS (SELECT sample_id, label, fold, arg_min(near, -c * 1000 + near) AS predicted FROM vf GROUP BY ALL)"""
+
 _EVW = "wx AS (SELECT CAST(h // 120 AS INT) AS window_index, ci AS ch_idx, h % 120 AS t, x FROM ev)"
 _SC = """ep AS (SELECT ci, k, h - k * 100 AS j, x * (0.5e0 - 0.5e0 * cos(2 * pi() * (h - k * 100) / 200)) AS y FROM ev, (SELECT unnest(range(6)) AS k) WHERE h BETWEEN k * 100 AND k * 100 + 199),
 sf AS (SELECT ci, k, b, sum(y * cos(2 * pi() * b * j / 200)) AS re, -sum(y * sin(2 * pi() * b * j / 200)) AS im FROM ep, (SELECT unnest(range(16, 27)) AS b) GROUP BY ALL),
@@ -97,6 +119,12 @@ cs AS (SELECT a.ci AS i, b.ci AS j, a.b, a.re * b.re + a.im * b.im AS re, a.im *
 sb AS (SELECT i, j, b, abs(avg(im)) / avg(abs(im)) AS wpli, sqrt(avg(re) * avg(re) + avg(im) * avg(im)) / sqrt(avg(pa) * avg(pb)) AS coh,
   sqrt(pow(avg(re / sqrt(re * re + im * im)), 2) + pow(avg(im / sqrt(re * re + im * im)), 2)) AS plv FROM cs GROUP BY ALL)"""
 
+_MI = """st AS (SELECT task, ci, min(x) AS lo, max(x) AS hi, CAST(round_even(sqrt(count(*)), 0) AS INT) AS nb FROM ev GROUP BY ALL),
+bn AS (SELECT task, ci, t, least(CAST(floor((x - lo) / (hi - lo) * nb) AS INT), nb - 1) AS b FROM ev JOIN st USING (task, ci)),
+jt AS (SELECT p.task, p.ci AS i, q.ci AS j, p.b AS bi, q.b AS bj, count(*) AS c FROM bn p JOIN bn q ON p.task = q.task AND p.t = q.t AND p.ci <= q.ci GROUP BY ALL),
+cl AS (SELECT *, sum(c) OVER (PARTITION BY task, i, j) AS n, sum(c) OVER (PARTITION BY task, i, j, bi) AS ni, sum(c) OVER (PARTITION BY task, i, j, bj) AS nj FROM jt),
+mi AS (SELECT task, i, j, sum(c / n * (log2(c / n) - log2(ni / n) - log2(nj / n))) AS w FROM cl GROUP BY ALL)"""
+
 ORACLE_SQL = {
     "montage_regions": _with(_MONTAGE, _PLACES) + "SELECT CAST(ch_idx AS INT) AS ch_idx, channel, hemisphere, region FROM places",
     "cz_interpolate": _with(_SIG) + f"SELECT subject, task, CAST(ch_idx + CASE WHEN ch_idx >= {CZ} THEN 1 ELSE 0 END AS INT) AS ch_idx, CAST(t AS BIGINT) AS t, round(x, 9) + 0.0e0 AS x FROM smp UNION ALL SELECT subject, task, CAST({CZ} AS INT), CAST(t AS BIGINT), round(avg(x), 9) + 0.0e0 FROM smp WHERE ch_idx IN {CZ_NEIGHBOURS} GROUP BY subject, task, t",
@@ -118,13 +146,16 @@ ORACLE_SQL = {
     "trp_region_mean_sem": _with(_MONTAGE, _PLACES, _PSD, _POWER, _trp("logratio"), _MEANS) + f"SELECT task, band, hemisphere, region, {_SEM} FROM rm GROUP BY ALL",
     "trp_collapsed_merged": _with(_MONTAGE, _PLACES, _PSD, _POWER, _trp("logratio"), _MEANS, "cl AS (SELECT subject, 'ideas' AS task, band, region, avg(value) AS value FROM rm GROUP BY ALL)") + f"SELECT task, band, region, {_SEM} FROM cl GROUP BY ALL",
     "wpli_edges": _with(_EV, _EDGES) + "SELECT task, i, j, round(w, 9) + 0.0e0 AS w FROM edges",
-    "mutual_information": _with(_EV, "st AS (SELECT task, ch, min(x) AS lo, max(x) AS hi, CAST(round_even(sqrt(count(*)), 0) AS INT) AS nb FROM ev GROUP BY ALL)", "bn AS (SELECT task, ch, t, least(CAST(floor((x - lo) / (hi - lo) * nb) AS INT), nb - 1) AS b FROM ev JOIN st USING (task, ch))", "jt AS (SELECT p.task, p.ch AS i, q.ch AS j, p.b AS bi, q.b AS bj, count(*) AS c FROM bn p JOIN bn q ON p.task = q.task AND p.t = q.t AND p.ch <= q.ch GROUP BY ALL)", "cl AS (SELECT *, sum(c) OVER (PARTITION BY task, i, j) AS n, sum(c) OVER (PARTITION BY task, i, j, bi) AS ni, sum(c) OVER (PARTITION BY task, i, j, bj) AS nj FROM jt)") + "SELECT task, i, j, round(sum(c / n * (log2(c / n) - log2(ni / n) - log2(nj / n))), 6) + 0.0e0 AS mi FROM cl GROUP BY ALL",
+    "mutual_information": _with(_EV, _MI) + "SELECT task, i, j, round(w, 6) + 0.0e0 AS mi FROM mi",
+    "mi_graph_features": "WITH RECURSIVE " + ",\n".join((_EV, _MI, "edges AS (SELECT * FROM mi WHERE i < j)", _graph(0.7), _BETWEEN)) + "\nSELECT task, list_concat(list(round(betweenness, 6) + 0.0e0 ORDER BY node), list(round(strength, 6) + 0.0e0 ORDER BY node)) AS features FROM btw JOIN str USING (task, node) GROUP BY task",
     "spectral_connectivity": _with(_EV, _SC) + "SELECT i, j, round(avg(wpli), 6) + 0.0e0 AS wpli, round(avg(coh), 6) + 0.0e0 AS coh, round(avg(plv), 6) + 0.0e0 AS plv FROM sb GROUP BY i, j",
-    "node_strength": _with(_EV, _EDGES) + "SELECT task, node, round(strength, 6) + 0.0e0 AS strength FROM str",
-    "threshold_edges": _with(_EV, _EDGES) + "SELECT task, i, j, round(w, 6) + 0.0e0 AS w FROM thr",
-    "node_betweenness": "WITH RECURSIVE " + ",\n".join((_EV, _EDGES, _BETWEEN)) + "\nSELECT task, node, round(betweenness, 6) + 0.0e0 AS betweenness FROM btw",
-    "graph_features": "WITH RECURSIVE " + ",\n".join((_EV, _EDGES, _BETWEEN)) + "\nSELECT task, list_concat(list(round(betweenness, 6) + 0.0e0 ORDER BY node), list(round(strength, 6) + 0.0e0 ORDER BY node)) AS features FROM btw JOIN str USING (task, node) GROUP BY task",
-    "graph_summary": _with(_EV, _EDGES) + "SELECT task, count(*) FILTER (WHERE w > 0) AS n_edges, round(count(*) FILTER (WHERE w > 0) / count(*), 9) + 0.0e0 AS density FROM thr GROUP BY task",
+    "node_strength": _with(_EV, _EDGES, _THR) + "SELECT task, node, round(strength, 6) + 0.0e0 AS strength FROM str",
+    "threshold_edges": _with(_EV, _EDGES, _THR) + "SELECT task, i, j, round(w, 6) + 0.0e0 AS w FROM thr",
+    "node_betweenness": "WITH RECURSIVE " + ",\n".join((_EV, _EDGES, _THR, _BETWEEN)) + "\nSELECT task, node, round(betweenness, 6) + 0.0e0 AS betweenness FROM btw",
+    "graph_features": "WITH RECURSIVE " + ",\n".join((_EV, _EDGES, _THR, _BETWEEN)) + "\nSELECT task, list_concat(list(round(betweenness, 6) + 0.0e0 ORDER BY node), list(round(strength, 6) + 0.0e0 ORDER BY node)) AS features FROM btw JOIN str USING (task, node) GROUP BY task",
+    "graph_summary": _with(_EV, _EDGES, _THR) + "SELECT task, count(*) FILTER (WHERE w > 0) AS n_edges, round(count(*) FILTER (WHERE w > 0) / count(*), 9) + 0.0e0 AS density, (WITH RECURSIVE reach(task, node) AS (SELECT n.task, min(n.node) FROM nodes n GROUP BY n.task UNION SELECT r.task, CASE WHEN e.i = r.node THEN e.j ELSE e.i END FROM reach r JOIN thr e ON e.task = r.task AND e.w > 0 AND r.node IN (e.i, e.j)) SELECT count(*) FROM reach WHERE reach.task = thr.task) = (SELECT count(*) FROM nodes WHERE nodes.task = thr.task) AS connected FROM thr GROUP BY task",
+    "top_strength": _with(_EV, _EDGES, _THR) + "SELECT task, node, round(strength, 6) + 0.0e0 AS strength, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY strength DESC, node) AS r FROM str) WHERE r <= 2",
+    "connectivity_matrix": _with(_EV, _EDGES, _THR, "cells AS (SELECT task, i, j, w FROM edges UNION ALL SELECT task, j, i, w FROM edges UNION ALL SELECT task, node, node, 0 FROM nodes)", "mrow AS (SELECT task, i, list(round(w, 6) + 0.0e0 ORDER BY j) AS r FROM cells GROUP BY task, i)") + "SELECT task, list(i ORDER BY i) AS nodes, list(r ORDER BY i) AS matrix FROM mrow GROUP BY task",
     "label_runs": _with(_LAB, _RUNS) + "SELECT subject, label, start_sample, end_sample FROM runs",
     "label_smooth": _with(_LAB, "nr AS (SELECT a.subject, a.t, a.label AS own, b.label AS near, count(*) AS c FROM lab a JOIN lab b ON a.subject = b.subject AND b.t BETWEEN a.t - 2 AND a.t + 2 GROUP BY ALL)", "rk AS (SELECT *, row_number() OVER (PARTITION BY subject, t ORDER BY c DESC, CASE WHEN near = own THEN 0 ELSE 1 END, near) AS r FROM nr)") + "SELECT subject, t, near AS label FROM rk WHERE r = 1",
     "fine_groups": _with(_LAB, _RUNS, _GROUPS5) + "SELECT subject, grp, n, round(hardness, 6) + 0.0e0 AS hardness FROM grp",
@@ -135,6 +166,8 @@ ORACLE_SQL = {
     "select_features": _with(_FEAT, _STATS) + "SELECT feature, round(f, 6) + 0.0e0 AS f FROM an ORDER BY an.f DESC, feature LIMIT 2",
     "bonferroni_t": _with(_FEAT, _STATS) + "SELECT a.feature, a.label AS g1, b.label AS g2, round(a.mean - b.mean, 6) + 0.0e0 AS diff, round((a.mean - b.mean) / sqrt((a.ss + b.ss) / (a.n + b.n - 2) * (1e0 / a.n + 1e0 / b.n)), 6) + 0.0e0 AS t, a.n + b.n - 2 AS df FROM gs a JOIN gs b ON a.feature = b.feature AND a.label < b.label",
     "tukey_q": _with(_FEAT, _STATS) + "SELECT a.feature, a.label AS g1, b.label AS g2, round(b.mean - a.mean, 6) + 0.0e0 AS diff, round(abs(a.mean - b.mean) / sqrt(msw / 2 * (1e0 / a.n + 1e0 / b.n)), 6) + 0.0e0 AS q FROM gs a JOIN gs b ON a.feature = b.feature AND a.label < b.label JOIN an ON an.feature = a.feature",
+    "anova_p": _with(_FEAT, _STATS) + "SELECT feature, round(pow(df_w / (df_w + 2e0 * f), df_w / 2e0), 6) + 0.0e0 AS p FROM an",
+    "tukey_p": _with(_FEAT, _STATS, _RANGE) + "SELECT feature, g1, g2, round(p, 4) + 0.0e0 AS p, p < 0.05 AS significant FROM tk",
     "stratified_split": _with(_SPLIT) + "SELECT sample_id, label, test FROM spl",
     "stratified_folds": _with(_SPLIT) + "SELECT sample_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(CAST(sample_id AS VARCHAR) || ':42'), sample_id) - 1) % 5 AS INT) AS fold FROM spl WHERE NOT test",
     "standardise": _with(_SPLIT, _SCALED) + "SELECT sample_id, k, round(v, 6) + 0.0e0 AS v FROM z",
@@ -142,6 +175,7 @@ ORACLE_SQL = {
     "knn_confusion": _with(_SPLIT, _SCALED, _KNN) + "SELECT label, predicted, count(*) AS count FROM knn GROUP BY ALL",
     "knn_summary": _with(_SPLIT, _SCALED, _KNN) + "SELECT round(avg(CASE WHEN label = predicted THEN 1e0 ELSE 0e0 END), 9) + 0.0e0 AS accuracy, count(*) AS n FROM knn",
     "knn_report": _with(_SPLIT, _SCALED, _KNN, "sd AS (SELECT label, count(*) AS support, count(*) FILTER (WHERE label = predicted) AS hit FROM knn GROUP BY label)", "pd AS (SELECT predicted AS label, count(*) AS said FROM knn GROUP BY predicted)", "pr AS (SELECT label, support, CASE WHEN coalesce(said, 0) > 0 THEN hit / said ELSE 0 END AS precision, hit / support AS recall FROM sd LEFT JOIN pd USING (label))") + "SELECT label, round(precision, 9) + 0.0e0 AS precision, round(recall, 9) + 0.0e0 AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 9) + 0.0e0 AS f1, support FROM pr",
+    "knn_folds": _with(_SPLIT, _SCALED, _FOLDS) + "SELECT fold, round(avg(CASE WHEN label = predicted THEN 1e0 ELSE 0e0 END), 9) + 0.0e0 AS accuracy, count(*) AS n FROM kf GROUP BY fold",
     "task_classes": _with(_SIG) + "SELECT DISTINCT subject, task, CASE WHEN task LIKE '%idea generation%' THEN 'IDG' WHEN task LIKE '%rest%' THEN 'RST' END AS label FROM sig",
     "nonfinite_to_null": "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN value END AS value FROM events",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavecrest.operators import channels as C
@@ -14,13 +14,16 @@ from wavecrest.sources import recordings as R
 
 
 def load(spark: SparkSession, path: str, convert: bool = True, channels: DataFrame | None = None) -> DataFrame:
-    """Recordings of a folder or file by its kind (JSON, MAT or NPY), with 64 channels if they have 63, and channel names."""
-    readers = {"mat": R.read_mat, "npy": R.read_npy}
+    """Recordings of a folder or file by its kind (JSON and MAT, or NPY), with 64 channels if they have 63 and ``convert``, and channel names."""
     kind = path.rsplit(".", 1)[-1].lower()
-    found = readers[kind](spark, path) if kind in readers else R.read_task_json(spark, path)
+    if kind in ("mat", "npy"):
+        found = {"mat": R.read_mat, "npy": R.read_npy}[kind](spark, path)
+    elif kind == "json":
+        found = R.read_task_json(spark, path)
+    else:
+        found = R.read_task_json(spark, path).union(R.read_mat(spark, path))
     if convert:
-        long = C.interpolate_cz(R.samples(found))
-        found = long.groupBy("subject", "task", "ch_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda s: s["x"]).alias("signal"))
+        found = C.interpolate_cz(found)
     return R.with_channels(found, channels if channels is not None else R.montage(spark, R.CHANNELS_64 if convert else None))
 
 
@@ -31,15 +34,18 @@ def analyze(recordings: DataFrame, sfreq: float, nperseg: int = 1024, noverlap:
     return {"psd": psd, "metrics": spectrum.metrics(psd, alpha), "faa": spectrum.asymmetry(psd, lo=alpha[0], hi=alpha[1], db=faa_db), "trp": trp.task_related_power(powers, trp_mode, trp_baseline)}
 
 
-def plot_table(values: DataFrame, channels: DataFrame, mode: str = "logratio", form: str = "auto", layout: str = "collapsed", merges: list[str] = (), only_merged: bool = False, exclude: list[str] = ()) -> DataFrame:
-    """Mean and standard error by condition with the order and label of each point of a line plot."""
-    means = trp.region_means(values, channels)
+def plot_table(values: DataFrame, channels: DataFrame, mode: str = "logratio", form: str = "auto", layout: str = "collapsed", merges: list[str] = (), only_merged: bool = False, exclude: list[str] = (), file_mode: str = "ratio", keys: tuple[str, str] | None = None) -> DataFrame:
+    """Mean and standard error by condition with the order and label of each point of a line plot.
+
+    ``mode`` is the axis's and ``file_mode`` the values'; ``keys`` are the bands to show, all if not given.
+    """
+    means = trp.region_means(values.where(F.col("band").isin(*keys)) if keys else values, channels)
     if merges:
         tasks = [r[0] for r in means.select("task").distinct().orderBy("task").collect()]
         means = trp.merge_conditions(means, trp.parse_merges(list(merges), tasks), not only_merged)
     means = trp.exclude_conditions(means, list(exclude))
     means = trp.collapse(means) if layout == "collapsed" else means
-    table = trp.mean_sem(means, trp.auto_transform(mode) if form == "auto" else form)
+    table = trp.mean_sem(means, trp.auto_transform(file_mode, mode) if form == "auto" else form)
     regions = F.array(*[F.lit(r) for r in ("frontal", "central", "temporal", "parietal", "occipital")])
     place = F.array_position(regions, F.col("region"))
     if layout == "collapsed":
@@ -47,43 +53,83 @@ def plot_table(values: DataFrame, channels: DataFrame, mode: str = "logratio", f
     return table.withColumns({"x": place + F.when(F.col("hemisphere") == "RH", 5).otherwise(0), "x_label": F.concat_ws("-", "hemisphere", "region")})
 
 
-def connectivity_analysis(recordings: DataFrame, sfreq: float = 500.0, freq_range: tuple[float, float] = (8.0, 13.0), least: float = 0.2, classes: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """edges, features (with the class of each task), their long form, and class counts."""
-    edges = connectivity.phase_lag_edges(recordings, sfreq, *freq_range)
+def connectivity_analysis(recordings: DataFrame, sfreq: float = 500.0, freq_range: tuple[float, float] = (8.0, 13.0), least: float = 0.2, classes: dict[str, str] | None = None, measure: str = "wpli", bins: int | None = None) -> dict[str, DataFrame]:
+    """edges, graph measures, features (with the class of each task), their long form, and class counts.
+
+    ``measure`` is ``wpli`` (phase lag in ``freq_range``) or ``mi`` (mutual information over ``bins`` bins).
+    """
+    edges = connectivity.phase_lag_edges(recordings, sfreq, *freq_range) if measure == "wpli" else connectivity.mutual_information_edges(recordings, bins)
     features = connectivity.graph_features(edges, least).withColumns({"label": learn.task_class(F.col("task"), classes), "sample_id": F.concat_ws("/", "subject", "task")}).where("label is not null")
     n = F.size("features") / 2
     name = F.when(F.col("k") < n, F.concat(F.lit("betweenness_"), F.col("k"))).otherwise(F.concat(F.lit("strength_"), (F.col("k") - n).cast("int")))
     long = features.select("sample_id", "label", "features", F.posexplode("features").alias("k", "value")).select("sample_id", "label", name.alias("feature"), "value")
-    return {"edges": edges, "features": features, "long": long, "classes": features.groupBy("label").count()}
+    return {"edges": edges, "matrix": connectivity.matrices(edges), "graphs": connectivity.graph_summary(edges, least), "top": connectivity.top_nodes(connectivity.strength(edges), "strength"), "features": features, "long": long, "classes": features.groupBy("label").count()}
 
 
-def train_classifiers(features: DataFrame, seed: int = 42) -> dict[str, DataFrame]:
-    """Predictions, confusion and report of each classifier on held-out rows."""
+def train_classifiers(features: DataFrame, seed: int = 42, cv_folds: int = 5) -> dict[str, DataFrame]:
+    """Confusion, report, accuracy and cross-validated accuracy (over the rows not held out) of each classifier."""
     scaled = learn.standardise(learn.split(features.select("sample_id", "label", "features"), seed=seed))
-    test = scaled.where("test")
-    said = {"knn": learn.nearest(scaled.where(~F.col("test")), test).join(test.select("sample_id", "label"), "sample_id"), "mlp": learn.classify(scaled, "mlp", seed), "svm": learn.classify(scaled, "svm", seed)}
-    return {f"{name}_{what}": form(p) for name, p in said.items() for what, form in (("confusion", learn.confusion), ("report", learn.report), ("summary", learn.summary))}
-
-
-def dynamic_windows(recordings: DataFrame, labels: DataFrame, sfreq: float, mode: str = "run", nperseg: int = 1024, least_window_sec: float = 1.0, half: int = 3, least_state_ms: float = 80.0, line: str | None = "B", group_sec: float = 5.0, macro: tuple[int, int] = (1, 1), n_clusters: int = 4, least_subtask_sec: float = 10.0) -> dict[str, DataFrame]:
-    """windows (with those skipped and why), and metrics of each used window and channel."""
+    out = {}
+    for model in ("knn", "mlp", "svm"):
+        said = learn.predict(scaled, model, seed)
+        scores = learn.cross_validate(scaled.where(~F.col("test")).drop("test"), model, cv_folds, seed)
+        out |= {f"{model}_confusion": learn.confusion(said), f"{model}_report": learn.report(said), f"{model}_folds": scores}
+        out[f"{model}_summary"] = learn.summary(said).crossJoin(learn.cross_summary(scores))  # one row each
+    return out
+
+
+def dynamic_windows(recordings: DataFrame | None, labels: DataFrame, sfreq: float, mode: str = "run", nperseg: int = 1024, least_window_sec: float = 1.0, half: int = 3, least_state_ms: float = 80.0, line: str | None = "B", group_sec: float = 5.0, macro: tuple[int, int] = (1, 1), n_clusters: int = 4, least_subtask_sec: float = 10.0, noverlap: int | None = None, window: str = "hann", alpha: tuple[float, float] = (8.0, 13.0), faa_db: bool = False) -> dict[str, DataFrame]:
+    """windows, those skipped and why, and, with ``recordings``, psd, metrics and faa of each used window.
+
+    Labels and recordings of a subject count as far as both go.
+    """
+    labels = labels.withColumn("subject", F.col("subject").cast("string"))
+    if recordings is not None:
+        recordings = recordings.withColumn("subject", F.col("subject").cast("string"))
+        both = recordings.groupBy("subject").agg(F.min(F.size("signal")).alias("_n"))
+        labels = labels.join(both, "subject").where(F.col("t") < F.col("_n")).drop("_n")
     if mode == "run":
         found = windows.run_windows(labels, sfreq, half, least_state_ms, least_window_sec)
     else:
         parts = windows.segment(labels, sfreq, group_sec, windows.PRESETS.get(line or "", macro), n_clusters, least_subtask_sec, half, least_state_ms)
         cut = parts.withColumns({"start_sample": F.bround(F.col("start_sec") * sfreq).cast("long"), "end_sample": F.bround(F.col("end_sec") * sfreq).cast("long")})
-        ends = labels.groupBy(F.col("subject").cast("string").alias("subject")).agg((F.max("t") + 1).alias("n_times"))
+        ends = labels.groupBy("subject").agg((F.max("t") + 1).alias("n_times"))
         found = windows.timed(windows.clip_windows(cut.join(ends, "subject"), F.col("n_times"), round(least_window_sec * sfreq)), sfreq).drop("n_times")
-    from pyspark.sql import Window
+    order = Window.partitionBy("subject").orderBy("start_sample", "end_sample")
+    found = found.withColumn("index", F.row_number().over(order) - 1)
+    used = found.where("reason is null").withColumn("window_index", F.row_number().over(order) - 1).drop("index", "reason")
+    out = {"windows": used, "skipped": found.where("reason is not null").select("subject", "index", "start_sample", "end_sample", "n_samples", "reason")}
+    if recordings is None:
+        return out
+    psd = spectrum.spectra(windows.window_signals(recordings, used.select("subject", "window_index", "start_sample", "end_sample")), sfreq, nperseg, noverlap, window)
+    return out | {"psd": psd, "metrics": spectrum.metrics(psd, alpha), "faa": spectrum.asymmetry(psd, lo=alpha[0], hi=alpha[1], db=faa_db, by=("subject", "task", "window_index"))}
+
+
+def one_recording(recordings: DataFrame, task: str | None = None) -> DataFrame:
+    """A task, the first in order if not named, of the first subject in order."""
+    subject = recordings.agg(F.min("subject")).first()[0]
+    own = recordings.where(F.col("subject") == subject)
+    tasks = sorted(r[0] for r in own.select("task").distinct().collect())
+    if task is not None and task not in tasks:
+        raise ValueError(f"no task {task!r}; there are {tasks}")
+    return own.where(F.col("task") == (task or tasks[0]))
+
+
+def task_json(recordings: DataFrame) -> DataFrame:
+    """(subject, value): each subject's recordings as the JSON text that ``read_task_json`` reads; NaN is null."""
+    rows = F.sort_array(F.collect_list(F.struct("ch_idx", F.transform("signal", lambda x: F.nanvl(x, F.lit(None).cast("double"))).alias("x"))))
+    tasks = recordings.groupBy("subject", "task").agg(rows.alias("r")).select("subject", "task", F.col("r.x").alias("x"))
+    return tasks.groupBy("subject").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("task", "x"))))).alias("value"))
+
 
-    used = found.where("reason is null").withColumn("window_index", F.row_number().over(Window.partitionBy("subject").orderBy("start_sample")) - 1)
-    cut = windows.window_signals(recordings, used.select(F.col("subject").cast("string"), "window_index", "start_sample", "end_sample"))
-    return {"windows": used, "skipped": found.where("reason is not null"), "metrics": spectrum.metrics(spectrum.spectra(cut, sfreq, nperseg))}
+def convert_to_json(spark: SparkSession, path: str, out: str, convert: bool = True) -> None:
+    """Writes MAT (or other) recordings as task JSON, a folder ``subject=...`` for each subject."""
+    task_json(load(spark, path, convert).drop("channel")).write.mode("overwrite").partitionBy("subject").text(out)
 
 
-def save(tables: Mapping[str, DataFrame], out: str, **params) -> None:
-    """Writes each table as Parquet, and the parameters as one line of JSON."""
+def save(tables: Mapping[str, DataFrame], out: str, form: str = "parquet", /, **params) -> None:
+    """Writes each table as Parquet or lines of JSON, and the parameters as one line of JSON."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        df.write.mode("overwrite").format(form).save(f"{out}/{name}")
     spark = next(iter(tables.values())).sparkSession
     spark.createDataFrame([(json.dumps(params, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/summary")
