@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import tarfile
+import time
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyarrow.dataset import dataset
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,10 +136,14 @@ class ArchiveReader(DataSourceReader):
         self.attempts = int(options.get("attempts", 3))
 
     def partitions(self) -> list[ByteRange]:
-        """Ranges of each archive's bytes; only names and sizes come to the driver."""
+        """Ranges of the bytes of the archives that the folder's manifest names, or of all if it has none; only names and sizes come to the driver."""
         files, path = fs.FileSystem.from_uri(self.folder)
-        found = sorted((x for x in files.get_file_info(fs.FileSelector(path, allow_not_found=True)) if x.extension == "tar"), key=lambda x: x.path)
-        return [ByteRange(x.path, a, min(a + self.range_bytes, x.size)) for x in found for a in range(0, x.size, self.range_bytes)] or [ByteRange("", 0, 0)]
+        if files.get_file_info(f"{path}/manifest").type == fs.FileType.Directory:
+            rows = dataset(f"{path}/manifest", filesystem=files, format="parquet").to_table(columns=["archive", "bytes"])
+            found = sorted((f"{path}/{name}", size) for name, size in zip(*(rows.column(k).to_pylist() for k in range(2)), strict=True))
+        else:
+            found = sorted((x.path, x.size) for x in files.get_file_info(fs.FileSelector(path, allow_not_found=True)) if x.extension == "tar")
+        return [ByteRange(name, a, min(a + self.range_bytes, size)) for name, size in found for a in range(0, size, self.range_bytes)] or [ByteRange("", 0, 0)]
 
     def _member(self, files: fs.FileSystem, archive: str, offset: int) -> tuple[str, int, bytes | None, int, str | None]:
         """(name, size, bytes, attempts, error) of the member at an offset, tried by itself."""
@@ -153,6 +159,8 @@ class ArchiveReader(DataSourceReader):
                 return info.name, info.size, data, attempt, None
             except (OSError, tarfile.HeaderError, UnicodeError) as e:
                 error, self._open = f"{type(e).__name__}: {e}", None
+                if attempt < self.attempts:
+                    time.sleep(0.1 * 2**attempt)
         return "", 0, None, self.attempts, error
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
