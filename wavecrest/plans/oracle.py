@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from wavecrest.functions.signal import butter_bandpass
 from wavecrest.functions.spectral import BANDS
 from wavecrest.operators.channels import CZ, CZ_NEIGHBOURS
 from wavecrest.sources.recordings import CHANNELS_63
@@ -79,10 +82,48 @@ walk AS (SELECT task, a AS s, b AS e, [a, b] AS path, d FROM arcs UNION ALL SELE
 best AS (SELECT *, min(d) OVER (PARTITION BY task, s, e) AS m FROM walk),
 short AS (SELECT task, s, e, path, count(*) OVER (PARTITION BY task, s, e) AS n FROM best WHERE d = m),
 btw AS (SELECT nodes.task, node, coalesce(sum(1e0 / n), 0) / 2 AS betweenness FROM nodes LEFT JOIN short ON nodes.task = short.task AND list_contains(path, node) AND node <> s AND node <> e GROUP BY ALL)"""
+
+
+def _bandpass(lo: float, hi: float, fs: float) -> str:
+    """bp(task, ci, t, x): ev filtered there and back by the fixed taps, 15 samples reflected oddly at each end."""
+    b, a = butter_bandpass(lo, hi, fs)
+    step = np.zeros((4, 4))
+    step[:, 0] = -a[1:]
+    step[[0, 1, 2], [1, 2, 3]] = 1
+    rest = np.linalg.solve(np.eye(4) - step, b[1:] - a[1:] * b[0])
+
+    def run(name: str, source: str) -> str:
+        start = ", ".join(f"{r!r}::DOUBLE * e[1]" for r in rest.tolist())
+        y, v = f"({float(b[0])!r} * e[i] + z1)", "e[i]"
+        state = [f"z{k + 1} + {float(b[k])!r} * {v} - {float(a[k])!r} * {y}" if k < 4 else f"{float(b[4])!r} * {v} - {float(a[4])!r} * {y}" for k in range(1, 5)]
+        return f"""{name}(task, ci, e, i, z1, z2, z3, z4, y) AS (SELECT task, ci, e, 1, {start}, CAST([] AS DOUBLE[]) FROM {source}
+  UNION ALL SELECT task, ci, e, i + 1, {", ".join(state)}, list_append(y, {y}) FROM {name} WHERE i <= 270)"""
+
+    return f"""xs AS (SELECT task, ci, list(CAST(x AS DOUBLE) ORDER BY t) AS x FROM ev GROUP BY task, ci),
+ex AS (SELECT task, ci, list_concat([2 * x[1] - x[k + 1] for k in range(15, 0, -1)], x, [2 * x[240] - x[240 - k] for k in range(1, 16)]) AS e FROM xs),
+{run("there", "ex")},
+turned AS (SELECT task, ci, list_reverse(y) AS e FROM there WHERE i = 271),
+{run("back", "turned")},
+bp AS (SELECT task, ci, t, list_reverse(y)[t + 16] AS x FROM back, (SELECT unnest(range(240)) AS t) WHERE i = 271)"""
+
+
 _LAB = "lab AS (SELECT user_id AS subject, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, event_type AS label FROM events)"
 _RUNS = """mk AS (SELECT *, CASE WHEN lag(label) OVER o IS DISTINCT FROM label THEN 1 ELSE 0 END AS nw FROM lab WINDOW o AS (PARTITION BY subject ORDER BY t)),
 rid AS (SELECT *, sum(nw) OVER (PARTITION BY subject ORDER BY t) AS run FROM mk),
 runs AS (SELECT subject, run, any_value(label) AS label, min(t) AS start_sample, max(t) + 1 AS end_sample FROM rid GROUP BY subject, run)"""
+_SMOOTH = """nr AS (SELECT a.subject, a.t, a.label AS own, b.label AS near, count(*) AS c FROM lab a JOIN lab b ON a.subject = b.subject AND b.t BETWEEN a.t - 2 AND a.t + 2 GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY subject, t ORDER BY c DESC, CASE WHEN near = own THEN 0 ELSE 1 END, near) AS r FROM nr)"""
+# runs of smoothed labels as lists; the first run shorter than two samples joins the longer neighbour until none is left
+_MERGED = """sm AS (SELECT subject, t, near AS label FROM rk WHERE r = 1),
+sk AS (SELECT *, CASE WHEN lag(label) OVER o IS DISTINCT FROM label THEN 1 ELSE 0 END AS nw FROM sm WINDOW o AS (PARTITION BY subject ORDER BY t)),
+sr AS (SELECT subject, run, any_value(label) AS l, count(*) AS n FROM (SELECT *, sum(nw) OVER (PARTITION BY subject ORDER BY t) AS run FROM sk) GROUP BY subject, run),
+mg(subject, r, k) AS (SELECT subject, r, coalesce(list_position([x.n < 2 for x in r], true), 0) FROM (SELECT subject, list({'l': l, 'n': n} ORDER BY run) AS r FROM sr GROUP BY subject)
+  UNION ALL SELECT subject, r, coalesce(list_position([x.n < 2 for x in r], true), 0) FROM (
+    SELECT subject, list_concat(r[1 : lo - 1], [{'l': l, 'n': CAST(list_sum([x.n for x in r[lo : hi]]) AS BIGINT)}], r[hi + 1 :]) AS r FROM (
+      SELECT subject, r, l, CASE WHEN k > 1 AND r[k - 1].l = l THEN k - 1 ELSE k END AS lo, CASE WHEN k < len(r) AND r[k + 1].l = l THEN k + 1 ELSE k END AS hi FROM (
+        SELECT subject, r, k, CASE WHEN coalesce(CASE WHEN k > 1 THEN r[k - 1].n END, -1) >= coalesce(r[k + 1].n, -1) THEN r[k - 1].l ELSE r[k + 1].l END AS l FROM mg WHERE k > 0 AND len(r) > 1)))),
+mr AS (SELECT subject, unnest(r) AS x, generate_subscripts(r, 1) AS run FROM mg WHERE k = 0 OR len(r) = 1),
+rw AS (SELECT subject, run, x.l AS label, x.n AS n, sum(x.n) OVER (PARTITION BY subject ORDER BY run) AS e FROM mr)"""
 _GROUPS5 = """grp AS (SELECT rid.subject, rid.t // 5 AS grp, count(*) AS n, 100.0e0 * count(*) FILTER (WHERE end_sample - start_sample < 2) / count(*) AS hardness FROM rid JOIN runs USING (subject, run) GROUP BY ALL)"""
 _FEAT = "ft AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, l_returnflag AS label, {c} AS value FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + ")"
 _STATS = """gs AS (SELECT feature, label, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, var_pop(value) * count(value) AS ss FROM ft GROUP BY ALL),
@@ -146,6 +187,7 @@ ORACLE_SQL = {
     "trp_region_mean_sem": _with(_MONTAGE, _PLACES, _PSD, _POWER, _trp("logratio"), _MEANS) + f"SELECT task, band, hemisphere, region, {_SEM} FROM rm GROUP BY ALL",
     "trp_collapsed_merged": _with(_MONTAGE, _PLACES, _PSD, _POWER, _trp("logratio"), _MEANS, "cl AS (SELECT subject, 'ideas' AS task, band, region, avg(value) AS value FROM rm GROUP BY ALL)") + f"SELECT task, band, region, {_SEM} FROM cl GROUP BY ALL",
     "wpli_edges": _with(_EV, _EDGES) + "SELECT task, i, j, round(w, 9) + 0.0e0 AS w FROM edges",
+    "wpli_edges_bandpass": "WITH RECURSIVE " + ",\n".join((_EV, _bandpass(8.0, 13.0, 100.0), _EDGES.replace("FROM ev,", "FROM bp,"))) + "\nSELECT task, i, j, round(w, 9) + 0.0e0 AS w FROM edges",
     "mutual_information": _with(_EV, _MI) + "SELECT task, i, j, round(w, 6) + 0.0e0 AS mi FROM mi",
     "mi_graph_features": "WITH RECURSIVE " + ",\n".join((_EV, _MI, "edges AS (SELECT * FROM mi WHERE i < j)", _graph(0.7), _BETWEEN)) + "\nSELECT task, list_concat(list(round(betweenness, 6) + 0.0e0 ORDER BY node), list(round(strength, 6) + 0.0e0 ORDER BY node)) AS features FROM btw JOIN str USING (task, node) GROUP BY task",
     "spectral_connectivity": _with(_EV, _SC) + "SELECT i, j, round(avg(wpli), 6) + 0.0e0 AS wpli, round(avg(coh), 6) + 0.0e0 AS coh, round(avg(plv), 6) + 0.0e0 AS plv FROM sb GROUP BY i, j",
@@ -157,7 +199,8 @@ ORACLE_SQL = {
     "top_strength": _with(_EV, _EDGES, _THR) + "SELECT task, node, round(strength, 6) + 0.0e0 AS strength, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY strength DESC, node) AS r FROM str) WHERE r <= 2",
     "connectivity_matrix": _with(_EV, _EDGES, _THR, "cells AS (SELECT task, i, j, w FROM edges UNION ALL SELECT task, j, i, w FROM edges UNION ALL SELECT task, node, node, 0 FROM nodes)", "mrow AS (SELECT task, i, list(round(w, 6) + 0.0e0 ORDER BY j) AS r FROM cells GROUP BY task, i)") + "SELECT task, list(i ORDER BY i) AS nodes, list(r ORDER BY i) AS matrix FROM mrow GROUP BY task",
     "label_runs": _with(_LAB, _RUNS) + "SELECT subject, label, start_sample, end_sample FROM runs",
-    "label_smooth": _with(_LAB, "nr AS (SELECT a.subject, a.t, a.label AS own, b.label AS near, count(*) AS c FROM lab a JOIN lab b ON a.subject = b.subject AND b.t BETWEEN a.t - 2 AND a.t + 2 GROUP BY ALL)", "rk AS (SELECT *, row_number() OVER (PARTITION BY subject, t ORDER BY c DESC, CASE WHEN near = own THEN 0 ELSE 1 END, near) AS r FROM nr)") + "SELECT subject, t, near AS label FROM rk WHERE r = 1",
+    "label_smooth": _with(_LAB, _SMOOTH) + "SELECT subject, t, near AS label FROM rk WHERE r = 1",
+    "run_windows": "WITH RECURSIVE " + ",\n".join((_LAB, _SMOOTH, _MERGED)) + "\nSELECT subject, CAST(run AS BIGINT) AS run, label, CAST(e - n AS BIGINT) AS start_sample, CAST(e AS BIGINT) AS end_sample, CAST(n AS BIGINT) AS n_samples, CASE WHEN n < 2 THEN 'shorter_than_min_window_samples' END AS reason, CAST(e - n AS DOUBLE) AS start_sec, CAST(e AS DOUBLE) AS end_sec, CAST(n AS DOUBLE) AS duration_sec FROM rw",
     "fine_groups": _with(_LAB, _RUNS, _GROUPS5) + "SELECT subject, grp, n, round(hardness, 6) + 0.0e0 AS hardness FROM grp",
     "macro_windows": _with(_LAB, _RUNS, _GROUPS5, "mw AS (SELECT subject, grp, row_number() OVER (PARTITION BY subject ORDER BY grp) - 1 AS k, avg(hardness) OVER o AS hardness, count(*) OVER o AS m FROM grp WINDOW o AS (PARTITION BY subject ORDER BY grp ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))") + "SELECT subject, k // 2 AS macro, grp AS first_group, round(hardness, 6) + 0.0e0 AS hardness FROM mw WHERE k % 2 = 0 AND (m = 3 OR k = 0)",
     "window_metrics": _with(_EV, _EVW, _welch("wx", "window_index, ch_idx", 64, 32, 2, 100.0), "inn AS (SELECT window_index, ch_idx, f, p FROM psd WHERE f BETWEEN 1 AND 45)", f"sh AS (SELECT window_index, ch_idx, p / (sum(p) OVER (PARTITION BY window_index, ch_idx) + {_EPS}) AS q FROM inn)", f"en AS (SELECT window_index, ch_idx, round(-sum(q * ln(q + {_EPS})), 6) + 0.0e0 AS entropy FROM sh GROUP BY ALL)", _edge(0.95, "sef95", "window_index, ch_idx")) + "SELECT window_index, ch_idx, entropy, sef95 FROM en JOIN edge USING (window_index, ch_idx)",
