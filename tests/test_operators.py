@@ -17,6 +17,7 @@ from wavecrest import cli
 from wavecrest.functions import distributions as D
 from wavecrest.functions import signal as G
 from wavecrest.functions import spectral as S
+from wavecrest.functions.sql import register
 from wavecrest.operators import channels, connectivity, learn, spectrum, stats, trp, windows
 from wavecrest.plans import pipelines
 from wavecrest.sources import recordings as R
@@ -81,6 +82,20 @@ def test_distributions_have_table_values():
     assert D.tukey_sf(2.2281 * math.sqrt(2), 2, 10) == pytest.approx(0.05, abs=1e-4)
 
 
+def test_functions_in_sql(spark):
+    register(spark)
+    x = np.sin(2 * np.pi * 10 * np.arange(1000) / 100)
+    spark.createDataFrame([(x.tolist(),), (None,)], "x array<double>").createOrReplaceTempView("signals")
+    r = spark.sql("SELECT f_sf(4.2565D, 2D, 9D) AS f, t_sf(2.2281D, 10D) AS t, tukey_sf(3.877D, 3D, 10D) AS q, f_sf(NULL, 1D, 1D) AS n").first()
+    assert (r.f, r.t, r.q) == (pytest.approx(0.05, abs=1e-4), pytest.approx(0.05, abs=1e-4), pytest.approx(0.05, abs=1e-3)) and r.n is None
+    rows = spark.sql("SELECT x, welch_psd(x, 100, 200) AS s, bandpass_analytic(x, 8, 13, 100) AS z, savgol(x) AS y FROM signals").collect()
+    got, none = sorted(rows, key=lambda r: r.x is None)
+    f, p = G.welch(x, 100.0, 200)
+    assert np.allclose(got.s.freq, f) and np.allclose(got.s.p, p) and np.allclose(got.y, G.savgol(x))
+    assert np.allclose(np.hypot(got.z.re, got.z.im)[300:700], 1, atol=0.05)
+    assert none.s.freq is None and none.y is None
+
+
 def test_stats_of_groups(spark):
     rows = [(g, "x", v) for g, vs in {"a": [1, 2, 3], "b": [2, 3, 4], "c": [7, 8, 9]}.items() for v in map(float, vs)]
     got = stats.statistical_analysis(spark.createDataFrame(rows, "label string, feature string, value double"))
@@ -387,3 +402,14 @@ def test_nearest_in_many_blocks(spark):
         d = ((x[60:] - x[i]) ** 2).sum(axis=1)
         near = np.lexsort((np.arange(60, 300), d))[:5] + 60
         assert got[i] == np.bincount(label[near]).argmax(), i
+
+
+def test_label_sessions_of_a_stream(spark, tmp_path):
+    rows = [("s", "a", "2024-01-01 00:00:00"), ("s", "a", "2024-01-01 00:30:00"), ("s", "b", "2024-01-01 00:10:00"), ("s", "a", "2024-01-01 10:00:00")]
+    df = spark.createDataFrame(rows, "subject string, label string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    df.coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = label_sessions(spark.readStream.schema(df.schema).parquet(str(tmp_path / "events")))
+    query = stream.writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    # the last session is still open when the stream ends
+    assert sorted((r.label, r.n) for r in spark.table("sessions").collect()) == [("a", 2), ("b", 1)]

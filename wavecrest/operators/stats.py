@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavecrest.functions.distributions import f_sf, t_sf2, tukey_sf
-
-
-def _tail(form):
-    """An Arrow function of a scalar one, null for a null argument; each different combination of a batch is computed once."""
-
-    @F.pandas_udf("double")
-    def run(*columns: pd.Series) -> pd.Series:
-        rows = list(zip(*(c.tolist() for c in columns), strict=True))
-        known = {r: None if any(x is None or x != x for x in r) else form(*r) for r in set(rows)}
-        return pd.Series([known[r] for r in rows], dtype="float64")
-
-    return run
+from wavecrest.functions.distributions import f_sf, t_sf2
+from wavecrest.functions.sql import tail, tukey_tail
 
 
 def group_stats(features: DataFrame) -> DataFrame:
@@ -34,7 +22,7 @@ def anova(groups: DataFrame, with_p: bool = True) -> DataFrame:
     out = total.select("feature", ((ssb / df_b) / (F.col("ssw") / df_w)).alias("f"), df_b.alias("df_b"), df_w.alias("df_w"), (F.col("ssw") / df_w).alias("msw"))
     eta = F.col("f") * F.col("df_b") / (F.col("f") * F.col("df_b") + F.col("df_w"))
     out = out.withColumn("eta2", eta)
-    return out.withColumn("p", _tail(f_sf)("f", F.col("df_b").cast("double"), F.col("df_w").cast("double"))) if with_p else out
+    return out.withColumn("p", tail(f_sf)("f", F.col("df_b").cast("double"), F.col("df_w").cast("double"))) if with_p else out
 
 
 def select_features(tested: DataFrame, k: int | None = None, alpha: float = 0.05) -> DataFrame:
@@ -58,7 +46,7 @@ def bonferroni(groups: DataFrame, alpha: float = 0.05, with_p: bool = True) -> D
     if not with_p:
         return out
     tests = groups.groupBy("feature").agg((F.count("*") * (F.count("*") - 1) / 2).alias("tests"))
-    out = out.withColumn("p", _tail(t_sf2)("t", F.col("df").cast("double"))).join(tests, "feature")
+    out = out.withColumn("p", tail(t_sf2)("t", F.col("df").cast("double"))).join(tests, "feature")
     return out.withColumn("significant", F.col("p") < alpha / F.col("tests")).drop("tests")
 
 
@@ -69,7 +57,7 @@ def tukey(groups: DataFrame, alpha: float = 0.05, with_p: bool = True) -> DataFr
     q = F.abs(F.col("m1") - F.col("m2")) / F.sqrt(F.col("msw") / 2 * (1 / F.col("n1") + 1 / F.col("n2")))
     out = out.select("feature", "g1", "g2", (F.col("m2") - F.col("m1")).alias("diff"), q.alias("q"), "k", "df_w")
     if with_p:
-        out = out.withColumn("p", _tail(lambda q, k, d: tukey_sf(q, int(k), d))("q", "k", F.col("df_w").cast("double"))).withColumn("significant", F.col("p") < alpha)
+        out = out.withColumn("p", tail(tukey_tail)("q", F.col("k").cast("double"), F.col("df_w").cast("double"))).withColumn("significant", F.col("p") < alpha)
     return out.drop("k", "df_w")
 
 
