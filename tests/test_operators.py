@@ -130,6 +130,8 @@ def test_wpli_and_graph(spark):
     for r in edges.collect():
         im = np.imag(z[r.i] * np.conj(z[r.j]))
         assert r.w == pytest.approx(abs(im.mean()) / np.abs(im).mean(), abs=1e-12) and 0 <= r.w <= 1
+    kept = connectivity.analytic_signals(rec, 100.0, 8.0, 13.0).orderBy("ch_idx").collect()
+    assert np.allclose([r.re for r in kept], z.real) and np.allclose([r.im for r in kept], z.imag)
     both = connectivity.spectral_connectivity(rec, 100.0, 8.0, 13.0).collect()
     assert len(both) == 10 and all(0 <= v <= 1 + 1e-12 for r in both for v in (r.wpli, r.coh, r.plv))
     assert len(connectivity.graph_features(edges, 0.2).first().features) == 10
