@@ -76,8 +76,8 @@ def _prefix(step: int):
     return F.shiftrightunsigned(F.col("page_id").bitwiseXOR(F.lit(-(1 << 63))), step)
 
 
-def with_parts(pages: DataFrame, part_rows: int, row_hash) -> DataFrame:
-    """``pages`` with ``part``, numbers in the order of page_id (nulls first) of about ``part_rows`` rows each; they depend on the ids alone.
+def with_parts(pages: DataFrame, part_rows: int, row_hash) -> tuple[DataFrame, int]:
+    """``pages`` with ``part``, and how many parts there are: numbers in the order of page_id (nulls first) of about ``part_rows`` rows each; they depend on the ids alone.
 
     Ids are counted by their leading bits, in some 16 ranges for each part, and ranges of more than ``part_rows`` rows again
     by further bits; neighbouring ranges share a part. Only these counts come to the driver. An id, or null, of more than ``part_rows`` rows has several
@@ -111,10 +111,10 @@ def with_parts(pages: DataFrame, part_rows: int, row_hash) -> DataFrame:
         out = out.withColumn("_prefix", _prefix(step)).join(F.broadcast(table), F.col("_prefix") == F.col("_key"), "left")
         out = out.withColumn("_part", F.coalesce("_part", F.when(F.col("_first").isNotNull(), F.struct(F.col("_first").alias("part"), F.col("_pieces").alias("pieces"))))).drop("_prefix", "_key", "_first", "_pieces")
     piece = F.shiftright((F.shiftright(row_hash, 33) + (1 << 30)) * F.col("_part.pieces"), 31).cast("int")
-    return out.withColumn("part", F.col("_part.part") + piece).drop("_part")
+    return out.withColumn("part", F.col("_part.part") + piece).drop("_part"), part + 1
 
 
-def write_warc(pages: DataFrame, folder: str, least_bytes: int = 1000, roll_bytes: int = 64 << 20, part_rows: int = 4096) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, least_bytes: int = 1000, roll_bytes: int = 64 << 20, part_rows: int = 2048) -> DataFrame:
     """Writes gzipped records in order of page_id and gives the manifest (file, records, bytes, sha1).
 
     ``pages`` has page_id, url, html. Of the pages with an equal payload of ``least_bytes`` at least, those of the largest page_id are
@@ -125,9 +125,9 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 1000, roll_byte
     about ``roll_bytes`` compressed bytes, and a file gets its name only when whole: a repeated task
     writes the same bytes again, and so does another run, however the input is dealt. The manifest, itself committed as a table, lists the files that count.
     """
-    n_tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     row_hash = F.xxhash64("url", "html")
-    placed = with_parts(pages.select("page_id", "url", "html"), part_rows, row_hash)
+    placed, parts = with_parts(pages.select("page_id", "url", "html"), part_rows, row_hash)
+    n_tasks = max(parts, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a task's rows don't grow with the table
     digests = placed.where(F.octet_length("html") >= least_bytes).groupBy("part", F.sha1(F.col("html").cast("binary")).alias("digest")).agg(F.max("page_id").alias("keep"), F.count("*").alias("n"))
     digests = stored(digests, "digests")
     repeated = digests.groupBy("digest").agg(F.max("keep").alias("keep"), F.sum("n").alias("n")).where("n > 1 and keep is not null").select("digest", "keep")
