@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecrest.llm import chat, decontaminate, language, lm, media, packing, simhash, tokens, toxicity, warc
+from wavecrest.llm import chat, decontaminate, language, lines, lm, media, packing, phrases, runs, simhash, tokens, toxicity, warc
 from wavecrest.llm.common import held_out, table
 
 
@@ -67,7 +67,37 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pack, op3_media, op4_warc, op5_language, op6_toxicity, op7_simhash, op8_lm, op9_chat, op10_tokens)}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.kept", 256).alias("kept_sha256"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in the texts of some ids, by a checksum of the id, words from one on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", h.alias("_h"), F.floor(h / 10).alias("_g"))
+    w = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    chosen = chosen.withColumn("_w", F.when(F.col("_h") % 10 == 0, w)).withColumn("_n", F.size("_w"))
+    chosen = chosen.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    chosen = chosen.withColumn("_p", F.floor((F.col("_n") - F.col("_a")) / (F.lit(3) + F.col("_g") % 8)) + 1)
+    at = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")))
+    made = F.array_join(F.transform(at, lambda i: F.get(F.col("_w"), i.cast("int"))), " ")
+    return chosen.select("doc_id", F.when(F.col("_a").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    best = found.select("doc_id", "runs.runs", "runs.collapsed", runs.best_run(F.col("runs.runs")).alias("best"))
+    shown = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    milli = F.expr("(1000 * best.length) div best.period")
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"), F.sha2(shown, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pack, op3_media, op4_warc, op5_language, op6_toxicity, op7_simhash, op8_lm, op9_chat, op10_tokens, op11_phrases, op12_lines, op13_runs)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -101,4 +131,25 @@ one AS (SELECT w AS v, count(*) AS n FROM p GROUP BY w UNION ALL SELECT '', coun
 s AS (SELECT doc_id, sum(ln(two.n) - ln(one.n)) AS s FROM p JOIN two ON p.v = two.v AND p.w = two.w JOIN one ON p.v = one.v GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(s, 0e0), 3) AS log_score, round(s / len(d.w), 6) AS mean_log_score
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id""",
+    "op11_phrases": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS x FROM d)),
+tot AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS s FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, s, count(*) AS a, string_split(s, ' ') AS w FROM g GROUP BY lang, m, s HAVING count(*) >= 100),
+longer AS (SELECT lang, s, max(a) AS a FROM (SELECT lang, array_to_string(w[1 : m - 1], ' ') AS s, a FROM f WHERE m > 2 UNION ALL SELECT lang, array_to_string(w[2 : m], ' '), a FROM f WHERE m > 2) GROUP BY lang, s),
+c AS (SELECT f.lang, f.m, f.s, f.w, f.a FROM f LEFT JOIN longer ON f.lang = longer.lang AND f.s = longer.s WHERE f.m > 1 AND (longer.a IS NULL OR longer.a < f.a)),
+k AS (SELECT lang, s, a, k, array_to_string(w[1 : k], ' ') AS ls, array_to_string(w[k + 1 : m], ' ') AS rs FROM (SELECT lang, m, s, w, a, unnest(range(1, m)) AS k FROM c)),
+v AS (SELECT k.lang, k.s, k.a, k.k, l.a AS l, r.a AS r, tot.n, (1000::HUGEINT * k.a * tot.n) // (l.a::HUGEINT * r.a) AS score
+  FROM k JOIN f l ON k.lang = l.lang AND k.ls = l.s JOIN f r ON k.lang = r.lang AND k.rs = r.s JOIN tot ON k.lang = tot.lang),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, k) = 1)
+SELECT lang, rank, s AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) AS rank FROM b) WHERE rank <= 2000""",
+    "op12_lines": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, i, ls[i] AS line, translate(regexp_replace(ls[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+c AS (SELECT key FROM x WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT x.doc_id, count(*) AS n_lines, count(c.key) AS n_dropped, sha256(coalesce(string_agg(CASE WHEN c.key IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM x LEFT JOIN c ON x.key = c.key GROUP BY x.doc_id""",
 }
