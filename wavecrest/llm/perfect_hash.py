@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from wavecrest.llm.common import mix, scratch, stored
 
-#: Keys of a shard; with two values of 64 bits a shard is some 3 MB, and a worker keeps ``_OPEN`` of them.
-SHARD_KEYS, _OPEN = 1 << 17, 24
+#: Keys of a shard; with two values of 64 bits a shard is some 3 MB, and a worker keeps the last ones used, of ``_OPEN_BYTES`` together.
+SHARD_KEYS, _OPEN_BYTES = 1 << 17, 48 << 20
 _LEVEL = 0x9E3779B97F4A7C15
 
 
@@ -97,9 +97,15 @@ class Shard:
         return np.where(there, slot, -1)
 
 
-@functools.lru_cache(maxsize=_OPEN)
+_SHARDS: OrderedDict[str, Shard] = OrderedDict()
+
+
 def _open(uri: str) -> Shard:
-    return Shard(uri)
+    found = _SHARDS.pop(uri, None) or Shard(uri)
+    _SHARDS[uri] = found
+    while len(_SHARDS) > 1 and sum(x.rows.nbytes for x in _SHARDS.values()) > _OPEN_BYTES:
+        _SHARDS.popitem(last=False)
+    return found
 
 
 class Index(NamedTuple):
@@ -196,12 +202,16 @@ def index_rows(spark, index: Index, form: Callable[[int, Shard], pa.Table], sche
 
 
 def pack(counts: np.ndarray) -> bytes:
-    """Counts as zstd of all their first bytes, then all second ones and so on; an array's zeros take next to nothing."""
-    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+    """Counts in 1, 2, 4 or 8 bytes each, the width first, as zstd of all their first bytes, then all second ones and so on; zeros take next to nothing."""
+    width = np.min_scalar_type(int(counts.max(initial=0))).itemsize
+    planes = np.ascontiguousarray(counts.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + zstandard.ZstdCompressor(3).compress(planes.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    width = data[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64)
 
 
 ARRAYS = "shard long, part int, counts binary"
@@ -228,8 +238,8 @@ class Counter:
             self.held, self.size = {}, 0
 
 
-def tree_sum(arrays: DataFrame, width: int = 64) -> DataFrame:
-    """(shard, part, counts): one array for each shard, the sum of its rows'. Parts are added up in ``width`` branches first, so
+def tree_sum(arrays: DataFrame, width: int = 64, most: int = (1 << 64) - 1) -> DataFrame:
+    """(shard, part, counts): one array for each shard, the sum of its rows' or ``most`` where that is less. Parts are added up in ``width`` branches first, so
     no task gets more than a branch of a shard; a task has one array in memory, however many it adds."""
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,9 +254,10 @@ def tree_sum(arrays: DataFrame, width: int = 64) -> DataFrame:
                 if key != at:
                     if at is not None:
                         yield row()
-                    at, total = key, unpack(counts.as_py()).copy()
+                    at, total = key, unpack(counts.as_py())
                 else:
                     total += unpack(counts.as_py())
+                    np.minimum(total, np.uint64(most), out=total)
         if at is not None:
             yield row()
 

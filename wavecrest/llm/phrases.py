@@ -4,25 +4,28 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavecrest.llm.common import Words, mix, stored, text_slices, utf8, words
-from wavecrest.llm.perfect_hash import ARRAYS, Counter, Index, Shard, build_index, index_rows, tree_sum, unpack
+from wavecrest.llm.common import Words, discard, mix, scratch, stored, text_slices, utf8, words
+from wavecrest.llm.perfect_hash import ARRAYS, Counter, Index, Shard, build_index, index_rows, pack, tree_sum, unpack
 
 #: Bytes that end a piece of text; blanks part words.
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
 _WORD = ~_ENDS
 _WORD[[0x20, 0x09]] = False
-#: A sieve has at most 2 to this power of counters, dealt into ranges of 2 to the second power.
-_SIEVE_BITS, _RANGE_BITS = 22, 14
+#: A sieve has at most 2 to this power of counters, for some 1.7e10 occurrences; a task sends its counts when it has so many.
+_SIEVE_BITS, _SIEVE_HELD = 30, 1 << 22
 #: Keys of a shard whose values are texts and lists.
 _SMALL = 1 << 15
 
@@ -131,45 +134,93 @@ def _extended(words_: bytes, slots: bytes, m: int) -> tuple[np.ndarray, ...]:
     return here, mix(prefix.astype(np.uint64) << np.uint64(32) | last.astype(np.uint64)), prefix, suffix, last
 
 
-def sieve(state: DataFrame, m: int, occurrences: int, least: int) -> tuple[int, np.ndarray]:
-    """(bits, marks): which values of a key's leading bits occur ``least`` times, so that a key with another value can't.
+class Sieve(NamedTuple):
+    """Which values of a key's leading ``bits`` occur often enough, as files of bits for ranges of them."""
 
-    There are some 16 occurrences a counter, and at most 2 ** 22 counters; the marks are half a megabyte then.
+    bits: int
+    range_bits: int
+    files: dict[int, str]
+
+    def passes(self, key: np.ndarray) -> np.ndarray:
+        """The positions of keys that may be frequent."""
+        place = (key >> np.uint64(64 - self.bits)).astype(np.int64)
+        marks = _marks(self)
+        return np.flatnonzero(marks[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+
+
+_HELD: list[tuple[Sieve, np.ndarray]] = []
+
+
+def _marks(sieve: Sieve) -> np.ndarray:
+    """The bits of a sieve, read once by a worker: at most 128 MB, and as a rule an eighth of a byte for 16 occurrences."""
+    if not _HELD or _HELD[0][0] != sieve:
+        out = np.zeros((1 << sieve.bits - sieve.range_bits, 1 << sieve.range_bits - 3), np.uint8)
+        for k, uri in sieve.files.items():
+            files, path = fs.FileSystem.from_uri(uri)
+            with files.open_input_stream(path) as f:
+                out[k] = np.frombuffer(f.read(), np.uint8)
+        _HELD[:] = [(sieve, out.ravel())]
+    return _HELD[0][1]
+
+
+def sieve(state: DataFrame, m: int, occurrences: int, least: int) -> Sieve:
+    """Occurrences are counted by their keys' leading bits, with a counter for some 16 of them, so that a key with a rare value can't be frequent.
+
+    Counters stop at ``least``. A task sends ranges of them, mostly zeros and packed, in proportion to its different keys; the
+    sums' bits are written as a file a range.
     """
-    bits = min(_SIEVE_BITS, max(_RANGE_BITS, math.ceil(math.log2(occurrences / 16 + 1))))
+    bits = min(_SIEVE_BITS, max(12, math.ceil(math.log2(occurrences / 16 + 1))))
+    range_bits = min(20, max(6, bits - 6))
+    folder = scratch(state.sparkSession, "sieve")
+
+    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        at, n = np.unique(np.concatenate(held), return_counts=True)
+        n = np.minimum(n, least)
+        cuts = np.flatnonzero(np.diff(at >> range_bits, prepend=-1))
+        for own, count in zip(np.split(at, cuts[1:]), np.split(n, cuts[1:]), strict=True):
+            counts = np.zeros(1 << range_bits, np.int64)
+            counts[own & (1 << range_bits) - 1] = count
+            yield pa.RecordBatch.from_arrays([pa.array([int(own[0]) >> range_bits]), pa.array([part], pa.int32()), pa.array([pack(counts)], pa.binary())], names=["shard", "part", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint64)
+        held, size = [], 0
         for batch in batches:
             for w, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key = _extended(w, s, m)[1] >> np.uint64(64 - bits)
-                at, n = np.unique(key, return_counts=True)
-                counts[at.astype(np.int64)] += n.astype(np.uint64)
-        if counts.any():
-            counter = Counter(lambda k: 1 << _RANGE_BITS)
-            counter.held = dict(enumerate(counts.reshape(-1, 1 << _RANGE_BITS)))
-            yield from counter.rows(last=True)
+                key = _extended(w, s, m)[1]
+                held.append((key >> np.uint64(64 - bits)).astype(np.int32))
+                size += len(key)
+                if size >= _SIEVE_HELD:
+                    yield from send(held)
+                    held, size = [], 0
+        if size:
+            yield from send(held)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            marks = [np.packbits(unpack(x) >= least).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["shard", "marks"])
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                marks = np.packbits(unpack(data) >= least, bitorder="little")
+                if marks.any():
+                    files.create_dir(path, recursive=True)
+                    name = f"{k:06d}-{TaskContext.get().taskAttemptId()}"
+                    with files.open_output_stream(f"{path}/{name}") as out:
+                        out.write(marks.tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([f"{folder}/{name}"])], names=["shard", "file"])
 
-    out = np.zeros((1 << bits - _RANGE_BITS, 1 << _RANGE_BITS), bool)
-    for r in tree_sum(state.mapInArrow(count, ARRAYS)).select("shard", "counts").mapInArrow(mark, "shard long, marks binary").collect():
-        out[r.shard] = np.unpackbits(np.frombuffer(r.marks, np.uint8)).astype(bool)
-    return bits, out.ravel()
+    summed = tree_sum(state.mapInArrow(count, ARRAYS), most=least).select("shard", "counts")
+    found = summed.mapInArrow(mark, "shard long, file string").collect()  # at most 1,024 names
+    return Sieve(bits, range_bits, {r.shard: r.file for r in found})
 
 
-def candidates(state: DataFrame, m: int, bits: int, marks) -> DataFrame:
+def candidates(state: DataFrame, m: int, sifted: Sieve) -> DataFrame:
     """(h, prefix, suffix, last) of the different phrases of m words that may be frequent: their parts are, and the sieve lets them through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = marks.value
         for batch in batches:
             for w, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, key, *parts = _extended(w, s, m)
-                some = np.flatnonzero(passes[(key >> np.uint64(64 - bits)).astype(np.int64)])
+                some = sifted.passes(key)
                 h, first = np.unique(key[some], return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *[pa.array(x[some[first]].astype(np.int32)) for x in parts]], names=["h", "prefix", "suffix", "last"])
 
@@ -228,8 +279,12 @@ def advanced(state: DataFrame, m: int, index: Index) -> DataFrame:
                 here, key, *_ = _extended(w, s, m)
                 slots = np.zeros(len(_spread(w)), np.int64)
                 slots[here] = index.find(key) + 1
-                if slots.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([w], pa.binary()), pa.array([_squeeze(slots)], pa.binary())], names=["words", "slots"])
+                # only the words of a frequent phrase go on; after one's first word comes its second, so no new neighbours are made
+                first = np.flatnonzero(slots)
+                if len(first):
+                    change = np.bincount(first, minlength=len(slots) + 1) - np.bincount(first + m, minlength=len(slots) + 1)[: len(slots) + 1]
+                    stay = np.cumsum(change[:-1]) > 0
+                    yield pa.RecordBatch.from_arrays([pa.array([_squeeze(_spread(w)[stay])], pa.binary()), pa.array([_squeeze(slots[stay])], pa.binary())], names=["words", "slots"])
 
     return state.mapInArrow(run, "words binary, slots binary")
 
@@ -260,7 +315,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     """
     spark = docs.sparkSession
     blocks = stored(text_blocks(docs, text_col, lang_col, block_bytes, held_bytes), "phrase-blocks")
-    totals = blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
+    totals = stored(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")), "phrase-totals")
     each = blocks.select("lang", F.explode(F.arrays_zip("vocabulary", "counts")).alias("w"))
     vocabulary = each.groupBy("lang", F.col("w.vocabulary").alias("word")).agg(F.sum("w.counts").alias("a")).where(F.col("a") >= least)
     none = F.array().cast("array<bigint>")
@@ -270,21 +325,25 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     if occurrences:
         word_index = build_index(word_rows, "word-index", _SMALL)
         state = stored(numbered(blocks, word_index), "numbered")
+        discard(blocks, word_rows)
         shorter = word_index
         for m in range(2, longest + 1):
-            bits, marks = sieve(state, m, occurrences, least)
-            if not marks.any():
+            sifted = sieve(state, m, occurrences, least)
+            if not sifted.files:
                 break
-            sent = spark.sparkContext.broadcast(marks)  # at most 4 MB
-            index = build_index(stored(candidates(state, m, bits, sent), "candidates"), "candidate-index")
+            keys = stored(candidates(state, m, sifted), "candidates")
+            index = build_index(keys, "candidate-index")
             found = stored(counted(state, m, index, least), "counted")
             occurrences = found.agg(F.sum("a")).first()[0]
             if not occurrences:
                 break
-            shorter = build_index(stored(with_cuts(found, word_index, shorter), "frequent"), "phrase-index", _SMALL)
+            frequent = stored(with_cuts(found, word_index, shorter), "frequent")
+            shorter = build_index(frequent, "phrase-index", _SMALL)
+            discard(keys, found, frequent)
             levels.append(index_rows(spark, shorter, _phrases(m), _PHRASE))
             if m < longest:
-                state = stored(advanced(state, m, shorter), "numbered")
+                state, before = stored(advanced(state, m, shorter), "numbered"), state
+                discard(before)
     out = spark.createDataFrame([], _PHRASE)
     for level in levels:
         out = out.unionByName(level)
