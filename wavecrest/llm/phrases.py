@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavecrest.llm.common import Words, discard, mix, scratch, stored, text_slices, utf8, words
+from wavecrest.llm.common import Words, discard, mix, scratch, stored, text_slices, tidy, utf8, words
 from wavecrest.llm.perfect_hash import ARRAYS, Counter, Index, Shard, build_index, index_rows, pack, tree_sum, unpack
 
 #: Bytes that end a piece of text; blanks part words.
@@ -25,7 +25,7 @@ _ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
 _WORD = ~_ENDS
 _WORD[[0x20, 0x09]] = False
 #: A sieve has at most 2 to this power of counters, for some 1.7e10 occurrences; a task sends its counts when it has so many.
-_SIEVE_BITS, _SIEVE_HELD = 30, 1 << 22
+_SIEVE_BITS, _SIEVE_HELD = 30, 1 << 21
 #: Keys of a shard whose values are texts and lists.
 _SMALL = 1 << 15
 
@@ -69,7 +69,7 @@ def text_blocks(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[list, int]] = {}
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", 1 << 20):
             langs = batch.column(1).dictionary_encode()
             for k, lang in enumerate(langs.dictionary.to_pylist()):
                 text = utf8(batch.column(0).filter(pc.equal(langs.indices, k)))
@@ -92,7 +92,7 @@ def text_blocks(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int,
             yield block(lang, parts)
 
     chosen = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    return chosen.mapInArrow(run, "lang string, n_words long, vocabulary array<string>, counts array<long>, text binary")
+    return chosen.mapInArrow(tidy(run), "lang string, n_words long, vocabulary array<string>, counts array<long>, text binary")
 
 
 def _word_key(word, lang):
@@ -120,7 +120,7 @@ def numbered(blocks: DataFrame, index: Index) -> DataFrame:
                 data = pa.array([_squeeze(own)])
                 yield pa.RecordBatch.from_arrays([data, data], names=["words", "slots"])
 
-    return blocks.select("lang", "vocabulary", "text").mapInArrow(run, "words binary, slots binary")
+    return blocks.select("lang", "vocabulary", "text").mapInArrow(tidy(run), "words binary, slots binary")
 
 
 def _extended(words_: bytes, slots: bytes, m: int) -> tuple[np.ndarray, ...]:
@@ -208,7 +208,7 @@ def sieve(state: DataFrame, m: int, occurrences: int, least: int) -> Sieve:
                         out.write(marks.tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([f"{folder}/{name}"])], names=["shard", "file"])
 
-    summed = tree_sum(state.mapInArrow(count, ARRAYS), most=least).select("shard", "counts")
+    summed = tree_sum(state.mapInArrow(tidy(count), ARRAYS), most=least).select("shard", "counts")
     found = summed.mapInArrow(mark, "shard long, file string").collect()  # at most 1,024 names
     return Sieve(bits, range_bits, {r.shard: r.file for r in found})
 
@@ -224,7 +224,7 @@ def candidates(state: DataFrame, m: int, sifted: Sieve) -> DataFrame:
                 h, first = np.unique(key[some], return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *[pa.array(x[some[first]].astype(np.int32)) for x in parts]], names=["h", "prefix", "suffix", "last"])
 
-    return state.mapInArrow(run, "h long, prefix int, suffix int, last int").dropDuplicates(["h"])
+    return state.mapInArrow(tidy(run), "h long, prefix int, suffix int, last int").dropDuplicates(["h"])
 
 
 def counted(state: DataFrame, m: int, index: Index, least: int) -> DataFrame:
@@ -249,7 +249,7 @@ def counted(state: DataFrame, m: int, index: Index, least: int) -> DataFrame:
                 own = index.shard(k).rows.append_column("a", pa.array(a)).filter(pa.array(a >= least))
                 yield from own.replace_schema_metadata(None).to_batches()
 
-    return tree_sum(state.mapInArrow(count, ARRAYS)).select("shard", "counts").mapInArrow(frequent, "h long, prefix int, suffix int, last int, a long")
+    return tree_sum(state.mapInArrow(tidy(count), ARRAYS)).select("shard", "counts").mapInArrow(frequent, "h long, prefix int, suffix int, last int, a long")
 
 
 def with_cuts(found: DataFrame, word_index: Index, shorter: Index) -> DataFrame:
@@ -267,7 +267,7 @@ def with_cuts(found: DataFrame, word_index: Index, shorter: Index) -> DataFrame:
             columns = [*batch.columns, text, head.column("lang").chunk(0), pa.array(lefts, pa.list_(pa.int64())), pa.array(rights, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "phrase", "lang", "lefts", "rights"])
 
-    return found.mapInArrow(run, "h long, prefix int, suffix int, last int, a long, phrase string, lang string, lefts array<long>, rights array<long>")
+    return found.mapInArrow(tidy(run), "h long, prefix int, suffix int, last int, a long, phrase string, lang string, lefts array<long>, rights array<long>")
 
 
 def advanced(state: DataFrame, m: int, index: Index) -> DataFrame:
@@ -286,7 +286,7 @@ def advanced(state: DataFrame, m: int, index: Index) -> DataFrame:
                     stay = np.cumsum(change[:-1]) > 0
                     yield pa.RecordBatch.from_arrays([pa.array([_squeeze(_spread(w)[stay])], pa.binary()), pa.array([_squeeze(slots[stay])], pa.binary())], names=["words", "slots"])
 
-    return state.mapInArrow(run, "words binary, slots binary")
+    return state.mapInArrow(tidy(run), "words binary, slots binary")
 
 
 _PHRASE = "level int, number long, prefix long, suffix long, phrase string, lang string, a long, lefts array<long>, rights array<long>"
@@ -302,7 +302,7 @@ def _phrases(level: int):
     return form
 
 
-def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 5, least: int = 100, block_bytes: int = 4 << 20, held_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 5, least: int = 100, block_bytes: int = 4 << 20, held_bytes: int = 12 << 20) -> tuple[DataFrame, DataFrame]:
     """((level, number, prefix, suffix, phrase, lang, a, lefts, rights), (lang, n)): every phrase of 2 to ``longest`` words that occurs ``least`` times in its language, and the words of each language.
 
     ``prefix`` and ``suffix`` are the numbers, one level down, of all words but the last and but the first; ``lefts`` and ``rights`` count the first 1, 2, ... and the last ..., 2, 1 words.
