@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavecrest.llm.common import mix, scratch, stored
+from wavecrest.llm.common import mix, scratch, stored, tidy
 
 #: Keys of a shard; with two values of 64 bits a shard is some 3 MB, and a worker keeps the last ones used, of ``_OPEN_BYTES`` together.
 SHARD_KEYS, _OPEN_BYTES = 1 << 17, 48 << 20
@@ -238,8 +238,11 @@ class Counter:
             self.held, self.size = {}, 0
 
 
-def tree_sum(arrays: DataFrame, width: int = 64, most: int = (1 << 64) - 1) -> DataFrame:
-    """(shard, part, counts): one array for each shard, the sum of its rows' or ``most`` where that is less. Parts are added up in ``width`` branches first, so
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tree_sum(arrays: DataFrame, width: int = 64, most: int = (1 << 64) - 1, finish: Run = iter, schema: str = ARRAYS) -> DataFrame:
+    """(shard, part, counts): one array for each shard, the sum of its rows' or ``most`` where that is less; or what ``finish`` makes of such rows in the same worker. Parts are added up in ``width`` branches first, so
     no task gets more than a branch of a shard; a task has one array in memory, however many it adds."""
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +264,10 @@ def tree_sum(arrays: DataFrame, width: int = 64, most: int = (1 << 64) - 1) -> D
         if at is not None:
             yield row()
 
-    for branch in (F.pmod("part", F.lit(width)), F.lit(0)):
+    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return finish(add(batches))
+
+    for branch, run, kind in ((F.pmod("part", F.lit(width)), add, ARRAYS), (F.lit(0), end, schema)):
         level = arrays.select("shard", branch.cast("int").alias("part"), "counts")
-        arrays = level.repartition("shard", "part").sortWithinPartitions("shard", "part").mapInArrow(add, ARRAYS)
+        arrays = level.repartition("shard", "part").sortWithinPartitions("shard", "part").mapInArrow(tidy(run), kind)
     return arrays

@@ -50,8 +50,19 @@ def _word_array(data: np.ndarray, found: Words) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(own)])
 
 
+def _ipc(rows: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_table(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _vocabulary(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
 def text_blocks(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int, held_bytes: int) -> DataFrame:
-    """(lang, n_words, vocabulary, counts, text): texts of a language as numbers of words, the commonest first, from 1; 0 ends a piece."""
+    """(lang, n_words, vocabulary, text): texts of a language as numbers of words, the commonest first, from 1; 0 ends a piece. ``vocabulary`` is an Arrow stream of the words and their counts."""
 
     def block(lang: str, held: list[tuple[pa.Array, np.ndarray]]) -> pa.RecordBatch:
         own = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
@@ -64,8 +75,8 @@ def text_blocks(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int,
         at = np.arange(len(numbers)) + np.cumsum(new)
         text = np.zeros(len(numbers) + int(new.sum()), np.int64)
         text[at] = place[numbers]
-        columns = [pa.array([lang]), pa.array([len(numbers)]), pa.array([vocabulary.take(pa.array(order)).cast(pa.binary()).to_pylist()], pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array([counts[order].tolist()], pa.list_(pa.int64())), pa.array([_squeeze(text)])]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "n_words", "vocabulary", "counts", "text"])
+        own = pa.table([vocabulary.take(pa.array(order)).cast(pa.large_string()).cast(pa.string()), pa.array(counts[order])], names=["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([len(numbers)]), pa.array([_ipc(own)], pa.binary()), pa.array([_squeeze(text)])], names=["lang", "n_words", "vocabulary", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[list, int]] = {}
@@ -92,7 +103,19 @@ def text_blocks(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int,
             yield block(lang, parts)
 
     chosen = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    return chosen.mapInArrow(tidy(run), "lang string, n_words long, vocabulary array<string>, counts array<long>, text binary")
+    return chosen.mapInArrow(tidy(run), "lang string, n_words long, vocabulary binary, text binary")
+
+
+def block_words(blocks: DataFrame) -> DataFrame:
+    """(lang, word, n) of each block's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = _vocabulary(data)
+                yield from own.add_column(0, "lang", pa.array([lang] * len(own), pa.string())).to_batches(1 << 14)
+
+    return blocks.select("lang", "vocabulary").mapInArrow(tidy(run), "lang string, word string, n long")
 
 
 def _word_key(word, lang):
@@ -106,7 +129,7 @@ def numbered(blocks: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, vocabulary, text in zip(*(batch.column(k) for k in range(3)), strict=True):
-                keys = pc.binary_join_element_wise(vocabulary.values, lang, " ")
+                keys = pc.binary_join_element_wise(_vocabulary(vocabulary.as_py()).column("word").chunk(0), lang, " ")
                 h = np.fromiter((xxhash.xxh64_intdigest(x.encode(), 42) for x in keys.to_pylist()), np.uint64, len(keys))
                 number = index.find(h)
                 there = np.flatnonzero(number >= 0)
@@ -199,7 +222,7 @@ def sieve(state: DataFrame, m: int, occurrences: int, least: int) -> Sieve:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 marks = np.packbits(unpack(data) >= least, bitorder="little")
                 if marks.any():
                     files.create_dir(path, recursive=True)
@@ -208,21 +231,40 @@ def sieve(state: DataFrame, m: int, occurrences: int, least: int) -> Sieve:
                         out.write(marks.tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([f"{folder}/{name}"])], names=["shard", "file"])
 
-    summed = tree_sum(state.mapInArrow(tidy(count), ARRAYS), most=least).select("shard", "counts")
-    found = summed.mapInArrow(mark, "shard long, file string").collect()  # at most 1,024 names
+    found = tree_sum(state.mapInArrow(tidy(count), ARRAYS), most=least, finish=mark, schema="shard long, file string").collect()  # at most 1,024 names
     return Sieve(bits, range_bits, {r.shard: r.file for r in found})
 
 
 def candidates(state: DataFrame, m: int, sifted: Sieve) -> DataFrame:
-    """(h, prefix, suffix, last) of the different phrases of m words that may be frequent: their parts are, and the sieve lets them through."""
+    """(h, prefix, suffix, last) of the different phrases of m words that may be frequent: their parts are, and the sieve lets them through.
+
+    A task sends a key once as long as its keys are no more than half of ``_SIEVE_HELD``.
+    """
+
+    def once(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        key, *parts = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, first = np.unique(key, return_index=True)
+        return (h, *(x[first] for x in parts))
+
+    def rows(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), *map(pa.array, found[1:])], names=["h", "prefix", "suffix", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for w, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, key, *parts = _extended(w, s, m)
                 some = sifted.passes(key)
-                h, first = np.unique(key[some], return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *[pa.array(x[some[first]].astype(np.int32)) for x in parts]], names=["h", "prefix", "suffix", "last"])
+                held.append(once([(key[some], *(x[some].astype(np.int32) for x in parts))]))
+                size += len(held[-1][0])
+                if size > _SIEVE_HELD:
+                    held = [once(held)]
+                    size = len(held[0][0])
+                    if size > _SIEVE_HELD // 2:
+                        yield rows(held[0])
+                        held, size = [], 0
+        if size:
+            yield rows(once(held))
 
     return state.mapInArrow(tidy(run), "h long, prefix int, suffix int, last int").dropDuplicates(["h"])
 
@@ -244,12 +286,12 @@ def counted(state: DataFrame, m: int, index: Index, least: int) -> DataFrame:
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 a = unpack(data).astype(np.int64)
                 own = index.shard(k).rows.append_column("a", pa.array(a)).filter(pa.array(a >= least))
                 yield from own.replace_schema_metadata(None).to_batches()
 
-    return tree_sum(state.mapInArrow(tidy(count), ARRAYS)).select("shard", "counts").mapInArrow(frequent, "h long, prefix int, suffix int, last int, a long")
+    return tree_sum(state.mapInArrow(tidy(count), ARRAYS), finish=frequent, schema="h long, prefix int, suffix int, last int, a long")
 
 
 def with_cuts(found: DataFrame, word_index: Index, shorter: Index) -> DataFrame:
@@ -316,8 +358,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     spark = docs.sparkSession
     blocks = stored(text_blocks(docs, text_col, lang_col, block_bytes, held_bytes), "phrase-blocks")
     totals = stored(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")), "phrase-totals")
-    each = blocks.select("lang", F.explode(F.arrays_zip("vocabulary", "counts")).alias("w"))
-    vocabulary = each.groupBy("lang", F.col("w.vocabulary").alias("word")).agg(F.sum("w.counts").alias("a")).where(F.col("a") >= least)
+    vocabulary = block_words(blocks).groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     none = F.array().cast("array<bigint>")
     word_rows = stored(vocabulary.select(F.xxhash64(_word_key("word", "lang")).alias("h"), _word_key("word", "lang").alias("key"), F.col("word").alias("phrase"), "lang", "a", none.alias("lefts"), none.alias("rights")), "words")
     occurrences = word_rows.agg(F.sum("a")).first()[0]
@@ -374,5 +415,5 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     scored = cut.withColumn("score", F.expr("_top div (cast(l as decimal(38,0)) * cast(r as decimal(38,0)))"))
     lowest = scored.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "_k", "l", "r")).alias("c"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    flat = lowest.select("lang", "phrase", "a", "n", "c.score", "c.l", "c.r").withColumn("rank", F.row_number().over(order).cast("long"))
-    return flat.where(F.col("rank") <= first).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    flat = lowest.select("lang", "phrase", "a", "n", "c.score", "c.l", "c.r").withColumn("rank", F.row_number().over(order))
+    return flat.where(F.col("rank") <= first).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
