@@ -91,6 +91,8 @@ def probe(index: Index, h: np.ndarray) -> np.ndarray:
     out = np.zeros(len(h), np.int64)
     if index.size and len(h):
         for k, at in index.parts(shard_numbers(h[:, 0], len(index.files))):
+            if not index.files[k]:
+                continue
             shard = index.shard(k)
             slot = shard.find(h[at, 0])
             there = np.flatnonzero(slot >= 0)

@@ -137,6 +137,8 @@ class Index(NamedTuple):
         if not self.size or not len(keys):
             return out
         for k, at in self.parts(shard_numbers(keys, len(self.files))):
+            if not self.files[k]:
+                continue
             slot = self.shard(k).find(keys[at])
             out[at] = np.where(slot >= 0, slot + self.firsts[k], -1)
         return out
@@ -155,37 +157,46 @@ def shard_numbers(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def write_shard(folder: str, shard: int, rows: pa.Table) -> str:
+    """Writes ``rows`` in the order of the perfect hash of their column ``h``, and gives the file's name, which has the attempt in it: a repeated task leaves a file that nobody reads."""
+    rows = rows.combine_chunks()
+    h = rows.column("h").to_numpy().view(np.uint64)
+    perfect = PerfectHash.build(h)
+    order = np.empty(len(h), np.int64)
+    order[perfect.slots(h)] = np.arange(len(h))
+    rows = rows.take(pa.array(order)).combine_chunks()
+    rows = rows.replace_schema_metadata({b"sizes": np.array(perfect.sizes, "<i8").tobytes(), b"bits": perfect.bits.tobytes()})
+    files, path = fs.FileSystem.from_uri(folder)
+    files.create_dir(path, recursive=True)
+    file = f"{shard:06d}-{TaskContext.get().taskAttemptId()}.arrow"
+    with files.open_output_stream(f"{path}/{file}") as out, pa.ipc.new_file(out, rows.schema) as stream:
+        stream.write_table(rows)
+    return f"{folder}/{file}"
+
+
+MANIFEST = "shard long, file string, n long"
+
+
+def read_manifest(manifest: DataFrame, shards: int) -> Index:
+    """The index of the shards that ``manifest`` lists, one row each; a shard without keys has no file."""
+    found = {r.shard: r for r in stored(manifest, "manifest").collect()}
+    return Index([found[k].file if k in found else "" for k in range(shards)], np.cumsum([0, *(found[k].n if k in found else 0 for k in range(shards))]).tolist())
+
+
 def build_index(keys: DataFrame, name: str, shard_keys: int = SHARD_KEYS) -> Index:
     """An index of ``keys``, whose column ``h`` holds different evenly spread 64-bit numbers; the other columns are its values.
 
-    A task builds a shard of about ``shard_keys`` keys and writes it to shared storage. A file's name has its attempt in it, and the
-    table of names is committed by Spark, so a repeated task leaves a file that nobody reads. The driver sees one name a shard.
+    A task builds a shard of about ``shard_keys`` keys and writes it to shared storage. The table of names is committed by Spark, and the driver sees one name a shard.
     """
-    spark, folder = keys.sparkSession, scratch(keys.sparkSession, name)
+    folder = scratch(keys.sparkSession, name)
     shards = max(1, -(-keys.count() // shard_keys))
 
     def write(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.drop_columns(["_shard"]).combine_chunks()
-        h = rows.column("h").to_numpy().view(np.uint64)
-        perfect = PerfectHash.build(h)
-        order = np.empty(len(h), np.int64)
-        order[perfect.slots(h)] = np.arange(len(h))
-        rows = rows.take(pa.array(order)).combine_chunks()
-        rows = rows.replace_schema_metadata({b"sizes": np.array(perfect.sizes, "<i8").tobytes(), b"bits": perfect.bits.tobytes()})
-        files, path = fs.FileSystem.from_uri(folder)
-        files.create_dir(path, recursive=True)
-        file = f"{key[0].as_py():06d}-{TaskContext.get().taskAttemptId()}.arrow"
-        with files.open_output_stream(f"{path}/{file}") as out, pa.ipc.new_file(out, rows.schema) as stream:
-            stream.write_table(rows)
-        return pa.table({"shard": [key[0].as_py()], "file": [f"{folder}/{file}"], "n": [len(h)]})
+        return pa.table({"shard": [key[0].as_py()], "file": [write_shard(folder, key[0].as_py(), rows.drop_columns(["_shard"]))], "n": [len(rows)]})
 
     # the upper half of h times the number of shards, as shard_numbers has it
     dealt = keys.withColumn("_shard", F.shiftright(F.shiftrightunsigned("h", 32) * F.lit(shards).cast("long"), 32))
-    found = {r.shard: r for r in stored(dealt.groupBy("_shard").applyInArrow(write, "shard long, file string, n long"), name).collect()}
-    used = sorted(found)
-    if len(used) < shards:  # a shard number without keys; only small tables have that
-        return build_index(keys, name, 2 * shard_keys) if used else Index([], [0])
-    return Index([found[k].file for k in used], np.cumsum([0, *(found[k].n for k in used)]).tolist())
+    return read_manifest(dealt.groupBy("_shard").applyInArrow(write, MANIFEST), shards)
 
 
 def index_rows(spark, index: Index, form: Callable[[int, Shard], pa.Table], schema: str) -> DataFrame:
@@ -195,7 +206,7 @@ def index_rows(spark, index: Index, form: Callable[[int, Shard], pa.Table], sche
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                if k < len(index.files):
+                if k < len(index.files) and index.files[k]:
                     yield from form(index.firsts[k], index.shard(k)).to_batches()
 
     return spark.range(0, n, 1, min(n, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecrest.llm.common import Words, discard, mix, scratch, stored, text_slices, tidy, utf8, words
-from wavecrest.llm.perfect_hash import ARRAYS, Counter, Index, Shard, build_index, index_rows, pack, tree_sum, unpack
+from wavecrest.llm.perfect_hash import ARRAYS, MANIFEST, SHARD_KEYS, Counter, Index, Shard, build_index, index_rows, pack, read_manifest, shard_numbers, tree_sum, unpack, write_shard
 
 #: Bytes that end a piece of text; blanks part words.
 _ENDS = np.zeros(256, bool)
@@ -163,6 +163,7 @@ class Sieve(NamedTuple):
     bits: int
     range_bits: int
     files: dict[int, str]
+    passing: int
 
     def passes(self, key: np.ndarray) -> np.ndarray:
         """The positions of keys that may be frequent."""
@@ -229,25 +230,38 @@ def sieve(state: DataFrame, m: int, occurrences: int, least: int) -> Sieve:
                     name = f"{k:06d}-{TaskContext.get().taskAttemptId()}"
                     with files.open_output_stream(f"{path}/{name}") as out:
                         out.write(marks.tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([f"{folder}/{name}"])], names=["shard", "file"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([f"{folder}/{name}"]), pa.array([int(np.bitwise_count(marks).sum())])], names=["shard", "file", "n"])
 
-    found = tree_sum(state.mapInArrow(tidy(count), ARRAYS), most=least, finish=mark, schema="shard long, file string").collect()  # at most 1,024 names
-    return Sieve(bits, range_bits, {r.shard: r.file for r in found})
+    found = tree_sum(state.mapInArrow(tidy(count), ARRAYS), most=least, finish=mark, schema=MANIFEST).collect()  # at most 1,024 names
+    return Sieve(bits, range_bits, {r.shard: r.file for r in found}, sum(r.n for r in found))
 
 
-def candidates(state: DataFrame, m: int, sifted: Sieve) -> DataFrame:
-    """(h, prefix, suffix, last) of the different phrases of m words that may be frequent: their parts are, and the sieve lets them through.
+_COLUMNS = ("prefix", "suffix", "last")
+
+
+def _once(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(h, prefix, suffix, last) of different h."""
+    key, *parts = (np.concatenate(x) for x in zip(*held, strict=True))
+    h, first = np.unique(key, return_index=True)
+    return (h, *(x[first] for x in parts))
 
-    A task sends a key once as long as its keys are no more than half of ``_SIEVE_HELD``.
-    """
 
-    def once(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        key, *parts = (np.concatenate(x) for x in zip(*held, strict=True))
-        h, first = np.unique(key, return_index=True)
-        return (h, *(x[first] for x in parts))
+def candidates(state: DataFrame, m: int, sifted: Sieve) -> Index:
+    """An index of the different phrases of m words that may be frequent: their parts are, and the sieve lets them through.
+
+    A task sends arrays of its different keys, one for each shard; a key is sent once as long as a task's keys are no more than half of ``_SIEVE_HELD``. There is a shard for
+    so many counters of the sieve, so that a task that puts a shard's arrays together has a bounded number of keys.
+    """
+    folder = scratch(state.sparkSession, "candidate-index")
+    shards = max(1, -(-2 * sifted.passing // SHARD_KEYS))
 
-    def rows(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), *map(pa.array, found[1:])], names=["h", "prefix", "suffix", "last"])
+    def send(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        h, *parts = _once(held)
+        cuts = np.searchsorted(shard_numbers(h, shards), np.arange(shards + 1))  # h is in order
+        for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if j > i:
+                data = pack(np.concatenate((np.diff(h[i:j], prepend=np.uint64(0)), *(x[i:j].astype(np.uint64) for x in parts))))
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([data], pa.binary())], names=["shard", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -255,18 +269,40 @@ def candidates(state: DataFrame, m: int, sifted: Sieve) -> DataFrame:
             for w, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, key, *parts = _extended(w, s, m)
                 some = sifted.passes(key)
-                held.append(once([(key[some], *(x[some].astype(np.int32) for x in parts))]))
+                held.append(_once([(key[some], *(x[some] for x in parts))]))
                 size += len(held[-1][0])
                 if size > _SIEVE_HELD:
-                    held = [once(held)]
+                    held = [_once(held)]
                     size = len(held[0][0])
                     if size > _SIEVE_HELD // 2:
-                        yield rows(held[0])
+                        yield from send(held)
                         held, size = [], 0
         if size:
-            yield rows(once(held))
+            yield from send(held)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
 
-    return state.mapInArrow(tidy(run), "h long, prefix int, suffix int, last int").dropDuplicates(["h"])
+        def shard() -> pa.RecordBatch:
+            h, *parts = _once(held)
+            rows = pa.table([pa.array(h.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in parts)], names=["h", *_COLUMNS])
+            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([write_shard(folder, at, rows)]), pa.array([len(h)])], names=["shard", "file", "n"])
+
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != at:
+                    if held:
+                        yield shard()
+                    at, held = k, []
+                h, *parts = unpack(data).reshape(4, -1)
+                held.append((np.cumsum(h), *parts))
+                if sum(len(x[0]) for x in held) > 4 * SHARD_KEYS and len(held) > 1:
+                    held = [_once(held)]
+        if held:
+            yield shard()
+
+    sent = state.mapInArrow(tidy(run), "shard long, data binary").repartition("shard").sortWithinPartitions("shard")
+    return read_manifest(sent.mapInArrow(tidy(write), MANIFEST), shards)
 
 
 def counted(state: DataFrame, m: int, index: Index, least: int) -> DataFrame:
@@ -372,15 +408,14 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
             sifted = sieve(state, m, occurrences, least)
             if not sifted.files:
                 break
-            keys = stored(candidates(state, m, sifted), "candidates")
-            index = build_index(keys, "candidate-index")
+            index = candidates(state, m, sifted)
             found = stored(counted(state, m, index, least), "counted")
             occurrences = found.agg(F.sum("a")).first()[0]
             if not occurrences:
                 break
             frequent = stored(with_cuts(found, word_index, shorter), "frequent")
             shorter = build_index(frequent, "phrase-index", _SMALL)
-            discard(keys, found, frequent)
+            discard(found, frequent)
             levels.append(index_rows(spark, shorter, _phrases(m), _PHRASE))
             if m < longest:
                 state, before = stored(advanced(state, m, shorter), "numbered"), state
