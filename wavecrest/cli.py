@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from wavecrest.operators import stats, trp, windows
 from wavecrest.plans import pipelines
 from wavecrest.session import build_session
 from wavecrest.sources import recordings as R
+from wavecrest.storage import stored
 
 
 def _pair(text: str) -> tuple[float, float]:
@@ -39,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
     spectra = {"nperseg": 1024, "noverlap": 0, "window": "hann", "alpha": "8,13", "faa_db": False, "channels_file": None, "n_channels": 0}
     verb("analyze", input=str, sfreq=float, out_dir=str, trp_baseline="1_rest", trp_mode="logratio", form="parquet", **spectra)
     verb("plot-trp", out_dir=str, summary=[], summary_dir=None, summary_glob="trp_1_rest.json", montage=None, layout="collapsed", mode="logratio", transform="auto", exclude_midline=False, lower_key=None, upper_key=None, merge=[], only_merged=False, exclude_condition=[])
-    verb("design-creativity", input=str, out_dir=str, sfreq=500.0, freq_range="8,13", threshold=0.2, measure="wpli", channels_file=None, n_channels=0, no_classification=False)
+    verb("design-creativity", input=str, out_dir=str, sfreq=500.0, freq_range="8,13", threshold=0.2, measure="wpli", detrend=False, save_intermediates=False, channels_file=None, n_channels=0, no_classification=False)
     verb("statistical-analysis", results_dir=str, out_dir=None, alpha=0.05, pairwise="tukey")
     verb("segment-protocol", sfreq=float, out_dir=str, line="none", lambda_reg=0.25, **smoothing, **parts)
     verb("dynamic-window", mode=str, sfreq=float, out_dir=str, line="B", min_window_sec=1.0, input=None, task=None, ms_n_std=3.0, ms_distance=10, ms_all_samples=False, save_psd=False, **smoothing, **parts, **spectra)
@@ -74,8 +76,9 @@ def _dynamic(spark, a: argparse.Namespace) -> dict:
         found = found.select("subject", F.col("t").cast("long").alias("t"), F.col("x").cast("int").alias("label"))
     elif eeg is not None:
         more = {} if a.verb == "segment-protocol" else {"peaks_only": not a.ms_all_samples, "n_std": a.ms_n_std, "distance": a.ms_distance}
-        found = windows.fit_labels(eeg, a.n_microstates, a.ms_n_runs, **more)
-        tables = {"computed_labels": found}
+        fitted = windows.labels_fitted(eeg, a.n_microstates, a.ms_n_runs, **more)
+        fitted = fitted._replace(both=stored(fitted.both, "labels"))
+        found, tables = fitted.good, {"computed_labels": fitted.good, "failures": fitted.failed}
     else:
         raise SystemExit("give labels or a recording to fit them to")
     size = a.macro_window_size or windows.PRESETS.get(a.line, (1, 1))[0]
@@ -95,18 +98,25 @@ def main(argv: list[str] | None = None) -> None:
         return pipelines.convert_to_json(spark, a.input, a.out_dir, a.n_channels in (0, 64))
     if a.verb == "analyze":
         form = a.form
-        tables = pipelines.analyze(pipelines.load(spark, a.input, a.n_channels in (0, 64), _channels(spark, a.channels_file)), a.sfreq, a.nperseg, a.noverlap or None, a.window, _pair(a.alpha), a.faa_db, a.trp_mode, a.trp_baseline)
+        found, failed = pipelines.read(spark, a.input)
+        found = pipelines.named(spark, found, a.n_channels in (0, 64), _channels(spark, a.channels_file))
+        tables = pipelines.analyze(found, a.sfreq, a.nperseg, a.noverlap or None, a.window, _pair(a.alpha), a.faa_db, a.trp_mode, a.trp_baseline, failed)
     elif a.verb == "plot-trp":
         tables = _plot_trp(spark, a)
     elif a.verb == "design-creativity":
-        tables = pipelines.connectivity_analysis(pipelines.load(spark, a.input, a.n_channels in (0, 64), _channels(spark, a.channels_file)), a.sfreq, _pair(a.freq_range), a.threshold, measure=a.measure)
+        found, failed = pipelines.read(spark, a.input)
+        found = pipelines.named(spark, found, a.n_channels in (0, 64), _channels(spark, a.channels_file))
+        tables = pipelines.connectivity_analysis(found, a.sfreq, _pair(a.freq_range), a.threshold, measure=a.measure, detrend=a.detrend, intermediates=a.save_intermediates, failures=failed)
     elif a.verb == "statistical-analysis":
         tables, out = stats.statistical_analysis(spark.read.parquet(f"{a.results_dir}/long"), None, a.alpha, a.pairwise), f"{a.out_dir or a.results_dir}/statistics"
     else:
         tables = _dynamic(spark, a)
     pipelines.save(tables, out, form, **vars(a))
     if a.verb == "design-creativity" and not a.no_classification:
-        pipelines.save(pipelines.train_classifiers(spark.read.parquet(f"{a.out_dir}/features")), f"{a.out_dir}/classification", **vars(a))
+        tables = pipelines.train_classifiers(spark.read.parquet(f"{a.out_dir}/features"))
+        for stage, error in tables["failures"].collect() if "failures" in tables else ():  # one a classifier at most
+            print(f"warning: {stage}: {error.splitlines()[0]}", file=sys.stderr)
+        pipelines.save(tables, f"{a.out_dir}/classification", **vars(a))
 
 
 if __name__ == "__main__":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -90,6 +92,26 @@ def analytic(x: np.ndarray) -> np.ndarray:
     return np.fft.ifft(np.fft.fft(x, axis=-1) * h, axis=-1)
 
 
+@functools.lru_cache(maxsize=8)
+def slepian(n: int, half_bandwidth: float = 4.0, least: float = 0.9) -> tuple[np.ndarray, np.ndarray]:
+    """(tapers, concentrations): the discrete prolate spheroidal sequences of ``n`` samples and half-bandwidth ``half_bandwidth`` / n, with unit energy.
+
+    They are the eigenvectors, largest eigenvalue first, of a symmetric tridiagonal matrix that commutes with the concentration operator; twice the half-bandwidth less one of them count, and of these
+    those with a share of more than ``least`` of their energy within the band, or the first if none has.
+    """
+    t, half_bandwidth = np.arange(n), min(half_bandwidth, n / 2)
+    matrix = np.diag(((n - 1) / 2 - t) ** 2 * np.cos(2 * np.pi * half_bandwidth / n))
+    side = t[1:] * (n - t[1:]) / 2
+    matrix[t[1:], t[:-1]] = matrix[t[:-1], t[1:]] = side
+    k = min(n, max(1, int(2 * half_bandwidth) - 1))
+    tapers = np.linalg.eigh(matrix)[1][:, ::-1][:, :k].T
+    kernel = 2 * half_bandwidth / n * np.sinc(2 * half_bandwidth / n * (t[:, None] - t))
+    share = np.einsum("ks,st,kt->k", tapers, kernel, tapers, optimize=True)
+    kept = share > least
+    kept[0] |= not kept.any()
+    return tapers[kept], share[kept]
+
+
 def savgol(y: np.ndarray, width: int = 11, degree: int = 3) -> np.ndarray:
     """Savitzky-Golay smoothing; the ends take the polynomial of the first and last window."""
     half = width // 2

@@ -3,31 +3,42 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavecrest.functions.signal import analytic, butter_bandpass, filtfilt, linear_detrend, window
+from wavecrest.functions.signal import analytic, butter_bandpass, filtfilt, linear_detrend, slepian
+from wavecrest.operators.quarantine import Outcome, guarded, signals
 
 EDGES = "subject string, task string, i int, j int, w double"
+_KEYS = ["subject", "task"]
+
+
+def _by_recording(recordings: DataFrame):
+    keyed = recordings.select(F.col("subject").cast("string"), F.col("task").cast("string"), F.col("ch_idx").cast("int"), "signal")
+    return keyed.groupBy(*_KEYS)
 
 
 def phase_lag_edges(recordings: DataFrame, sfreq: float = 500.0, lo: float | None = 8.0, hi: float | None = 13.0, detrend: bool = False) -> DataFrame:
+    """What ``phase_lags`` gives for the recordings it works for."""
+    return phase_lags(recordings, sfreq, lo, hi, detrend).good
+
+
+def phase_lags(recordings: DataFrame, sfreq: float = 500.0, lo: float | None = 8.0, hi: float | None = 13.0, detrend: bool = False) -> Outcome:
     """Weighted phase-lag index of channel pairs i < j of each (subject, task); no band without ``lo``. ``detrend`` takes each channel's line off first.
 
     A group is one recording, whose channels are filtered once each; pairs are taken row by row.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ch_idx")
-        n = min(map(len, pdf["signal"]))
-        x = np.array([s[:n] for s in pdf["signal"]], float)
+        ch, x = signals(pdf)
         x = linear_detrend(x) if detrend else x
         if lo is not None:
             x = filtfilt(*butter_bandpass(lo, hi, sfreq), x)
-        z, ch, out = analytic(x), pdf["ch_idx"].to_numpy(), []
+        z, out = analytic(x), []
         for i in range(len(z) - 1):
             im = np.imag(z[i] * np.conj(z[i + 1 :]))
             below = np.abs(im).mean(axis=1)
@@ -35,8 +46,7 @@ def phase_lag_edges(recordings: DataFrame, sfreq: float = 500.0, lo: float | Non
             out += [(*key, int(ch[i]), int(b), float(v)) for b, v in zip(ch[i + 1 :], w, strict=True)]
         return pd.DataFrame(out, columns=["subject", "task", "i", "j", "w"])
 
-    keyed = recordings.select(F.col("subject").cast("string"), F.col("task").cast("string"), F.col("ch_idx").cast("int"), "signal")
-    return keyed.groupBy("subject", "task").applyInPandas(run, EDGES)
+    return guarded(_by_recording(recordings), _KEYS, run, EDGES, "wpli")
 
 
 def analytic_signals(recordings: DataFrame, sfreq: float = 500.0, lo: float = 8.0, hi: float = 13.0) -> DataFrame:
@@ -63,6 +73,11 @@ def bin_numbers(x: np.ndarray, bins: int) -> np.ndarray:
 
 
 def mutual_information(recordings: DataFrame, bins: int | None = None) -> DataFrame:
+    """What ``informations`` gives for the recordings it works for."""
+    return informations(recordings, bins).good
+
+
+def informations(recordings: DataFrame, bins: int | None = None) -> Outcome:
     """(subject, task, i, j, w) in bits over equal-width bins of each channel's own range, i <= j; i = j gives the entropy.
 
     Bins are the rounded root of the number of samples. A group is one recording, whose channels are binned once each;
@@ -70,19 +85,17 @@ def mutual_information(recordings: DataFrame, bins: int | None = None) -> DataFr
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ch_idx")
-        n = min(map(len, pdf["signal"]))
-        nb = bins or max(1, round(n**0.5))
-        binned = [bin_numbers(np.asarray(x[:n], float), nb) for x in pdf["signal"]] if n else []
+        channels, x = signals(pdf)
+        nb = bins or max(1, round(x.shape[1] ** 0.5))
+        binned = [bin_numbers(row, nb) for row in x]
         single = [entropy_bits(np.bincount(b, minlength=nb)) for b in binned]
-        ch, out = pdf["ch_idx"].tolist(), []
+        ch, out = channels.tolist(), []
         for i, a in enumerate(binned):
             out.append((*key, ch[i], ch[i], single[i]))
             out += [(*key, ch[i], ch[j], single[i] + single[j] - entropy_bits(np.bincount(a * nb + binned[j], minlength=nb * nb))) for j in range(i + 1, len(binned))]
         return pd.DataFrame(out, columns=["subject", "task", "i", "j", "w"])
 
-    keyed = recordings.select(F.col("subject").cast("string"), F.col("task").cast("string"), F.col("ch_idx").cast("int"), "signal")
-    return keyed.groupBy("subject", "task").applyInPandas(run, EDGES)
+    return guarded(_by_recording(recordings), _KEYS, run, EDGES, "mi")
 
 
 def mutual_information_edges(recordings: DataFrame, bins: int | None = None) -> DataFrame:
@@ -90,31 +103,59 @@ def mutual_information_edges(recordings: DataFrame, bins: int | None = None) ->
     return mutual_information(recordings, bins).where("i < j")
 
 
-def spectral_connectivity(recordings: DataFrame, sfreq: float, lo: float, hi: float, epoch_sec: float = 2.0, overlap: float = 0.5) -> DataFrame:
-    """(subject, task, i, j, wpli, coh, plv): means over the band's bins of measures over epochs with a Hann window."""
+#: Measures of spectral_connectivity, and what each is between a channel and itself.
+MEASURES = {"wpli": 0.0, "coh": 1.0, "plv": 1.0}
+
+
+def spectral_connectivity(recordings: DataFrame, sfreq: float, lo: float, hi: float, epoch_sec: float = 2.0, overlap: float = 0.5, methods: Sequence[str] = ("wpli", "coh", "plv"), half_bandwidth: float = 4.0, diagonal: bool = False) -> DataFrame:
+    """What ``spectral_measures`` gives for the recordings it works for."""
+    return spectral_measures(recordings, sfreq, lo, hi, epoch_sec, overlap, methods, half_bandwidth, diagonal).good
+
+
+def spectral_measures(recordings: DataFrame, sfreq: float, lo: float, hi: float, epoch_sec: float = 2.0, overlap: float = 0.5, methods: Sequence[str] = ("wpli", "coh", "plv"), half_bandwidth: float = 4.0, diagonal: bool = False) -> Outcome:
+    """(subject, task, i, j, and a column for each of ``methods``) of channels i < j, and i = j if ``diagonal``: means over the band's bins of measures over epochs.
+
+    An epoch, less its mean, has a spectrum for each Slepian taper; its cross-spectrum is their mean, weighted by the tapers' concentrations. ``wpli`` is the weighted phase-lag index, ``coh``
+    coherence and ``plv`` the phase-locking value of the epochs' cross-spectra; a channel with itself has 0, 1 and 1. A recording shorter than an epoch, or a
+    band without a bin, fails.
+    """
+    unknown = [m for m in methods if m not in MEASURES]
+    if unknown or not methods:
+        raise ValueError(f"methods are of {list(MEASURES)}, not {unknown}")
+    n = int(round(epoch_sec * sfreq))
+    tapers, weights = slepian(n, half_bandwidth)
+    f = np.fft.rfftfreq(n, 1 / sfreq)
+    band = (f >= lo) & (f <= hi)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ch_idx")
-        n = int(round(epoch_sec * sfreq))
-        x = np.array([np.asarray(s, float)[: min(map(len, pdf["signal"]))] for s in pdf["signal"]])
+        ch, x = signals(pdf)
         if x.shape[1] < n:
-            raise ValueError(f"{key}: shorter than an epoch")
+            raise ValueError(f"{x.shape[1]} samples are less than an epoch of {n}")
+        if not band.any():
+            raise ValueError(f"no bin between {lo} and {hi}")
         epochs = np.lib.stride_tricks.sliding_window_view(x, n, axis=1)[:, :: max(1, int(round(n * (1 - overlap))))]
-        f = np.fft.rfftfreq(n, 1 / sfreq)
-        z = np.fft.rfft(epochs * window("hann", n), axis=2)[:, :, (f >= lo) & (f <= hi)]
-        power, ch, out = (np.abs(z) ** 2).mean(axis=1), pdf["ch_idx"].to_numpy(), []
+        epochs = epochs - epochs.mean(axis=2, keepdims=True)
+        # channel, epoch, taper, bin; a taper at a time, so that only the band's bins are held
+        z = np.stack([np.fft.rfft(epochs * taper, axis=2)[:, :, band] for taper in tapers], axis=2)
+        share = (weights / weights.sum())[:, None]
+        power, out = ((np.abs(z) ** 2) * share).sum(axis=2).mean(axis=1), []
         for i in range(len(z)):
+            if diagonal:
+                out.append((*key, int(ch[i]), int(ch[i]), *(MEASURES[m] for m in methods)))
             for j in range(i + 1, len(z)):
-                s = z[i] * np.conj(z[j])
-                below = np.abs(s.imag).mean(axis=0)
-                wpli = np.where(below < 1e-15, 0, np.abs(s.imag.mean(axis=0)) / np.maximum(below, 1e-300)).mean()
-                coh = (np.abs(s.mean(axis=0)) / np.maximum(np.sqrt(power[i] * power[j]), 1e-300)).mean()
-                plv = np.abs((s / np.maximum(np.abs(s), 1e-300)).mean(axis=0)).mean()
-                out.append((*key, int(ch[i]), int(ch[j]), wpli, coh, plv))
-        return pd.DataFrame(out, columns=["subject", "task", "i", "j", "wpli", "coh", "plv"])
-
-    keyed = recordings.select(F.col("subject").cast("string"), F.col("task").cast("string"), F.col("ch_idx").cast("int"), "signal")
-    return keyed.groupBy("subject", "task").applyInPandas(run, "subject string, task string, i int, j int, wpli double, coh double, plv double")
+                s = (z[i] * np.conj(z[j]) * share).sum(axis=1)
+                found = {}
+                if "wpli" in methods:
+                    below = np.abs(s.imag).mean(axis=0)
+                    found["wpli"] = np.where(below < 1e-15, 0, np.abs(s.imag.mean(axis=0)) / np.maximum(below, 1e-300)).mean()
+                if "coh" in methods:
+                    found["coh"] = (np.abs(s.mean(axis=0)) / np.maximum(np.sqrt(power[i] * power[j]), 1e-300)).mean()
+                if "plv" in methods:
+                    found["plv"] = np.abs((s / np.maximum(np.abs(s), 1e-300)).mean(axis=0)).mean()
+                out.append((*key, int(ch[i]), int(ch[j]), *(float(found[m]) for m in methods)))
+        return pd.DataFrame(out, columns=["subject", "task", "i", "j", *methods])
+
+    return guarded(_by_recording(recordings), _KEYS, run, "subject string, task string, i int, j int, " + ", ".join(f"{m} double" for m in methods), "spectral connectivity")
 
 
 def matrices(edges: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavecrest.storage import stored
+
 #: Parts of task names and their classes; longer names are tried first.
 CLASSES = {"idg": "IDG", "ide": "IDE", "idr": "IDR", "rst": "RST", "idea generation": "IDG", "idea evolution": "IDE", "idea rating": "IDR", "rest": "RST"}
 
@@ -163,33 +165,46 @@ def _early_stopped(train: DataFrame, layers: list[int], seed: int, rounds: int =
     return best
 
 
-def classify(samples: DataFrame, model: str, seed: int = 42) -> DataFrame:
-    """(sample_id, label, predicted) of the test rows by a network (``mlp``) or kernel machines (``svm``) learned from the others.
+def classify(samples: DataFrame, model: str, seed: int = 42, of_train: bool = False) -> DataFrame:
+    """(sample_id, label, predicted) of the test rows by a network (``mlp``) or kernel machines (``svm``) learned from the others, or of those others themselves if ``of_train``.
 
     The network has 100 and 50 hidden nodes and stops early. Machines are one a label, least-squares support vector machines over random Fourier
-    features of a Gaussian kernel whose width is the number of features times their variance.
+    features of a Gaussian kernel whose width is the number of features times their variance. The rows are stored once, as fits read them many times.
+    No rows to predict, or none to learn from, give no rows.
     """
-    labels = [r[0] for r in samples.select("label").distinct().orderBy("label").collect()]
+    samples = stored(samples, "samples")
+    learned = samples.where(~F.col("test"))
+    about = learned.agg(F.count("*"), F.array_sort(F.collect_set("label")), F.min(F.size("features")), F.max(F.size("features"))).first()
+    n, labels, width, most = about
+    asked = learned if of_train else samples.where("test")
+    nothing = asked.select("sample_id", "label", F.col("label").alias("predicted")).where(F.lit(False))
+    if not n:
+        return nothing
+    if width != most:
+        raise ValueError(f"rows have {width} to {most} features")
+    if len(labels) < 2:
+        raise ValueError(f"there is one class, {labels[0]!r}")
     code = F.coalesce(*[F.when(F.col("label") == x, float(k)) for k, x in enumerate(labels)])
-    coded, width = samples.withColumn("_y", code), len(samples.first()["features"])
     if model == "svm":
-        spread = samples.where(~F.col("test")).select(F.explode("features").alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
-        got = _kernel_machines(coded, len(labels), 1 / (width * spread), seed).where("test")
+        spread = learned.select(F.explode("features").alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
+        coded = samples.withColumn("_y", code)
+        got = _kernel_machines(coded, len(labels), 1 / (width * spread), seed).where(~F.col("test") if of_train else F.col("test"))
     else:
-        # fits read it many times, in short jobs whose tasks should have some rows each
-        data = coded.withColumn("_x", array_to_vector("features")).repartition(-(-samples.count() // 10_000) or 1).persist()
-        fitted = _early_stopped(data.where(~F.col("test")), [width, 100, 50, len(labels)], seed)
+        # short jobs read it many times, whose tasks should have some rows each
+        data = learned.withColumns({"_y": code, "_x": array_to_vector("features")}).repartition(-(-n // 10_000)).persist()
+        fitted = _early_stopped(data, [width, 100, 50, len(labels)], seed)
         data.unpersist()
-        got = fitted.transform(data.where("test"))
+        got = fitted.transform(asked.withColumn("_x", array_to_vector("features")))
     return got.select("sample_id", "label", F.element_at(F.array(*map(F.lit, labels)), F.col("_p").cast("int") + 1).alias("predicted"))
 
 
-def predict(samples: DataFrame, model: str, seed: int = 42) -> DataFrame:
-    """(sample_id, label, predicted) of the test rows by ``knn``, ``mlp`` or ``svm``."""
+def predict(samples: DataFrame, model: str, seed: int = 42, of_train: bool = False) -> DataFrame:
+    """(sample_id, label, predicted) of the test rows, or of those learned from, by ``knn``, ``mlp`` or ``svm``."""
     if model != "knn":
-        return classify(samples, model, seed)
-    test = samples.where("test")
-    return nearest(samples.where(~F.col("test")), test).join(test.select("sample_id", "label"), "sample_id")
+        return classify(samples, model, seed, of_train)
+    learned = samples.where(~F.col("test"))
+    asked = learned if of_train else samples.where("test")
+    return nearest(learned, asked).join(asked.select("sample_id", "label"), "sample_id")
 
 
 def cross_validate(samples: DataFrame, model: str, n: int = 5, seed: int = 42) -> DataFrame:

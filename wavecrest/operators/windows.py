@@ -7,62 +7,126 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavecrest.operators.quarantine import Outcome, guarded, signals
+from wavecrest.operators.ranges import RANGE, before_ranges, match, numbered, with_margins
+
 #: Size and stride in fine groups of the two presets.
 PRESETS = {"A": (1, 1), "B": (5, 5)}
 
 
-def label_runs(labels: DataFrame) -> DataFrame:
-    """(subject, run, label, start_sample, end_sample) of maximal runs of equal labels, ends excluded."""
-    order = Window.partitionBy("subject").orderBy("t")
-    before = F.lag("label").over(order)
-    marked = labels.withColumn("_new", (before.isNull() | (before != F.col("label"))).cast("int")).withColumn("run", F.sum("_new").over(order))
-    runs = marked.groupBy("subject", "run").agg(F.first("label").alias("label"), F.min("t").alias("start_sample"), (F.max("t") + 1).alias("end_sample"))
-    return runs.select("subject", "run", "label", "start_sample", "end_sample")
+def _keys(labels: DataFrame) -> list[str]:
+    """What names a sequence of labels: the subject, and the task where there is one."""
+    return ["subject", "task"] if "task" in labels.columns else ["subject"]
+
+
+def _pieces(labels: DataFrame, group: int | None = None, size: int = RANGE) -> DataFrame:
+    """(keys, run, label, start, end, n) of the pieces of runs of equal labels that lie within one range of t, and, if given, within one group of ``group`` samples.
+
+    Within a range a window finds where labels change. A range is summed up by its first and last label and its number of
+    changes; from the summaries, one row a range, each range learns how many runs began before it and whether its first run goes on from
+    the range before. A run has the same number in all its pieces.
+    """
+    by = _keys(labels)
+    order = Window.partitionBy(*by, "_range").orderBy("t")
+    marked = labels.select(*by, "t", "label", F.floor(F.col("t") / F.lit(size)).cast("long").alias("_range"))
+    change = (F.row_number().over(order) > 1) & ~F.lag("label").over(order).eqNullSafe(F.col("label"))
+    marked = marked.withColumn("_new", change.cast("int")).withColumn("_run", F.sum("_new").over(order))
+    grp = [F.floor(F.col("t") / F.lit(group)).cast("long").alias("grp")] if group else []
+    pieces = marked.groupBy(*by, "_range", "_run", *grp).agg(F.first("label").alias("label"), F.min("t").alias("start"), (F.max("t") + 1).alias("end"), F.count("*").alias("n"))
+    heads = pieces.groupBy(*by, "_range").agg(F.max("_run").alias("_inner"), F.min_by(F.struct("label"), "start").alias("_first"), F.max_by(F.struct("label"), "start").alias("_last"))
+    across = Window.partitionBy(*by).orderBy("_range")
+    fresh = F.lag("_last").over(across).isNull() | ~F.lag("_last").over(across)["label"].eqNullSafe(F.col("_first.label"))
+    heads = before_ranges(heads.withColumn("_fresh", fresh.cast("int")), by, {"_before": F.sum(F.col("_inner") + F.col("_fresh"))})
+    found = match(pieces, heads.select(*by, "_range", "_fresh", "_before"), [*by, "_range"])
+    return found.withColumn("run", F.col("_before") + F.col("_fresh") + F.col("_run")).drop("_range", "_run", "_fresh", "_before")
+
+
+def label_runs(labels: DataFrame, size: int = RANGE) -> DataFrame:
+    """(subject, run, label, start_sample, end_sample) of maximal runs of equal labels, ends excluded; a null is a label like others.
+
+    ``labels`` is (subject, t, label), with task as a further key where it has one. Sequences are cut into ranges of ``size`` samples.
+    """
+    by = _keys(labels)
+    runs = _pieces(labels, size=size).groupBy(*by, "run").agg(F.first("label").alias("label"), F.min("start").alias("start_sample"), F.max("end").alias("end_sample"))
+    return runs.select(*by, "run", "label", "start_sample", "end_sample")
 
 
-def smooth_labels(labels: DataFrame, half: int) -> DataFrame:
-    """The commonest label within ``half`` samples; the own label wins ties it is in, else the first by name."""
+def smooth_labels(labels: DataFrame, half: int, size: int = RANGE) -> DataFrame:
+    """The commonest label within ``half`` samples; the own label wins ties it is in, else the first by name.
+
+    Samples near a range's end are read by its neighbour too, so frames lie within ranges.
+    """
+    by = _keys(labels)
     if half == 0:
-        return labels.select("subject", "t", "label")
-    near = F.collect_list("label").over(Window.partitionBy("subject").orderBy("t").rangeBetween(-half, half))
-    held = labels.select("subject", "t", "label", near.alias("_near"))
+        return labels.select(*by, "t", "label")
+    near = F.collect_list("label").over(Window.partitionBy(*by, "_range").orderBy("t").rangeBetween(-half, half))
+    held = with_margins(labels.select(*by, "t", "label"), F.col("t"), half, half, size).withColumn("_near", near).where("_inside")
     counts = F.transform(F.array_distinct("_near"), lambda x: F.struct((-F.size(F.filter("_near", lambda y: y == x))).alias("n"), (x != F.col("label")).cast("int").alias("other"), x.alias("label")))
-    return held.select("subject", "t", F.array_min(counts)["label"].alias("label"))
+    return held.select(*by, "t", F.array_min(counts)["label"].alias("label"))
 
 
-def merge_short(labels: list, least: int) -> list:
-    """Runs shorter than ``least`` join the longer neighbour (the left of equal ones), left to right, until none is left."""
-    runs: list[list] = []
-    for x in labels:
-        if runs and runs[-1][0] == x:
-            runs[-1][1] += 1
+def merge_runs(labels: list, sizes: list[int], least: int) -> tuple[list, list[int]]:
+    """Runs shorter than ``least`` join the longer neighbour (the left of equal ones), left to right, until none is left.
+
+    ``labels`` and ``sizes`` are runs in order; neighbours of one label count as one run. All runs before the one looked at are long enough, so what a
+    short run can become is settled by its neighbours alone: it joins the run before, and the run after too if that has the same label, or the run after, which is looked
+    at again. Each step takes a run away, so the work is in proportion to the runs.
+    """
+    done: list[list] = []
+    ahead: list[list] = []  # in reverse order
+    for x, n in zip(reversed(labels), reversed(sizes), strict=True):
+        if ahead and ahead[-1][0] == x:
+            ahead[-1][1] += n
         else:
-            runs.append([x, 1])
-    while len(runs) > 1:
-        k = next((k for k, r in enumerate(runs) if r[1] < least), None)
-        if k is None:
-            break
-        left, right = (runs[k - 1][1] if k else -1), (runs[k + 1][1] if k + 1 < len(runs) else -1)
-        runs[k][0] = runs[k - 1 if left >= right else k + 1][0]
-        merged: list[list] = []
-        for x, n in runs:
-            if merged and merged[-1][0] == x:
-                merged[-1][1] += n
-            else:
-                merged.append([x, n])
-        runs = merged
-    return [x for x, n in runs for _ in range(n)]
+            ahead.append([x, n])
+    while ahead:
+        run = ahead.pop()
+        if done and done[-1][0] == run[0]:  # a run of the label before, grown from a short one
+            done[-1][1] += run[1]
+        elif run[1] >= least or not (done or ahead):
+            done.append(run)
+        elif done and (not ahead or done[-1][1] >= ahead[-1][1]):
+            done[-1][1] += run[1]
+        else:
+            ahead[-1][1] += run[1]
+    return [x for x, _ in done], [n for _, n in done]
 
 
-def regularise(labels: DataFrame, half: int = 3, least_samples: int = 1) -> DataFrame:
-    """Smoothed labels without short runs; merging is sequential, so a subject's labels meet in one task."""
+def merge_short(labels: list, least: int) -> list:
+    """``merge_runs`` of a label for each sample."""
+    found, sizes = merge_runs(labels, [1] * len(labels), least)
+    return [x for x, n in zip(found, sizes, strict=True) for _ in range(n)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        return pdf.assign(label=merge_short(pdf["label"].tolist(), least_samples))
 
-    smooth = smooth_labels(labels, half)
-    return smooth if least_samples <= 1 else smooth.groupBy("subject").applyInPandas(run, smooth.schema)
+def merged_runs(runs: DataFrame, least: int) -> DataFrame:
+    """``runs`` (label_runs) without those shorter than ``least`` samples; runs are taken to follow one another.
+
+    Merging is sequential: a sequence's runs, not its samples, meet in one task.
+    """
+    by = _keys(runs)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("run")
+        labels, sizes = merge_runs(pdf["label"].tolist(), (pdf["end_sample"] - pdf["start_sample"]).tolist(), least)
+        ends = np.cumsum(sizes) + int(pdf["start_sample"].iloc[0])
+        return pd.DataFrame({**dict(zip(by, key, strict=True)), "run": np.arange(1, len(labels) + 1), "label": labels, "start_sample": ends - sizes, "end_sample": ends})
+
+    return runs.groupBy(*by).applyInPandas(run, runs.schema)
+
+
+def regularised_runs(labels: DataFrame, half: int = 3, least_samples: int = 1) -> DataFrame:
+    """Runs of smoothed labels, without short ones."""
+    runs = label_runs(smooth_labels(labels, half))
+    return runs if least_samples <= 1 else merged_runs(runs, least_samples)
+
+
+def regularise(labels: DataFrame, half: int = 3, least_samples: int = 1) -> DataFrame:
+    """Smoothed labels without short runs, one row a sample of the runs; samples between the first and the last are taken to be there."""
+    by = _keys(labels)
+    if least_samples <= 1:
+        return smooth_labels(labels, half)
+    runs = regularised_runs(labels, half, least_samples)
+    return runs.select(*by, F.explode(F.sequence("start_sample", F.col("end_sample") - 1)).alias("t"), "label")
 
 
 def clip_windows(windows: DataFrame, n_times, least_samples: int) -> DataFrame:
@@ -81,29 +145,34 @@ def timed(windows: DataFrame, sfreq: float) -> DataFrame:
 
 def run_windows(labels: DataFrame, sfreq: float, half: int = 3, least_state_ms: float = 80.0, least_window_sec: float = 1.0) -> DataFrame:
     """Windows of regularised runs, with those too short and their reason."""
+    by = _keys(labels)
     least = max(1, round(least_state_ms * 1e-3 * sfreq))
-    ends = labels.groupBy("subject").agg((F.max("t") + 1).alias("n_times"))
-    runs = label_runs(regularise(labels, half, least)).join(ends, "subject")
+    ends = labels.groupBy(*by).agg((F.max("t") + 1).alias("n_times"))
+    runs = regularised_runs(labels, half, least).join(ends, by)
     return timed(clip_windows(runs, F.col("n_times"), round(least_window_sec * sfreq)), sfreq).drop("n_times")
 
 
-def fine_groups(labels: DataFrame, group_samples: int, least_samples: int) -> DataFrame:
-    """(subject, grp, n, hardness): the share in percent of a group's samples that lie in runs shorter than ``least_samples``."""
-    order = Window.partitionBy("subject").orderBy("t")
-    before = F.lag("label").over(order)
-    marked = labels.withColumn("_new", (before.isNull() | (before != F.col("label"))).cast("int")).withColumn("_run", F.sum("_new").over(order))
-    sized = marked.withColumn("_size", F.count("*").over(Window.partitionBy("subject", "_run")))
-    grp = F.floor(F.col("t") / group_samples)
-    return sized.groupBy("subject", grp.alias("grp")).agg(F.count("*").alias("n"), (100.0 * F.count_if(F.col("_size") < least_samples) / F.count("*")).alias("hardness"))
+def fine_groups(labels: DataFrame, group_samples: int, least_samples: int, size: int = RANGE) -> DataFrame:
+    """(subject, grp, n, hardness): the share in percent of a group's samples that lie in runs shorter than ``least_samples``.
+
+    Samples are counted by piece of a run and group first, so a long run is no single task's work.
+    """
+    by = _keys(labels)
+    pieces = _pieces(labels, group_samples, size)
+    sizes = pieces.groupBy(*by, "run").agg(F.sum("n").alias("_size"))
+    sized = match(pieces, sizes, [*by, "run"])
+    short = F.sum(F.when(F.col("_size") < least_samples, F.col("n")).otherwise(0))
+    return sized.groupBy(*by, "grp").agg(F.sum("n").alias("n"), (100.0 * short / F.sum("n")).alias("hardness"))
 
 
-def macro_windows(groups: DataFrame, size: int, stride: int) -> DataFrame:
+def macro_windows(groups: DataFrame, size: int, stride: int, range_size: int = RANGE) -> DataFrame:
     """(subject, macro, first_group, hardness): means over ``size`` groups, every ``stride`` groups."""
-    order = Window.partitionBy("subject").orderBy("grp")
-    ahead = order.rowsBetween(0, size - 1)
-    rows = groups.select("subject", "grp", (F.row_number().over(order) - 1).alias("k"), F.avg("hardness").over(ahead).alias("hardness"), F.count("*").over(ahead).alias("m"))
-    kept = rows.where((F.col("k") % stride == 0) & ((F.col("m") == size) | (F.col("k") == 0)))
-    return kept.select("subject", F.expr(f"k div {stride}").alias("macro"), F.col("grp").alias("first_group"), "hardness")
+    by = _keys(groups)
+    rows = numbered(groups.select(*by, "grp", "hardness"), by, F.col("grp"), ["grp"], "k")
+    ahead = Window.partitionBy(*by, "_range").orderBy("k").rowsBetween(0, size - 1)
+    held = with_margins(rows, F.col("k"), 0, size - 1, range_size).withColumns({"_mean": F.avg("hardness").over(ahead), "m": F.count("*").over(ahead)}).where("_inside")
+    kept = held.where((F.col("k") % stride == 0) & ((F.col("m") == size) | (F.col("k") == 0)))
+    return kept.select(*by, F.expr(f"k div {stride}").alias("macro"), F.col("grp").alias("first_group"), F.col("_mean").alias("hardness"))
 
 
 def segment(labels: DataFrame, sfreq: float, group_sec: float = 5.0, macro: tuple[int, int] = (1, 1), n_clusters: int = 4, least_subtask_sec: float = 10.0, half: int = 3, least_state_ms: float = 80.0) -> DataFrame:
@@ -113,6 +182,7 @@ def segment(labels: DataFrame, sfreq: float, group_sec: float = 5.0, macro: tupl
     neighbours of one cluster merge, and a subtask that is too short joins the neighbour with the
     nearest hardness. A subject's macro windows, one number for some seconds each, meet in one task.
     """
+    by = _keys(labels)
     least = max(1, round(least_state_ms * 1e-3 * sfreq))
     size, stride = macro
     rows = macro_windows(fine_groups(smooth_labels(labels, half), round(group_sec * sfreq), least), size, stride)
@@ -135,9 +205,10 @@ def segment(labels: DataFrame, sfreq: float, group_sec: float = 5.0, macro: tupl
             near = min((j for j in (k - 1, k + 1) if 0 <= j < len(parts)), key=lambda j: abs(np.mean(parts[j][3]) - np.mean(parts[k][3])))
             a, b = sorted((k, near))
             parts[a : b + 1] = [[parts[near][0], parts[a][1], parts[b][2], parts[a][3] + parts[b][3]]]
-        return pd.DataFrame([(key[0], i, int(p[0]), float(p[1]), float(p[2]), float(np.mean(p[3]))) for i, p in enumerate(parts)], columns=["subject", "subtask", "cluster_id", "start_sec", "end_sec", "hardness_mean"])
+        return pd.DataFrame([(*key, i, int(p[0]), float(p[1]), float(p[2]), float(np.mean(p[3]))) for i, p in enumerate(parts)], columns=[*by, "subtask", "cluster_id", "start_sec", "end_sec", "hardness_mean"])
 
-    return rows.withColumn("subject", F.col("subject").cast("string")).groupBy("subject").applyInPandas(run, "subject string, subtask int, cluster_id int, start_sec double, end_sec double, hardness_mean double")
+    kinds = ", ".join(f"{c} string" for c in by)
+    return rows.withColumns({c: F.col(c).cast("string") for c in by}).groupBy(*by).applyInPandas(run, f"{kinds}, subtask int, cluster_id int, start_sec double, end_sec double, hardness_mean double")
 
 
 def kmeans_1d(x: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
@@ -152,10 +223,24 @@ def kmeans_1d(x: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
     return np.unique(np.abs(x[:, None] - centres).argmin(axis=1), return_inverse=True)[1]
 
 
-def window_signals(recordings: DataFrame, windows: DataFrame) -> DataFrame:
-    """Each recording's signal cut to each window (subject, window_index, start_sample, end_sample)."""
-    joined = recordings.join(windows, "subject")
-    return joined.withColumn("signal", F.slice("signal", F.col("start_sample").cast("int") + 1, (F.col("end_sample") - F.col("start_sample")).cast("int"))).drop("start_sample", "end_sample")
+def window_signals(recordings: DataFrame, windows: DataFrame, chunk: int = 16_384) -> DataFrame:
+    """Each recording's signal cut to each window (subject, window_index, start_sample, end_sample), by task too where windows have one.
+
+    Signals are cut into chunks of so many samples, and windows are dealt to the chunks they cover: what meets is a chunk and a window, and only
+    the part of the chunk inside the window goes on, to be put together in order. So no signal is copied for each of its windows, and one recording of many
+    windows is many tasks' work. A window's samples outside the recording are left out; a window with none has no row.
+    """
+    by = [c for c in ("subject", "task") if c in windows.columns]
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("signal") - 1) / F.lit(chunk)).cast("int")), lambda k: F.struct(k.cast("long").alias("bin"), F.slice("signal", k * chunk + 1, F.lit(chunk)).alias("x")))
+    rest = [c for c in recordings.columns if c != "signal"]
+    cut = recordings.where(F.size("signal") > 0).select(*rest, F.explode(parts).alias("_c")).select(*rest, F.col("_c.bin").alias("_bin"), F.col("_c.x").alias("_x"))
+    first, last = (F.floor(F.greatest(x, F.lit(0)) / F.lit(chunk)).cast("long") for x in (F.col("start_sample"), F.col("end_sample") - 1))
+    dealt = windows.where(F.col("end_sample") > F.greatest(F.col("start_sample"), F.lit(0))).select(*[F.col(c).alias(f"_{c}") for c in by], "window_index", "start_sample", "end_sample", F.explode(F.sequence(first, last)).alias("_at"))
+    joined = cut.join(dealt, [F.col(c) == F.col(f"_{c}") for c in by] + [F.col("_bin") == F.col("_at")])
+    low, high = (F.greatest(F.least(F.col(c) - F.col("_bin") * chunk, F.size("_x")), F.lit(0)).cast("int") for c in ("start_sample", "end_sample"))
+    piece = joined.select(*rest, "window_index", F.struct("_bin", F.slice("_x", low + 1, high - low).alias("x")).alias("_p"))
+    whole = piece.groupBy(*rest, "window_index").agg(F.flatten(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["x"])).alias("signal"))
+    return whole.where(F.size("signal") > 0)
 
 
 def apart(at: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
@@ -170,7 +255,12 @@ def apart(at: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
 
 
 def fit_labels(recordings: DataFrame, n_maps: int = 4, n_runs: int = 25, seed: int = 0, peaks_only: bool = True, n_std: float = 3.0, distance: int = 10) -> DataFrame:
-    """(subject, t, label) from maps fitted to a recording's peaks of global field power, whatever their sign.
+    """What ``labels_fitted`` gives for the recordings it works for."""
+    return labels_fitted(recordings, n_maps, n_runs, seed, peaks_only, n_std, distance).good
+
+
+def labels_fitted(recordings: DataFrame, n_maps: int = 4, n_runs: int = 25, seed: int = 0, peaks_only: bool = True, n_std: float = 3.0, distance: int = 10) -> Outcome:
+    """(subject, task, t, label) from maps fitted to a recording's peaks of global field power, whatever their sign.
 
     Peaks within ``n_std`` deviations of the mean of all and ``distance`` samples apart at least, higher ones first, are clustered by modified k-means;
     of ``n_runs`` the run with most explained variance counts, and every sample takes the map
@@ -178,7 +268,7 @@ def fit_labels(recordings: DataFrame, n_maps: int = 4, n_runs: int = 25, seed: i
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf.sort_values("ch_idx")["signal"].tolist(), float)
+        x = signals(pdf)[1]
         x = x - x.mean(axis=0)
         power = x.std(axis=0)
         inner = np.flatnonzero((power[1:-1] > power[:-2]) & (power[1:-1] >= power[2:])) + 1
@@ -202,7 +292,7 @@ def fit_labels(recordings: DataFrame, n_maps: int = 4, n_runs: int = 25, seed: i
             if fit > best[0]:
                 best = (fit, maps)
         label = np.abs(best[1].T @ x).argmax(axis=0)
-        return pd.DataFrame({"subject": key[0], "t": np.arange(len(label)), "label": label})
+        return pd.DataFrame({"subject": key[0], "task": key[1], "t": np.arange(len(label)), "label": label})
 
-    keyed = recordings.select(F.col("subject").cast("string"), F.col("ch_idx").cast("int"), "signal")
-    return keyed.groupBy("subject").applyInPandas(run, "subject string, t long, label int")
+    keyed = recordings.select(F.col("subject").cast("string"), F.col("task").cast("string"), F.col("ch_idx").cast("int"), "signal")
+    return guarded(keyed.groupBy("subject", "task"), ["subject", "task"], run, "subject string, task string, t long, label int", "labels")

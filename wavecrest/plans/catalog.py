@@ -24,7 +24,8 @@ def _psd(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def montage_regions(spark, sf):
-    return montage(spark).select("ch_idx", "channel", channels.hemisphere(F.col("channel")).alias("hemisphere"), channels.region(F.col("channel")).alias("region"))
+    n = embedding_signals(spark, sf).groupBy("ch_idx", "channel").agg(F.count("*").alias("n_signals"))
+    return n.select("ch_idx", "channel", channels.hemisphere(F.col("channel")).alias("hemisphere"), channels.region(F.col("channel")).alias("region"), "n_signals")
 
 
 def cz_interpolate(spark, sf):
@@ -97,69 +98,72 @@ def trp_collapsed_merged(spark, sf):
 
 
 def _event_recordings(spark, sf, whole: bool = False):
+    """Recordings of buckets of users, in three tasks, or in one if ``whole``."""
     x = event_samples(spark, sf)
-    ch = x.select("ch").distinct()
-    from pyspark.sql import Window
-
-    numbered = ch.select("ch", (F.row_number().over(Window.orderBy("ch")) - 1).alias("ch_idx"))  # a handful of event types
-    rows = x.join(F.broadcast(numbered), "ch")
+    numbers = x.select("ch").distinct().agg(F.array_sort(F.collect_list("ch")).alias("_chs"))  # a handful of event types
+    rows = x.join(F.broadcast(numbers), F.lit(True)).withColumn("ch_idx", (F.array_position("_chs", F.col("ch")) - 1).cast("int"))
     t, task = (F.col("h"), F.lit("all")) if whole else (F.col("t"), F.col("task"))
-    grouped = rows.groupBy(F.lit("events").alias("subject"), task.alias("task"), "ch_idx").agg(F.array_sort(F.collect_list(F.struct(t.alias("t"), "x"))).alias("s"))
+    grouped = rows.groupBy("subject", task.alias("task"), "ch_idx").agg(F.array_sort(F.collect_list(F.struct(t.alias("t"), "x"))).alias("s"))
     return grouped.select("subject", "task", "ch_idx", F.col("s.x").alias("signal"))
 
 
+def _task():
+    """A recording's name."""
+    return F.concat_ws(":", "subject", "task").alias("task")
+
+
 def _edges(spark, sf):
     return connectivity.phase_lag_edges(_event_recordings(spark, sf), 100.0, None)
 
 
 def wpli_edges(spark, sf):
-    return _edges(spark, sf).select("task", "i", "j", _r(F.col("w")).alias("w"))
+    return _edges(spark, sf).select(_task(), "i", "j", _r(F.col("w")).alias("w"))
 
 
 def wpli_edges_bandpass(spark, sf):
-    return connectivity.phase_lag_edges(_event_recordings(spark, sf), 100.0, 8.0, 13.0).select("task", "i", "j", _r(F.col("w")).alias("w"))
+    return connectivity.phase_lag_edges(_event_recordings(spark, sf), 100.0, 8.0, 13.0).select(_task(), "i", "j", _r(F.col("w")).alias("w"))
 
 
 def mutual_information(spark, sf):
-    return connectivity.mutual_information(_event_recordings(spark, sf)).select("task", "i", "j", _r(F.col("w"), 6).alias("mi"))
+    return connectivity.mutual_information(_event_recordings(spark, sf)).select(_task(), "i", "j", _r(F.col("w"), 6).alias("mi"))
 
 
 def mi_graph_features(spark, sf):
     edges = connectivity.mutual_information_edges(_event_recordings(spark, sf))
-    return connectivity.graph_features(edges, 0.7).select("task", F.transform("features", lambda x: F.round(x, 6) + 0.0).alias("features"))
+    return connectivity.graph_features(edges, 0.7).select(_task(), F.transform("features", lambda x: F.round(x, 6) + 0.0).alias("features"))
 
 
 def spectral_connectivity(spark, sf):
-    got = connectivity.spectral_connectivity(_event_recordings(spark, sf, whole=True), 100.0, 8.0, 13.0)
-    return got.select("i", "j", *[_r(F.col(c), 6).alias(c) for c in ("wpli", "coh", "plv")])
+    got = connectivity.spectral_connectivity(_event_recordings(spark, sf, whole=True), 100.0, 8.0, 13.0, diagonal=True)
+    return got.select("subject", "i", "j", *[_r(F.col(c), 6).alias(c) for c in ("wpli", "coh", "plv")])
 
 
 def node_strength(spark, sf):
-    return connectivity.strength(_edges(spark, sf)).select("task", "node", _r(F.col("strength"), 6).alias("strength"))
+    return connectivity.strength(_edges(spark, sf)).select(_task(), "node", _r(F.col("strength"), 6).alias("strength"))
 
 
 def threshold_edges(spark, sf):
-    return connectivity.threshold(_edges(spark, sf), 0.05).select("task", "i", "j", _r(F.col("w"), 6).alias("w"))
+    return connectivity.threshold(_edges(spark, sf), 0.05).select(_task(), "i", "j", _r(F.col("w"), 6).alias("w"))
 
 
 def node_betweenness(spark, sf):
-    return connectivity.betweenness(connectivity.threshold(_edges(spark, sf), 0.05)).select("task", "node", _r(F.col("betweenness"), 6).alias("betweenness"))
+    return connectivity.betweenness(connectivity.threshold(_edges(spark, sf), 0.05)).select(_task(), "node", _r(F.col("betweenness"), 6).alias("betweenness"))
 
 
 def graph_features(spark, sf):
-    return connectivity.graph_features(_edges(spark, sf), 0.05).select("task", F.transform("features", lambda x: F.round(x, 6) + 0.0).alias("features"))
+    return connectivity.graph_features(_edges(spark, sf), 0.05).select(_task(), F.transform("features", lambda x: F.round(x, 6) + 0.0).alias("features"))
 
 
 def graph_summary(spark, sf):
-    return connectivity.graph_summary(_edges(spark, sf), 0.05).select("task", "n_edges", _r(F.col("density")).alias("density"), "connected")
+    return connectivity.graph_summary(_edges(spark, sf), 0.05).select(_task(), "n_edges", _r(F.col("density")).alias("density"), "connected")
 
 
 def top_strength(spark, sf):
-    return connectivity.top_nodes(connectivity.strength(_edges(spark, sf)), "strength", 2).select("task", "node", _r(F.col("strength"), 6).alias("strength"), "rank")
+    return connectivity.top_nodes(connectivity.strength(_edges(spark, sf)), "strength", 2).select(_task(), "node", _r(F.col("strength"), 6).alias("strength"), "rank")
 
 
 def connectivity_matrix(spark, sf):
-    return connectivity.matrices(_edges(spark, sf)).select("task", "nodes", F.transform("matrix", lambda x: F.transform(x, lambda y: F.round(y, 6) + 0.0)).alias("matrix"))
+    return connectivity.matrices(_edges(spark, sf)).select(_task(), "nodes", F.transform("matrix", lambda x: F.transform(x, lambda y: F.round(y, 6) + 0.0)).alias("matrix"))
 
 
 def label_runs(spark, sf):
@@ -187,9 +191,11 @@ def segmentation(spark, sf):
 
 
 def window_metrics(spark, sf):
-    cuts = spark.range(6).select(F.lit("events").alias("subject"), F.col("id").cast("int").alias("window_index"), (F.col("id") * 120).alias("start_sample"), (F.col("id") * 120 + 120).alias("end_sample"))
-    cut = windows.window_signals(_event_recordings(spark, sf, whole=True), F.broadcast(cuts)).drop("task")
-    psd = spectrum.spectra(cut, 100.0, 64)
+    recordings = _event_recordings(spark, sf, whole=True)
+    first = (F.col("subject") * 6).cast("int")
+    cuts = recordings.select("subject").distinct().select("subject", F.explode(F.sequence(first, first + 5)).alias("window_index"))
+    cuts = cuts.withColumns({"start_sample": F.col("window_index") % 6 * 120, "end_sample": F.col("window_index") % 6 * 120 + 120})
+    psd = spectrum.spectra(windows.window_signals(recordings, cuts, 200), 100.0, 64)
     return psd.select("window_index", "ch_idx", _r(S.spectral_entropy(F.col("freq"), F.col("p")), 6).alias("entropy"), S.spectral_edge(F.col("freq"), F.col("p"), 0.95).alias("sef95"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from wavecrest.functions.signal import butter_bandpass
+from wavecrest.functions.signal import butter_bandpass, slepian
 from wavecrest.functions.spectral import BANDS
 from wavecrest.operators.channels import CZ, CZ_NEIGHBOURS
 from wavecrest.sources.recordings import CHANNELS_63
@@ -59,10 +59,10 @@ _ROWS = f"SELECT subject, task, band, ch_idx, round(trp, 6) + 0.0e0 AS trp FROM
 _MEANS = "rm AS (SELECT subject, task, band, hemisphere, region, avg(trp) AS value FROM trp JOIN places USING (ch_idx) WHERE hemisphere <> 'MID' GROUP BY ALL)"
 _SEM = "round(avg(value), 6) + 0.0e0 AS mean, round(CASE WHEN count(value) > 1 THEN stddev_samp(value) / sqrt(count(value)) ELSE 0 END, 6) + 0.0e0 AS sem, count(value) AS n"
 
-_EV = """evh AS (SELECT event_type AS ch, CAST((day(ts) - 1) * 24 + hour(ts) AS INT) AS h, value FROM events WHERE (day(ts) - 1) * 24 + hour(ts) BETWEEN 0 AND 719),
-evm AS (SELECT ch, h, avg(value) AS x FROM evh GROUP BY ch, h),
-evt AS (SELECT ch, row_number() OVER (ORDER BY ch) - 1 AS ci FROM (SELECT DISTINCT ch FROM evh)),
-ev AS (SELECT CAST(h // 240 AS VARCHAR) AS task, e.ch, CAST(ci AS INT) AS ci, h % 240 AS t, h, coalesce(x, 0e0) AS x FROM evt e CROSS JOIN (SELECT unnest(range(720)) AS h) LEFT JOIN evm m USING (ch, h))"""
+_EV = """evh AS (SELECT user_id // 50 AS subject, event_type AS ch, CAST((day(ts) - 1) * 24 + hour(ts) AS INT) AS h, value FROM events WHERE (day(ts) - 1) * 24 + hour(ts) BETWEEN 0 AND 719),
+evm AS (SELECT subject, ch, h, avg(value) AS x FROM evh GROUP BY subject, ch, h),
+evt AS (SELECT subject, ch, dense_rank() OVER (ORDER BY ch) - 1 AS ci FROM (SELECT DISTINCT subject, ch FROM evh)),
+ev AS (SELECT subject, subject || ':' || (h // 240) AS task, e.ch, CAST(ci AS INT) AS ci, h % 240 AS t, h, coalesce(x, 0e0) AS x FROM evt e CROSS JOIN (SELECT unnest(range(720)) AS h) LEFT JOIN evm m USING (subject, ch, h))"""
 _EDGES = """fx AS (SELECT task, ci, b, sum(x * cos(2 * pi() * ((b * t) % 240) / 240)) AS re, -sum(x * sin(2 * pi() * ((b * t) % 240) / 240)) AS im FROM ev, (SELECT unnest(range(121)) AS b) GROUP BY ALL),
 hil AS (SELECT task, ci, t, sum(CASE WHEN b IN (0, 120) THEN 1 ELSE 2 END * (re * cos(2 * pi() * ((b * t) % 240) / 240) - im * sin(2 * pi() * ((b * t) % 240) / 240))) / 240 AS re,
   sum(CASE WHEN b IN (0, 120) THEN 1 ELSE 2 END * (re * sin(2 * pi() * ((b * t) % 240) / 240) + im * cos(2 * pi() * ((b * t) % 240) / 240))) / 240 AS im FROM fx, (SELECT unnest(range(240)) AS t) GROUP BY ALL),
@@ -153,12 +153,16 @@ df AS (SELECT q.sample_id, q.label, q.fold, t.label AS near, row_number() OVER (
 vf AS (SELECT sample_id, label, fold, near, count(*) AS c FROM df WHERE r <= 5 GROUP BY ALL),
 kf AS (SELECT sample_id, label, fold, arg_min(near, -c * 1000 + near) AS predicted FROM vf GROUP BY ALL)"""
 
-_EVW = "wx AS (SELECT CAST(h // 120 AS INT) AS window_index, ci AS ch_idx, h % 120 AS t, x FROM ev)"
-_SC = """ep AS (SELECT ci, k, h - k * 100 AS j, x * (0.5e0 - 0.5e0 * cos(2 * pi() * (h - k * 100) / 200)) AS y FROM ev, (SELECT unnest(range(6)) AS k) WHERE h BETWEEN k * 100 AND k * 100 + 199),
-sf AS (SELECT ci, k, b, sum(y * cos(2 * pi() * b * j / 200)) AS re, -sum(y * sin(2 * pi() * b * j / 200)) AS im FROM ep, (SELECT unnest(range(16, 27)) AS b) GROUP BY ALL),
-cs AS (SELECT a.ci AS i, b.ci AS j, a.b, a.re * b.re + a.im * b.im AS re, a.im * b.re - a.re * b.im AS im, a.re * a.re + a.im * a.im AS pa, b.re * b.re + b.im * b.im AS pb FROM sf a JOIN sf b ON a.k = b.k AND a.b = b.b AND a.ci < b.ci),
-sb AS (SELECT i, j, b, abs(avg(im)) / avg(abs(im)) AS wpli, sqrt(avg(re) * avg(re) + avg(im) * avg(im)) / sqrt(avg(pa) * avg(pb)) AS coh,
-  sqrt(pow(avg(re / sqrt(re * re + im * im)), 2) + pow(avg(im / sqrt(re * re + im * im)), 2)) AS plv FROM cs GROUP BY ALL)"""
+_EVW = "wx AS (SELECT CAST(subject * 6 + h // 120 AS INT) AS window_index, ci AS ch_idx, h % 120 AS t, x FROM ev)"
+_TAPERS, _SHARES = slepian(200, 4.0)
+_SC = f"""tp AS (SELECT k, j - 1 AS j, v[j] AS v, s FROM (SELECT k, v, s, unnest(range(1, 201)) AS j FROM (VALUES {", ".join(f"({k}, {[float(x) for x in taper]}::DOUBLE[], {float(s)!r}::DOUBLE)" for k, (taper, s) in enumerate(zip(_TAPERS, _SHARES, strict=True)))}) w(k, v, s))),
+ep AS (SELECT subject, ci, e, h - e * 100 AS j, x - avg(x) OVER (PARTITION BY subject, ci, e) AS x FROM ev, (SELECT unnest(range(6)) AS e) WHERE h BETWEEN e * 100 AND e * 100 + 199),
+sf AS (SELECT subject, ci, e, k, s, b, sum(x * v * cos(2 * pi() * b * ep.j / 200)) AS re, -sum(x * v * sin(2 * pi() * b * ep.j / 200)) AS im FROM ep JOIN tp USING (j), (SELECT unnest(range(16, 27)) AS b) GROUP BY ALL),
+ce AS (SELECT p.subject, p.ci AS i, q.ci AS j, p.e, p.b, sum(p.s * (p.re * q.re + p.im * q.im)) / sum(p.s) AS re, sum(p.s * (p.im * q.re - p.re * q.im)) / sum(p.s) AS im,
+  sum(p.s * (p.re * p.re + p.im * p.im)) / sum(p.s) AS pa, sum(p.s * (q.re * q.re + q.im * q.im)) / sum(p.s) AS pb
+  FROM sf p JOIN sf q ON p.subject = q.subject AND p.e = q.e AND p.k = q.k AND p.b = q.b AND p.ci < q.ci GROUP BY ALL),
+sb AS (SELECT subject, i, j, b, abs(avg(im)) / avg(abs(im)) AS wpli, sqrt(avg(re) * avg(re) + avg(im) * avg(im)) / sqrt(avg(pa) * avg(pb)) AS coh,
+  sqrt(pow(avg(re / sqrt(re * re + im * im)), 2) + pow(avg(im / sqrt(re * re + im * im)), 2)) AS plv FROM ce GROUP BY ALL)"""
 
 _MI = """st AS (SELECT task, ci, min(x) AS lo, max(x) AS hi, CAST(round_even(sqrt(count(*)), 0) AS INT) AS nb FROM ev GROUP BY ALL),
 bn AS (SELECT task, ci, t, least(CAST(floor((x - lo) / (hi - lo) * nb) AS INT), nb - 1) AS b FROM ev JOIN st USING (task, ci)),
@@ -167,7 +171,7 @@ cl AS (SELECT *, sum(c) OVER (PARTITION BY task, i, j) AS n, sum(c) OVER (PARTIT
 mi AS (SELECT task, i, j, sum(c / n * (log2(c / n) - log2(ni / n) - log2(nj / n))) AS w FROM cl GROUP BY ALL)"""
 
 ORACLE_SQL = {
-    "montage_regions": _with(_MONTAGE, _PLACES) + "SELECT CAST(ch_idx AS INT) AS ch_idx, channel, hemisphere, region FROM places",
+    "montage_regions": _with(_MONTAGE, _PLACES, _SIG) + "SELECT CAST(ch_idx AS INT) AS ch_idx, channel, hemisphere, region, count(*) AS n_signals FROM places JOIN sig USING (ch_idx) GROUP BY ALL",
     "cz_interpolate": _with(_SIG) + f"SELECT subject, task, CAST(ch_idx + CASE WHEN ch_idx >= {CZ} THEN 1 ELSE 0 END AS INT) AS ch_idx, CAST(t AS BIGINT) AS t, round(x, 9) + 0.0e0 AS x FROM smp UNION ALL SELECT subject, task, CAST({CZ} AS INT), CAST(t AS BIGINT), round(avg(x), 9) + 0.0e0 FROM smp WHERE ch_idx IN {CZ_NEIGHBOURS} GROUP BY subject, task, t",
     "cz_verify": _with(_SIG) + "SELECT DISTINCT subject, task, block, true AS ok FROM sig, (VALUES ('before'), ('cz'), ('after')) v(block)",
     "welch_psd": _with(_PSD) + f"SELECT {_K}, CAST(b AS INT) AS bin, f, round(p, 12) + 0.0e0 AS p FROM psd",
@@ -190,7 +194,7 @@ ORACLE_SQL = {
     "wpli_edges_bandpass": "WITH RECURSIVE " + ",\n".join((_EV, _bandpass(8.0, 13.0, 100.0), _EDGES.replace("FROM ev,", "FROM bp,"))) + "\nSELECT task, i, j, round(w, 9) + 0.0e0 AS w FROM edges",
     "mutual_information": _with(_EV, _MI) + "SELECT task, i, j, round(w, 6) + 0.0e0 AS mi FROM mi",
     "mi_graph_features": "WITH RECURSIVE " + ",\n".join((_EV, _MI, "edges AS (SELECT * FROM mi WHERE i < j)", _graph(0.7), _BETWEEN)) + "\nSELECT task, list_concat(list(round(betweenness, 6) + 0.0e0 ORDER BY node), list(round(strength, 6) + 0.0e0 ORDER BY node)) AS features FROM btw JOIN str USING (task, node) GROUP BY task",
-    "spectral_connectivity": _with(_EV, _SC) + "SELECT i, j, round(avg(wpli), 6) + 0.0e0 AS wpli, round(avg(coh), 6) + 0.0e0 AS coh, round(avg(plv), 6) + 0.0e0 AS plv FROM sb GROUP BY i, j",
+    "spectral_connectivity": _with(_EV, _SC) + "SELECT CAST(subject AS VARCHAR) AS subject, i, j, round(avg(wpli), 6) + 0.0e0 AS wpli, round(avg(coh), 6) + 0.0e0 AS coh, round(avg(plv), 6) + 0.0e0 AS plv FROM sb GROUP BY subject, i, j UNION ALL SELECT DISTINCT CAST(subject AS VARCHAR), ci, ci, 0e0, 1e0, 1e0 FROM ev",
     "node_strength": _with(_EV, _EDGES, _THR) + "SELECT task, node, round(strength, 6) + 0.0e0 AS strength FROM str",
     "threshold_edges": _with(_EV, _EDGES, _THR) + "SELECT task, i, j, round(w, 6) + 0.0e0 AS w FROM thr",
     "node_betweenness": "WITH RECURSIVE " + ",\n".join((_EV, _EDGES, _THR, _BETWEEN)) + "\nSELECT task, node, round(betweenness, 6) + 0.0e0 AS betweenness FROM btw",

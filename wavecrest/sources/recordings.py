@@ -9,10 +9,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavecrest.operators.quarantine import Outcome, per_file
+
 #: The channels of the built-in montage, in order; Cz has place 23 in the 64-channel form.
 CHANNELS_63 = (
     "Fp1 Fz F3 F7 FT9 FC5 FC1 C3 T7 TP9 CP5 CP1 Pz P3 P7 O1 Oz O2 P4 P8 TP10 CP6 CP2 C4 T8 FT10 FC6 FC2 F4 F8 Fp2 "
@@ -27,12 +28,26 @@ def _subject(path) -> F.Column:
 
 
 def read_task_json(spark: SparkSession, path: str) -> DataFrame:
-    """Files of ``{task: [[samples of a channel], ...]}``; the subject is the file's name. One-dimensional tasks are one channel."""
+    """What ``json_files`` gives for the files it can read."""
+    return json_files(spark, path).good
+
+
+def json_files(spark: SparkSession, path: str) -> Outcome:
+    """Files of ``{task: [[samples of a channel], ...]}``; the subject is the file's name. One-dimensional tasks are one channel.
+
+    A text that is no such object, or a task that is no list of numbers or of such lists, is a failure.
+    """
     text = spark.read.text(path, wholetext=True, pathGlobFilter="*.[jJ][sS][oO][nN]").select(_subject(F.col("_metadata.file_path")).alias("subject"), "value")
-    raw = text.select("subject", F.explode(F.from_json("value", "map<string,string>")).alias("task", "json"))
-    rows = F.coalesce(F.from_json("json", "array<array<double>>"), F.array(F.from_json("json", "array<double>")))
+    tasks = F.from_json("value", "map<string,string>")
+    raw = text.select("subject", F.explode_outer(F.when(F.size(F.coalesce(tasks, F.create_map().cast("map<string,string>"))) > 0, F.map_entries(tasks))).alias("e"), F.trim("value").rlike(r"^\{\s*\}$").alias("_none"))
+    raw = raw.where("e is not null or not _none").select("subject", F.col("e.key").alias("task"), F.col("e.value").alias("json"))
     flat = F.col("json").rlike(r"^\s*\[\s*[^\s\[]")
-    return raw.select("subject", "task", F.posexplode(F.when(flat, F.array(F.from_json("json", "array<double>"))).otherwise(rows)).alias("ch_idx", "signal"))
+    parsed = raw.withColumn("_x", F.when(flat, F.array(F.from_json("json", "array<double>"))).otherwise(F.from_json("json", "array<array<double>>")))
+    bad = F.col("_x").isNull() | F.exists("_x", lambda x: x.isNull())
+    error = F.when(F.col("task").isNull(), "no object of tasks").when(bad, "a task is no list of numbers")
+    told = parsed.withColumn("_error", error)
+    rows = told.select("subject", "task", F.posexplode_outer(F.when(F.col("_error").isNull(), F.col("_x"))).alias("ch_idx", "signal"), "_error")
+    return Outcome(rows.where("ch_idx is not null or _error is not null"), "read")
 
 
 def mat_variables(data: bytes) -> Iterator[tuple[str, np.ndarray]]:
@@ -75,38 +90,51 @@ def _mat_task(name: str) -> str | None:
     return None
 
 
+def _file_subject(path: str) -> str:
+    return re.sub(r"\.[^./]*$", "", path.rsplit("/", 1)[-1])
+
+
 def read_mat(spark: SparkSession, path: str) -> DataFrame:
-    """Level 5 MAT files; named tasks if there are any, else every two-dimensional variable not beginning with ``__``."""
+    """What ``mat_files`` gives for the files it can read."""
+    return mat_files(spark, path).good
+
+
+def mat_files(spark: SparkSession, path: str) -> Outcome:
+    """Level 5 MAT files; named tasks if there are any, else every two-dimensional variable not beginning with ``__``. A damaged file, or one without such variables, is a failure."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                found = [(n, v) for n, v in mat_variables(content) if v.ndim == 2]
-                named = [(_mat_task(n), v) for n, v in found if _mat_task(n)] or [(n, v) for n, v in found if not n.startswith("__")]
-                m = re.search(r"_Sub_(\d+)", file)
-                subject = m[1] if m else re.sub(r"\.[^./]*$", "", file.rsplit("/", 1)[-1])
-                for task, v in named:
-                    v = v.T if v.shape[0] > v.shape[1] else v  # fewer channels than samples
-                    rows += [(subject, task, k, row) for k, row in enumerate(v)]
-            yield pd.DataFrame(rows, columns=["subject", "task", "ch_idx", "signal"])
+    def subject(file: str) -> str:
+        m = re.search(r"_Sub_(\d+)", file)
+        return m[1] if m else _file_subject(file)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][aA][tT]").load(path)
-    return files.select("path", "content").mapInPandas(run, RECORDING)
+    def run(file: str, content: bytes) -> Iterator[tuple]:
+        if len(content) < 128:
+            raise ValueError("shorter than a header")
+        found = [(n, v) for n, v in mat_variables(content) if v.ndim == 2]
+        tasks = [(_mat_task(n), v) for n, v in found if _mat_task(n)] or [(n, v) for n, v in found if not n.startswith("__")]
+        if not tasks:
+            raise ValueError("no variable of two dimensions")
+        for task, v in tasks:
+            v = v.T if v.shape[0] > v.shape[1] else v  # fewer channels than samples
+            yield from ((subject(file), task, k, row) for k, row in enumerate(v))
+
+    return per_file(spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][aA][tT]").load(path), run, RECORDING, subject, "read")
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """NPY arrays, (samples, channels) or (samples,), as recordings of task ``npy``."""
+    """What ``npy_files`` gives for the files it can read."""
+    return npy_files(spark, path).good
+
+
+def npy_files(spark: SparkSession, path: str) -> Outcome:
+    """NPY arrays, (samples, channels) or (samples,), as recordings of task ``npy``; others are failures."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                x = np.atleast_2d(np.load(io.BytesIO(content), allow_pickle=False).astype(float).T)
-                rows += [(re.sub(r"\.npy$", "", file.rsplit("/", 1)[-1]), "npy", k, row) for k, row in enumerate(x)]
-            yield pd.DataFrame(rows, columns=["subject", "task", "ch_idx", "signal"])
+    def run(file: str, content: bytes) -> Iterator[tuple]:
+        x = np.load(io.BytesIO(content), allow_pickle=False)
+        if x.ndim not in (1, 2):
+            raise ValueError(f"{x.ndim} dimensions")
+        yield from ((_file_subject(file), "npy", k, row) for k, row in enumerate(np.atleast_2d(x.astype(float).T)))
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content").mapInPandas(run, RECORDING)
+    return per_file(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path), run, RECORDING, _file_subject, "read")
 
 
 def samples(recordings: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavecrest.operators.ranges import numbered
 from wavecrest.sources.recordings import montage
 
 
@@ -22,18 +23,21 @@ def embedding_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(F.broadcast(montage(spark)), "ch_idx").select("subject", "task", "ch_idx", "channel", "signal")
 
 
+#: Users whose events make one subject.
+BUCKET_USERS = 50
+
+
 def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(task, ch, t, x): mean event value by type and hour of 720, gaps 0; tasks are phases of 240 hours."""
-    ev = table(spark, sf_dir, "events").select("event_type", ((F.dayofmonth("ts") - 1) * 24 + F.hour("ts")).alias("h"), "value").where("h between 0 and 719")
-    means = ev.groupBy("event_type", "h").agg(F.avg("value").alias("x"))
-    grid = ev.select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit(0), F.lit(719))).alias("h"))
-    full = grid.join(means, ["event_type", "h"], "left").select("event_type", "h", F.coalesce("x", F.lit(0.0)).alias("x"))
-    return full.select((F.col("h") / 240).cast("int").cast("string").alias("task"), F.col("event_type").alias("ch"), (F.col("h") % 240).alias("t"), "h", "x")
+    """(subject, task, ch, t, h, x): mean event value by bucket of users, type and hour of 720, gaps 0; tasks are phases of 240 hours."""
+    bucket = F.expr(f"user_id div {BUCKET_USERS}").alias("subject")
+    ev = table(spark, sf_dir, "events").select(bucket, "event_type", ((F.dayofmonth("ts") - 1) * 24 + F.hour("ts")).alias("h"), "value").where("h between 0 and 719")
+    means = ev.groupBy("subject", "event_type", "h").agg(F.avg("value").alias("x"))
+    grid = ev.select("subject", "event_type").distinct().select("subject", "event_type", F.explode(F.sequence(F.lit(0), F.lit(719))).alias("h"))
+    full = grid.join(means, ["subject", "event_type", "h"], "left").select("subject", "event_type", "h", F.coalesce("x", F.lit(0.0)).alias("x"))
+    return full.select("subject", (F.col("h") / 240).cast("int").cast("string").alias("task"), F.col("event_type").alias("ch"), (F.col("h") % 240).alias("t"), "h", "x")
 
 
 def event_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(subject, t, label): a user's event types in order of event_id."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("subject"), (F.row_number().over(order) - 1).cast("long").alias("t"), F.col("event_type").alias("label"))
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("subject"), "event_id", F.col("event_type").alias("label"))
+    return numbered(events, ["subject"], F.col("event_id"), ["event_id"], "t").select("subject", F.col("t").cast("long").alias("t"), "label")
