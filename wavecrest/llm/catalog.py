@@ -49,8 +49,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lm.backoff_scores(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+    found = lm.backoff_scores(table(spark, sf_dir, "documents"), leave_out=True)
+    return found.select("doc_id", "n_words", "n_backed_off", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
 #: A conversation whose texts are control strings of a common template.
@@ -126,10 +126,16 @@ FROM p LEFT JOIN k ON p.payload_digest = k.payload_digest""",
     "op8_lm": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 p AS (SELECT doc_id, CASE WHEN i > 1 THEN w[i - 1] ELSE '' END AS v, w[i] AS w FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-two AS (SELECT v, w, count(*) AS n FROM p GROUP BY v, w),
-one AS (SELECT w AS v, count(*) AS n FROM p GROUP BY w UNION ALL SELECT '', count(*) FROM d),
-s AS (SELECT doc_id, sum(ln(two.n) - ln(one.n)) AS s FROM p JOIN two ON p.v = two.v AND p.w = two.w JOIN one ON p.v = one.v GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(s, 0e0), 3) AS log_score, round(s / len(d.w), 6) AS mean_log_score
+o2 AS (SELECT doc_id, v, w, count(*) AS n FROM p GROUP BY ALL),
+o1 AS (SELECT doc_id, w AS v, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT doc_id, '', 1 FROM d),
+two AS (SELECT v, w, sum(n) AS n FROM o2 GROUP BY v, w),
+one AS (SELECT v, sum(n) AS n FROM o1 GROUP BY v),
+tot AS (SELECT sum(len(w)) AS n FROM d),
+s AS (SELECT o2.doc_id, sum(o2.n * CASE WHEN two.n > o2.n THEN ln(two.n - o2.n) - ln(c.n - oc.n) ELSE ln(0.4e0) + ln(greatest(u.n - ou.n, 1)) - ln(greatest(tot.n - len(d.w), 1)) END) AS s,
+    sum(CASE WHEN two.n = o2.n THEN o2.n ELSE 0 END) AS b
+  FROM o2 JOIN two ON o2.v = two.v AND o2.w = two.w JOIN d ON d.doc_id = o2.doc_id JOIN one c ON c.v = o2.v JOIN o1 oc ON oc.doc_id = o2.doc_id AND oc.v = o2.v
+    JOIN one u ON u.v = o2.w JOIN o1 ou ON ou.doc_id = o2.doc_id AND ou.v = o2.w, tot GROUP BY o2.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(b, 0) AS BIGINT) AS n_backed_off, round(coalesce(s, 0e0), 3) AS log_score, round(s / len(d.w), 6) AS mean_log_score
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id""",
     "op11_phrases": r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),

@@ -44,6 +44,7 @@ def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 12
     characters) cover the texts of fresh ``learned`` turns. An empty table gives no rows.
     """
     in_order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    by_pos = Window.partitionBy("conv_id").orderBy("pos")  # equal rows count one after another
     whole = Window.partitionBy("conv_id")
     plain = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     marked = plain.withColumn("pos", F.row_number().over(in_order)).select(
@@ -59,12 +60,12 @@ def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 12
     )
     marked = marked.withColumn("tokens", F.ceil(F.length("out_text") / 4.0) + 8)
     body = F.when(F.col("head"), 0).otherwise(F.col("tokens"))
-    sized = marked.withColumn("before", F.sum(body).over(in_order) - body)
+    sized = marked.withColumn("before", F.sum(body).over(by_pos) - body)
     sized = sized.withColumn("room", F.lit(budget - history) - F.max(F.when(F.col("head"), F.col("tokens")).otherwise(0)).over(whole))
     sized = sized.withColumn("stride", F.greatest(F.col("room") - F.max(body).over(whole), F.ceil(F.col("room") / 4.0), F.lit(64)))
     sized = sized.withColumn("slot", F.floor(F.col("before") / F.col("stride")))
-    sized = sized.withColumn("new", (F.col("slot") != F.coalesce(F.lag("slot").over(in_order), F.col("slot"))).cast("int"))
-    sized = sized.withColumn("span", F.sum("new").over(in_order))
+    sized = sized.withColumn("new", (F.col("slot") != F.coalesce(F.lag("slot").over(by_pos), F.col("slot"))).cast("int"))
+    sized = sized.withColumn("span", F.sum("new").over(by_pos))
     sized = sized.withColumn("last", F.max("span").over(whole))
     back = Window.partitionBy("conv_id", "span").orderBy(F.col("pos").desc())
     sized = sized.withColumn("back", F.sum("tokens").over(back)).withColumn("rank", F.row_number().over(back))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavecrest.llm.common import mix, range_hashes, stored, text_slices, utf8, words
+from wavecrest.llm.common import mix, range_hashes, stored, text_slices, tidy, utf8, words
 
 #: Keys of the n-gram of no word, counted once for each word, and of the start mark, counted once for each text.
 _NONE, _START = np.uint64(1), np.uint64(2)
@@ -61,7 +61,7 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -
             yield block(number, held)
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "block long, ids array<long>, n_words binary, vocabulary binary, text binary")
+    return chosen.mapInArrow(tidy(run), "block long, ids array<long>, n_words binary, vocabulary binary, text binary")
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ def gram_rows(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                 columns = [pa.array(grams.used.astype(np.int32)), pa.array((number.as_py() << _SLOT_BITS) + grams.first), pa.ListArray.from_arrays(offsets, pa.array(grams.hashes.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(grams.counts))]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "start", "hashes", "counts"])
 
-    return blocks.select("block", "n_words", "vocabulary", "text").mapInArrow(run, "bucket int, start long, hashes array<long>, counts array<int>")
+    return blocks.select("block", "n_words", "vocabulary", "text").mapInArrow(tidy(run), "bucket int, start long, hashes array<long>, counts array<int>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,21 +142,42 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["block", "slot", "totals"])
 
 
-def block_scores(grams: Grams, totals: np.ndarray, least: int, alpha: float) -> np.ndarray:
-    """The sum of the scores of each text's words."""
-    logs = np.log(np.maximum(totals, 1))
-    value = logs[grams.slots[1]] - logs[grams.slots[0]]
+def _own_counts(slots: np.ndarray, text: np.ndarray, size: int) -> np.ndarray:
+    """How often the n-gram at each position occurs in the position's text."""
+    _, which, n = _distinct(text * np.int64(size + 1) + slots + 1)
+    return n[which]
+
+
+def block_scores(grams: Grams, totals: np.ndarray, least: int, alpha: float, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of the scores of each text's words, how many of them were scored by less words than there are before them)."""
+    text = np.repeat(np.arange(len(grams.heads)), grams.n_words + 1) if leave_out else None
+
+    def counts(m: int) -> np.ndarray:
+        if not leave_out:
+            return totals[grams.slots[m]]
+        if m:
+            return totals[grams.slots[m]] - _own_counts(grams.slots[m], text, len(totals))
+        return np.repeat(totals[grams.slots[0][:1]] - grams.n_words, grams.n_words + 1)
+
+    shorter = counts(1)
+    value = np.log(np.maximum(shorter, 1)) - np.log(np.maximum(counts(0), 1))
+    backed = np.zeros(len(value), bool)
     for m in range(2, len(grams.slots)):
         there = grams.depth >= m - 1
+        own = counts(m)
         value[there] += math.log(alpha)
-        seen = np.flatnonzero(there & (totals[grams.slots[m]] >= least))
-        value[seen] = logs[grams.slots[m][seen]] - logs[grams.slots[m - 1][seen - 1]]
-    value[grams.heads] = 0
-    return np.add.reduceat(value, grams.heads) if len(value) else np.zeros(0)
+        seen = np.flatnonzero(there & (own >= least))
+        value[seen] = np.log(own[seen]) - np.log(shorter[seen - 1])
+        backed[there], backed[seen] = True, False
+        shorter = own
+    value[grams.heads], backed[grams.heads] = 0, False
+    if not len(value):
+        return np.zeros(0), np.zeros(0, np.int64)
+    return np.add.reduceat(value, grams.heads), np.add.reduceat(backed, grams.heads, dtype=np.int64)
 
 
-def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, least: int = 1, alpha: float = 0.4, block_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score) of every row, under the n-gram counts of all rows.
+def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, least: int = 1, alpha: float = 0.4, block_bytes: int = 8 << 20, leave_out: bool = False) -> DataFrame:
+    """(doc_id, n_words, log_score, mean_log_score, n_backed_off) of every row, under the n-gram counts of all rows, or of all other rows if ``leave_out``.
 
     A word scores ln(count(n-gram) / count(its first n - 1 words)) for the longest n-gram of at most ``order`` words that
     ends in it and occurs ``least`` times, and ln(alpha) for each longer one passed over; the last resort is its share of all
@@ -166,6 +187,10 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are stored in numbered blocks first. Each block sends each of its different n-grams once, with its count in the
     block, to a bucket by hash; there all rows of an n-gram meet in the count table and each takes the total, and totals go back to their
     block, which sums them up by text. The commonest n-gram is one row a block. A block that misses a total is an error.
+    With ``leave_out`` a text is scored by what the others say: its own n-grams, counted where it is scored, are taken off each total, so that
+    an n-gram that no other text has is unseen and backs off; a word that no other text has counts once. ``n_backed_off`` words are not
+    scored by the longest n-gram that ends in them.
+
     A text without words scores 0 and has a null mean; repeated rows count and score again; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -175,7 +200,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = gram_rows(blocks, order, buckets).repartition(n, "bucket")
     rows = dealt.select("bucket", "start", "counts", F.posexplode("hashes").alias("k", "h")).select("bucket", (F.col("start") + F.col("k")).alias("place"), "h", F.get("counts", "k").alias("n"))
     counted = rows.select("place", F.sum("n").over(Window.partitionBy("h", "bucket")).alias("total"))
-    totals = counted.sortWithinPartitions("place").mapInArrow(_runs, "block long, slot int, totals array<long>")
+    totals = counted.sortWithinPartitions("place").mapInArrow(tidy(_runs), "block long, slot int, totals array<long>")
 
     def score(block: pa.Table, found: pa.Table) -> pa.Table:
         ids, *parts = (block.column(c)[0] for c in ("ids", "n_words", "vocabulary", "text"))
@@ -185,7 +210,9 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             total[slot : slot + len(own)] = own.values.to_numpy()
         if total.min() < 0:
             raise ValueError("a block's n-grams were not all counted")
-        sums = block_scores(grams, total, least, alpha)
-        return pa.table([ids.values, pa.array(grams.n_words), pa.array(sums), pa.array(sums / np.maximum(grams.n_words, 1), mask=grams.n_words == 0)], names=["doc_id", "n_words", "log_score", "mean_log_score"])
+        del found
+        grams.hashes = grams.counts = None
+        sums, backed = block_scores(grams, total, least, alpha, leave_out)
+        return pa.table([ids.values, pa.array(grams.n_words), pa.array(sums), pa.array(sums / np.maximum(grams.n_words, 1), mask=grams.n_words == 0), pa.array(backed)], names=["doc_id", "n_words", "log_score", "mean_log_score", "n_backed_off"])
 
-    return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double")
+    return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double, n_backed_off long")

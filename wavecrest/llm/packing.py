@@ -94,5 +94,5 @@ def text_tokens(text_col: str = "text"):
 
 
 def text_cluster(text_col: str = "text"):
-    """Equal for texts that differ in letter case and white space only; null for a null text."""
-    return F.md5(F.regexp_replace(F.lower(F.trim(F.col(text_col))), r"\s+", " "))
+    """Equal for texts that differ in letter case and white space only, at their ends too; null for a null text."""
+    return F.md5(F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"\s+", " ")))
