@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavecrest.llm.common import mix, range_hashes, stored, text_slices, tidy, utf8, words
+from wavecrest.llm.common import mix, range_hashes, release, stored, text_slices, tidy, utf8, words
 
 #: Keys of the n-gram of no word, counted once for each word, and of the start mark, counted once for each text.
 _NONE, _START = np.uint64(1), np.uint64(2)
@@ -125,6 +125,8 @@ def gram_rows(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                 offsets = pa.array(np.concatenate((grams.first, [len(grams.hashes)])).astype(np.int32))
                 columns = [pa.array(grams.used.astype(np.int32)), pa.array((number.as_py() << _SLOT_BITS) + grams.first), pa.ListArray.from_arrays(offsets, pa.array(grams.hashes.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(grams.counts))]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "start", "hashes", "counts"])
+                del grams, columns
+                release()
 
     return blocks.select("block", "n_words", "vocabulary", "text").mapInArrow(tidy(run), "bucket int, start long, hashes array<long>, counts array<int>")
 
@@ -213,6 +215,9 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         del found
         grams.hashes = grams.counts = None
         sums, backed = block_scores(grams, total, least, alpha, leave_out)
-        return pa.table([ids.values, pa.array(grams.n_words), pa.array(sums), pa.array(sums / np.maximum(grams.n_words, 1), mask=grams.n_words == 0), pa.array(backed)], names=["doc_id", "n_words", "log_score", "mean_log_score", "n_backed_off"])
+        n_words = grams.n_words
+        del grams, total
+        release()
+        return pa.table([ids.values, pa.array(n_words), pa.array(sums), pa.array(sums / np.maximum(n_words, 1), mask=n_words == 0), pa.array(backed)], names=["doc_id", "n_words", "log_score", "mean_log_score", "n_backed_off"])
 
     return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double, n_backed_off long")
