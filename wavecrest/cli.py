@@ -72,8 +72,7 @@ def _dynamic(spark, a: argparse.Namespace) -> dict:
         eeg = eeg.withColumn("subject", F.lit("eeg"))
     tables = {}
     if a.labels_npy:
-        found = R.read_npy(spark, a.labels_npy).select(F.lit("eeg").alias("subject"), F.posexplode("signal").alias("t", "x"))
-        found = found.select("subject", F.col("t").cast("long").alias("t"), F.col("x").cast("int").alias("label"))
+        found = R.npy_labels(spark, a.labels_npy).select(F.lit("eeg").alias("subject"), "t", "label")
     elif eeg is not None:
         more = {} if a.verb == "segment-protocol" else {"peaks_only": not a.ms_all_samples, "n_std": a.ms_n_std, "distance": a.ms_distance}
         fitted = windows.labels_fitted(eeg, a.n_microstates, a.ms_n_runs, **more)

@@ -1,8 +1,8 @@
-"""Results and failures of a grouped or per-file function from one pass."""
+"""Results and failures of a grouped function from one pass."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -68,22 +68,6 @@ def signals(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pdf["ch_idx"].to_numpy(), np.array([np.asarray(x, float)[:n] for x in pdf["signal"]])
 
 
-def per_file(files: DataFrame, run: Callable[[str, bytes], Iterator[tuple]], schema: str, subject: Callable[[str], str], stage: str) -> Outcome:
-    """``run`` of each (path, content); a file for which it raises has its subject and the error in one row instead of its rows."""
-    names = [f.split()[0] for f in schema.split(", ")]
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    rows = pd.DataFrame(list(run(path, content)), columns=names).assign(_error=None)
-                except Exception as e:  # noqa: BLE001 - as above
-                    rows = _failure(names, {"subject": subject(path)}, f"{path.rsplit('/', 1)[-1]}: {told(e)}")
-                yield rows
-
-    return Outcome(files.select("path", "content").mapInPandas(read, f"{schema}, _error string"), stage)
-
-
 def status(recordings: DataFrame, failures: DataFrame) -> DataFrame:
     """(subject, task, ok, error): every recording, with its failures one after another; a file that couldn't be read has its subject alone."""
     told_all = failures.groupBy("subject", "task").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "stage", "error"))), "; ").alias("error"))

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import io
+import json
 import re
-import struct
-import zlib
-from collections.abc import Iterator
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecrest.operators.quarantine import Outcome, per_file
+from wavecrest.operators.quarantine import Outcome
+from wavecrest.sources import matrices
 
 #: The channels of the built-in montage, in order; Cz has place 23 in the 64-channel form.
 CHANNELS_63 = (
@@ -50,48 +47,26 @@ def json_files(spark: SparkSession, path: str) -> Outcome:
     return Outcome(rows.where("ch_idx is not null or _error is not null"), "read")
 
 
-def mat_variables(data: bytes) -> Iterator[tuple[str, np.ndarray]]:
-    """(name, values) of the real numeric matrices of a Level 5 MAT file."""
-    order = "<" if data[126:128] == b"IM" else ">"
-    kinds = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8"}
-
-    def elements(raw: bytes, at: int) -> Iterator[tuple[int, bytes]]:
-        while at + 8 <= len(raw):
-            kind, size = struct.unpack_from(order + "II", raw, at)
-            if kind >> 16:  # small element: size and type share a word
-                yield kind & 0xFFFF, raw[at + 4 : at + 4 + (kind >> 16)]
-                at += 8
-                continue
-            yield kind, raw[at + 8 : at + 8 + size]
-            at += 8 + size + (-size % 8 if kind != 15 else 0)
-
-    for kind, body in elements(data, 128):
-        if kind == 15:
-            kind, body = next(elements(zlib.decompress(body), 0))
-        if kind != 14:
-            continue
-        parts = list(elements(body, 0))
-        if len(parts) < 4 or not 6 <= parts[0][1][0 if order == "<" else 3] <= 15 or parts[3][0] not in kinds:
-            continue
-        shape = np.frombuffer(parts[1][1], order + "i4")
-        yield parts[2][1].decode("ascii"), np.frombuffer(parts[3][1], order + kinds[parts[3][0]]).astype(float).reshape(shape, order="F")
-
-
-def _mat_task(name: str) -> str | None:
-    """``trial_STATE`` or ``trial_rest`` from a variable's name, whichever way it is ordered."""
-    rest = re.fullmatch(r"(?:.*_)?RST([12])", name)
-    if rest:
-        return f"{rest[1]}_rest"
-    for pattern in (r"(?:.*_)?([123])_(IDG|IDE|IDR)", r"(?:.*_)?(IDG|IDE|IDR)_([123])"):
-        m = re.fullmatch(pattern, name)
-        if m:
-            trial, state = (m[1], m[2]) if m[1].isdigit() else (m[2], m[1])
-            return f"{trial}_{state}"
-    return None
-
-
-def _file_subject(path: str) -> str:
-    return re.sub(r"\.[^./]*$", "", path.rsplit("/", 1)[-1])
+def matrix_chunks(spark: SparkSession, path: str, kind: str, rows: str = "chunks", piece_bytes: int = matrices.PIECE, chunk: int = matrices.CHUNK, subjects: list[str] | None = None, tasks: list[str] | None = None) -> DataFrame:
+    """(file, subject, task, ch_idx, start, n, signal, error): the numbers of NPY or MAT files in chunks of samples, as ``sources.matrices`` has it.
+
+    Only matrices of ``subjects`` and ``tasks`` are read, if they are given; a filter on these columns afterwards reads all. A damaged matrix has a row with
+    an error and may have chunks before it, but no whole channel.
+    """
+    spark.dataSource.register(matrices.Matrices)
+    options = {"kind": kind, "rows": rows, "piece_bytes": piece_bytes, "chunk": chunk} | {k: json.dumps(v) for k, v in (("subjects", subjects), ("tasks", tasks)) if v}
+    return spark.read.format("wavecrest_matrices").options(**options).load(path)
+
+
+def _matrix_files(spark: SparkSession, path: str, kind: str, piece_bytes: int, **chosen) -> Outcome:
+    """Whole signals. Those of small files are read whole; only chunks of larger ones are shuffled and put together, by channel."""
+    keys = ["subject", "task", "ch_idx"]
+    small = matrix_chunks(spark, path, kind, "whole", piece_bytes, **chosen).select(*keys, "signal", F.col("error").alias("_error"))
+    parts = matrix_chunks(spark, path, kind, "parts", piece_bytes, **chosen)
+    joined = parts.groupBy("file", *keys).agg(F.max("n").alias("_n"), F.max("error").alias("_error"), F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("start", "signal")))).alias("_c"))
+    large = joined.select(*keys, F.when(F.col("_error").isNull(), F.flatten(F.transform("_c", lambda c: c["signal"]))).alias("signal"), "_error", "_n")
+    complete = large.where(F.col("_error").isNotNull() | (F.size("signal") == F.col("_n"))).drop("_n")
+    return Outcome(small.unionByName(complete), "read")
 
 
 def read_mat(spark: SparkSession, path: str) -> DataFrame:
@@ -99,25 +74,12 @@ def read_mat(spark: SparkSession, path: str) -> DataFrame:
     return mat_files(spark, path).good
 
 
-def mat_files(spark: SparkSession, path: str) -> Outcome:
-    """Level 5 MAT files; named tasks if there are any, else every two-dimensional variable not beginning with ``__``. A damaged file, or one without such variables, is a failure."""
+def mat_files(spark: SparkSession, path: str, piece_bytes: int = matrices.PIECE, subjects: list[str] | None = None, tasks: list[str] | None = None) -> Outcome:
+    """Level 5 MAT files; named tasks if there are any, else every two-dimensional variable not beginning with ``__``.
 
-    def subject(file: str) -> str:
-        m = re.search(r"_Sub_(\d+)", file)
-        return m[1] if m else _file_subject(file)
-
-    def run(file: str, content: bytes) -> Iterator[tuple]:
-        if len(content) < 128:
-            raise ValueError("shorter than a header")
-        found = [(n, v) for n, v in mat_variables(content) if v.ndim == 2]
-        tasks = [(_mat_task(n), v) for n, v in found if _mat_task(n)] or [(n, v) for n, v in found if not n.startswith("__")]
-        if not tasks:
-            raise ValueError("no variable of two dimensions")
-        for task, v in tasks:
-            v = v.T if v.shape[0] > v.shape[1] else v  # fewer channels than samples
-            yield from ((subject(file), task, k, row) for k, row in enumerate(v))
-
-    return per_file(spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][aA][tT]").load(path), run, RECORDING, subject, "read")
+    A damaged file, or one without such variables, is a failure; of a file with a damaged compressed variable, the others are read. Only ``subjects`` and ``tasks`` are read, if given.
+    """
+    return _matrix_files(spark, path, "mat", piece_bytes, subjects=subjects, tasks=tasks)
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
@@ -125,16 +87,16 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return npy_files(spark, path).good
 
 
-def npy_files(spark: SparkSession, path: str) -> Outcome:
+def npy_files(spark: SparkSession, path: str, piece_bytes: int = matrices.PIECE) -> Outcome:
     """NPY arrays, (samples, channels) or (samples,), as recordings of task ``npy``; others are failures."""
+    return _matrix_files(spark, path, "npy", piece_bytes)
 
-    def run(file: str, content: bytes) -> Iterator[tuple]:
-        x = np.load(io.BytesIO(content), allow_pickle=False)
-        if x.ndim not in (1, 2):
-            raise ValueError(f"{x.ndim} dimensions")
-        yield from ((_file_subject(file), "npy", k, row) for k, row in enumerate(np.atleast_2d(x.astype(float).T)))
 
-    return per_file(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path), run, RECORDING, _file_subject, "read")
+def npy_labels(spark: SparkSession, path: str) -> DataFrame:
+    """(t, label): the numbers of a one-channel NPY file as labels; a long file's are dealt over tasks as they are read and never are one row."""
+    found = matrix_chunks(spark, path, "npy").where("ch_idx = 0 or error is not null")
+    told = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("signal"))
+    return found.select("start", F.posexplode(told).alias("_k", "x")).select((F.col("start") + F.col("_k")).alias("t"), F.col("x").cast("int").alias("label"))
 
 
 def samples(recordings: DataFrame) -> DataFrame:
