@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavecrest.operators import machines
 from wavecrest.storage import stored
 
 #: Parts of task names and their classes; longer names are tried first.
@@ -103,49 +101,6 @@ def nearest(train: DataFrame, queries: DataFrame, k: int = 5, block_rows: int =
     return votes.groupBy("sample_id").agg(F.min(F.struct((-F.col("count")).alias("n"), "label"))["label"].alias("predicted"))
 
 
-def fourier_features(x: np.ndarray, gamma: float, size: int = 512, seed: int = 42) -> np.ndarray:
-    """Random Fourier features of rows and a constant: their products approach exp(-gamma * squared distance), so a linear machine over them is a kernel machine."""
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, (2 * gamma) ** 0.5, (x.shape[1], size)), rng.uniform(0, 2 * np.pi, size)
-    return np.concatenate((np.cos(x @ w + b) * (2 / size) ** 0.5, np.ones((len(x), 1))), axis=1)
-
-
-def _kernel_machines(samples: DataFrame, n_labels: int, gamma: float, seed: int, ridge: float = 1.0) -> DataFrame:
-    """``samples`` with ``_p``, the label number with the largest margin of least-squares support vector machines learned from the rows not in ``test``.
-
-    One pass sums up products of features and of features and signs, one matrix a task; they add up by row of the matrix, and
-    all machines are one small system of equations.
-    """
-
-    def rows_of(batch: pa.RecordBatch) -> np.ndarray:
-        x = batch.column(batch.schema.get_field_index("features"))
-        return fourier_features(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1), gamma, seed=seed)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                z = rows_of(batch)
-                sign = np.where(batch.column(batch.schema.get_field_index("_y")).to_numpy()[:, None] == np.arange(n_labels), 1.0, -1.0)
-                total = (0 if total is None else total) + z.T @ np.concatenate((z, sign), axis=1)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "v"])
-
-    def add(key: tuple, found: pa.Table) -> pa.Table:
-        return pa.table({"i": [key[0].as_py()], "v": [np.array(found.column("v").to_pylist()).sum(axis=0)]}, schema=pa.schema([("i", pa.int32()), ("v", pa.list_(pa.float64()))]))
-
-    summed = samples.where(~F.col("test")).select("_y", "features").mapInArrow(sums, "i int, v array<double>").groupBy("i").applyInArrow(add, "i int, v array<double>")
-    rows = np.array([r.v for r in summed.orderBy("i").collect()])  # one row for each feature
-    n = len(rows)
-    weights = np.linalg.solve(rows[:, :n] + ridge * np.eye(n), rows[:, n:])
-
-    @F.pandas_udf("double")
-    def best(xs: pd.Series) -> pd.Series:
-        return pd.Series((fourier_features(np.array(xs.tolist(), float).reshape(len(xs), -1), gamma, seed=seed) @ weights).argmax(axis=1).astype(float))
-
-    return samples.withColumn("_p", best("features"))
-
-
 def _early_stopped(train: DataFrame, layers: list[int], seed: int, rounds: int = 10, steps: int = 20, patience: int = 2) -> MultilayerPerceptronClassificationModel:
     """A network fitted ``steps`` iterations at a time until ``patience`` rounds brought nothing on a tenth of the rows, kept out for that."""
     held = F.pmod(F.xxhash64("sample_id", F.lit(seed)), F.lit(10)) == 0
@@ -168,8 +123,8 @@ def _early_stopped(train: DataFrame, layers: list[int], seed: int, rounds: int =
 def classify(samples: DataFrame, model: str, seed: int = 42, of_train: bool = False) -> DataFrame:
     """(sample_id, label, predicted) of the test rows by a network (``mlp``) or kernel machines (``svm``) learned from the others, or of those others themselves if ``of_train``.
 
-    The network has 100 and 50 hidden nodes and stops early. Machines are one a label, least-squares support vector machines over random Fourier
-    features of a Gaussian kernel whose width is the number of features times their variance. The rows are stored once, as fits read them many times.
+    The network has 100 and 50 hidden nodes and stops early. Machines are one a pair of labels, with a hinge loss, C of 1 and
+    a Gaussian kernel whose width is the number of features times their variance; see ``machines.fit`` for their bounds. The rows are stored once, as fits read them many times.
     No rows to predict, or none to learn from, give no rows.
     """
     samples = stored(samples, "samples")
@@ -187,8 +142,8 @@ def classify(samples: DataFrame, model: str, seed: int = 42, of_train: bool = Fa
     code = F.coalesce(*[F.when(F.col("label") == x, float(k)) for k, x in enumerate(labels)])
     if model == "svm":
         spread = learned.select(F.explode("features").alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
-        coded = samples.withColumn("_y", code)
-        got = _kernel_machines(coded, len(labels), 1 / (width * spread), seed).where(~F.col("test") if of_train else F.col("test"))
+        fitted = machines.fit(learned.select("sample_id", code.cast("int").alias("_y"), "features"), len(labels), 1 / (width * spread))
+        got = machines.predicted(asked, fitted, len(labels))
     else:
         # short jobs read it many times, whose tasks should have some rows each
         data = learned.withColumns({"_y": code, "_x": array_to_vector("features")}).repartition(-(-n // 10_000)).persist()
