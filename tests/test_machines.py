@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from wavecrest.operators import learn
 from wavecrest.operators import machines as M
@@ -89,6 +90,8 @@ def test_pairs_of_three_labels_one_of_them_rare(spark):
     m = M.fit(samples(spark, x, labels), 3, 0.5, block_rows=64)
     assert [p[:2] for p in m.pairs] == [(0, 1), (0, 2), (1, 2)]
     assert (m.votes(x, 3) == labels).mean() > 0.99
+    named = M.fit(samples(spark, x, labels).withColumn("sample_id", F.concat(F.lit("s/"), "sample_id")), 3, 0.5, block_rows=16)
+    assert (named.votes(x, 3) == labels).mean() > 0.99
     df = samples(spark, x, labels).selectExpr("sample_id", "concat('l', _y) as label", "features", "sample_id % 5 = 0 as test")
     said = learn.classify(df, "svm").collect()
     assert len(said) == 79 and sum(r.label == r.predicted for r in said) >= 78

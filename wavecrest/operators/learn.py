@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecrest.operators import machines
+from wavecrest.operators.neighbours import nearest
 from wavecrest.storage import stored
 
 #: Parts of task names and their classes; longer names are tried first.
@@ -58,49 +57,6 @@ def standardise(samples: DataFrame) -> DataFrame:
     return joined.withColumn("features", F.zip_with("features", "_scale", lambda v, c: (v - c["m"]) / c["s"])).drop("_scale")
 
 
-def nearest(train: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 4_096) -> DataFrame:
-    """(sample_id, predicted): the commonest label of the k nearest train rows, ties by smallest label.
-
-    Queries and train rows are dealt by hash of their id into blocks of about ``block_rows`` and twice as many, and
-    each pair of blocks meets in one group, which keeps k candidates a query. A query is sent once for each block
-    of train rows, and the other way round.
-    """
-    blocks, parts = (max(1, -(-df.count() // n)) for df, n in ((queries, block_rows), (train, 2 * block_rows)))
-
-    def place(n: int):
-        return F.pmod(F.xxhash64("sample_id"), F.lit(n)).cast("int")
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    asked = queries.select("sample_id", "features", place(blocks).alias("_block"), every(parts).alias("_part"))
-    # own names, as both sides may come from one table
-    known = train.select(F.col("sample_id").alias("near"), F.col("label").alias("label"), F.col("features").alias("x"), every(blocks).alias("_block"), place(parts).alias("_part"))
-
-    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(t):
-            return pd.DataFrame({"sample_id": [], "d": [], "near": [], "label": []})
-        x, y, ids, labels = np.array(t["x"].tolist(), float), np.array(q["features"].tolist(), float), t["near"].to_numpy(), t["label"].to_numpy()
-        own, n = q["sample_id"].to_numpy(), min(k, len(t))
-        rough = (x * x).sum(axis=1) - 2 * y @ x.T  # less the query's own square
-        out = []
-        for i, row in enumerate(rough):
-            # the product's rounding moves near ties, so all within it of the k-th are measured again
-            worst = np.partition(row, n - 1)[n - 1]
-            some = np.flatnonzero(row <= worst + 1e-9 * (abs(worst) + float(y[i] @ y[i]) + 1))
-            d = ((x[some] - y[i]) ** 2).sum(axis=1)
-            near = np.lexsort((ids[some], d))[:k]
-            out.append(pd.DataFrame({"sample_id": own[i], "d": d[near], "near": ids[some[near]], "label": labels[some[near]]}))
-        return pd.concat(out)
-
-    kind = dict(train.dtypes)
-    pairs = asked.groupBy("_block", "_part").cogroup(known.groupBy("_block", "_part"))
-    found = pairs.applyInPandas(run, f"sample_id {kind['sample_id']}, d double, near {kind['sample_id']}, label {kind['label']}")
-    first = found.withColumn("_r", F.row_number().over(Window.partitionBy("sample_id").orderBy("d", "near"))).where(F.col("_r") <= k)
-    votes = first.groupBy("sample_id", "label").count()
-    return votes.groupBy("sample_id").agg(F.min(F.struct((-F.col("count")).alias("n"), "label"))["label"].alias("predicted"))
-
-
 def _early_stopped(train: DataFrame, layers: list[int], seed: int, rounds: int = 10, steps: int = 20, patience: int = 2) -> MultilayerPerceptronClassificationModel:
     """A network fitted ``steps`` iterations at a time until ``patience`` rounds brought nothing on a tenth of the rows, kept out for that."""
     held = F.pmod(F.xxhash64("sample_id", F.lit(seed)), F.lit(10)) == 0

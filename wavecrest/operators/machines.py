@@ -120,7 +120,8 @@ def fit(samples: DataFrame, n_labels: int, gamma: float, c: float = 1.0, block_r
         alpha, bias = solve_dual(kernel(x, x, gamma), y, c, tol)
         kept = np.flatnonzero(alpha > 0)
         kept = np.sort(kept[np.argsort(-alpha[kept], kind="stable")[:most]])
-        return pdf.iloc[kept].assign(alpha=alpha[kept], bias=bias)[columns]
+        # an empty column of strings has to be one of objects
+        return pdf.iloc[kept].assign(alpha=alpha[kept], bias=bias)[columns].astype({"sample_id": object})
 
     counts = {r["_y"]: r["count"] for r in samples.groupBy("_y").count().collect()}  # one row a label
     blocks = {(a, b): max(1, -(-(counts.get(a, 0) + counts.get(b, 0)) // block_rows)) for a in range(n_labels) for b in range(a + 1, n_labels)}
@@ -158,7 +159,7 @@ def _violators(samples: DataFrame, machines: Machines, support: DataFrame, most:
                 y = np.where(labels[rows] == a, 1.0, np.where(labels[rows] == b, -1.0, 0.0))
                 at = np.flatnonzero((y != 0) & (y * margin < 1 - 2 * tol))
                 # alpha holds the margin until the next solution
-                yield batch.iloc[rows].iloc[at].assign(a=a, b=b, block=0, y=y[at], alpha=(y * margin)[at], bias=0.0)[columns]
+                yield batch.iloc[rows].iloc[at].assign(a=a, b=b, block=0, y=y[at], alpha=(y * margin)[at], bias=0.0)[columns].astype({"sample_id": object})
 
     found = samples.select("sample_id", "_y", "features").mapInPandas(run, schema)
     found = found.join(support.select("a", "b", "sample_id"), ["a", "b", "sample_id"], "left_anti").withColumn("_part", F.pmod(F.xxhash64("sample_id"), F.lit(64)))
