@@ -74,6 +74,18 @@ def test_analytic_and_savgol():
     assert np.allclose(G.savgol(y), y)
 
 
+@pytest.mark.parametrize("n", [1, 10, 11, 12, 40])
+def test_smoothed_peaks_stay_in_the_jvm(spark, n):
+    y = np.random.default_rng(n).uniform(1, 2, n)
+    df = spark.createDataFrame([([8 + k / 10 for k in range(n)], y.tolist()), ([], []), (None, None)], "freq array<double>, p array<double>")
+    got = df.select(S.smoothed(F.col("p")).alias("y"), S.individual_alpha(F.col("freq"), F.col("p")).alias("iaf"))
+    assert "Python" not in got._jdf.queryExecution().toString()
+    want = G.savgol(y) if n >= 11 else y
+    rows = got.collect()
+    assert np.allclose(rows[0].y, want) and rows[0].iaf == (None if n == 1 else 8 + int(want.argmax()) / 10)
+    assert rows[1].iaf is None and rows[2].iaf is None
+
+
 def test_distributions_have_table_values():
     assert D.f_sf(4.2565, 2, 9) == pytest.approx(0.05, abs=1e-4)
     assert D.t_sf2(2.2281, 10) == pytest.approx(0.05, abs=1e-4)

@@ -112,29 +112,21 @@ def slepian(n: int, half_bandwidth: float = 4.0, least: float = 0.9) -> tuple[np
     return tapers[kept], share[kept]
 
 
+def savgol_weights(width: int = 11, degree: int = 3) -> np.ndarray:
+    """Row r holds what the values of a window count for its smoothed r-th value: the projection onto polynomials of the degree."""
+    powers = np.vander(np.arange(width) - width // 2, degree + 1, increasing=True).astype(float)
+    return powers @ np.linalg.pinv(powers)
+
+
 def savgol(y: np.ndarray, width: int = 11, degree: int = 3) -> np.ndarray:
     """Savitzky-Golay smoothing; the ends take the polynomial of the first and last window."""
-    half = width // 2
-    t = np.arange(-half, half + 1)
-    fit = np.linalg.pinv(np.vander(t, degree + 1, increasing=True))
-    out = np.convolve(y, fit[0][::-1], "same")
-    powers = np.vander(t, degree + 1, increasing=True)
-    out[:half] = (powers @ (fit @ y[:width]))[:half]
-    out[-half:] = (powers @ (fit @ y[-width:]))[-half:]
+    weights, half = savgol_weights(width, degree), width // 2
+    out = np.convolve(y, weights[half][::-1], "same")
+    out[:half] = (weights @ y[:width])[:half]
+    out[-half:] = (weights @ y[-width:])[-half:]
     return out
 
 
-def alpha_peak(freq: np.ndarray, p: np.ndarray, lo: float = 8.0, hi: float = 13.0, width: int = 11, degree: int = 3) -> float | None:
-    """Individual alpha frequency; smoothed first where the band has ``width`` bins."""
-    inside = (freq >= lo) & (freq <= hi)
-    f, y = freq[inside], p[inside]
-    if not len(y):
-        return None
-    y = savgol(y, width, degree) if len(y) >= width else y
-    k = int(np.argmax(y))
-    return float(f[k]) if y[k] > np.median(y) + 1e-12 else None
-
-
 def welch_psd(signal: Column, sfreq: float, nperseg: int = 1024, noverlap: int | None = None, name: str = "hann") -> Column:
     """struct(freq, p) of an array column, one Arrow batch at a time; null for a null signal."""
 
@@ -144,13 +136,3 @@ def welch_psd(signal: Column, sfreq: float, nperseg: int = 1024, noverlap: int |
         return pd.DataFrame({"freq": [g[0] for g in got], "p": [g[1] for g in got]})
 
     return run(signal)
-
-
-def individual_alpha(freq: Column, p: Column, lo: float = 8.0, hi: float = 13.0) -> Column:
-    """alpha_peak of spectra, with smoothing."""
-
-    @F.pandas_udf("double")
-    def run(fs: pd.Series, ps: pd.Series) -> pd.Series:
-        return pd.Series([None if f is None else alpha_peak(np.asarray(f), np.asarray(p), lo, hi) for f, p in zip(fs, ps, strict=True)], dtype="float64")
-
-    return run(freq, p)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wavecrest.functions.signal import savgol_weights
+
 EPS = 1e-20
 #: Bands in Hz, both ends included.
 BANDS = {"delta": (1.0, 4.0), "theta": (4.0, 7.0), "lower_alpha": (8.0, 10.0), "upper_alpha": (10.0, 12.0), "beta": (13.0, 30.0), "gamma": (30.0, 45.0)}
@@ -92,9 +95,24 @@ def spectral_edge(freq: Column, p: Column, share: float, lo: float = 1.0, hi: fl
     return F.coalesce(found, F.try_element_at(x, F.lit(1))["f"])
 
 
-def peak_frequency(freq: Column, p: Column, lo: float = 8.0, hi: float = 13.0, floor: float = 1e-12) -> Column:
-    """The frequency of the largest power, the first of equal ones; null unless it exceeds the median by ``floor``."""
-    x = within(freq, p, lo, hi)
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def smoothed(ps: Column, width: int = 11, degree: int = 3) -> Column:
+    """Savitzky-Golay smoothing of an array: fixed weights of each window, of the first and last one at the ends. Arrays shorter than a window stay as they are."""
+    weights = F.array(*[F.array(*map(F.lit, row)) for row in savgol_weights(width, degree).tolist()])
+
+    def at(y: Column, w: Column, i: Column) -> Column:
+        first = F.greatest(F.least(i - width // 2, F.size(y) - width), F.lit(0))
+        return _sum(F.zip_with(F.get(w, i - first), F.slice(y, first + 1, F.lit(width)), lambda a, b: a * b))
+
+    return _bound(F.struct(ps.alias("y"), weights.alias("w")), lambda s: F.when(F.size(s["y"]) < width, s["y"]).otherwise(F.transform(s["y"], lambda _, i: at(s["y"], s["w"], i))))
+
+
+def _peak(x: Column, floor: float) -> Column:
+    """The frequency of the largest power of struct(f, p), as ``peak_frequency`` has it."""
     top = F.array_max(F.transform(x, lambda v: F.struct(v["p"].alias("p"), (-v["f"]).alias("f"))))
     ps = F.array_sort(F.transform(x, lambda v: v["p"]))
     n = F.size(ps)
@@ -102,6 +120,17 @@ def peak_frequency(freq: Column, p: Column, lo: float = 8.0, hi: float = 13.0, f
     return F.when((n > 0) & (top["p"] > median + floor), -top["f"])
 
 
+def peak_frequency(freq: Column, p: Column, lo: float = 8.0, hi: float = 13.0, floor: float = 1e-12) -> Column:
+    """The frequency of the largest power, the first of equal ones; null unless it exceeds the median by ``floor``."""
+    return _peak(within(freq, p, lo, hi), floor)
+
+
+def individual_alpha(freq: Column, p: Column, lo: float = 8.0, hi: float = 13.0, width: int = 11, degree: int = 3, floor: float = 1e-12) -> Column:
+    """``peak_frequency`` of smoothed powers, where the band has ``width`` bins at least."""
+    x = within(freq, p, lo, hi)
+    return _bound(F.zip_with(x, smoothed(F.transform(x, lambda v: v["p"]), width, degree), lambda v, y: F.struct(v["f"].alias("f"), y.alias("p"))), lambda y: _peak(y, floor))
+
+
 def asymmetry(left: Column, right: Column, db: bool = False) -> Column:
     """ln or decibel difference of two alpha powers."""
     if db:

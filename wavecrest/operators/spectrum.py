@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavecrest.functions import spectral as S
-from wavecrest.functions.signal import individual_alpha, welch_psd
+from wavecrest.functions.signal import welch_psd
 
 
 def spectra(recordings: DataFrame, sfreq: float, nperseg: int = 1024, noverlap: int | None = None, window: str = "hann") -> DataFrame:
@@ -47,5 +47,5 @@ def metrics(psd: DataFrame, alpha: tuple[float, float] = (8.0, 13.0)) -> DataFra
         S.spectral_moments(f, p).alias("moments"),
         S.spectral_edge(f, p, 0.95).alias("sef95"),
         S.spectral_edge(f, p, 0.5).alias("f50"),
-        individual_alpha(f, p, *alpha).alias("iaf"),
+        S.individual_alpha(f, p, *alpha).alias("iaf"),
     )

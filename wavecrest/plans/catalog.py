@@ -71,6 +71,10 @@ def peak_alpha(spark, sf):
     return _psd(spark, sf).select(*KEYS, S.peak_frequency(F.col("freq"), F.col("p")).alias("iaf"))
 
 
+def peak_smoothed(spark, sf):
+    return _psd(spark, sf).select(*KEYS, S.individual_alpha(F.col("freq"), F.col("p"), 1.0, 45.0).alias("peak"))
+
+
 def alpha_asymmetry(spark, sf):
     return spectrum.asymmetry(_psd(spark, sf)).select("subject", "task", _r(F.col("faa")).alias("faa"))
 
@@ -303,7 +307,7 @@ def nonfinite_to_null(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        montage_regions, cz_interpolate, cz_verify, welch_psd, band_power_abs, band_power_rel, spectral_entropy, spectral_moments, spectral_edge_95, median_frequency, peak_alpha,
+        montage_regions, cz_interpolate, cz_verify, welch_psd, band_power_abs, band_power_rel, spectral_entropy, spectral_moments, spectral_edge_95, median_frequency, peak_alpha, peak_smoothed,
         alpha_asymmetry, trp_region_mean_sem, trp_collapsed_merged, wpli_edges, wpli_edges_bandpass, mutual_information, mi_graph_features, spectral_connectivity, node_strength, threshold_edges,
         node_betweenness, graph_features, graph_summary, top_strength, connectivity_matrix, label_runs, label_smooth, run_windows, fine_groups, macro_windows, segmentation, window_metrics, anova_groups, anova_f, anova_p,
         select_features, bonferroni_t, tukey_q, tukey_p, stratified_split, stratified_folds, standardise, knn_predict, knn_confusion, knn_summary, knn_folds, knn_report, mlp_report, svm_report,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from wavecrest.functions.signal import butter_bandpass, slepian
+from wavecrest.functions.signal import butter_bandpass, savgol_weights, slepian
 from wavecrest.functions.spectral import BANDS
 from wavecrest.operators.channels import CZ, CZ_NEIGHBOURS
 from wavecrest.sources.recordings import CHANNELS_63
@@ -39,6 +39,11 @@ pw AS (SELECT {_K}, band, 2e0 * CASE WHEN any_value(n) = 1 THEN 0 WHEN any_value
   FROM pts GROUP BY {_K}, band)"""
 _IN = f"inn AS (SELECT {_K}, f, p FROM psd WHERE f BETWEEN 1 AND 45)"
 
+_SMOOTHED = "wts AS (SELECT * FROM (VALUES " + ", ".join(f"({r}, {j}, {w!r}::DOUBLE)" for r, row in enumerate(savgol_weights().tolist()) for j, w in enumerate(row)) + f""") v(r, j, w)),
+num AS (SELECT {_K}, f, p, row_number() OVER (PARTITION BY {_K} ORDER BY f) - 1 AS i, count(*) OVER (PARTITION BY {_K}) AS n FROM inn),
+plc AS (SELECT *, greatest(least(i - 5, n - 11), 0) AS s FROM num),
+sm AS (SELECT a.subject, a.task, a.ch_idx, a.f, sum(w * b.p) AS p FROM plc a JOIN wts ON r = a.i - a.s JOIN num b ON a.subject = b.subject AND a.task = b.task AND a.ch_idx = b.ch_idx AND b.i = a.s + j GROUP BY ALL)"""
+
 
 def _edge(share: float, name: str, keys: str = _K) -> str:
     return f"""cum AS (SELECT {keys}, f, sum(p) OVER (PARTITION BY {keys} ORDER BY f) AS c, sum(p) OVER (PARTITION BY {keys}) AS s FROM inn),
@@ -181,6 +186,7 @@ ORACLE_SQL = {
     "spectral_moments": _with(_PSD, _IN, f"c AS (SELECT {_K}, sum(p) AS s, sum(f * p) / sum(p) AS m FROM inn GROUP BY {_K})", f"v AS (SELECT {_K}, any_value(s) AS s, any_value(m) AS m, sum(pow(f - m, 2) * p) / any_value(s) AS v, sum(pow(f - m, 3) * p) AS c3, sum(pow(f - m, 4) * p) AS c4 FROM inn JOIN c USING ({_K}) GROUP BY {_K})") + f"SELECT {_K}, round(m, 6) + 0.0e0 AS centroid, round(v, 6) + 0.0e0 AS variance, round(c3 / (s * pow(sqrt(v) + {_EPS}, 3)), 6) + 0.0e0 AS skewness, round(c4 / (s * pow(v + {_EPS}, 2)), 6) + 0.0e0 AS kurtosis FROM v",
     "spectral_edge_95": _with(_PSD, _IN, _edge(0.95, "sef95")) + "SELECT * FROM edge",
     "median_frequency": _with(_PSD, _IN, _edge(0.5, "f50")) + "SELECT * FROM edge",
+    "peak_smoothed": _with(_PSD, _IN, _SMOOTHED) + f"SELECT {_K}, CASE WHEN max(p) > median(p) + 1e-12 THEN min(f) FILTER (WHERE p = m) END AS peak FROM (SELECT *, max(p) OVER (PARTITION BY {_K}) AS m FROM sm) GROUP BY {_K}",
     "peak_alpha": _with(_PSD) + f"SELECT {_K}, CASE WHEN max(p) > median(p) + 1e-12 THEN min(f) FILTER (WHERE p = m) END AS iaf FROM (SELECT *, max(p) OVER (PARTITION BY {_K}) AS m FROM psd WHERE f BETWEEN 8 AND 13) GROUP BY {_K}",
     "alpha_asymmetry": _with(_MONTAGE, _PSD, f"tz AS (SELECT {_K}, f, p, lag(p) OVER o AS q, lag(f) OVER o AS g FROM psd WHERE f BETWEEN 8 AND 13 WINDOW o AS (PARTITION BY {_K} ORDER BY f))", f"ar AS (SELECT subject, task, channel, sum((p + q) / 2 * (f - g)) AS a FROM tz JOIN montage USING (ch_idx) GROUP BY ALL)") + f"SELECT subject, task, round(ln(max(a) FILTER (WHERE channel = 'F4') + {_EPS}) - ln(max(a) FILTER (WHERE channel = 'F3') + {_EPS}), 9) + 0.0e0 AS faa FROM ar GROUP BY subject, task",
     "trp_logratio": _with(_PSD, _POWER, _trp("logratio")) + _ROWS,
