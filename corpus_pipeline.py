@@ -12,17 +12,35 @@ from wavecrest.llm.common import held_out, scratch, table
 LEAST_LANGUAGE_SCORE = 0.25
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of ``docs`` has, in either case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is recognised; those without a letter or of a low score go."""
+    """Keeps documents whose language is recognised; those without a letter or of a low score go, so null and empty texts do.
+
+    Repeated rows are decided alike and stay as often as they came; rows with a null id or lang are decided by their text. An empty table, or one from which no language
+    can be learned, gives no rows. All columns stay as they are, whatever their names.
+    """
+    into = _free(docs, "_language")
     model = language.fit_language(docs.where(~held_out("doc_id", 4, 2)))
-    found = language.identify(docs, model, into="_language")
-    return found.where((F.col("_language.lang_pred") != language.UND) & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    found = language.identify(docs, model, into=into)
+    return found.where((F.col(f"{into}.lang_pred") != language.UND) & (F.col(f"{into}.score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a toxicity score under one half, learned from the labelled ones."""
+    """Keeps documents with a toxicity score under one half, learned from the labelled ones.
+
+    Null and empty texts are scored by the bias alone. Repeated rows are decided alike; rows with a null id have no label and are scored. An empty table gives no
+    rows. All columns stay as they are, whatever their names.
+    """
+    into = _free(docs, "_toxicity")
     machine = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)))
-    return toxicity.score_toxicity(docs, machine, into="_toxicity").where("_toxicity < 0.5").select(docs.columns)
+    return toxicity.score_toxicity(docs, machine, into=into).where(F.col(into) < 0.5).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +53,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which no window of a benchmark item occurs."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), into="_contamination")
-    return found.where(~F.col("_contamination.contaminated")).select(docs.columns)
+    """Keeps documents in which no window of a benchmark item occurs, so null and empty texts stay.
+
+    Repeated rows are decided alike. An empty table gives no rows; an empty benchmark keeps all. All columns stay as they are, whatever their names.
+    """
+    into = _free(docs, "_contamination")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), into=into)
+    return found.where(~F.col(f"{into}.contaminated")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all pieces of the documents in packed sequences."""
+    """The places of all pieces of the documents in packed sequences; of an empty table there are none. Null sources and texts, repeated rows and other columns are as ``pack_documents`` has it."""
     return packing.pack_documents(docs, packing.text_tokens(), F.col("source"), packing.text_cluster())
 
 
