@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_corpus import plain_words
-from wavecrest.llm import catalog, chat, lm, packing
+from wavecrest.llm import catalog, chat, lm, packing, warc
+from wavecrest.llm.common import table
 
 
 def plain_scores_of_others(rows, order, least, alpha=0.4):
@@ -63,3 +64,21 @@ def test_copies_that_differ_in_white_space_are_one_cluster(spark):
     rows = [("hello world",), ("hello world\n",), ("\thello\n world ",), ("HELLO world",), (None,), ("hello worlds",), ("",), (" \n",)]
     got = [r.c for r in spark.createDataFrame(rows, "text string").select(packing.text_cluster().alias("c")).collect()]
     assert len(set(got[:4])) == 1 and got[4] is None and got[5] not in got[:4] and got[6] == got[7]
+
+
+def test_warc_ranges_on_the_driver_are_bounded(spark):
+    few, many = (warc.plan_parts(spark.range(n).select(F.col("id").alias("page_id")), 10, F.lit(1)) for n in (200_000, 2_000_000))
+    assert few.seen <= 2 * warc.FIRST_RANGES and many.seen <= 2 * warc.FIRST_RANGES
+    assert few.n <= 1.5 * warc.MOST_PARTS and many.n <= 1.5 * warc.MOST_PARTS and many.size >= 2_000_000 // warc.MOST_PARTS
+    far = spark.range(100_000).select(F.when(F.col("id") % 1000 == 0, F.shiftleft("id", 40)).otherwise(F.col("id")).alias("page_id"))
+    skewed = warc.plan_parts(far, 50, F.lit(1))
+    assert skewed.seen <= 3 * warc.FIRST_RANGES and warc.in_parts(far, skewed, F.xxhash64("page_id")).groupBy("part").count().agg(F.max("count")).first()[0] <= 100
+
+
+def test_warc_files_end_by_compressed_size(spark, tmp_path):
+    pages = table(spark, "/root/testdata/sf0.1", "pages")
+    found = warc.write_warc(pages, f"file://{tmp_path}/w", part_bytes=4 << 20).toPandas().sort_values("file")
+    assert found["records"].sum() == pages.count()
+    part = found["file"].str[6:12]
+    whole = found[part == part.shift(-1)]
+    assert len(whole) > len(found) / 3 and (whole["bytes"] >= 1 << 20).all() and (whole["bytes"] < (1 << 20) + 200_000).all()

@@ -7,11 +7,12 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavecrest.llm.common import scratch, stored
@@ -19,6 +20,8 @@ from wavecrest.llm.common import scratch, stored
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A time that never changes, so that equal input gives equal archives.
 DATE = "2000-01-01T00:00:00Z"
+#: A record's headers have about so many bytes.
+HEAD_BYTES = 512
 
 
 def _sha1(data: bytes) -> str:
@@ -71,65 +74,105 @@ def parse(data: bytes) -> dict:
     }
 
 
+#: At most so many parts, so what the driver counts and sends out is bounded; beyond, parts grow with the table.
+MOST_PARTS = 1 << 14
+#: Ranges of ids that are counted at first; a range that is larger than a part is cut in 16 again, at most 12 times, and no more than ``MOST_PARTS`` ranges are.
+FIRST_RANGES = 1 << 16
+
+
 def _prefix(step: int):
     """An id's leading bits, all but ``step`` of them, in the order of ids."""
     return F.shiftrightunsigned(F.col("page_id").bitwiseXOR(F.lit(-(1 << 63))), step)
 
 
-def with_parts(pages: DataFrame, part_rows: int, row_hash) -> tuple[DataFrame, int]:
-    """``pages`` with ``part``, and how many parts there are: numbers in the order of page_id (nulls first) of about ``part_rows`` rows each; they depend on the ids alone.
+def _signed(k: int) -> int:
+    return k - (k >> 63 << 64)
+
+
+class Parts(NamedTuple):
+    """For each number of bits left out, (prefix, first part, pieces) of ranges of ids; the pieces that rows of no id have; how many parts there are; what is counted in one; ranges that came to the driver."""
+
+    ranges: dict[int, list[tuple[int, int, int]]]
+    null_pieces: int
+    n: int
+    size: int
+    seen: int
+
 
-    Ids are counted by their leading bits, in some 16 ranges for each part, and ranges of more than ``part_rows`` rows again
-    by further bits; neighbouring ranges share a part. Only these counts come to the driver. An id, or null, of more than ``part_rows`` rows has several
-    parts, in the order of ``row_hash``.
+def plan_parts(rows: DataFrame, size: int, weight: Column) -> Parts:
+    """Parts of page_id (nulls first) of about ``size`` each in sums of ``weight``; they depend on ids and weights alone, however the rows are dealt.
+
+    Weights are summed up by leading bits of ids, in at most ``FIRST_RANGES`` ranges, and ranges of more than ``size`` again by
+    further bits; neighbouring ranges share a part. Only these sums come to the driver, however many rows there are. An id, or null, of more than ``size`` has several parts.
     """
-    low, high, rows, nulls = pages.agg(F.min("page_id"), F.max("page_id"), F.count("page_id"), F.count_if(F.col("page_id").isNull())).first()
+    held = rows.select("page_id", weight.alias("_w"))
+    low, high, total, nulls = held.agg(F.min("page_id"), F.max("page_id"), F.sum("_w"), F.sum(F.when(F.col("page_id").isNull(), F.col("_w")))).first()
+    total, nulls = total or 0, nulls or 0
+    size = max(size, -(-total // MOST_PARTS))
     ranges: list[tuple[int, int, int]] = []
-    if rows:
+    seen = 0
+    if low is not None:
         bits = (low ^ high if low >= 0 or high < 0 else -1) & (1 << 64) - 1
-        above = bits.bit_length()
-        step, chosen = max(0, above - (16 * rows // part_rows + 1).bit_length()), pages.where(F.col("page_id").isNotNull())
+        asked = min(16 * (total - nulls) // size + 1, FIRST_RANGES)
+        step, chosen = max(0, bits.bit_length() - asked.bit_length()), held.where(F.col("page_id").isNotNull())
         while True:
-            counts = [(r[0] & (1 << 64) - 1, r[1]) for r in chosen.groupBy(_prefix(step)).count().collect()]
-            ranges += [(k << step, step, n) for k, n in counts if n <= part_rows or not step]
-            large = [k - (k >> 63 << 64) for k, n in counts if n > part_rows and step]
+            sums = [(r[0] & (1 << 64) - 1, r[1]) for r in chosen.groupBy(_prefix(step).alias("k")).agg(F.sum("_w")).collect()]
+            seen += len(sums)
+            ranges += [(k << step, step, n) for k, n in sums if n <= size or not step]
+            large = [(_signed(k),) for k, n in sums if n > size and step]
             if not large:
                 break
-            chosen, step = pages.where(_prefix(step).isin(large)), max(0, step - 12)
-    part = max(1, -(-nulls // part_rows))
-    found: dict[int, list[tuple[int, int, int]]] = {}
-    filled = 0
+            # fewer than MOST_PARTS ranges can be larger than a part
+            again = F.broadcast(rows.sparkSession.createDataFrame(large, "_large long"))
+            chosen, step = held.join(again, _prefix(step) == F.col("_large"), "left_semi"), max(0, step - 4)
+    null_pieces = max(1, -(-nulls // size))
+    part, filled, found = null_pieces, 0, {}
     for first, step, n in sorted(ranges):
-        if filled and filled + n > part_rows:
+        if filled and filled + n > size:
             part, filled = part + 1, 0
-        key = first >> step
-        found.setdefault(step, []).append((key - (key >> 63 << 64), part, max(1, -(-n // part_rows))))
-        part, filled = (part + -(-n // part_rows), 0) if n > part_rows else (part, filled + n)
-    out = pages.withColumn("_part", F.when(F.col("page_id").isNull(), F.struct(F.lit(0).alias("part"), F.lit(max(1, -(-nulls // part_rows))).alias("pieces"))))
-    for step, own in found.items():
-        table = pages.sparkSession.createDataFrame(own, "_key long, _first int, _pieces int")
+        found.setdefault(step, []).append((_signed(first >> step), part, max(1, -(-n // size))))
+        part, filled = (part + -(-n // size), 0) if n > size else (part, filled + n)
+    return Parts(found, null_pieces, part + 1, size, seen)
+
+
+def in_parts(rows: DataFrame, parts: Parts, row_hash: Column) -> DataFrame:
+    """``rows`` with ``part``; rows of an id with several parts are dealt to them in the order of ``row_hash``."""
+    out = rows.withColumn("_part", F.when(F.col("page_id").isNull(), F.struct(F.lit(0).alias("part"), F.lit(parts.null_pieces).alias("pieces"))))
+    for step, own in parts.ranges.items():
+        table = rows.sparkSession.createDataFrame(own, "_key long, _first int, _pieces int")
         out = out.withColumn("_prefix", _prefix(step)).join(F.broadcast(table), F.col("_prefix") == F.col("_key"), "left")
         out = out.withColumn("_part", F.coalesce("_part", F.when(F.col("_first").isNotNull(), F.struct(F.col("_first").alias("part"), F.col("_pieces").alias("pieces"))))).drop("_prefix", "_key", "_first", "_pieces")
     piece = F.shiftright((F.shiftright(row_hash, 33) + (1 << 30)) * F.col("_part.pieces"), 31).cast("int")
-    return out.withColumn("part", F.col("_part.part") + piece).drop("_part"), part + 1
+    return out.withColumn("part", F.col("_part.part") + piece).drop("_part")
+
+
+def with_parts(pages: DataFrame, part_rows: int, row_hash: Column) -> tuple[DataFrame, int]:
+    """``pages`` with ``part``, and how many parts there are: numbers in the order of page_id of about ``part_rows`` rows each."""
+    parts = plan_parts(pages, part_rows, F.lit(1))
+    return in_parts(pages, parts, row_hash), parts.n
 
 
-def write_warc(pages: DataFrame, folder: str, least_bytes: int = 1000, roll_bytes: int = 64 << 20, part_rows: int = 2048) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, least_bytes: int = 1000, roll_bytes: int | None = None, part_rows: int | None = None, part_bytes: int = 32 << 20) -> DataFrame:
     """Writes gzipped records in order of page_id and gives the manifest (file, records, bytes, sha1).
 
     ``pages`` has page_id, url, html. Of the pages with an equal payload of ``least_bytes`` at least, those of the largest page_id are
     responses and the others revisit it; rows with a null id refer to the others' largest id, if there is one. Payloads are
     counted by digest, first by part, and a part's task gets the digests that repeat ahead of its rows, so html moves once.
 
-    Rows are range-sorted into parts that depend on ids alone, each part is written to files of
-    about ``roll_bytes`` compressed bytes, and a file gets its name only when whole: a repeated task
+    Rows are range-sorted into parts of about ``part_bytes`` of records (or ``part_rows`` rows) that depend on ids and sizes alone. A part is a task, which starts a new file as
+    soon as one has ``roll_bytes`` compressed bytes (by default a quarter of a part); only a part's last file is smaller. Parts, and so files, grow with a table of more than ``MOST_PARTS`` parts.
+    A file gets its name only when whole: a repeated task
     writes the same bytes again, and so does another run, however the input is dealt. The manifest, itself committed as a table, lists the files that count.
     """
     row_hash = F.xxhash64("url", "html")
-    placed, parts = with_parts(pages.select("page_id", "url", "html"), part_rows, row_hash)
-    n_tasks = max(parts, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a task's rows don't grow with the table
-    digests = placed.where(F.octet_length("html") >= least_bytes).groupBy("part", F.sha1(F.col("html").cast("binary")).alias("digest")).agg(F.max("page_id").alias("keep"), F.count("*").alias("n"))
-    digests = stored(digests, "digests")
+    pages = pages.select("page_id", "url", "html")
+    # sizes, digests and hashes once, without the html
+    digest = F.when(F.octet_length("html") >= least_bytes, F.sha1(F.col("html").cast("binary")))
+    brief = stored(pages.select("page_id", (F.coalesce(F.octet_length("html"), F.lit(0)) + HEAD_BYTES).cast("long").alias("w"), digest.alias("digest"), row_hash.alias("h")), "pages")
+    parts = plan_parts(brief, part_rows, F.lit(1)) if part_rows else plan_parts(brief, part_bytes, F.col("w"))
+    if roll_bytes is None:
+        roll_bytes = (64 << 20) if part_rows else parts.size // 4
+    digests = stored(in_parts(brief.where("digest is not null"), parts, F.col("h")).groupBy("part", "digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")), "digests")
     repeated = digests.groupBy("digest").agg(F.max("keep").alias("keep"), F.sum("n").alias("n")).where("n > 1 and keep is not null").select("digest", "keep")
     ahead = digests.select("part", "digest").join(repeated, "digest")
 
@@ -174,8 +217,8 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 1000, roll_byte
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())]))
 
     none = F.lit(None)
-    rows = placed.select("part", none.cast("string").alias("digest"), none.cast("long").alias("keep"), "page_id", "url", "html", row_hash.alias("h"))
-    rows = rows.unionByName(ahead, allowMissingColumns=True).repartition(n_tasks, "part")
+    rows = in_parts(pages, parts, row_hash).select("part", none.cast("string").alias("digest"), none.cast("long").alias("keep"), "page_id", "url", "html", row_hash.alias("h"))
+    rows = rows.unionByName(ahead, allowMissingColumns=True).repartitionById(parts.n, "part")
     rows = rows.sortWithinPartitions("part", F.col("digest").desc_nulls_last(), F.col("page_id").asc_nulls_first(), "h", "url", "html").drop("h")
     rows.mapInArrow(run, "file string, records long, bytes long, sha1 string").write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.parquet(f"{folder}/manifest")
