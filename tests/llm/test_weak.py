@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_corpus import plain_words
-from wavecrest.llm import catalog, chat, lm, packing, warc
+from wavecrest.llm import catalog, chat, language, lm, packing, warc
 from wavecrest.llm.common import table
 
 
@@ -82,3 +82,14 @@ def test_warc_files_end_by_compressed_size(spark, tmp_path):
     part = found["file"].str[6:12]
     whole = found[part == part.shift(-1)]
     assert len(whole) > len(found) / 3 and (whole["bytes"] >= 1 << 20).all() and (whole["bytes"] < (1 << 20) + 200_000).all()
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    words = {"en": "the of and to in", "de": "der die und das nicht", "fr": "le la les des une"}
+    rows = [(i * 3 + k, words[x] * (30 if x == "fr" else 3), x) for i in range(12) for k, x in enumerate(words)]
+    docs = spark.createDataFrame([*rows, (100, None, "es"), (101, "", "es")], "doc_id long, text string, lang string")
+    model = language.fit_language(docs, per_language=10, sample_bytes=4 * 10 * 200)
+    assert model.langs == ["de", "en", "fr"]
+    got = {r.lang: r.p for r in language.identify(docs, model).selectExpr("lang", "language.lang_pred as p").where("lang != 'es'").distinct().collect()}
+    assert got == {x: x for x in words}
+    assert language.fit_language(docs, per_language=10, sample_bytes=4 * 10 * 20).langs == ["de", "en"]

@@ -163,16 +163,22 @@ def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """A model learned from at most ``per_language`` rows of each language, those with the least hashes.
 
     Rows need a language and a text of at least a byte and at most an even share of ``sample_bytes`` (64 KiB for
-    four languages), so the driver gets at most so many bytes of text, however many languages there are.
+    four languages), so the driver gets at most so many bytes of text, however many languages there are. A language whose texts are all longer than that
+    is learned from the shortest of its rows (of some four times ``per_language``) that together keep within its part of ``sample_bytes``; it is left out only if none does.
     """
-    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(seed_col)).alias("h"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    size = F.octet_length(text_col)
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(seed_col)).alias("h"), size.alias("size"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")).collect()  # one row a language
+    if not sizes:
         return LanguageModel([], [])
+    share = sample_bytes // (len(sizes) * per_language)
+    budget = share * per_language
     # an even cut of the hash's range first, so that ranking sees few rows
-    cut = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 4 * per_language / n) * (1 << 20)) + 1)])
-    near = rows.where((F.pmod("h", F.lit(1 << 20)) < cut[F.col("lang")]) & F.octet_length("text").between(1, sample_bytes // (len(counts) * per_language)))
-    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= per_language)
+    cut = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, 4 * per_language / r["n"]) * (1 << 20)) + 1)])
+    most = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], budget if (r["least"] or 0) > share else share)])
+    near = rows.where((F.pmod("h", F.lit(1 << 20)) < cut[F.col("lang")]) & (F.col("size") >= 1) & (F.col("size") <= most[F.col("lang")]))
+    order = Window.partitionBy("lang").orderBy(F.when(most[F.col("lang")] > share, F.col("size")), "h", "text")
+    ranked = near.withColumns({"k": F.row_number().over(order), "used": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))}).where((F.col("k") <= per_language) & (F.col("used") <= budget))
     sample = ranked.orderBy("lang", "k").select("text", "lang").collect()
     return LanguageModel([r[0] for r in sample], [r[1] for r in sample])
 
