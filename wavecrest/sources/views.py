@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavecrest.operators.ranges import numbered
@@ -27,11 +27,21 @@ def embedding_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUCKET_USERS = 50
 
 
+def ordered_means(rows: DataFrame, by: list[str], value: str, order: list[str]) -> DataFrame:
+    """(by, x): the mean of each group's values, added up one after another in ``order`` as SQL on one thread does it; no other order rounds alike.
+
+    The sum runs along a window, which spills, so no group has to fit into memory.
+    """
+    along = Window.partitionBy(*by).orderBy(*order, value)
+    sums = rows.where(F.col(value).isNotNull()).select(*by, F.sum(value).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_sum"), F.row_number().over(along).alias("_n"))
+    return sums.groupBy(*by).agg((F.max_by("_sum", "_n") / F.max("_n")).alias("x"))
+
+
 def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(subject, task, ch, t, h, x): mean event value by bucket of users, type and hour of 720, gaps 0; tasks are phases of 240 hours."""
     bucket = F.expr(f"user_id div {BUCKET_USERS}").alias("subject")
-    ev = table(spark, sf_dir, "events").select(bucket, "event_type", ((F.dayofmonth("ts") - 1) * 24 + F.hour("ts")).alias("h"), "value").where("h between 0 and 719")
-    means = ev.groupBy("subject", "event_type", "h").agg(F.avg("value").alias("x"))
+    ev = table(spark, sf_dir, "events").select(bucket, "event_id", "event_type", ((F.dayofmonth("ts") - 1) * 24 + F.hour("ts")).alias("h"), "value").where("h between 0 and 719")
+    means = ordered_means(ev, ["subject", "event_type", "h"], "value", ["event_id"])
     grid = ev.select("subject", "event_type").distinct().select("subject", "event_type", F.explode(F.sequence(F.lit(0), F.lit(719))).alias("h"))
     full = grid.join(means, ["subject", "event_type", "h"], "left").select("subject", "event_type", "h", F.coalesce("x", F.lit(0.0)).alias("x"))
     return full.select("subject", (F.col("h") / 240).cast("int").cast("string").alias("task"), F.col("event_type").alias("ch"), (F.col("h") % 240).alias("t"), "h", "x")
