@@ -43,7 +43,7 @@ def test_other_queries_have_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
-@pytest.mark.parametrize("name", ["mutual_information"])
+@pytest.mark.parametrize("name", ["mutual_information", "mi_graph_features"])
 def test_dense_events_fall_into_the_bins_of_sql_on_one_thread(spark, tmp_path, name):
     """Many events of one hour, in files whose order isn't that of their ids: sums that round otherwise would move means that lie on a bin's edge."""
     copies = spark.range(60).selectExpr("id AS copy").crossJoin(spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("user_id < 500"))
