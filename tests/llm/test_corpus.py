@@ -624,6 +624,14 @@ def test_token_files(spark, docs, none, sf_dir, tmp_path):
     assert tokens.token_files(none, PATH).count() == 0
 
 
+def test_a_worker_keeps_its_tokenizer():
+    own = tokens.word_tokenizer(PATH)
+    first, at = own.encode(pa.array(["one two", None, "two three"]), 1)
+    assert tokens.word_tokenizer(PATH) is own
+    again, at_again = own.encode(pa.array(["one two", None, "two three"]), 1)
+    assert first.tolist() == again.tolist() and at.tolist() == at_again.tolist()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(st.sampled_from("abAB'.,;:! \n\t\r \u0085́éÉİß12<|>endoftx中"), max_size=60))
 def test_tokens_of_cut_texts(text):

@@ -6,6 +6,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from wavecrest.llm.common import LOWER, Text, ragged, range_hashes, scratch, stored, text_slices, utf8
+from wavecrest.llm.common import LOWER, Text, ragged, range_hashes, scratch, stored, text_slices, tidy, utf8
 from wavecrest.llm.huffman import BLOCK, Decoder, canonical_codes, code_lengths, encode
 
 MAGIC = b"TOKHUF01"
@@ -184,6 +185,12 @@ class WordTokenizer:
         return starts, np.flatnonzero(tail & solid) + 1, letters
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """This process's tokenizer: Spark's workers stay for further tasks, and each load of a vocabulary leaves memory behind that doesn't come back."""
+    return WordTokenizer(path)
+
+
 def id_space(path: str, end_id: int) -> int:
     """One more than the largest id."""
     return max(*Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), end_id) + 1
@@ -198,7 +205,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id"
     kind = _kind(id_space(path, end_id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, squeeze = WordTokenizer(path), zstandard.ZstdCompressor(1)
+        tokenizer, squeeze = word_tokenizer(path), zstandard.ZstdCompressor(1)
         for batch in text_slices(batches, "text", 1 << 19):
             ids, at = tokenizer.encode(batch.column(1), end_id)
             ids = ids.astype(kind)
@@ -206,7 +213,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return chosen.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids binary")
 
 
 def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
@@ -222,7 +229,7 @@ def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used])], names=["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in tokens.select("ids").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r[0]] = r[1]
     return out
 
@@ -326,7 +333,7 @@ def write_tokens(tokens: DataFrame, folder: str, space: int, file_ids: int = 4 <
 
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]  # Spark samples these to deal out the ranges
     placed = tokens.select("doc_id", "ids").repartitionByRange(parts, *by).sortWithinPartitions(*by, "ids")
-    placed.mapInArrow(run, "part int, seq int, file string, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
+    placed.mapInArrow(tidy(run), "part int, seq int, file string, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
     return tokens.sparkSession.read.parquet(f"{folder}/manifest")
 
 
@@ -345,7 +352,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - per_doc).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(base + ends - per_doc), pa.array(per_doc), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.repartition(n, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(n, "file").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
