@@ -55,6 +55,37 @@ def test_a_million_runs_merge_in_seconds():
     assert sum(n) == sum(sizes) and min(n) >= 20 and all(a != b for a, b in itertools.pairwise(found))
 
 
+def subtasks_one_by_one(parts, least):
+    """The rule, written plainly: the first short part joins the neighbour with the nearest mean, the left of equal ones, and all starts again."""
+    parts = [list(p) for p in parts]
+    while len(parts) > 1:
+        k = next((k for k, p in enumerate(parts) if p[2] - p[1] < least), None)
+        if k is None:
+            break
+        near = min((j for j in (k - 1, k + 1) if 0 <= j < len(parts)), key=lambda j: abs(parts[j][3] / parts[j][4] - parts[k][3] / parts[k][4]))
+        a, b = sorted((k, near))
+        parts[a : b + 1] = [[parts[near][0], parts[a][1], parts[b][2], parts[a][3] + parts[b][3], parts[a][4] + parts[b][4]]]
+    return parts
+
+
+def parts_of(hardness):
+    return [[c % 3, 5.0 * k, 5.0 * k + 5, 20.0 * c, 1] for k, c in enumerate(hardness)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=25), st.integers(1, 40))
+def test_subtasks_merge_by_the_rule_applied_one_by_one(hardness, least):
+    assert windows.merge_subtasks(parts_of(hardness), least) == subtasks_one_by_one(parts_of(hardness), least)
+
+
+def test_a_long_protocol_is_segmented_in_seconds(spark):
+    rng = np.random.default_rng(1)
+    rows = [("s", t, f"e{x}") for t, x in enumerate(rng.integers(0, 2, 100_000).tolist())]
+    began = time.time()
+    assert windows.segment(spark.createDataFrame(rows, "subject string, t long, label string"), 1.0, 5.0, (1, 1), 3, 10.0, 0, 2000.0).count() > 1_000
+    assert time.time() - began < 60
+
+
 @pytest.fixture(scope="module")
 def long_subject(spark):
     """One subject of some 5,000 samples and a short one, with runs from one sample to several ranges of 100 long."""

@@ -192,25 +192,41 @@ def segment(labels: DataFrame, sfreq: float, group_sec: float = 5.0, macro: tupl
         x, width = pdf["hardness"].to_numpy(), stride * group_sec
         ids = kmeans_1d(x, n_clusters)
         parts: list[list] = []
-        for k, c, h in zip(pdf["macro"], ids, x, strict=True):
+        for k, c, h in zip(pdf["macro"].tolist(), ids.tolist(), x.tolist(), strict=True):
             if parts and parts[-1][0] == c:
-                parts[-1][2] = (k + 1) * width
-                parts[-1][3].append(h)
+                parts[-1][2:] = [(k + 1) * width, parts[-1][3] + h, parts[-1][4] + 1]
             else:
-                parts.append([c, k * width, (k + 1) * width, [h]])
-        while len(parts) > 1:
-            k = next((k for k, p in enumerate(parts) if p[2] - p[1] < least_subtask_sec), None)
-            if k is None:
-                break
-            near = min((j for j in (k - 1, k + 1) if 0 <= j < len(parts)), key=lambda j: abs(np.mean(parts[j][3]) - np.mean(parts[k][3])))
-            a, b = sorted((k, near))
-            parts[a : b + 1] = [[parts[near][0], parts[a][1], parts[b][2], parts[a][3] + parts[b][3]]]
-        return pd.DataFrame([(*key, i, int(p[0]), float(p[1]), float(p[2]), float(np.mean(p[3]))) for i, p in enumerate(parts)], columns=[*by, "subtask", "cluster_id", "start_sec", "end_sec", "hardness_mean"])
+                parts.append([c, k * width, (k + 1) * width, h, 1])
+        parts = merge_subtasks(parts, least_subtask_sec)
+        return pd.DataFrame([(*key, i, int(p[0]), float(p[1]), float(p[2]), float(p[3] / p[4])) for i, p in enumerate(parts)], columns=[*by, "subtask", "cluster_id", "start_sec", "end_sec", "hardness_mean"])
 
     kinds = ", ".join(f"{c} string" for c in by)
     return rows.withColumns({c: F.col(c).cast("string") for c in by}).groupBy(*by).applyInPandas(run, f"{kinds}, subtask int, cluster_id int, start_sec double, end_sec double, hardness_mean double")
 
 
+def merge_subtasks(parts: list[list], least_sec: float) -> list[list]:
+    """Parts (cluster, start, end, sum, n) shorter than ``least_sec`` join the neighbour with the nearest mean (the left of equal ones), left to right, until none is left.
+
+    All parts before the one looked at are long enough, so each is looked at once, and once more for each that joins it: the work is in proportion to the parts.
+    """
+    done: list[list] = []
+    ahead = parts[::-1]
+    while ahead:
+        part = ahead.pop()
+        if part[2] - part[1] >= least_sec or not (done or ahead):
+            done.append(part)
+            continue
+        mean = part[3] / part[4]
+        left, right = (abs(side[-1][3] / side[-1][4] - mean) if side else np.inf for side in (done, ahead))
+        if left <= right:
+            c, start, _, total, n = done.pop()
+            done.append([c, start, part[2], total + part[3], n + part[4]])
+        else:
+            c, _, end, total, n = ahead.pop()
+            ahead.append([c, part[1], end, part[3] + total, part[4] + n])
+    return done
+
+
 def kmeans_1d(x: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
     """Cluster ids in order of their means, from centres at even quantiles."""
     centres = np.unique(np.quantile(x, (np.arange(k) + 0.5) / k))
