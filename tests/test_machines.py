@@ -95,3 +95,14 @@ def test_pairs_of_three_labels_one_of_them_rare(spark):
     df = samples(spark, x, labels).selectExpr("sample_id", "concat('l', _y) as label", "features", "sample_id % 5 = 0 as test")
     said = learn.classify(df, "svm").collect()
     assert len(said) == 79 and sum(r.label == r.predicted for r in said) >= 78
+
+
+def test_margins_of_one_label_are_those_of_its_pairs():
+    rng = np.random.default_rng(0)
+    places = [(a, b, np.sort(rng.permutation(60)[:20]), rng.choice([-1, 1], 20) * rng.uniform(0.1, 1, 20), 0.1) for a, b in ((0, 1), (0, 2), (1, 2))]
+    m, x = M.Machines(rng.normal(size=(60, 4)), places, 0.3), rng.normal(size=(9, 4))
+    want = [M.kernel(x, m.vectors[own], 0.3) @ w + bias for *_, own, w, bias in places]
+    for label, pairs in ((0, [0, 1]), (1, [0, 2]), (2, [1, 2])):
+        got = {p: margin for _, p, margin in m.margins(x, [m.of_label(label)])}
+        assert sorted(got) == pairs and all(np.allclose(got[p], want[p], atol=1e-12) for p in pairs)
+    assert all(np.allclose(margin, want[p], atol=1e-12) for _, p, margin in m.margins(x))

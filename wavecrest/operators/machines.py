@@ -68,14 +68,31 @@ class Machines(NamedTuple):
     pairs: list[tuple[int, int, np.ndarray, np.ndarray, float]]
     gamma: float
 
-    def margins(self, x: np.ndarray) -> Iterator[tuple[slice, int, np.ndarray]]:
-        """(rows, pair, margins): positive for the pair's first label; some rows at a time, so that kernels stay within 32 MB."""
-        step = max(1, (1 << 22) // max(1, len(self.vectors)))
+    def parts(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, weights, pairs) of each label: the vectors that are rows of it, and their weights in the pairs that it is in, a column each."""
+        out = []
+        for label in sorted({x for a, b, *_ in self.pairs for x in (a, b)}):
+            mine = [(p, places[keep], weights[keep]) for p, (a, b, places, weights, _) in enumerate(self.pairs) if label in (a, b) for keep in [(weights > 0) == (label == a)]]
+            out.append(_dense(mine))
+        return out
+
+    def of_label(self, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, weights, pairs) of all vectors of the pairs that ``label`` is in."""
+        return _dense([(p, places, weights) for p, (a, b, places, weights, _) in enumerate(self.pairs) if label in (a, b)])
+
+    def margins(self, x: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None) -> Iterator[tuple[slice, int, np.ndarray]]:
+        """(rows, pair, margins) of the pairs in ``parts``, of all without: positive for the pair's first label; some rows at a time, so that kernels stay within 32 MB."""
+        parts = self.parts() if parts is None else parts
+        step = max(1, (1 << 22) // max(1, *(len(places) for places, _, _ in parts)) if parts else len(x))
+        bias = np.array([b for *_, b in self.pairs])
+        vectors = [self.vectors[places] for places, _, _ in parts]
         for lo in range(0, len(x), step):
             rows = slice(lo, min(lo + step, len(x)))
-            k = kernel(x[rows], self.vectors, self.gamma)
-            for p, (_, _, places, weights, bias) in enumerate(self.pairs):
-                yield rows, p, k[:, places] @ weights + bias
+            out = np.tile(bias, (rows.stop - lo, 1))
+            for own, (_, weights, pairs) in zip(vectors, parts, strict=True):
+                out[:, pairs] += kernel(x[rows], own, self.gamma) @ weights
+            for p in sorted({p for *_, pairs in parts for p in pairs.tolist()}):
+                yield rows, p, out[:, p]
 
     def votes(self, x: np.ndarray, n_labels: int) -> np.ndarray:
         """The label number that wins most pairs, the smallest of equals."""
@@ -87,6 +104,15 @@ class Machines(NamedTuple):
         return won.argmax(axis=1)
 
 
+def _dense(pairs: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, weights, pairs) of (pair, places, weights): each place once, with its weight in every pair."""
+    places = np.unique(np.concatenate([own for _, own, _ in pairs])) if pairs else np.zeros(0, int)
+    weights = np.zeros((len(places), len(pairs)))
+    for k, (_, own, w) in enumerate(pairs):
+        weights[np.searchsorted(places, own), k] = w
+    return places, weights, np.array([p for p, *_ in pairs], int)
+
+
 def _matrix(features: pd.Series) -> np.ndarray:
     return np.array(features.tolist(), float).reshape(len(features), -1)
 
@@ -150,16 +176,21 @@ def _violators(samples: DataFrame, machines: Machines, support: DataFrame, most:
     columns = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, tuple] = {}
         for batch in batches:
             if not len(batch):
                 continue
             labels = batch["_y"].to_numpy()
-            for rows, p, margin in model.value.margins(_matrix(batch["features"])):
-                a, b = model.value.pairs[p][:2]
-                y = np.where(labels[rows] == a, 1.0, np.where(labels[rows] == b, -1.0, 0.0))
-                at = np.flatnonzero((y != 0) & (y * margin < 1 - 2 * tol))
-                # alpha holds the margin until the next solution
-                yield batch.iloc[rows].iloc[at].assign(a=a, b=b, block=0, y=y[at], alpha=(y * margin)[at], bias=0.0)[columns].astype({"sample_id": object})
+            # a row is held against the pairs that its label is in, by their vectors alone
+            for label in np.unique(labels).tolist():
+                mine = np.flatnonzero(labels == label)
+                known[label] = part = known.get(label) or model.value.of_label(label)
+                for rows, p, margin in model.value.margins(_matrix(batch["features"].iloc[mine]), [part]):
+                    a, b = model.value.pairs[p][:2]
+                    y = 1.0 if label == a else -1.0
+                    at = np.flatnonzero(y * margin < 1 - 2 * tol)
+                    # alpha holds the margin until the next solution
+                    yield batch.iloc[mine[rows][at]].assign(a=a, b=b, block=0, y=y, alpha=(y * margin)[at], bias=0.0)[columns].astype({"sample_id": object})
 
     found = samples.select("sample_id", "_y", "features").mapInPandas(run, schema)
     found = found.join(support.select("a", "b", "sample_id"), ["a", "b", "sample_id"], "left_anti").withColumn("_part", F.pmod(F.xxhash64("sample_id"), F.lit(64)))
