@@ -9,6 +9,7 @@ from wavecrest.functions import spectral as S
 from wavecrest.operators import channels, connectivity, learn, spectrum, stats, trp, windows
 from wavecrest.sources.recordings import montage, samples
 from wavecrest.sources.views import embedding_signals, event_labels, event_samples, table
+from wavecrest.storage import stored
 
 SFREQ, NPERSEG = 64.0, 32
 KEYS = ["subject", "task", "ch_idx"]
@@ -261,7 +262,7 @@ def standardise(spark, sf):
 
 
 def _knn(spark, sf):
-    scaled = learn.standardise(_samples(spark, sf))
+    scaled = stored(learn.standardise(_samples(spark, sf)), "scaled")
     test = scaled.where("test")
     return learn.nearest(scaled.where(~F.col("test")), test, 5).join(test.select("sample_id", "label"), "sample_id")
 
