@@ -55,3 +55,19 @@ def test_dense_events_fall_into_the_bins_of_sql_on_one_thread(spark, tmp_path, n
     names = [d[0] for d in want.description]
     got = sorted((tuple(plain(r[c]) for c in names) for r in QUERIES[name](spark, str(tmp_path)).collect()), key=str)
     assert got == sorted((tuple(plain(x) for x in r) for r in want.fetchall()), key=str)
+
+
+def test_an_edge_of_bins_is_decided_by_the_order_of_ids_however_events_lie(spark, tmp_path):
+    """SQL on one thread has another row if it reads the three events of an hour in another order, as its threads do at size; the query has that of ``event_id`` for both."""
+    events = "SELECT event_id, ts, user_id, event_type, value FROM '/root/testdata/sf0.001/events.parquet' WHERE event_type <> 'click' OR value < 240 AND date_trunc('hour', ts) NOT IN ('2024-01-18 22:00', '2024-01-19 06:00')"
+    # of a range from 0 to 249 in 15 bins, the mean 49.8 is the edge of the third
+    edge = "VALUES (1001, TIMESTAMP '2024-01-18 22:10', 0, 'click', 249.0), (1002, '2024-01-19 06:10', 0, 'click', 89.83), (1003, '2024-01-19 06:20', 0, 'click', 18.01), (1004, '2024-01-19 06:30', 0, 'click', 41.56)"
+    got, want = [], []
+    for way, order in (("ids", "event_id"), ("values", "value DESC")):
+        (tmp_path / way).mkdir()
+        con = duckdb.connect(config={"threads": 1})
+        con.execute(f"COPY ({events} UNION ALL {edge} ORDER BY {order}) TO '{tmp_path}/{way}/events.parquet'")
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/{way}/events.parquet'")
+        want.append(sorted(con.execute(ORACLE_SQL["mi_graph_features"]).fetchall()))
+        got.append(sorted((r.task, list(r.features)) for r in QUERIES["mi_graph_features"](spark, f"{tmp_path}/{way}").collect()))
+    assert got[0] == got[1] == want[0] != want[1]
