@@ -4,8 +4,10 @@ import math
 
 import pytest
 
+from wavecrest.operators import windows
 from wavecrest.plans.catalog import QUERIES
 from wavecrest.plans.oracle import ORACLE_SQL
+from wavecrest.sources.views import event_labels
 
 duckdb = pytest.importorskip("duckdb")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -71,3 +73,10 @@ def test_an_edge_of_bins_is_decided_by_the_order_of_ids_however_events_lie(spark
         want.append(sorted(con.execute(ORACLE_SQL["mi_graph_features"]).fetchall()))
         got.append(sorted((r.task, list(r.features)) for r in QUERIES["mi_graph_features"](spark, f"{tmp_path}/{way}").collect()))
     assert got[0] == got[1] == want[0] != want[1]
+
+
+def test_segmentation_is_of_smoothed_labels(spark, sf_dir):
+    labels = event_labels(spark, sf_dir)
+    smooth = windows.smooth_labels(labels, 2)
+    got, want, other = (sorted(map(tuple, df.collect())) for df in (QUERIES["segmentation"](spark, sf_dir), *(windows.segment(x, 1.0, 5.0, (1, 1), 3, 10.0, 0, 2000.0) for x in (smooth, labels))))
+    assert got == want != other

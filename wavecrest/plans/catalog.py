@@ -192,7 +192,7 @@ def macro_windows(spark, sf):
 
 
 def segmentation(spark, sf):
-    return windows.segment(event_labels(spark, sf), 1.0, 5.0, (1, 1), 3, 10.0, 0, 2000.0)
+    return windows.segment(event_labels(spark, sf), 1.0, 5.0, (1, 1), 3, 10.0, 2, 2000.0)
 
 
 def window_metrics(spark, sf):
