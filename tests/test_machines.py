@@ -106,3 +106,55 @@ def test_margins_of_one_label_are_those_of_its_pairs():
         got = {p: margin for _, p, margin in m.margins(x, [m.of_label(label)])}
         assert sorted(got) == pairs and all(np.allclose(got[p], want[p], atol=1e-12) for p in pairs)
     assert all(np.allclose(margin, want[p], atol=1e-12) for _, p, margin in m.margins(x))
+
+
+def test_blocks_of_a_kernel_that_is_never_whole_are_the_machine_of_all_rows():
+    x, y = two_rings(500, 2, 0.4)
+    alpha, _ = M.solve_dual(M.kernel(x, x, 0.7), y, 1.0, 1e-6)
+    got = M.settle(x, y, 0.7, np.zeros(500), y, 1.0, 1e-6, 40)
+    k = M.kernel(x, x, 0.7)
+    assert abs((got * y).sum()) < 1e-9 and value(k, y, got) == pytest.approx(value(k, y, alpha), rel=1e-6)
+
+
+def noise(labels, per_label, seed=0):
+    """Rows whose labels no machine can tell, so that nearly all are support vectors."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(labels * per_label, 8)), np.arange(labels * per_label) % labels
+
+
+@pytest.mark.parametrize("task_rows", [120, 10_000])
+def test_all_rows_of_all_pairs_meet_the_conditions_however_many_support_vectors_there_are(spark, task_rows):
+    """Blocks and tasks of fewer rows than a pair has support vectors; the conditions are checked on every row by a plain product."""
+    x, labels = noise(3, 130)
+    found = M.learned(samples(spark, x, labels), 3, 0.1, block_rows=60, task_rows=task_rows)
+    support = {r.sample_id: r.w for r in found.support.collect()}
+    w = np.array([support.get(i, [0.0] * 3) for i in range(len(x))])
+    k = M.kernel(x, x, 0.1)
+    for (a, b), bias in found.bias.items():
+        own = np.flatnonzero((labels == a) | (labels == b))
+        y = np.where(labels[own] == a, 1.0, -1.0)
+        alpha = np.where(labels[own] == a, w[own, b], w[own, a]) * y
+        assert (alpha > 0).sum() > 150 and abs((alpha * y).sum()) < 1e-9 and (alpha >= 0).all() and (alpha <= 1).all()
+        margin = y * (k[np.ix_(own, own)] @ (alpha * y) + bias)
+        assert (margin[alpha == 0] >= 1 - 2e-3).all() and (margin[alpha == 1] <= 1 + 2e-3).all() and np.allclose(margin[(alpha > 0) & (alpha < 1)], 1, atol=2e-3)
+    won = np.zeros((len(x), 3), int)
+    for (a, b), bias in found.bias.items():
+        margin = k @ np.where(labels == a, w[:, b], np.where(labels == b, w[:, a], 0.0)) + bias
+        won[margin > 0, a] += 1
+        won[margin <= 0, b] += 1
+    said = {r.sample_id: r._p for r in M.predicted(samples(spark, x, labels), found).collect()}
+    assert [said[i] for i in range(len(x))] == won.argmax(axis=1).tolist()
+
+
+def test_no_bound_drops_support_vectors_of_a_report(spark):
+    """More support vectors of a pair than the 2,048 that a model once kept: held-out rows get the votes of the machine of all rows."""
+    x, labels = noise(2, 1_500, 1)
+    df = samples(spark, x, labels).selectExpr("sample_id", "_y as label", "features", "sample_id < 300 as test")
+    said = {r.sample_id: r.predicted for r in learn.classify(df, "svm").collect()}
+    own, y = x[300:], np.where(labels[300:] == 0, 1.0, -1.0)
+    gamma = 1 / (8 * own.var())
+    alpha, bias = M.solve_dual(M.kernel(own, own, gamma), y, 1.0, 1e-5)
+    assert (alpha > 0).sum() > 2_048
+    margin = M.kernel(x[:300], own, gamma) @ (alpha * y) + bias
+    sure = np.abs(margin) > 5e-3
+    assert sure.sum() > 250 and all(said[i] == int(margin[i] <= 0) for i in np.flatnonzero(sure))

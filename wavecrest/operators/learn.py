@@ -59,7 +59,7 @@ def classify(samples: DataFrame, model: str, seed: int = 42, of_train: bool = Fa
     """(sample_id, label, predicted) of the test rows by a network (``mlp``) or kernel machines (``svm``) learned from the others, or of those others themselves if ``of_train``.
 
     The network has 100 and 50 rectified hidden nodes, is learned by Adam and stops early; see ``network.fit``. Machines are one a pair of labels, with a hinge loss, C of 1 and
-    a Gaussian kernel whose width is the number of features times their variance; see ``machines.fit`` for their bounds. The rows are stored once, as fits read them many times.
+    a Gaussian kernel whose width is the number of features times their variance, learned from all rows; see ``machines.learned``. The rows are stored once, as fits read them many times.
     No rows to predict, or none to learn from, give no rows.
     """
     samples = stored(samples, "samples")
@@ -77,8 +77,8 @@ def classify(samples: DataFrame, model: str, seed: int = 42, of_train: bool = Fa
     code = F.coalesce(*[F.when(F.col("label") == x, float(k)) for k, x in enumerate(labels)])
     if model == "svm":
         spread = learned.select(F.explode("features").alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
-        fitted = machines.fit(learned.select("sample_id", code.cast("int").alias("_y"), "features"), len(labels), 1 / (width * spread))
-        got = machines.predicted(asked, fitted, len(labels))
+        fitted = machines.learned(learned.select("sample_id", code.cast("int").alias("_y"), "features"), len(labels), 1 / (width * spread))
+        got = machines.predicted(asked, fitted)
     else:
         fitted = network.fit(learned.select("sample_id", code.cast("int").alias("_y"), "features"), [width, 100, 50, len(labels)], seed)
         got = network.predicted(asked, fitted)
