@@ -158,3 +158,11 @@ def test_no_bound_drops_support_vectors_of_a_report(spark):
     margin = M.kernel(x[:300], own, gamma) @ (alpha * y) + bias
     sure = np.abs(margin) > 5e-3
     assert sure.sum() > 250 and all(said[i] == int(margin[i] <= 0) for i in np.flatnonzero(sure))
+
+
+def test_rows_without_a_label_are_not_learned_from(spark):
+    x, labels = noise(2, 40, 3)
+    df = samples(spark, x, labels).selectExpr("sample_id", "_y as label", "features", "sample_id < 20 as test")
+    unknown = df.selectExpr("sample_id + 100 as sample_id", "cast(null as int) as label", "features", "test").where("not test")
+    alone, beside = (sorted((r.sample_id, r.predicted) for r in learn.classify(rows, "svm").collect()) for rows in (df, df.unionByName(unknown)))
+    assert len(alone) == 20 and alone == beside

@@ -227,7 +227,7 @@ def learned(samples: DataFrame, n_labels: int, gamma: float, c: float = 1.0, blo
     spark = samples.sparkSession
     kind = dict(samples.dtypes)["sample_id"]
     labels = F.sequence(F.lit(0), F.lit(n_labels - 1))
-    samples = samples.select("sample_id", "_y", "features")
+    samples = samples.select("sample_id", "_y", "features").where("_y is not null")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample_id", kind="stable")
